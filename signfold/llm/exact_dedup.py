@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, texts
+from .shared import ident, restored, shuffle_width, texts
 
 LOCAL_BYTES = 48 << 20
 OWNER_BYTES = 96 << 20
@@ -203,7 +203,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     t = texts(df, key, text)
-    return t.select(F.col(key).cast("bigint").alias("ident"), F.octet_length("text").cast("bigint").alias("length"), F.xxhash64("text").alias("code"), F.unhex(F.sha2("text", 256)).alias("sha"), F.col("text").cast("binary").alias("text"))
+    return t.select(F.col(key).alias("ident"), F.octet_length("text").cast("bigint").alias("length"), F.xxhash64("text").alias("code"), F.unhex(F.sha2("text", 256)).alias("sha"), F.col("text").cast("binary").alias("text"))
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
@@ -222,10 +222,11 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", keep: st
         raise ValueError(f"keep must be smallest or largest, not {keep}")
     owner = groups(df, key, text).select("length", "sha", F.col("low" if keep == "smallest" else "high").alias("keep_id"), F.col("n").alias("group_size"))
     rows = keyed(df, key, text).select("ident", "length", "sha")
-    return rows.join(owner, ["length", "sha"]).select(F.col("ident").alias(key), "keep_id", "group_size", (F.col("ident") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = rows.join(owner, ["length", "sha"]).select(F.col("ident").alias(key), "keep_id", "group_size", (F.col("ident") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return restored(out, key, "keep_id")
 
 
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of df that stay, all columns as they were."""
-    owner = groups(df, key, text).select(F.col("low" if keep == "smallest" else "high").alias(key))
-    return df.join(owner, key, "left_semi")
+    owner = groups(df, key, text).select(F.col("low" if keep == "smallest" else "high").alias("_keep"))
+    return df.join(owner, ident(key) == F.col("_keep"), "left_semi")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, texts, written
+from .shared import restored, shuffle_width, texts, written
 
 
 def dense_order(distinct: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -80,4 +80,5 @@ def line_dedup(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: s
     t = t.join(starts, key, "left").withColumn("gone", F.coalesce(_covered(F.col("starts"), min_lines), F.array().cast("array<int>")))
     left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i))
     runs = F.size(F.filter("gone", lambda i: ~F.array_contains(F.col("gone"), i - F.lit(1))))
-    return t.select(key, F.when(F.size("gone") == 0, F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text"), F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), F.when(F.size("gone") == 0, F.lit(0)).otherwise(runs).cast("bigint").alias("n_runs"))
+    out = t.select(key, F.when(F.size("gone") == 0, F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text"), F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), F.when(F.size("gone") == 0, F.lit(0)).otherwise(runs).cast("bigint").alias("n_runs"))
+    return restored(out, key)

@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, secret_scan, warc
+from . import decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup, warc
 
 MIN_LINES = 3
+#: Shares of the expected tokens of each domain.
+TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n (a null id has none and counts as -1)."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(-1))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), MIN_LINES)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(_read(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.secret_scan(_read(spark, sf_dir, "documents"))
 
@@ -35,9 +46,37 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_read(spark, sf_dir, "documents"), width=2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = remainder(4) == 2
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labels table: toxic, else high or low quality."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), domains(_read(spark, sf_dir, "labels")), TARGETS)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch, texts
+from .shared import restored, scratch, texts
 
 #: kind: pattern, group whose length counts, least length. Fixed values.
 RULES = {
@@ -70,7 +70,7 @@ def secret_scan(versions: DataFrame, key: str = "doc_id", text: str = "text", le
     path = ledger or scratch(spark, "ledger")
     rows = blobs(versions, key, text)
     # One version stands for each blob: ids only are grouped, so copies meet as partial minima.
-    owners = rows.groupBy("blob").agg(F.min(key).alias(key)).filter(F.col(key).isNotNull())
+    owners = rows.groupBy("blob").agg(F.min(key).alias(key))
     if ledger and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
         seen = spark.read.parquet(path).filter(F.col("rule_version") == RULE_VERSION).select("blob")
         owners = owners.join(seen, "blob", "left_anti")
@@ -79,7 +79,8 @@ def secret_scan(versions: DataFrame, key: str = "doc_id", text: str = "text", le
         unseen = unseen.dropDuplicates(["blob"])
     scan_blobs(unseen).write.mode("append").parquet(path)
     known = spark.read.parquet(path).filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    return rows.select(key, "blob").join(known.dropDuplicates(["blob"]), "blob", "left").select(key, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    out = rows.select(key, "blob").join(known.dropDuplicates(["blob"]), "blob", "left").select(key, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return restored(out, key)
 
 
 def spans_text(spans: Column) -> Column:

@@ -7,12 +7,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8)
 #: Bytes that one numpy step holds (texts are never cut: a longer text is a step of its own).
 STEP_BYTES = 1 << 20
+NULL_ID = -(1 << 63)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,9 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ident(key: str) -> Column:
+    """An id as bigint; a null one travels as NULL_ID, so that joins keep its rows, until restored()."""
+    return F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID))
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) with null texts as empty ones; further columns are left aside."""
-    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(key, text) with ids by ident() and null texts as empty ones; further columns are left aside."""
+    return df.select(ident(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def restored(df: DataFrame, *keys: str) -> DataFrame:
+    """NULL_ID becomes null again."""
+    return df.withColumns({k: F.nullif(F.col(k), F.lit(NULL_ID)) for k in keys})
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -69,6 +81,17 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
+# --- packed arrays in binary columns ------------------------------------------------------------
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x, max_output_size=1 << 31), dtype=kind)
+
+
 # --- word hashes -----------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -77,6 +100,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[SEPARATORS] = False
+#: Letters, digits and all bytes beyond ASCII.
+ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -105,18 +130,19 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, inside_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word `[^\\x20\\x09-\\x0D]+` of the texts data[offsets[i]:offsets[i + 1]], and the number of words of each text.
 
     A-Z are lower-cased. All separators are ASCII, so words of UTF-8 bytes are those of code points.
+    inside_word: by byte, whether it belongs to a word (ALNUM for words without punctuation).
     """
     base = int(offsets[0])
     data = data[base : int(offsets[-1])]
     edges = offsets - base
-    data = _LOWER[data] if lower else data
+    data = _LOWER[data]
     n = len(data)
     inside = np.zeros(n + 1, dtype=bool)
-    inside[:n] = _IS_WORD[data]
+    inside[:n] = inside_word[data]
     begins = inside[:n].copy()
     begins[1:] &= ~inside[: n - 1] if n else False
     cut = edges[:-1][edges[:-1] < n]
@@ -135,21 +161,20 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
 
 def shingles(h: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, flat, and the number of each; a text of fewer words is one shingle, one without words none."""
-    rows = np.repeat(np.arange(len(counts)), counts)
     last = np.cumsum(counts)
-    firsts = last - counts
     size = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
-    total = int(size.sum())
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
     owner = np.repeat(np.arange(len(counts)), size)
-    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + firsts[owner]
+    at = np.arange(total) - np.repeat(ends - size, size) + (last - counts)[owner]
+    stop = last[owner]
     out = np.zeros(total, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            here = at + k < last[owner]
-            out[here] = mixed(out[here] * np.uint64(0x9FB21C651E98DF25) + h[at[here] + k] + np.uint64(k + 1))
-    del rows
-    order = np.lexsort((out, owner))
-    out, owner = out[order], owner[order]
+    for k in range(width):
+        here = at + k
+        word = np.where(here < stop, h[np.minimum(here, len(h) - 1)] if len(h) else np.uint64(0), np.uint64(0))
+        out = mixed(out * np.uint64(0x9FB21C651E98DF25) + word + np.uint64(k + 1))
+    for a, b in zip((ends - size).tolist(), ends.tolist()):
+        out[a:b].sort()
     keep = np.ones(total, dtype=bool)
     keep[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
     return out[keep], np.bincount(owner[keep], minlength=len(counts))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch, written
+from .shared import ident, restored, scratch, written
 
 MAGIC = b"WARC/1.1\r\n"
 LEAST = 100
@@ -36,7 +36,7 @@ HEADER_BYTES = 64 << 10
 
 def planned(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str | None = "url", least: int = LEAST) -> DataFrame:
     """(key, url, payload, digest, record_type, refers_to) for each row."""
-    rows = pages.select(F.col(key).cast("bigint").alias(key), (F.coalesce(F.col(url), F.lit("")) if url else F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    rows = pages.select(ident(key).alias(key), (F.coalesce(F.col(url), F.lit("")) if url else F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     first = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min(key).alias("response"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "response")
     rows = rows.join(first, "digest", "left")
@@ -139,7 +139,8 @@ def page_digests(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Per record: key, payload_bytes and payload_digest of the full payload (a revisit's are those of the response it refers to), record_type, refers_to."""
     whole = records.filter("record_type = 'response'").select(F.col("id").alias("_of"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).join(records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("_of")).distinct(), "_of", "left_semi").distinct()
     r = records.join(whole, F.col("refers_to") == F.col("_of"), "left")
-    return r.select(F.col("id").alias(key), F.coalesce("_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    out = r.select(F.col("id").alias(key), F.coalesce("_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    return restored(out, key, "refers_to")
 
 
 def warc_round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str | None = "url", least: int = LEAST, path: str | None = None) -> DataFrame:
