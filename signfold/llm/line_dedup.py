@@ -24,17 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import restored, shuffle_width, texts, written
+from .shared import discard, restored, shuffle_width, texts, written
 
 
-def dense_order(distinct: DataFrame, order: list[str], out: str) -> DataFrame:
+def dense_order(distinct: DataFrame, order: list[str], out: str, spent: list[DataFrame]) -> DataFrame:
     """distinct (columns `order` and n, the rows of each) with `out`: 1 + the number of rows that sort before it.
 
     Range partitions are numbered within and shifted by the totals of the partitions before, which are as many
-    rows as there are partitions.
+    rows as there are partitions. spent: gets the table that the result reads.
     """
     spark = distinct.sparkSession
     parts = written(distinct.repartitionByRange(shuffle_width(spark), *order).withColumn("_part", F.spark_partition_id()), "order")
+    spent.append(parts)
     totals = parts.groupBy("_part").agg(F.sum("n").alias("_total"))
     shift = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -53,16 +54,19 @@ def repeated_runs(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
     lines = line_positions(docs, key, text)
-    alphabet = dense_order(lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "b"], "rank")
+    spent: list[DataFrame] = []
+    alphabet = dense_order(lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "b"], "rank", spent)
     state = written(lines.join(alphabet.select("a", "b", "rank"), ["a", "b"]).select(key, "line", "rank"), "ranks")
+    discard(*spent)
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
         follow = state.select(F.col(key), (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
         pairs = state.join(follow, [key, "line"])
         pairs = written(pairs.select(key, "line", "rank", "next"), "pairs")
-        order = dense_order(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1"), ["rank", "next"], "deeper")
+        order = dense_order(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1"), ["rank", "next"], "deeper", spent := [state, pairs])
         state = written(pairs.join(order.select("rank", "next", "deeper"), ["rank", "next"]).select(key, "line", F.col("deeper").alias("rank")), "ranks")
+        discard(*spent)
         depth += step
     intervals = state.groupBy("rank").agg(F.min(F.struct(key, "line")).alias("first"))
     return state.join(intervals, "rank").filter(F.struct(key, "line") > F.col("first")).select(key, "line", F.col(f"first.{key}").alias("first_doc"), F.col("first.line").alias("first_line"))

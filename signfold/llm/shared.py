@@ -33,7 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "scratch_path", None)
+        if path:
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ident(key: str) -> Column:

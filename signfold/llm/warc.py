@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, restored, scratch, written
+from .shared import discard, ident, restored, scratch, written
 
 MAGIC = b"WARC/1.1\r\n"
 LEAST = 100
@@ -117,9 +117,11 @@ def reachable(found: DataFrame) -> DataFrame:
     jump = found.filter("at >= 0").select("file", "at", "next")
     mark = found.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("at"))
     while True:
+        past = (mark, jump)
         mark = written(mark.join(jump, ["file", "at"]).select("file", F.col("next").alias("at")).union(mark).distinct(), "mark")
         onward = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         jump = written(jump.join(onward, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jump")
+        discard(*past)
         if jump.isEmpty():
             break
     ended = mark.withColumnRenamed("at", "size")
