@@ -9,9 +9,9 @@ so of pairs at 0.8 some 2e-9 share none of the 51 bands.
 Documents of equal sets are one class from the start, its smallest id standing for it. A bucket gives a star:
 an edge from its smallest class to each other one, so edges are linear in the bucket's size, and all edges are
 confirmed on full sets. A star can miss a link between two of its leaves. So where, after the confirmed links
-have been merged into components, a bucket of three or more classes still spans several components, its classes
-are compared by an exact prefix join: of any pair at the threshold, the rarest 20 % of the shingles of each
-have one in common; only pairs across components are made, and they are confirmed as well. Nothing is capped.
+have been merged into components, a bucket of three or more classes still spans several components, the classes
+of the cluster that such buckets form are set against each other in bounded blocks, across components only, and
+confirmed on full sets as well. Nothing is capped.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows are copies of each other; an empty table gives an empty
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, mixed, restored, shingles, steps, texts, utf8, words, written
+from .shared import discard, ident, mixed, restored, shingles, shuffle_width, steps, texts, utf8, words, written
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -35,6 +35,8 @@ ROWS = 5
 BANDS = BINS // ROWS
 #: Draws for an empty bin; a bin that none serves takes the next occupied one. Matters for sets of up to three shingles only.
 DRAWS = 400
+#: Sets of a block; two blocks meet in one row.
+BLOCK = 256
 
 
 def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -159,7 +161,8 @@ def components(links: DataFrame) -> DataFrame:
         low = minima(large, "u", "v").select(F.col("v").alias("u"), "m")
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        before, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        discard(before, large)
         now = state(edges)
         if now == last:
             break
@@ -168,38 +171,79 @@ def components(links: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("component").alias("id"), "component").distinct())
 
 
-_ROW = pa.schema([("id", pa.int64()), ("shingle", pa.int64())])
+def block_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
+    """Which sets of two blocks meet the threshold, as a boolean matrix, from products of their incidence matrices over common elements."""
+    flat_a, flat_b = np.concatenate(sets_a), np.concatenate(sets_b)
+    size_a, size_b = np.array([len(x) for x in sets_a]), np.array([len(x) for x in sets_b])
+    row_a, row_b = np.repeat(np.arange(len(sets_a)), size_a), np.repeat(np.arange(len(sets_b)), size_b)
+    common = np.intersect1d(flat_a, flat_b)
+    shared = np.zeros((len(sets_a), len(sets_b)), dtype=np.float32)
+    if len(common):
+        places = []
+        for flat, row in ((flat_a, row_a), (flat_b, row_b)):
+            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+            hit = common[at] == flat
+            order = np.argsort(at[hit], kind="stable")
+            places.append((at[hit][order], row[hit][order]))
+        for lo in range(0, len(common), columns):
+            parts = []
+            for (at, row), n in zip(places, shared.shape):
+                x, y = np.searchsorted(at, (lo, lo + columns))
+                m = np.zeros((n, min(columns, len(common) - lo)), dtype=np.float32)
+                m[row[x:y], at[x:y] - lo] = 1
+                parts.append(m)
+            shared += parts[0] @ parts[1].T
+    inter = np.rint(shared).astype(np.int64)
+    return 100 * inter >= percent * (size_a[:, None] + size_b[None, :] - inter)
+
+
+def _linked_blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = (batch.column(i)[k].as_py() for i in (0, 1))
+                hit = block_links([np.frombuffer(x["set"], np.uint64) for x in a], [np.frombuffer(x["set"], np.uint64) for x in b], percent)
+                hit &= np.array([x["component"] for x in a])[:, None] != np.array([x["component"] for x in b])[None, :]
+                i, j = np.nonzero(hit)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([a[x]["id"] for x in i], pa.int64()), pa.array([b[x]["id"] for x in j], pa.int64())], schema=_PAIR)
 
+    return run
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, sets = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        for i in range(0, len(ids), 64):
-            part = [np.frombuffer(x, np.int64) for x in sets[i : i + 64]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 64], [len(x) for x in part])), pa.array(np.concatenate(part))], schema=_ROW)
 
+def across(stars: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
+    """Confirmed links between leaves of stars that span several components.
 
-def across(stars: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between leaves of stars that span several components."""
+    Classes that such stars connect make a cluster. Those outside the cluster's largest component are its queries, set
+    against all of the cluster in blocks of BLOCK sets; blocks whose sizes rule the threshold out are not set against
+    each other, nor is the largest component against itself. spent: gets the tables that the result reads.
+    """
     of_leaf, of_centre = comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), comp.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     s = stars.filter("members > 2").join(of_leaf, "b", "left").join(of_centre, "a", "left")
     open_keys = s.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("key").distinct()
-    members = written(stars.join(open_keys, "key").select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "open")
-    if members.isEmpty():
-        return stars.select("a", "b").limit(0)
-    rows = written(sets.join(members.select("id"), "id", "left_semi").select("id", "set").mapInArrow(_exploded, "id bigint, shingle bigint"), "shingles")
-    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = rows.join(counts, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-    # ceil(t * n) of n must be shared, so one lies among the n - ceil(t * n) + 1 rarest.
-    rare = ranked.select("id", F.explode(F.expr(f"slice(all, 1, CAST(size(all) - ceil(size(all) * {percent}L / 100.0D - 1e-9D) + 1 AS INT))")).alias("x")).select("id", F.col("x.shingle").alias("shingle"))
-    rare = written(rare.join(members, "id").join(sizes, "id"), "rare")
-    mixed_keys = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
-    live = written(rare.join(mixed_keys, "shingle"), "live")
-    other = live.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("component") < F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-    pairs = live.join(other, "shingle").filter(near).select(F.col("id").alias("a"), "b").distinct()
-    return confirmed(pairs, sets, percent)
+    open_stars = written(stars.join(open_keys, "key").select("a", "b").distinct(), "open")
+    if open_stars.isEmpty():
+        return open_stars
+    clusters = components(open_stars).withColumnRenamed("component", "cluster")
+    members = written(clusters.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    largest = members.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
+    # Sizes of one band or of neighbouring ones can meet the threshold, others can't.
+    band = F.floor(F.log(F.octet_length("set") / 8) / F.lit(float(-np.log(percent / 100)) * (1 + 1e-9)) if percent < 100 else F.octet_length("set")).cast("int")
+    laid = sets.join(members.join(largest, "cluster"), "id").select("id", "component", "set", "cluster", band.alias("band"), (F.col("component") != F.col("major")).alias("asks"))
+    laid = written(laid, "laid")
+    counts = laid.groupBy("cluster", "band", "asks").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("bigint"))
+    blocks = laid.join(counts, ["cluster", "band", "asks"]).withColumn("part", part).groupBy("cluster", "band", "asks", "part").agg(F.collect_list(F.struct("id", "component", "set")).alias("block"))
+    blocks = written(blocks, "blocks")
+    spent += [open_stars, members, laid, blocks]
+    asking = blocks.filter("asks").withColumn("against", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    every = blocks.select("cluster", F.col("band").alias("against"), F.col("asks").alias("also"), F.col("part").alias("other"), F.col("block").alias("others"))
+    # Two blocks of queries meet once.
+    once = ~F.col("also") | (F.col("band") < F.col("against")) | ((F.col("band") == F.col("against")) & (F.col("part") <= F.col("other")))
+    met = asking.join(every, ["cluster", "against"]).filter(once)
+    # The join leaves a cluster's meetings in one task; they are dealt out again one by one.
+    dealt = met.repartition(4 * shuffle_width(stars.sparkSession), F.xxhash64("cluster", "band", "part", "against", "also", "other"))
+    return dealt.select("block", "others").mapInArrow(_linked_blocks(percent), "a bigint, b bigint")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,17 +253,23 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
     whole = sig.filter("n > 0")
     classes = written(whole.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = whole.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
-    rows = written(reps.select("id", "n", "bands"), "bands").select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    bands = written(reps.select("id", "n", "bands"), "bands")
+    rows = bands.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("na"))).alias("c"), F.count("*").cast("int").alias("members")).filter("members > 1").select("key", "c.a", "c.na", "members")
     stars = written(rows.join(buckets, "key").filter("id <> a").select("key", "a", "na", F.col("id").alias("b"), F.col("n").alias("nb"), "members"), "stars")
+    discard(bands)
     ends = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = written(t.join(ends, "id", "left_semi").mapInArrow(_sets(width), "id bigint, set binary"), "sets")
     pairs = stars.filter(F.least("na", "nb").cast("bigint") * 100 >= F.greatest("na", "nb").cast("bigint") * percent).select("a", "b").distinct()
     links = written(confirmed(pairs, sets, percent), "links")
     comp = written(components(links), "components")
-    more = written(across(stars, comp, sets, percent), "more")
+    spent: list[DataFrame] = []
+    more = written(across(stars, comp, sets, percent, spent), "more")
+    discard(*spent)
     if not more.isEmpty():
-        comp = written(components(links.union(more)), "components")
+        spent, comp = [comp], written(components(links.union(more)), "components")
+        discard(*spent)
+    discard(stars, sets, links, more)
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "id")
