@@ -136,6 +136,17 @@ def quick_result(triplets: DataFrame) -> DataFrame:
     return d.crossJoin(codes)
 
 
+def quick_results_at(triplets: DataFrame, step: int) -> DataFrame:
+    """A quick result as a fact row of its step; results of all steps make a table that is appended to and read back."""
+    return quick_result(triplets).select(F.lit(step).cast("bigint").alias("step"), "*")
+
+
+def worst_entropies(entropies: DataFrame, by: str = "size") -> DataFrame:
+    """One row with a map from tuple size to the smallest entropy, not below 0, of (size, entropy) rows."""
+    least = entropies.groupBy(by).agg(F.greatest(F.min("entropy"), F.lit(0.0)).alias("worst"))
+    return least.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "worst")))).alias("worst_entropies"))
+
+
 # --- training logs ------------------------------------------------------------------------------------
 
 

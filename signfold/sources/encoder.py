@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 
@@ -35,3 +36,29 @@ def encode(df: DataFrame, encoder: Encoder, id: str = "id", payload: str = "payl
 def rescale(x: np.ndarray) -> np.ndarray:
     """uint8 pixels to [-1, 1]."""
     return (x.astype(np.float32) - 127.5) / 127.5
+
+
+def binary_items(spark: SparkSession, path: str, pattern: str = "*", ids: dict[str, int] | None = None) -> DataFrame:
+    """(id, path, content) of the files under a path, read lazily: the id is the place of the path in name order, or given by `ids`.
+
+    Listing is by Spark; only rows that are used have their content read, a projection without it reads none.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    if ids is not None:
+        names = F.create_map(*[x for k, v in ids.items() for x in (F.lit(k), F.lit(v))])
+        return files.select(names[F.element_at(F.split("path", "/"), -1)].cast("bigint").alias("id"), "path", "content").filter("id IS NOT NULL")
+    order = files.select("path").withColumn("id", F.row_number().over(Window.orderBy("path")).cast("bigint") - 1)
+    return order.join(files.select("path", "content"), "path").select("id", "path", "content")
+
+
+def decode(items: DataFrame, decoder: Callable[[bytes], np.ndarray], id: str = "id", content: str = "content") -> DataFrame:
+    """(id, shape, payload): a decoder plug-in on each file's bytes, in Arrow batches."""
+    schema = pa.schema([("id", pa.int64()), ("shape", pa.list_(pa.int32())), ("payload", pa.list_(pa.float32()))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for ident, data in zip(part.column(0).to_pylist(), part.column(1)):
+                x = np.asarray(decoder(data.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([ident], pa.int64()), pa.array([list(x.shape)], pa.list_(pa.int32())), pa.array([x.ravel().astype(np.float32)], pa.list_(pa.float32()))], schema=schema)
+
+    return items.selectExpr(f"CAST({id} AS BIGINT) AS id", content).mapInArrow(run, "id bigint, shape array<int>, payload array<float>")

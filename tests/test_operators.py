@@ -238,3 +238,11 @@ def test_slices_and_gather(spark):
     assert {x.id: x.payloads for x in querysets.gather(items, bank).collect()} == {1: ["p3", "p0", "p3"], 2: ["p4"]}
     x = spark.range(20).select(querysets.hashed_choice(F.array(F.lit(1), F.lit(2), F.lit(3)), 0, "id").alias("v")).collect()
     assert {r.v for r in x} == {1, 2, 3}
+
+
+def test_quick_results(spark):
+    t = spark.createDataFrame([(0, 1, 7), (3, 3, 0), (5, 4, 5)], "anchor_fp bigint, positive_fp bigint, negative_fp bigint")
+    row = metrics.quick_results_at(t, 40).first()
+    assert (row.step, row.n_pairs, row.median_positive, row.median_negative, row.n_codes, row.n_unique_codes) == (40, 3, 1, 2, 6, 4)
+    e = spark.createDataFrame([(2, 1.5), (2, -1e-12), (3, 2.5)], "size int, entropy double")
+    assert metrics.worst_entropies(e).first().worst_entropies == {2: 0.0, 3: 2.5}

@@ -140,3 +140,13 @@ def test_stream(spark, tmp_path):
     incremental.append_to(windows, str(tmp_path / "win"), str(tmp_path / "ck2")).awaitTermination()
     w = {str(r.window_start)[11:16]: (r.n_queries, r.n_hit) for r in spark.read.parquet(str(tmp_path / "win")).collect()}
     assert w["00:00"] == (10, 4)
+
+
+def test_files_are_decoded(spark, tmp_path):
+    for k, name in enumerate(["b.raw", "a.raw", "c.txt"]):
+        (tmp_path / name).write_bytes(bytes([k, k + 1]))
+    items = encoder.binary_items(spark, str(tmp_path), "*.raw")
+    got = {r.id: (r["shape"], r.payload) for r in encoder.decode(items, lambda b: np.frombuffer(b, np.uint8)).collect()}
+    assert got == {0: ([2], [1.0, 2.0]), 1: ([2], [0.0, 1.0])}
+    named = encoder.binary_items(spark, str(tmp_path), ids={"c.txt": 7})
+    assert [(r.id, bytes(r.content)) for r in named.collect()] == [(7, b"\x02\x03")]
