@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .shared import ALNUM, restored, shingles, steps, texts, utf8, words
 
 SHARD_ITEMS = 4096
-BLOCK = 16
+BLOCK = 4
+BLOCKS = 64
 WIDTH = 5
 THRESHOLD = 0.6
 OVERLAP = 0.8
@@ -48,8 +49,22 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return shingles(h, np.array([len(h)]), WIDTH)[0]
 
 
+def _place(cursor: list) -> int:
+    return cursor[0]
+
+
+def _stretches(blocks: np.ndarray | None, number: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring blocks."""
+    if blocks is None:
+        yield 0, number
+    elif len(blocks):
+        cut = np.flatnonzero(np.diff(blocks) > 1) + 1
+        for part in np.split(blocks, cut):
+            yield int(part[0]), int(part[-1]) + 1
+
+
 class BlockMaxIndex:
-    """Posting lists over items, with the best score of every list in every block of BLOCK items."""
+    """Posting lists over items, with the best score of every list in every block of items."""
 
     def __init__(self, items: list[tuple[int, str, str]], k1: float = K1, b: float = B):
         self.ids = [i for i, _, _ in items]
@@ -70,11 +85,15 @@ class BlockMaxIndex:
             for no, x in p.items():
                 own[no] += x
         self.postings = [(np.array(list(p), dtype=np.int64), np.array([x / own[no] for no, x in p.items()])) for p in impact]
-        blocks = max(1, -(-n // BLOCK))
-        self.block_best = np.zeros((len(self.terms), blocks))
+        # Bounds of a passage are sums of rows of this table, so blocks grow with the items and their number stays.
+        self.block = max(BLOCK, -(-n // BLOCKS))
+        blocks = max(1, -(-n // self.block))
+        self.block_best = np.zeros((len(self.terms), blocks), dtype=np.float32)
         for t, (nos, x) in enumerate(self.postings):
-            np.maximum.at(self.block_best[t], nos // BLOCK, x)
-        self.best = self.block_best.max(axis=1) if len(self.terms) else np.zeros(0)
+            np.maximum.at(self.block_best[t], nos // self.block, (x * (1 + 1e-6)).astype(np.float32))
+        self.best = self.block_best.max(axis=1).astype(np.float64) if len(self.terms) else np.zeros(0)
+        edges = np.arange(blocks + 1) * self.block
+        self.starts = np.array([np.searchsorted(nos, edges) for nos, _ in self.postings], dtype=np.int32).reshape(len(self.terms), blocks + 1)
         # A first look by 16 bits spares most words the binary search.
         self.seen = np.zeros(1 << 16, dtype=bool)
         self.seen[(self.terms >> np.uint64(48)).astype(np.int64)] = True
@@ -89,42 +108,52 @@ class BlockMaxIndex:
         return out
 
     def search(self, terms: np.ndarray, threshold: float, blocks: np.ndarray | None = None) -> dict[int, float]:
-        """All items of score >= threshold for a query of distinct terms; blocks: the only ones to look into."""
-        allowed = None if blocks is None else set(blocks.tolist())
-        cursors = [[nos, x, 0, t] for t in terms.tolist() for nos, x in [self.postings[t]] if len(nos)]
+        """All items of score >= threshold for a query of distinct terms; blocks: the only ones to look into, in ascending order (all if None).
+
+        Cursors stand at items in ascending order. The first place where the lists' best scores add up to the
+        threshold is the pivot, the first item that can reach it. If its block's best scores don't, the cursors skip
+        to the block's end or to where the next list joins in; else items are scored when all cursors reach them.
+        """
         found, slack = {}, threshold - 1e-9
-        while cursors:
-            cursors.sort(key=lambda c: c[0][c[2]])
-            total, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                total += self.best[c[3]]
-                if total >= slack:
-                    pivot = k
+        for lo, hi in _stretches(blocks, self.block_best.shape[1]):
+            begin, end = self.starts[terms, lo].tolist(), self.starts[terms, hi].tolist()
+            # A cursor: current item, place, end, term.
+            cursors = [[int(self.postings[t][0][a]), a, b, t] for t, a, b in zip(terms.tolist(), begin, end) if a < b]
+
+            def seek(c: list, target: int) -> None:
+                c[1] += int(self.postings[c[3]][0][c[1] : c[2]].searchsorted(target))
+                c[0] = int(self.postings[c[3]][0][c[1]]) if c[1] < c[2] else -1
+
+            while cursors:
+                cursors.sort(key=_place)
+                total, pivot = 0.0, None
+                for k, c in enumerate(cursors):
+                    total += self.best[c[3]]
+                    if total >= slack:
+                        pivot = k
+                        break
+                if pivot is None:
                     break
-            if pivot is None:
-                break
-            no = int(cursors[pivot][0][cursors[pivot][2]])
-            block = no // BLOCK
-            up_to = [c for c in cursors if c[0][c[2]] <= no]
-            if allowed is not None and block not in allowed:
-                for c in cursors:
-                    c[2] = max(c[2], int(np.searchsorted(c[0], (block + 1) * BLOCK)))
-            elif sum(self.block_best[c[3], block] for c in up_to) < slack:
-                # Up to the block's end or the place of the next list these lists can't reach the threshold.
-                target = min([(block + 1) * BLOCK, *(int(c[0][c[2]]) for c in cursors if c[0][c[2]] > no)])
-                for c in up_to:
-                    c[2] = int(np.searchsorted(c[0], target))
-            elif cursors[0][0][cursors[0][2]] == no:
-                score = sum(float(c[1][c[2]]) for c in up_to)
-                if score >= slack:
-                    found[no] = score
-                for c in up_to:
-                    c[2] += 1
-            else:
-                for c in up_to:
-                    if c[0][c[2]] < no:
-                        c[2] = int(np.searchsorted(c[0], no))
-            cursors = [c for c in cursors if c[2] < len(c[0])]
+                no = cursors[pivot][0]
+                block = no // self.block
+                while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == no:
+                    pivot += 1
+                up_to = cursors[: pivot + 1]
+                if float(self.block_best[[c[3] for c in up_to], block].sum()) < slack:
+                    target = min((block + 1) * self.block, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 62)
+                    for c in up_to:
+                        seek(c, target)
+                elif cursors[0][0] == no:
+                    score = sum(float(self.postings[c[3]][1][c[1]]) for c in up_to)
+                    if score >= slack:
+                        found[no] = score
+                    for c in up_to:
+                        seek(c, no + 1)
+                else:
+                    for c in up_to:
+                        if c[0] < no:
+                            seek(c, no)
+                cursors = [c for c in cursors if c[0] >= 0]
         return found
 
     def overlaps(self, no: int, held: np.ndarray, overlap: float) -> bool:
@@ -167,13 +196,10 @@ def find(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray, threshold:
         code = np.unique(row * len(index.terms) + term[place])
         row, t = code // len(index.terms), code % len(index.terms)
         edges = np.searchsorted(row, np.arange(len(group) + 1))
-        best = np.add.reduceat(index.best[t], np.minimum(edges[:-1], len(t) - 1))
-        for k in np.flatnonzero(best >= threshold - 1e-6):
+        bounds = np.add.reduceat(index.block_best[t], edges[:-1], axis=0)
+        for k in np.flatnonzero((bounds >= threshold - 1e-4).any(axis=1)):
             terms = t[edges[k] : edges[k + 1]]
-            bounds = index.block_best[terms].sum(axis=0)
-            blocks = np.flatnonzero(bounds >= threshold - 1e-6)
-            if not len(blocks):
-                continue
+            blocks = np.flatnonzero(bounds[k] >= threshold - 1e-4)
             p = group[k]
             got = index.search(terms, threshold, blocks)
             if not got:
