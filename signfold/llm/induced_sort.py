@@ -87,7 +87,7 @@ def s_types(t: np.ndarray) -> np.ndarray:
         decided = np.append(rises | falls, True)
         value = np.append(rises, False)
         # A tie has the type of the next position that is decided.
-        at = np.where(decided, np.arange(n), n)
+        at = np.where(decided, np.arange(n, dtype=np.int32), np.int32(n))
         at = np.minimum.accumulate(at[::-1])[::-1]
         out = value[at]
     return out
@@ -100,7 +100,7 @@ def induce(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, budget: int = QUEUE_
     of_seed = {int(c): ordered[a:b] for c, a, b in zip(lows, starts, np.append(starts[1:], len(ordered)))}
     symbols = np.unique(t)
     queue, larger = DiskQueue(budget), DiskQueue(budget)
-    queue.push(t[-1:], np.array([len(t) - 1]))
+    queue.push(t[-1:], np.array([len(t) - 1], dtype=np.int32))
     for c in symbols.tolist():
         while (batch := queue.pop(c)) is not None:
             larger.push(np.full(len(batch), c), batch)
@@ -145,12 +145,12 @@ def doubling(t: np.ndarray) -> np.ndarray:
 
 
 def suffix_runs(t: np.ndarray, budget: int = QUEUE_BYTES) -> Iterator[np.ndarray]:
-    """Suffixes of an integer string in descending order, in runs."""
+    """Suffixes of an integer string of less than 2**31 symbols in descending order, in runs."""
     n = len(t)
     if n == 0:
         return
     s = s_types(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
     if len(lms) < 2:
         yield from induce(t, s, lms, budget)
         return
@@ -159,8 +159,8 @@ def suffix_runs(t: np.ndarray, budget: int = QUEUE_BYTES) -> Iterator[np.ndarray
     # LMS substrings in order: the same passes, seeded by position.
     found = np.concatenate([x[is_lms[x]] for x in induce(t, s, lms, budget)])[::-1]
     length = np.diff(np.append(lms, n))
-    number = np.full(n, -1, dtype=np.int64)
-    number[lms] = np.arange(len(lms))
+    number = np.full(n, -1, dtype=np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
     a, b = found[:-1], found[1:]
     la, lb = length[number[a]], length[number[b]]
     # An LMS substring reaches to the next one's first symbol, that included; the last ends with the string.
@@ -173,7 +173,7 @@ def suffix_runs(t: np.ndarray, budget: int = QUEUE_BYTES) -> Iterator[np.ndarray
         same = same[~differs[same]]
         if not len(same):
             break
-    names = np.empty(len(lms), dtype=np.int64)
+    names = np.empty(len(lms), dtype=np.int32)
     names[number[found]] = np.cumsum(np.concatenate(([0], differs)))
     distinct = int(names.max()) + 1
     if distinct == len(lms):

@@ -6,8 +6,8 @@ leftmost of its ANCHOR-byte strings with the smallest hash, so equal windows hav
 windows with the same anchor form a piece. Anchors that occur once in the corpus are settled: their windows are
 unique. Pieces of the others go to shards by the anchor's hash, each distinct piece of a chunk once, and a shard
 decides: a piece that occurs twice repeats in all its windows; the pieces of anchors that keep several distinct
-contexts are suffix-sorted by external induction (induced_sort.py), and neighbours with a common prefix of
-`length` or more repeat. Shards are as many as their bytes need.
+contexts, unless the hashes of all their windows differ from all others, are suffix-sorted by external induction
+(induced_sort.py), and neighbours with a common prefix of `length` or more repeat. Shards are as many as their bytes need.
 
 Defined results: null texts are empty; texts shorter than `length` stay whole; repeated rows are repeats of each
 other; an empty table gives an empty result; extra columns are ignored. What is left of a text may cut a UTF-8
@@ -34,7 +34,7 @@ CHUNK_BYTES = 6 << 20
 SHARD_BYTES = 24 << 20
 SHARD_ANCHORS = 1_000_000
 #: Bytes that are suffix-sorted at once; a larger group of one anchor is sorted alone.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 1 << 20
 PLACE_BITS = 24
 
 CHUNK = "chunk bigint, ids binary, sizes binary, data binary, bytes bigint"
@@ -78,7 +78,8 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int, sums: np.ndarr
     first = np.flatnonzero(new)
     windows = np.diff(np.append(first, len(starts)))
     begin = starts[first]
-    return Pieces(begin, begin + windows + length - 1, windows, h[place[first]])
+    # Smallest hashes are small numbers; mixed again they fill the range that shards divide.
+    return Pieces(begin, begin + windows + length - 1, windows, mixed(h[place[first]] + np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +198,28 @@ def spans_index(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
 
 
+def may_repeat(contents: list[bytes], windows: list[int], length: int, block: int = 2000) -> list[bool]:
+    """Whether any window of a piece has a hash that another window of any of them has too."""
+    if not contents:
+        return []
+    parts = []
+    for a in range(0, len(contents), block):
+        t = np.frombuffer(b"".join(contents[a : a + block]), dtype=np.uint8)
+        sizes, w = np.array([len(c) for c in contents[a : a + block]]), np.array(windows[a : a + block])
+        at = spans_index(np.cumsum(sizes) - sizes, w)
+        sums = prefix_hash(t)
+        parts.append(mixed((sums[at + length] - sums[at]) * powers(len(sums))[1][at]))
+    h = np.concatenate(parts)
+    ordered = np.sort(h)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    twice = np.unique(twice)
+    hit = np.zeros(len(h), dtype=bool)
+    if len(twice):
+        hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+    first = np.cumsum(windows) - np.array(windows)
+    return (np.add.reduceat(hit.astype(np.int64), first) > 0).tolist()
+
+
 def repeated_windows(contents: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
     """For distinct pieces: which of each one's windows also occurs in another place of any of them, by suffix sorting."""
     sizes = np.array([len(c) for c in contents])
@@ -244,14 +267,17 @@ def _shard(length: int):
             for name, hit in zip(names, repeated_windows([x for _, x in names], [known[x][1] for x in names], length)):
                 known[name][2] = hit
 
+        open_groups = [names for names in groups.values() if len(names) > 1 and any(known[x][0] == 1 for x in names)]
+        flat = [x for names in open_groups for x in names]
+        maybe = dict(zip(flat, may_repeat([x for _, x in flat], [known[x][1] for x in flat], length)))
         held, size = [], 0
-        for names in groups.values():
-            if len(names) > 1 and any(known[x][0] == 1 for x in names):
-                held += names
-                size += sum(len(x[1]) for x in names)
-                if size >= SORT_BYTES:
-                    sort(held)
-                    held, size = [], 0
+        for names in open_groups:
+            names = [x for x in names if maybe[x]]
+            held += names
+            size += sum(len(x[1]) for x in names)
+            if size >= SORT_BYTES:
+                sort(held)
+                held, size = [], 0
         if held:
             sort(held)
         rows = []
