@@ -165,7 +165,7 @@ def soft_distribution(df: DataFrame, logits: str, tuples: list[tuple[int, ...]])
     """(t, pattern, p): average probabilities. Log-probabilities are at most 0, so the plain average of their exponentials is stable but for underflow, which max_shift_log_mean avoids."""
     m = check_tuples(tuples)
     table = _table([F.struct(F.lit(no).alias("t"), _places(t).alias("places"), F.lit(p).alias("pattern")) for no, t in enumerate(tuples) for p in range(1 << m)])
-    rows = df.select(logits, F.explode(table).alias("x")).select("x.t", "x.pattern", log_joint(logits, F.col("x.places"), F.col("x.pattern"), m).alias("lp"))
+    rows = df.select(F.col(logits).alias("_logits"), F.explode(table).alias("_x")).select("_x.t", "_x.pattern", log_joint("_logits", F.col("_x.places"), F.col("_x.pattern"), m).alias("lp"))
     return rows.groupBy("t", "pattern").agg(F.avg(F.exp("lp")).alias("p"))
 
 
@@ -196,7 +196,7 @@ def conditional_logits(df: DataFrame, logits: str, tuples: list[tuple[int, ...]]
     """(bit, sub, pattern, logit): log of the summed probability of bit 1 with the sub-tuple's pattern over that of bit 0."""
     m = check_tuples(tuples) - 1
     table = _table([F.struct(F.lit(i).alias("bit"), F.lit(s).alias("sub"), _places(t).alias("places"), F.lit(p).alias("pattern")) for i, s, t in _conditions(tuples) for p in range(1 << m)])
-    rows = df.select(logits, F.explode(table).alias("x")).select(logits, "x.*").withColumn("joint", log_joint(logits, F.col("places"), F.col("pattern"), m)).withColumn("own", _logit(logits, F.col("bit")))
+    rows = df.select(F.col(logits).alias("_logits"), F.explode(table).alias("_x")).select("_logits", "_x.*").withColumn("joint", log_joint("_logits", F.col("places"), F.col("pattern"), m)).withColumn("own", _logit("_logits", F.col("bit")))
     sums = rows.groupBy("bit", "sub", "pattern").agg(F.sum(F.exp(log_sigmoid(F.col("own")) + F.col("joint"))).alias("p1"), F.sum(F.exp(log_sigmoid(-F.col("own")) + F.col("joint"))).alias("p0"))
     return sums.select("bit", "sub", "pattern", (F.log("p1") - F.log("p0")).alias("logit"))
 
@@ -236,8 +236,8 @@ def entropy_gradient(df: DataFrame, id: str, logits: str, tuples: list[tuple[int
     terms: dict[int, list[Column]] = {}
     for i, s, t in _conditions(tuples):
         terms.setdefault(i, []).extend(F.struct(_places(t).alias("places"), F.lit(p).alias("pattern"), F.lit(float(values[(i, s, p)])).alias("value")) for p in range(1 << m))
-    rows = df.select(id, logits, F.explode(_table([F.struct(F.lit(i).alias("bit"), F.array(*x).alias("terms")) for i, x in sorted(terms.items())])).alias("x"))
+    rows = df.select(F.col(id).alias("_id"), F.col(logits).alias("_logits"), F.explode(_table([F.struct(F.lit(i).alias("bit"), F.array(*x).alias("terms")) for i, x in sorted(terms.items())])).alias("_x"))
     # In-row sums over a constant list: no shuffle, and the id does not matter.
-    slope = F.aggregate("x.terms", F.lit(0.0), lambda acc, x: acc + F.exp(log_joint(logits, x.places, x.pattern, m)) * x.value)
-    return rows.select(id, F.col("x.bit").alias("bit"), (slope * sigmoid_slope(_logit(logits, F.col("x.bit"))) / F.lit(float(max(n, 1)))).alias("grad"))
+    slope = F.aggregate("_x.terms", F.lit(0.0), lambda acc, x: acc + F.exp(log_joint("_logits", x.places, x.pattern, m)) * x.value)
+    return rows.select(F.col("_id").alias(id), F.col("_x.bit").alias("bit"), (slope * sigmoid_slope(_logit("_logits", F.col("_x.bit"))) / F.lit(float(max(n, 1)))).alias("grad"))
 

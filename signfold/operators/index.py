@@ -34,10 +34,15 @@ def _sized(queries: DataFrame, broadcast_rows: int) -> DataFrame:
     return F.broadcast(queries) if broadcast_rows and queries.limit(broadcast_rows + 1).count() <= broadcast_rows else queries
 
 
-def lookup_ids(queries: DataFrame, index: DataFrame, query_id: str = "query_id", key: str = "key") -> DataFrame:
-    """(query_id, ids): ids ascending, [] for a miss. For result lists; counts come cheaper from lookup_counts."""
+def lookup_ids(queries: DataFrame, index: DataFrame, query_id: str = "query_id", key: str = "key", broadcast_rows: int = 0) -> DataFrame:
+    """(query_id, ids): ids ascending, [] for a miss. For result lists; counts come cheaper from lookup_counts.
+
+    broadcast_rows: up to so many queries (BROADCAST_ROWS is a sound bound) are sent to the index, which then is not
+    shuffled; 0 leaves the choice to the optimizer.
+    """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(key).alias("key"))
-    return q.join(index.select("key", "id"), "key", "left").groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    hits = _sized(q, broadcast_rows).join(index.select("key", "id"), "key").groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return q.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
 
 
 def lookup_counts(queries: DataFrame, index: DataFrame, query_id: str = "query_id", key: str = "key") -> DataFrame:

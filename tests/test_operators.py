@@ -23,6 +23,9 @@ def test_index_against_dictionaries(spark):
         held.setdefault(k, []).append(i)
     queries = spark.createDataFrame([(q, q) for q in range(25)], "query_id bigint, key bigint")
     assert {x.query_id: x.ids for x in index.lookup_ids(queries, df).collect()} == {q: held.get(q, []) for q in range(25)}
+    few = index.lookup_ids(queries, df, broadcast_rows=100)
+    assert {x.query_id: x.ids for x in few.collect()} == {q: held.get(q, []) for q in range(25)} and "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
+    assert index.lookup_ids(queries, df, broadcast_rows=3).count() == 25
     assert {x.query_id: x.n_hits for x in index.lookup_counts(queries, df).collect()} == {q: len(held.get(q, [])) for q in range(25)}
     assert [x.id for x in index.point_lookup(df, 7).collect()] == held[7]
     assert {x.key: (x.n, x.repr_id, x.sum_ids, x.ids) for x in index.buckets(df, with_ids=True).collect()} == {k: (len(v), v[0], sum(v), v) for k, v in held.items()}
