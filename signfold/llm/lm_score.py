@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, mixed, packed, restored, steps, unpacked, utf8, words, written
+from .shared import ident, mixed, packed, packed_sorted, restored, steps, unpacked, unpacked_sorted, utf8, words, written
 
-CHUNK_TOKENS = 1_000_000
-OWNER_REQUESTS = 1_500_000
+CHUNK_TOKENS = 600_000
+OWNER_REQUESTS = 1_000_000
 END, BEGIN = np.uint64(0x1D8AF066E5C7A3B1), np.uint64(0x7A3C19B24F5E6D08)
 BUCKETS = 24
 ROUNDS = 40
@@ -40,8 +40,8 @@ FINE = 8
 LOG_CELLS = 30 * FINE
 
 
-CHUNK = "chunk bigint, ids binary, sizes binary, train binary, vocabulary binary, tokens binary, pairs bigint"
-_CHUNK = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("ids", "sizes", "train", "vocabulary", "tokens")], ("pairs", pa.int64())])
+CHUNK = "chunk bigint, ids binary, sizes binary, train binary, vocabulary binary, tokens binary, requests bigint"
+_CHUNK = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("ids", "sizes", "train", "vocabulary", "tokens")], ("requests", pa.int64())])
 
 
 class Chunk:
@@ -63,11 +63,11 @@ class Chunk:
         return cls(ids, sizes.astype(np.int64), train, vocabulary, tokens.astype(np.uint32))
 
     def row(self) -> list:
-        return [packed(self.ids), packed(self.sizes), packed(self.train), self.vocabulary.tobytes(), packed(self.tokens)]
+        return [packed(self.ids), packed(self.sizes), packed(self.train), packed_sorted(self.vocabulary), packed(self.tokens)]
 
     @classmethod
     def read(cls, row: dict) -> Chunk:
-        return cls(unpacked(row["ids"], np.int64), unpacked(row["sizes"], np.int64), unpacked(row["train"], np.bool_), np.frombuffer(row["vocabulary"], np.uint64), unpacked(row["tokens"], np.uint32))
+        return cls(unpacked(row["ids"], np.int64), unpacked(row["sizes"], np.int64), unpacked(row["train"], np.bool_), unpacked_sorted(row["vocabulary"]), unpacked(row["tokens"], np.uint32))
 
     @property
     def contexts(self) -> np.ndarray:
@@ -99,7 +99,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         chunk = Chunk.of(parts)
         number = (TaskContext.get().partitionId() << 24) + made
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([number, *chunk.row(), len(chunk.pairs()[0])], _CHUNK.types)], schema=_CHUNK)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([number, *chunk.row(), len(chunk.pairs()[0]) + len(chunk.vocabulary)], _CHUNK.types)], schema=_CHUNK)
 
     for batch in batches:
         data, offsets = utf8(batch.column(2))
@@ -136,7 +136,7 @@ def _requests(owners: int):
                 for kind, keys, counts in ((1, chunk.vocabulary, word_counts), (2, chunk.pair_hashes(code), pair_counts)):
                     order, edges = _split(keys, owners)
                     keys, counts = keys[order], counts[order]
-                    rows = [(o, row["chunk"], kind, keys[a:b].tobytes(), packed(counts[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                    rows = [(o, row["chunk"], kind, packed_sorted(keys[a:b]), packed(counts[a:b])) for o, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _REQUEST.types)], schema=_REQUEST)
 
@@ -146,7 +146,7 @@ def _requests(owners: int):
 def _answers(table: pa.Table) -> pa.Table:
     """Sums for one owner and kind; its first answer also carries the owner's distinct known keys and their total."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    keys = [unpacked_sorted(r["keys"]) for r in rows]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(at, weights=np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]).astype(float), minlength=len(every)).astype(np.int64)
     out, place = [], 0
@@ -202,6 +202,8 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, vocabulary: int, rounds
     def p(cell: np.ndarray) -> np.ndarray:
         return np.where(cell > 0, np.exp(-(cell - 1) / FINE), 0)
 
+    if not len(cells):
+        return np.tile((0.0, 0.0, 1.0), (BUCKETS, 1))
     b = cells // LOG_CELLS**2
     parts = np.stack([p(cells // LOG_CELLS % LOG_CELLS), p(cells % LOG_CELLS), np.full(len(cells), 1 / (vocabulary + 1))], axis=1)
     weights = np.full((BUCKETS, 3), 1 / 3)
@@ -239,7 +241,7 @@ def lm_score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     rows = docs.select(ident(key).alias("id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunks = written(rows.mapInArrow(_chunks, CHUNK), "chunks")
-    requests = chunks.agg(F.sum(F.col("pairs") + F.octet_length("vocabulary") / 8)).first()[0] or 0
+    requests = chunks.agg(F.sum("requests")).first()[0] or 0
     # A power of two, so that an owner is a range of hashes.
     owners = 1 << max(0, int(np.ceil(np.log2(max(1, requests / OWNER_REQUESTS)))))
     asked = chunks.mapInArrow(_requests(owners), "owner bigint, chunk bigint, kind int, keys binary, counts binary")

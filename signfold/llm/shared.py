@@ -103,6 +103,17 @@ def unpacked(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x, max_output_size=1 << 31), dtype=kind)
 
 
+def packed_sorted(keys: np.ndarray) -> bytes:
+    """Ascending uint64 keys as differences, byte plane by byte plane: the planes that are zero cost nothing."""
+    steps_ = np.diff(keys, prepend=np.uint64(0))
+    return packed(steps_.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_sorted(x: bytes) -> np.ndarray:
+    planes = unpacked(x, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 # --- word hashes -----------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

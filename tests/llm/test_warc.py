@@ -51,6 +51,8 @@ def test_candidates_inside_payloads_are_rejected(spark, tmp_path):
 def test_broken_chain_is_an_error(spark, tmp_path):
     path = warc.write_warc(warc.planned(frame(spark, PAGES)).coalesce(1), str(tmp_path / "w"), compression="none")
     part = next((tmp_path / "w").glob("part-*"))
+    # Without its checksum file the change goes unnoticed by the file system.
+    (part.parent / f".{part.name}.crc").unlink()
     part.write_bytes(part.read_bytes()[:-3])
     with pytest.raises(ValueError):
         warc.read_warc(spark, path).collect()
