@@ -80,9 +80,13 @@ def _covered(starts: Column, min_lines: int) -> Column:
 def line_dedup(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, kept text, n_lines, n_removed, n_runs (maximal runs of removed lines)."""
     starts = repeated_runs(docs, min_lines, key, text).select(key, "line").distinct().groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("starts"))
-    t = texts(docs, key, text).withColumn("lines", F.split("text", "\n", -1))
-    t = t.join(starts, key, "left").withColumn("gone", F.coalesce(_covered(F.col("starts"), min_lines), F.array().cast("array<int>")))
-    left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i))
-    runs = F.size(F.filter("gone", lambda i: ~F.array_contains(F.col("gone"), i - F.lit(1))))
-    out = t.select(key, F.when(F.size("gone") == 0, F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text"), F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), F.when(F.size("gone") == 0, F.lit(0)).otherwise(runs).cast("bigint").alias("n_runs"))
+    # Lines are split after the join, so that texts travel once.
+    t = texts(docs, key, text).join(starts, key, "left").withColumn("lines", F.split("text", "\n", -1))
+    t = t.withColumn("gone", F.coalesce(_covered(F.col("starts"), min_lines), F.array().cast("array<int>")))
+    # Set operations on line numbers, so that long documents cost no more than their length.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.transform(stay, lambda i: F.element_at("lines", i + 1))
+    runs = F.size(F.array_except(F.col("gone"), F.transform("gone", lambda i: i + 1)))
+    untouched = F.size("gone") == 0
+    out = t.select(key, F.when(untouched, F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text"), F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), F.when(untouched, F.lit(0)).otherwise(runs).cast("bigint").alias("n_runs"))
     return restored(out, key)
