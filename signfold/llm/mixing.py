@@ -2,14 +2,13 @@
 
 A labelled table trains a naive Bayes classifier over words and text statistics; its posteriors say how much of a
 document belongs to each domain. Nonnegative rates of the documents are then fitted by distributed projected
-gradient descent (with Nesterov's momentum) to
+gradient steps, scaled by the curvature, to
 
     1/2 sum_k ((sum_d r_d t_d p_dk - w_k S) / S)^2 + ridge/2 sum_d (t_d / S) (r_d - 1)^2,    r >= 0,
 
 t the tokens of a document, p its posteriors, S all tokens, w the target weights: the expected tokens of each
 domain match the targets, and rates stay as close to 1 as that allows. A step needs as many sums as there are
-domains, whatever the number of documents. The steps since the last saved state are folded into one expression
-over the rates, so the state is written to the shared folder only every SAVED steps.
+pairs of domains, whatever the number of documents, and no state for any document.
 
 Only DataFrame functions are used. Words and statistics are counted on at most `most_rows` labelled rows (those
 of smallest hash); the LEXICON most telling words are part of the model. Everything else covers all rows.
@@ -23,17 +22,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ident, restored, texts, written
 
 MOST_ROWS = 20_000
-LEXICON = 256
-STEPS = 60
-SAVED = 10
+LEXICON = 64
+STEPS = 40
+#: A word of smaller spread than this could owe it to chance among millions of words.
+TELLING = 15.0
 RIDGE = 1e-3
-TOLERANCE = 1e-4
+TOLERANCE = 1e-7
 #: Upper ends of the cells of each statistic.
 CELLS = {
     "symbols": (0.0005, 0.002, 0.01, 0.03, 0.1),
@@ -44,12 +45,21 @@ CELLS = {
 }
 
 
-def described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tokens, words: the distinct ones, c_<statistic>: its cell)."""
-    t = texts(docs, key, text).withColumn("w", F.filter(F.split(F.lower("text"), r"[\x09-\x0D\x20]+", -1), lambda x: x != ""))
+def described(docs: DataFrame, key: str, text: str, lexicon: list[str] | None = None) -> DataFrame:
+    """(key, tokens, words: the distinct ones, of the lexicon only if there is one, c_<statistic>: its cell).
+
+    One projection does all that looks at the text, so that word arrays are made once and none is carried on.
+    """
+    # Plain replacements and a split at one character spare a regular expression.
+    spaced = F.lower("text")
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    w = F.array_remove(F.split(spaced, " ", -1), "")
+    distinct = F.array_distinct(w)
     size = F.greatest(F.length("text"), F.lit(1))
-    t = t.select(key, F.size("w").cast("bigint").alias("tokens"), F.array_distinct("w").alias("words"), (F.regexp_count("text", F.lit("[#$%&*|!]")) / size).alias("symbols"), (F.regexp_count("text", F.lit("[A-Z]")) / size).alias("capitals"), (F.regexp_count("text", F.lit("[0-9]")) / size).alias("digits"))
-    t = t.withColumn("distinct", F.when(F.col("tokens") > 0, F.size("words") / F.col("tokens")).otherwise(F.lit(0.0))).withColumn("length", F.col("tokens").cast("double"))
+    words = distinct if lexicon is None else F.array_intersect(w, F.array(*[F.lit(x) for x in lexicon]).cast("array<string>"))
+    t = texts(docs, key, text).select(key, F.size(w).cast("bigint").alias("tokens"), F.size(distinct).alias("n_distinct"), words.alias("words"), (F.regexp_count("text", F.lit("[#$%&*|!]")) / size).alias("symbols"), (F.regexp_count("text", F.lit("[A-Z]")) / size).alias("capitals"), (F.regexp_count("text", F.lit("[0-9]")) / size).alias("digits"))
+    t = t.withColumn("distinct", F.when(F.col("tokens") > 0, F.col("n_distinct") / F.col("tokens")).otherwise(F.lit(0.0))).withColumn("length", F.col("tokens").cast("double"))
 
     def cell(name: str) -> Column:
         out = F.lit(len(CELLS[name]))
@@ -65,7 +75,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     k = len(domains)
     rows = labelled.filter(F.col(domain).isin(domains)).groupBy(ident(key).alias(key)).agg(F.min(domain).alias("domain"))
     chosen = rows.orderBy(F.xxhash64(key), key).limit(most_rows)
-    seen = written(described(docs, key, text).join(F.broadcast(chosen), key), "labelled")
+    chosen = written(chosen, "chosen")
+    picked = texts(docs, key, text).join(F.broadcast(chosen.select(key)), key, "left_semi")
+    seen = written(described(picked, key, "text").join(F.broadcast(chosen), key), "labelled")
     number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
     seen = seen.withColumn("k", number)
     totals = {r.k: r.n for r in seen.groupBy("k").agg(F.count("*").alias("n")).collect()}
@@ -84,7 +96,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     logs = [(F.col(f"n{i}") + 0.5) / (n[i] + 1) for i in range(k)]
     # How telling: the spread of the word's shares, weighted by its rows.
     spread = sum((F.col(f"n{i}") * F.log(logs[i] / (sum(F.col(f"n{j}") for j in range(k)) + 0.5) * (sum(n) + 1)) for i in range(k)), F.lit(0.0))
-    for r in per.withColumn("spread", spread).filter("spread > 3").orderBy(F.desc("spread"), "word").limit(LEXICON).select("word", *[log_odds(i).alias(f"l{i}") for i in range(k)]).collect():
+    for r in per.withColumn("spread", spread).filter(F.col("spread") > TELLING).orderBy(F.desc("spread"), "word").limit(LEXICON).select("word", *[log_odds(i).alias(f"l{i}") for i in range(k)]).collect():
         values = [r[f"l{i}"] for i in range(k)]
         # Only differences between domains matter.
         middle = sum(values) / k
@@ -104,57 +116,63 @@ def posteriors(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "t
     logs = row(model["prior"])
     for name, cells in model["cells"].items():
         logs = added(logs, F.element_at(F.array(*[row(c) for c in cells]), F.col(f"c_{name}") + 1))
-    if model["words"]:
-        lexicon = sorted(model["words"])
+    lexicon = sorted(model["words"])
+    if lexicon:
         known, values = F.array(*[F.lit(w) for w in lexicon]), F.array(*[row(model["words"][w]) for w in lexicon])
-        found = F.array_intersect("words", known)
-        logs = F.aggregate(found, logs, lambda acc, w: F.zip_with(acc, F.element_at(values, F.array_position(known, w).cast("int")), lambda x, y: x + y))
-    d = described(docs, key, text).withColumn("logs", F.when(F.col("tokens") > 0, logs).otherwise(row(model["prior"])))
+        logs = F.aggregate("words", logs, lambda acc, w: F.zip_with(acc, F.element_at(values, F.array_position(known, w).cast("int")), lambda x, y: x + y))
+    d = described(docs, key, text, lexicon).withColumn("logs", F.when(F.col("tokens") > 0, logs).otherwise(row(model["prior"])))
     d = d.withColumn("top", F.array_max("logs")).withColumn("e", F.transform("logs", lambda x: F.exp(x - F.col("top"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return d.withColumn("total", total).select(key, "tokens", F.transform("e", lambda x: x / F.col("total")).alias("p"))
 
 
 def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """members: tokens, p and any more columns. Returns them with `rate`, and the expected shares of all tokens that the rates give."""
+    """members: tokens, p and any more columns. Returns them with `rate`, and the expected shares of all tokens that the rates give.
+
+    A projected gradient step, scaled by the curvature of the documents whose rate is positive, leads to rates of the
+    form max(0, 1 - p . m): the gradient of the fit lies in the span of the posteriors. So m, a number for each domain,
+    is all of the state, and a step is one aggregation of k sums and k * k second moments. Where the residual would
+    grow, the step is halved.
+    """
     k = len(weights)
     total = float(members.agg(F.sum("tokens")).first()[0] or 0)
-    state = members.withColumn("r", F.lit(1.0)).withColumn("before", F.lit(1.0))
     if not total:
-        return state.withColumn("rate", F.col("r")).drop("r", "before"), [0.0] * k
-    # In the metric of the tokens the curvature is at most max |p|^2 + ridge <= 1 + ridge.
-    size, pending, momentum = 1 / (1 + ridge), [], 1.0
-    errors = [0.0] * k
-
-    def folded() -> Column:
-        if not pending:
-            return F.struct("r", "before")
-        table = F.array(*[F.struct(F.array(*[F.lit(float(g)) for g in gradient]).alias("g"), F.lit(float(beta)).alias("beta")) for gradient, beta in pending])
-
-        def step(s: Column, x: Column) -> Column:
-            y = s.r + x.beta * (s.r - s.before)
-            slope = F.aggregate(F.zip_with("p", x.g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + F.lit(ridge) * (y - 1.0)
-            return F.struct(F.greatest(F.lit(0.0), y - F.lit(size) * slope).alias("r"), s.r.alias("before"))
-
-        return F.aggregate(table, F.struct(F.col("r"), F.col("before")), step)
-
-    for n in range(steps):
-        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        beta, momentum = (momentum - 1) / following, following
-        now = state.withColumn("s", folded())
-        y = F.col("s.r") + F.lit(beta) * (F.col("s.r") - F.col("s.before"))
-        sums = now.agg(*[F.sum(y * F.col("tokens") * F.col("p")[i]).alias(f"y{i}") for i in range(k)], *[F.sum(F.col("s.r") * F.col("tokens") * F.col("p")[i]).alias(f"r{i}") for i in range(k)]).first()
-        errors = [sums[f"r{i}"] / total - weights[i] for i in range(k)]
-        gradient = [sums[f"y{i}"] / total - weights[i] for i in range(k)]
-        if n and max(map(abs, errors)) < tolerance:
+        return members.withColumn("rate", F.lit(1.0)), [0.0] * k
+    w = np.array(weights)
+
+    def rate(m: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("p")[i] * F.lit(float(m[i])) for i in range(k)), F.lit(0.0)))
+
+    def state(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares, residual of the optimality condition, curvature."""
+        d = members.select("tokens", "p", rate(m).alias("r"))
+        active = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        first = [F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]
+        second = [F.sum(active * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(i, k)]
+        row = [float(x) / total for x in d.agg(*first, *second).first()]
+        curve = np.zeros((k, k))
+        upper = np.triu_indices(k)
+        curve[upper] = row[k:]
+        curve = curve + np.triu(curve, 1).T
+        shares = np.array(row[:k])
+        return shares, shares - w - ridge * m, curve
+
+    m = np.zeros(k)
+    shares, off, curve = state(m)
+    step, size = None, 1.0
+    for _ in range(steps):
+        if np.abs(off).max() <= tolerance or size < 1e-3:
             break
-        pending.append((gradient, beta))
-        if len(pending) == SAVED:
-            state = written(state.withColumn("s", folded()).withColumn("r", F.col("s.r")).withColumn("before", F.col("s.before")).drop("s"), "rates")
-            pending.clear()
-    out = state.withColumn("rate", folded().r).drop("r", "before")
-    out = out.withColumn("rate", F.when(F.col("tokens") > 0, F.col("rate")).otherwise(1.0))
-    return out, [weights[i] + errors[i] for i in range(k)]
+        if step is None:
+            step = np.linalg.solve(curve + ridge * np.eye(k), off)
+        tried = state(m + size * step)
+        if np.abs(tried[1]).max() < np.abs(off).max():
+            m, step, size = m + size * step, None, 1.0
+            shares, off, curve = tried
+        else:
+            size /= 2
+    out = members.withColumn("rate", F.when(F.col("tokens") > 0, rate(m)).otherwise(1.0))
+    return out, shares.tolist()
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", **how) -> DataFrame:
