@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signfold.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from signfold.llm.queries import TARGETS, domains
+from signfold.llm.queries import domains
 from signfold.llm.shared import discard, ident, written
 
 #: Documents below this score are rejected: those that the model takes for junk, not those it is unsure of.
 LEAST_QUALITY = 0.3
+#: Shares of the expected tokens; documents of low quality have gone by then, so theirs is no domain here.
+TARGETS = {"high": 0.95, "toxic": 0.05}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: its tokens, posteriors and rate; documents of rate 0 are never drawn and go."""
-    mixed = mixing.mix(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
-    return mixed.filter("rate > 0")
+    """Per document: its tokens, posteriors and rate, how often a sampler is to draw it; at rate 0 it never is. Rows stay, since posteriors are soft and the draw is the sampler's."""
+    return mixing.mix(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
 
 
 STAGES = [
