@@ -80,3 +80,32 @@ def to_float(x: np.ndarray) -> np.ndarray:
 
 def to_uint8(x: np.ndarray) -> np.ndarray:
     return np.clip(np.round(x * 255), 0, 255).astype(np.uint8)
+
+
+def perlin(height: int, width: int, cells: int, rng: np.random.Generator) -> np.ndarray:
+    """Gradient noise of about [-1, 1] on a grid of cells x cells random directions."""
+    angle = rng.uniform(0, 2 * np.pi, (cells + 1, cells + 1))
+    gy, gx = np.sin(angle), np.cos(angle)
+    y = (np.arange(height) + 0.5) / height * cells
+    x = (np.arange(width) + 0.5) / width * cells
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+
+    def corner(dy: int, dx: int) -> np.ndarray:
+        at = np.ix_(y0 + dy, x0 + dx)
+        return gy[at] * (fy - dy) + gx[at] * (fx - dx)
+
+    def ease(t: np.ndarray) -> np.ndarray:
+        return t * t * t * (t * (t * 6 - 15) + 10)
+
+    u, v = ease(fy), ease(fx)
+    top = (1 - v) * corner(0, 0) + v * corner(0, 1)
+    low = (1 - v) * corner(1, 0) + v * corner(1, 1)
+    return np.sqrt(2) * ((1 - u) * top + u * low)
+
+
+def noisy(x: np.ndarray, rng: np.random.Generator, hue: float = 1 / 16, lightness: float = 0.2, reach: float = 4.0, cells: int = 4) -> np.ndarray:
+    """One noisy instance of a colour picture: a smooth distortion, then hue and lightness jitter."""
+    h, w = x.shape[:2]
+    moved = distort(x, reach * perlin(h, w, cells, rng), reach * perlin(h, w, cells, rng))
+    return jitter(np.clip(moved, 0, 1), rng.uniform(-hue, hue), rng.uniform(-lightness, lightness))

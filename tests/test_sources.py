@@ -121,6 +121,10 @@ def test_images():
     assert np.allclose(images.distort(rgb, np.zeros((5, 6)), np.zeros((5, 6))), rgb)
     assert images.to_uint8(images.to_float(np.array([0, 7, 255], np.uint8))).tolist() == [0, 7, 255]
     assert images.gaussian_noise(rgb, r).std() > 0
+    field = images.perlin(32, 24, 3, np.random.default_rng(5))
+    assert field.shape == (32, 24) and np.abs(field).max() <= 1.01 and np.abs(np.diff(field, axis=0)).max() < 0.5
+    one, two = (images.noisy(rgb, np.random.default_rng(s), reach=1.0) for s in (1, 2))
+    assert one.shape == rgb.shape and not np.allclose(one, two) and np.allclose(one, images.noisy(rgb, np.random.default_rng(1), reach=1.0))
 
 
 def test_stream(spark, tmp_path):
