@@ -63,14 +63,14 @@ def query_results(queries: DataFrame, database: DataFrame) -> DataFrame:
     return _judged(d).withColumn("perfect", F.col("complete") & F.col("sound"))
 
 
-def equidict(results: DataFrame) -> DataFrame:
+def dictionary_rates(results: DataFrame) -> DataFrame:
     """One row (recall, avg_jaccard, perfect_rate) over positive queries."""
     r = results.filter("positive")
     n = F.count("*")
     return r.agg(or_nan(F.sum("n_truth") > 0, F.sum("n_relevant") / F.sum("n_truth")).alias("recall"), or_nan(n > 0, F.avg("jaccard")).alias("avg_jaccard"), or_nan(n > 0, F.avg(F.col("perfect").cast("double"))).alias("perfect_rate"))
 
 
-def equiset(results: DataFrame) -> DataFrame:
+def membership_rates(results: DataFrame) -> DataFrame:
     """One row (tpr, fpr): shares of positive and of negative queries that hit anything."""
     hit = F.col("hit").cast("double")
     return results.agg(or_nan(F.count_if("positive") > 0, F.avg(F.when(F.col("positive"), hit))).alias("tpr"), or_nan(F.count_if("negative") > 0, F.avg(F.when(F.col("negative"), hit))).alias("fpr"))
@@ -79,7 +79,7 @@ def equiset(results: DataFrame) -> DataFrame:
 def results_row(queries: DataFrame, database: DataFrame) -> DataFrame:
     """All metrics in one row: dictionary, set and collision sections (joins of one-row aggregates)."""
     r = query_results(queries, database)
-    return equidict(r).crossJoin(equiset(r)).crossJoin(internal_collisions(database))
+    return dictionary_rates(r).crossJoin(membership_rates(r)).crossJoin(internal_collisions(database))
 
 
 def search_report(results: DataFrame) -> DataFrame:

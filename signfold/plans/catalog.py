@@ -256,12 +256,12 @@ def agg_confusion(spark, sf_dir):
 
 @query(f"WITH {fx.SPLIT}{_RESULTS} SELECT * FROM {_DICT}")
 def agg_equidict(spark, sf_dir):
-    return metrics.equidict(metrics.query_results(*fx.split(spark, sf_dir))).select(*[r6(F.col(c)).alias(c) for c in ("recall", "avg_jaccard", "perfect_rate")])
+    return metrics.dictionary_rates(metrics.query_results(*fx.split(spark, sf_dir))).select(*[r6(F.col(c)).alias(c) for c in ("recall", "avg_jaccard", "perfect_rate")])
 
 
 @query(f"WITH {fx.NEGATIVES}{_RESULTS} SELECT * FROM {_SET}")
 def agg_equiset(spark, sf_dir):
-    return metrics.equiset(metrics.query_results(*fx.split(spark, sf_dir, negatives=True))).select(*[r6(F.col(c)).alias(c) for c in ("tpr", "fpr")])
+    return metrics.membership_rates(metrics.query_results(*fx.split(spark, sf_dir, negatives=True))).select(*[r6(F.col(c)).alias(c) for c in ("tpr", "fpr")])
 
 
 @query(f"WITH {fx.NEGATIVES}{_RESULTS} SELECT * FROM {_DICT}, {_SET}, {_collisions('d')}")

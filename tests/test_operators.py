@@ -108,7 +108,7 @@ def test_list_predicates_keep_repetitions(spark):
 
 def test_empty_denominators_are_nan(spark):
     empty = metrics.query_results(codes(spark, []).withColumnRenamed("id", "query_id"), codes(spark, []))
-    assert all(math.isnan(x) for x in metrics.equidict(empty).first()) and all(math.isnan(x) for x in metrics.equiset(empty).first())
+    assert all(math.isnan(x) for x in metrics.dictionary_rates(empty).first()) and all(math.isnan(x) for x in metrics.membership_rates(empty).first())
 
 
 def test_histograms(spark):
