@@ -9,13 +9,15 @@ Suffixes of equal rank at depth `min_lines` are neighbours in the array and form
 common prefix >= min_lines; doubling stops there, since further order within an interval changes nothing. Of an
 interval the first occurrence by (document id, line) is the original, the others are later copies. The union of
 the later copies' lines is what all maximal repeated runs but their first occurrences cover; it is deleted.
+Given least_words, the intervals of every smaller depth count too where the run has so many words (runs of
+non-space characters), so that a long passage goes even as one or two lines, or as the whole of a short document.
 
 Only DataFrame functions are used. Sorting acts on distinct IDs or pairs (pre-aggregated, so copies weigh
 nothing); ranks come from range partitions and their offsets, never from one global window. Ranks go back to
 rows by joins, whose large keys adaptive execution splits.
 
 Defined results: null texts are empty ones, which are one empty line; of equal (id, line) positions, as repeated
-rows give them, all are treated alike; a document with fewer than min_lines lines stays whole; an empty table
+rows give them, all are treated alike; a document with fewer than min_lines lines stays whole (but for least_words); an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from .shared import discard, restored, shuffle_width, texts, written
 
 
+#: Words of a run's first line and of all its lines.
+COUNTS = ["own", "total"]
+
+
 def dense_order(distinct: DataFrame, order: list[str], out: str, spent: list[DataFrame]) -> DataFrame:
     """distinct (columns `order` and n, the rows of each) with `out`: 1 + the number of rows that sort before it.
 
@@ -43,33 +49,50 @@ def dense_order(distinct: DataFrame, order: list[str], out: str, spent: list[Dat
     return ranked.join(F.broadcast(shift), "_part").select(*order, "n", (F.col("_shift") + F.col("_upto") - F.col("n") + 1).alias(out))
 
 
-def line_positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, id): the 128-bit content hash of each line as two longs a and b."""
+def line_positions(docs: DataFrame, key: str = "doc_id", text: str = "text", counted: bool = False) -> DataFrame:
+    """(key, line, id): the 128-bit content hash of each line as two longs a and b; if counted, its words twice (as those of a line and of a run)."""
     t = texts(docs, key, text).select(key, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    return t.select(key, "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.col("words"), F.octet_length("words")).alias("b"))
+    return t.select(key, "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.col("words"), F.octet_length("words")).alias("b"), *([F.regexp_count("words", F.lit(r"\S+")).alias(c) for c in COUNTS] if counted else []))
+
+
+def _later(state: DataFrame, key: str) -> DataFrame:
+    intervals = state.groupBy("rank").agg(F.min(F.struct(key, "line")).alias("first"))
+    return state.join(intervals, "rank").filter(F.struct(key, "line") > F.col("first")).select(key, "line", F.col(f"first.{key}").alias("first_doc"), F.col("first.line").alias("first_line"))
+
 
+def repeated_runs(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text", least_words: int | None = None) -> DataFrame:
+    """Starts of later copies: (key, line, first_doc, first_line) where the min_lines lines from `line` on also start at the earlier first_doc, first_line.
 
-def repeated_runs(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Starts of later copies: (key, line, first_doc, first_line) where the min_lines lines from `line` on also start at the earlier first_doc, first_line."""
+    least_words: also the starts of shorter runs that have so many words, and the column `length`, the lines of the run.
+    """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
-    lines = line_positions(docs, key, text)
+    counted = least_words is not None
+    counts, short = COUNTS if counted else [], []
+    lines = line_positions(docs, key, text, counted)
     spent: list[DataFrame] = []
     alphabet = dense_order(lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "b"], "rank", spent)
-    state = written(lines.join(alphabet.select("a", "b", "rank"), ["a", "b"]).select(key, "line", "rank"), "ranks")
+    state = written(lines.join(alphabet.select("a", "b", "rank"), ["a", "b"]).select(key, "line", "rank", *counts), "ranks")
     discard(*spent)
     depth = 1
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        follow = state.select(F.col(key), (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
+        if counted:
+            short.append(written(_later(state.filter(F.col("total") >= least_words), key).withColumn("length", F.lit(depth)), "short"))
+        # With shorter runs every depth counts.
+        step = 1 if counted else min(depth, min_lines - depth)
+        follow = state.select(F.col(key), (F.col("line") - step).alias("line"), F.col("rank").alias("next"), *([F.col("total").alias("_rest")] if counted else []))
         pairs = state.join(follow, [key, "line"])
-        pairs = written(pairs.select(key, "line", "rank", "next"), "pairs")
+        pairs = written(pairs.select(key, "line", "rank", "next", *([F.col("own"), (F.col("own") + F.col("_rest")).alias("total")] if counted else [])), "pairs")
         order = dense_order(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1"), ["rank", "next"], "deeper", spent := [state, pairs])
-        state = written(pairs.join(order.select("rank", "next", "deeper"), ["rank", "next"]).select(key, "line", F.col("deeper").alias("rank")), "ranks")
+        state = written(pairs.join(order.select("rank", "next", "deeper"), ["rank", "next"]).select(key, "line", F.col("deeper").alias("rank"), *counts), "ranks")
         discard(*spent)
         depth += step
-    intervals = state.groupBy("rank").agg(F.min(F.struct(key, "line")).alias("first"))
-    return state.join(intervals, "rank").filter(F.struct(key, "line") > F.col("first")).select(key, "line", F.col(f"first.{key}").alias("first_doc"), F.col("first.line").alias("first_line"))
+    out = _later(state, key)
+    if counted:
+        out = out.withColumn("length", F.lit(min_lines))
+        for runs in short:
+            out = out.union(runs)
+    return out
 
 
 def _covered(starts: Column, min_lines: int) -> Column:
@@ -77,12 +100,18 @@ def _covered(starts: Column, min_lines: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.lit(min_lines - 1)))))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, kept text, n_lines, n_removed, n_runs (maximal runs of removed lines)."""
-    starts = repeated_runs(docs, min_lines, key, text).select(key, "line").distinct().groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("starts"))
+def line_dedup(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text", least_words: int | None = None) -> DataFrame:
+    """Per row: key, kept text, n_lines, n_removed, n_runs (maximal runs of removed lines). least_words: shorter runs go too if they have so many words."""
+    found = repeated_runs(docs, min_lines, key, text, least_words)
+    if least_words is None:
+        starts = found.select(key, "line").distinct().groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("starts"))
+        covered = _covered(F.col("starts"), min_lines)
+    else:
+        starts = found.select(key, "line", "length").groupBy(key).agg(F.collect_set(F.struct("line", "length")).alias("starts"))
+        covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s.line, s.line + s.length - 1))))
     # Lines are split after the join, so that texts travel once.
     t = texts(docs, key, text).join(starts, key, "left").withColumn("lines", F.split("text", "\n", -1))
-    t = t.withColumn("gone", F.coalesce(_covered(F.col("starts"), min_lines), F.array().cast("array<int>")))
+    t = t.withColumn("gone", F.coalesce(covered, F.array().cast("array<int>")))
     # Set operations on line numbers, so that long documents cost no more than their length.
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     left = F.transform(stay, lambda i: F.element_at("lines", i + 1))

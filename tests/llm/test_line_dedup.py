@@ -49,3 +49,24 @@ def test_null_ids_repeated_rows_and_empty(spark):
     assert line_dedup(frame(spark, rows).limit(0), 3).collect() == []
     with pytest.raises(ValueError):
         line_dedup(frame(spark, rows), 0)
+
+
+@pytest.mark.parametrize("m", [3, 4, 5])
+def test_short_runs_of_many_words(spark, m):
+    r = random.Random(20 + m)
+    line = lambda: r.choice("abcdefgh") + " w" * r.choice([0, 1, 3, 7])
+    rows = [(i, "\n".join(line() for _ in range(r.randint(1, 12)))) for i in range(60)]
+    rows += [(100, "one long passage of nine words in a line"), (101, "one long passage of nine words in a line"), (102, "two words"), (103, "two words"), (104, None)]
+    least, lines = 8, {i: (t or "").split("\n") for i, t in rows}
+    gone = {i: set() for i in lines}
+    for n in range(1, m + 1):
+        seen = set()
+        for i in sorted(lines):
+            for s in range(len(lines[i]) - n + 1):
+                run = tuple(lines[i][s : s + n])
+                if run in seen and (n == m or sum(len(x.split()) for x in run) >= least):
+                    gone[i] |= set(range(s, s + n))
+                seen.add(run)
+    want = {i: ("\n".join(x for k, x in enumerate(ls) if k not in gone[i]), len(gone[i])) for i, ls in lines.items()}
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup(frame(spark, rows).repartition(3), m, least_words=least).collect()}
+    assert got == want and want[101] == ("", 1) and want[103] == ("two words", 0)
