@@ -7,7 +7,8 @@ windows of twice the longest item's words at strides of half a window, so an ite
 Bounds come first: a passage whose terms' best scores sum to less than the threshold is done; then block-wise
 bounds leave (passage, block) pairs; those are searched by pivoting over the posting lists. All three steps are
 exact, so every item at or above the threshold is retrieved. A retrieved item counts when the passage holds
-`overlap` of its distinct word shingles (five words), or of both its question's and its answer's.
+`overlap` of its distinct word shingles (five words), or of both its question's and its answer's. A question or
+answer of fewer words than a shingle must lie in the passage word by word.
 
 The index is of bounded size: items are dealt in groups of SHARD_ITEMS and the documents are read once for each
 group, so what is sent to the executors at once does not grow with the benchmark.
@@ -45,10 +46,20 @@ def hashed(text: str) -> np.ndarray:
     return words(data, np.array([0, len(data)]), ALNUM)[0]
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
+def _part(h: np.ndarray) -> np.ndarray:
+    """An item's part: its distinct shingles; one of fewer words than a shingle is one."""
     return shingles(h, np.array([len(h)]), WIDTH)[0]
 
 
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """A passage: its distinct shingles and its shorter runs of words, with the hashes that parts of so few words have."""
+    held = [_part(h)]
+    for n in range(1, min(WIDTH, len(h) + 1)):
+        runs = np.unique(np.lib.stride_tricks.sliding_window_view(h, n), axis=0)
+        held.append(shingles(runs.reshape(-1), np.full(len(runs), n), WIDTH)[0])
+    return np.concatenate(held)
+
+
 def _place(cursor: list) -> int:
     return cursor[0]
 
@@ -70,7 +81,7 @@ class BlockMaxIndex:
         self.ids = [i for i, _, _ in items]
         parts = [(hashed(q), hashed(a)) for _, q, a in items]
         whole = [np.concatenate(p) for p in parts]
-        self.questions, self.answers, self.wholes = [_shingles(q) for q, _ in parts], [_shingles(a) for _, a in parts], [_shingles(w) for w in whole]
+        self.questions, self.answers, self.wholes = [_part(q) for q, _ in parts], [_part(a) for _, a in parts], [_part(w) for w in whole]
         self.longest = max((len(w) for w in whole), default=0)
         n, mean = len(items), np.mean([len(w) for w in whole]) if whole else 1
         self.terms = np.unique(np.concatenate(whole)) if whole else np.zeros(0, np.uint64)
@@ -157,7 +168,7 @@ class BlockMaxIndex:
         return found
 
     def overlaps(self, no: int, held: np.ndarray, overlap: float) -> bool:
-        """held: the passage's distinct shingles. A part shorter than a shingle must lie in the passage as it is, which its own shingle of fewer words can't show, so it counts as part of the whole."""
+        """held: the passage's shingles and shorter runs. A part shorter than a shingle is one run, which must lie in the passage as it is."""
 
         def share(part: np.ndarray) -> float:
             return float(np.isin(part, held).mean()) if len(part) else 1.0

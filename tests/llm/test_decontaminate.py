@@ -93,3 +93,12 @@ def test_question_and_answer_columns_and_edges(spark):
     assert sorted((str(r.doc_id), r["items"], r.contaminated) for r in got) == sorted((str(i), [1] if i not in (2, 3, 4, 5) else [], i not in (2, 3, 4, 5)) for i, _ in rows)
     assert m.decontaminate(frame(spark, rows).limit(0), items, item_text="q").collect() == []
     assert not any(r.contaminated for r in m.decontaminate(frame(spark, rows), items.limit(0), item_text="q").collect())
+
+
+def test_short_answers_and_questions(spark):
+    q, a = "which of the old rivers runs over the green hill", "the river of stones"
+    long = "nobody has ever seen the end of this road"
+    items = spark.createDataFrame([(1, f"{q}\n{a}"), (2, f"why not\n{long}")], "item_id bigint, text string")
+    rows = [(1, f"pad {q}? Answer: {a}. pad"), (2, f"{q}? Answer: the stones of river"), (3, f"{q}? Answer: the river of"), (4, f"{a} {a} {a}"), (5, f"{long} so why not"), (6, f"{long} so not why"), (7, q)]
+    got = {r.doc_id: r["items"] for r in m.decontaminate(frame(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [], 3: [], 4: [], 5: [2], 6: [], 7: []}
