@@ -102,3 +102,16 @@ def test_short_answers_and_questions(spark):
     rows = [(1, f"pad {q}? Answer: {a}. pad"), (2, f"{q}? Answer: the stones of river"), (3, f"{q}? Answer: the river of"), (4, f"{a} {a} {a}"), (5, f"{long} so why not"), (6, f"{long} so not why"), (7, q)]
     got = {r.doc_id: r["items"] for r in m.decontaminate(frame(spark, rows), items).collect()}
     assert got == {1: [1], 2: [], 3: [], 4: [], 5: [2], 6: [], 7: []}
+
+
+def test_results_do_not_depend_on_shards(spark, monkeypatch):
+    items, docs = make(9)
+    docs += [docs[3], docs[3], (docs[4][0], docs[3][1]), (None, docs[3][1]), (None, docs[3][1]), (None, docs[5][1]), (900, None), (900, "")]
+    table = spark.createDataFrame([(i, t) for i, t in items + [items[0], items[-1]]], "item_id bigint, text string")
+    found = {}
+    for shard in (4096, 16, 71):
+        monkeypatch.setattr(m, "SHARD_ITEMS", shard)
+        got = m.decontaminate(frame(spark, docs).repartition(3), table).collect()
+        found[shard] = sorted(str((r.doc_id, r.n_passages, r.n_retrieved, r["items"], round(r.best, 9), r.contaminated)) for r in got)
+    assert len(found[4096]) == len(docs) and found[16] == found[4096] == found[71]
+    assert sum("True" in x for x in found[16]) > 10
