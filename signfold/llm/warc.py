@@ -10,7 +10,8 @@ offset 0 of each file, in a number of rounds logarithmic in the records of a fil
 candidates; the others lay inside payloads. A chain that does not end exactly at the end of its file is an error.
 
 Defined results: null payloads are empty; repeated ids give a record each; an empty table gives empty archives;
-extra columns are ignored; control characters in header values are percent-encoded.
+extra columns are ignored; control characters in header values are percent-encoded; headers are read whole, however
+long a url is.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ MAGIC = b"WARC/1.1\r\n"
 LEAST = 100
 #: A file holds so many records at most, so that one task can hold a file.
 RECORDS_PER_FILE = 8192
-#: No header is longer than this.
-HEADER_BYTES = 64 << 10
 
 
 def planned(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str | None = "url", least: int = LEAST) -> DataFrame:
@@ -75,10 +74,16 @@ def _urn(value: str | None) -> int | None:
 def candidate_rows(file: str, content: bytes, keep: bool) -> Iterator[tuple]:
     """Every magic with a complete header: offset, successor, header fields, and the payload's digest if some candidate or the end of the file lies at the successor (else the candidate can't be on the chain)."""
     heads = []
-    at = content.find(MAGIC)
+    at, end, found = content.find(MAGIC), -1, None
     while at >= 0:
-        end = content.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        found = _LENGTH.search(content, at, end + 2) if end >= 0 else None
+        # Headers have no greatest length. The end and the length found for one candidate are those of the next ones before them, so no byte is searched twice.
+        if end < at:
+            end = content.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            found = _LENGTH.search(content, at, end + 2)
+        elif found and found.start() < at:
+            found = _LENGTH.search(content, at, end + 2)
         if found:
             heads.append((at, end, end + 8 + int(found[1])))
         at = content.find(MAGIC, at + 1)

@@ -66,3 +66,11 @@ def test_query_form_and_empty(spark):
     assert warc.warc_round_trip(frame(spark, PAGES).limit(0)).collect() == []
     got = warc.warc_round_trip(frame(spark, [(None, "u", "q" * 120), (3, "u", "z"), (3, "u", "z")])).collect()
     assert sorted((str(r.page_id), r.payload_bytes) for r in got) == [("3", 1), ("3", 1), ("None", 120)]
+
+
+def test_very_long_urls(spark, tmp_path):
+    pages = PAGES + [(20, "http://long/" + "u" * 70_000, "v" * 120), (21, "http://longer/" + "é" * 400_000 + " WARC/1.1", "v" * 120), (22, "u", "WARC/1.1\r\n" * 20_000)]
+    records = warc.read_warc(spark, warc.write_warc(warc.planned(frame(spark, pages)), str(tmp_path / "w")))
+    assert sorted(tuple(r) for r in warc.page_digests(records).collect()) == brute(pages)
+    urls = {r.id: r.url for r in records.collect()}
+    assert urls[20] == pages[-3][1] and urls[21] == pages[-2][1].replace(" ", "%20")
