@@ -15,7 +15,7 @@ from signfold.llm.shared import discard, ident, written
 
 #: Documents below this score are rejected: those that the model takes for junk, not those it is unsure of.
 LEAST_QUALITY = 0.3
-#: Shares of the expected tokens; documents of low quality have gone by then, so theirs is no domain here.
+#: Shares of the expected tokens. Few documents of low quality are left by then; theirs is no domain here, so what is left of them counts as high or toxic.
 TARGETS = {"high": 0.95, "toxic": 0.05}
 
 
