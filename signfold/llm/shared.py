@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -15,24 +16,29 @@ SEPARATORS = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8)
 #: Bytes that one numpy step holds (texts are never cut: a longer text is a step of its own).
 STEP_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
+#: Bytes of the longest word that is hashed in numpy.
+LONG_WORD = 512
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in local tests."""
+    """A new path in the folder the cluster shares (spark.checkpoint.dir). Where that is unset a local master gets a temporary folder; a cluster, whose executors would each write to a disk of their own, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = tempfile.mkdtemp(prefix="signfold-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
+    """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation. Tables that df alone was read from (its attribute `spent`) are deleted."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
+    release(df)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -47,6 +53,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(result: DataFrame) -> None:
+    """Delete the intermediate tables that an operator's result reads, once the result has been used."""
+    discard(*getattr(result, "spent", ()))
+    result.spent = []
+
+
 def ident(key: str) -> Column:
     """An id as bigint; a null one travels as NULL_ID, so that joins keep its rows, until restored()."""
     return F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_ID))
@@ -66,6 +78,42 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def width_of(df: DataFrame, partition_bytes: int = 256 << 20) -> int:
+    """Partitions for the texts of df: as many as their estimated bytes need, the session's number at least. Parquet holds text in about a quarter of its bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Plans of unknown size state a huge one.
+    return max(shuffle_width(df.sparkSession), min(4 * size // partition_bytes, 1 << 20) if size < 1 << 60 else 0)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, row: str = "row") -> DataFrame:
+    """df, written down with a number for each row. Ids can be null or repeat and scans can be dealt anew, so a row is named by the number it was written with."""
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
+#: A key with so large a share of all rows counts as hot; there are fewer of them than its inverse.
+HOT_SHARE = 0.002
+
+
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows join small, which has each of the keys once, with the rows of it as `weight`; total: the sum of weights.
+
+    A key of more than HOT_SHARE of all rows would make one task's work. Fewer than 1 / HOT_SHARE keys can be as
+    frequent, so these are broadcast whatever the size of the tables, and only rows of other keys are shuffled.
+    """
+    least = max(2, int(total * HOT_SHARE) + 1)
+    hot = F.broadcast(small.filter(F.col(weight) >= least))
+    cold = small.filter(F.col(weight) < least)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how))
+
+
 # --- UTF-8 bytes of an Arrow column ----------------------------------------------------------------
 
 
@@ -152,6 +200,31 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: its bytes, eight at a time, mixed into a state that begins with its length.
+
+    Words beyond LONG_WORD bytes take BLAKE2b, so that the number of rounds stays small.
+    """
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    h = mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        block = eights[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        h[live] = mixed((h[live] ^ block) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x589965CC75374CC3))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = long_hash(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word `[^\\x20\\x09-\\x0D]+` of the texts data[offsets[i]:offsets[i + 1]], and the number of words of each text.
 
@@ -174,11 +247,8 @@ def words(data: np.ndarray, offsets: np.ndarray, inside_word: np.ndarray = _IS_W
     cut = cut[cut > 0]
     ends_here[cut - 1] |= inside[cut - 1]
     ends = np.flatnonzero(ends_here) + 1
-    sums = prefix_hash(data)
-    h = (sums[ends] - sums[starts]) * powers(n + 1)[1][starts]
-    h = mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     counts = np.diff(np.searchsorted(starts, edges))
-    return h, starts + base, ends + base, counts
+    return word_hashes(data, starts, ends), starts + base, ends + base, counts
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
