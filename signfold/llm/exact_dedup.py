@@ -1,18 +1,24 @@
 """Exact dedup by Patricia-trie owners.
 
-Rows are dealt by (length, 64-bit content hash) to owner tasks; an owner inserts the full byte strings into
-compressed radix tries, one for each (length, hash), whose terminal nodes store the number of rows and the
-smallest and largest identifier seen. A trie that grows past a byte budget spills by subtree to a file of the
-task, which is worked off afterwards. Before the shuffle each scan task runs the same tries over its own rows,
-so a group of copies reaches its owner as one row for each flush of a scan task, however large the group is.
-
-Defined results: null texts equal empty ones; rows that repeat, ids included, count as rows of one group; an
-empty table gives an empty result; any number of extra columns is ignored.
+Rows are dealt by (length, content hash) to owner tasks, as many as the texts' bytes need. An owner inserts the full
+byte strings into one compressed radix trie, whose terminal nodes store the number of rows and the smallest and
+largest identifier seen. When the trie holds more than its budget, its heaviest subtrees go to files of the task,
+as often as that happens: a spilled edge stays in the trie as a stub, and what reaches the stub later is appended to
+its file. Files are worked off one after the other, by the same kind of trie, once the input has ended. Before the
+shuffle each scan task runs such a trie over its own rows, so a group of copies reaches its owner as one row for each
+flush of a scan task, however large the group is. Files are the task's own: a task that is lost is run again.
+
+Defined results: null texts equal empty ones; a null id counts as smaller than all others; rows that repeat, ids
+included, count as rows of one group, and of those that have the group's id one alone is a row of kept_rows(); an
+empty table gives an empty result; any number of extra columns is ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import pickle
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -20,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, restored, shuffle_width, texts
+from .shared import fresh, ident, numbered, restored, texts, width_of
 
 LOCAL_BYTES = 48 << 20
 OWNER_BYTES = 96 << 20
+#: Estimated text bytes of an owner; a trie spills, so this bounds files rather than memory.
+PARTITION_BYTES = 512 << 20
+#: Bytes that a node, an edge and a terminal take beside the label.
+NODE_BYTES = 300
+BUFFER_BYTES = 64 << 10
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -42,117 +53,179 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 
 class Terminal:
-    """What a trie knows of one distinct byte string."""
+    """What a trie knows of one distinct byte string; identifiers are (id, row) pairs."""
 
-    __slots__ = ("count", "high", "low", "seq")
+    __slots__ = ("count", "high", "low")
 
-    def __init__(self, seq: int):
-        self.count, self.low, self.high, self.seq = 0, None, None, seq
+    def __init__(self):
+        self.count, self.low, self.high = 0, None, None
 
-    def add(self, low: int, high: int, count: int) -> None:
+    def add(self, low: tuple, high: tuple, count: int) -> None:
         self.count += count
         self.low = low if self.low is None else min(self.low, low)
         self.high = high if self.high is None else max(self.high, high)
 
 
-class PatriciaTrie:
-    """Compressed radix trie over byte strings; a node is [edges by first byte -> (label, node), terminal]."""
+class Node:
+    __slots__ = ("edges", "terminal")
 
     def __init__(self):
-        self.root: list = [{}, None]
-        self.size = 0
-        self.held = 0
+        #: first byte -> (label, Node or Stub)
+        self.edges: dict = {}
+        self.terminal: Terminal | None = None
+
+
+class Stub:
+    """A subtree that lies in a file: rests of keys below the edge, with their identifiers and counts."""
+
+    def __init__(self, path: str):
+        self.path, self.waiting, self.held = path, [], 0
+
+    def add(self, rest: bytes, low: tuple, high: tuple, count: int) -> None:
+        self.waiting.append((rest, low, high, count))
+        self.held += len(rest) + 100
+        if self.held >= BUFFER_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        with open(self.path, "ab") as f:
+            for row in self.waiting:
+                pickle.dump(row, f)
+        self.waiting, self.held = [], 0
+
+    def rows(self) -> Iterator[tuple]:
+        self.flush()
+        with open(self.path, "rb") as f:
+            while True:
+                try:
+                    yield pickle.load(f)
+                except EOFError:
+                    break
+        os.unlink(self.path)
 
-    def find(self, key: bytes) -> Terminal:
-        """The terminal of the key, inserted if it is new."""
+
+class PatriciaTrie:
+    """Compressed radix trie over byte strings under a byte budget, with spill by subtree."""
+
+    def __init__(self, budget: int = 1 << 62, folder: str | None = None):
+        self.budget, self.folder = budget, folder
+        self.root, self.size, self.held, self.spills = Node(), 0, 0, 0
+
+    def insert(self, key: bytes, low: tuple, high: tuple, count: int = 1) -> None:
         node, at = self.root, 0
         while at < len(key):
-            edge = node[0].get(key[at])
+            edge = node.edges.get(key[at])
             if edge is None:
-                leaf = [{}, None]
-                node[0][key[at]] = (key[at:], leaf)
-                self.held += len(key) - at + 200
+                leaf = Node()
+                node.edges[key[at]] = (key[at:], leaf)
+                self.held += len(key) - at + NODE_BYTES
                 node, at = leaf, len(key)
                 break
             label, child = edge
             if key.startswith(label, at):
-                node, at = child, at + len(label)
+                at += len(label)
+                if isinstance(child, Stub):
+                    child.add(key[at:], low, high, count)
+                    return
+                node = child
                 continue
             k = common_prefix(label, key[at : at + len(label)])
-            middle: list = [{label[k]: (label[k:], child)}, None]
-            node[0][label[0]] = (label[:k], middle)
+            middle = Node()
+            middle.edges[label[k]] = (label[k:], child)
+            node.edges[label[0]] = (label[:k], middle)
+            self.held += NODE_BYTES
             node, at = middle, at + k
-        if node[1] is None:
-            node[1] = Terminal(self.size)
+        if node.terminal is None:
+            node.terminal = Terminal()
             self.size += 1
-        return node[1]
+        node.terminal.add(low, high, count)
+        if self.held > self.budget:
+            self.spill()
 
-    def items(self) -> Iterator[tuple[bytes, Terminal]]:
-        stack = [(b"", self.root)]
+    def _weights(self) -> dict[int, int]:
+        """Bytes of the subtree below each node, by id()."""
+        order, stack = [], [self.root]
         while stack:
-            head, node = stack.pop()
-            if node[1] is not None:
-                yield head, node[1]
-            stack.extend((head + label, child) for label, child in node[0].values())
-
-
-class TrieOwners:
-    """Tries by (length, hash) under one byte budget, with spill by subtree.
-
-    A subtree is named by (length, hash, first byte). When the budget is exceeded, the subtrees of one half of
-    the name space go to a file, and later rows of that half are appended to the file; it is worked off by a
-    fresh TrieOwners with another split of the names. Equal strings share a name, so no group is split.
-    """
+            node = stack.pop()
+            order.append(node)
+            stack.extend(c for _, c in node.edges.values() if isinstance(c, Node))
+        out: dict[int, int] = {}
+        for node in reversed(order):
+            out[id(node)] = sum(len(label) + NODE_BYTES + out.get(id(c), 0) for label, c in node.edges.values() if isinstance(c, Node))
+        return out
+
+    def spill(self) -> None:
+        """Send subtrees to files, the heaviest first, until half of the budget is free. A subtree heavier than that is entered rather than sent whole."""
+        weights = self._weights()
+        self.held = weights[id(self.root)]
+        places = [(self.root, first) for first in self.root.edges]
+        while self.held > self.budget // 2 and places:
+            places = [(n, f) for n, f in places if isinstance(n.edges[f][1], Node)]
+            if not places:
+                break
+            node, first = max(places, key=lambda x: weights[id(x[0].edges[x[1]][1])] + len(x[0].edges[x[1]][0]))
+            places.remove((node, first))
+            label, child = node.edges[first]
+            if weights[id(child)] > self.budget // 2:
+                places += [(child, f) for f in child.edges]
+                continue
+            self._send(node, first)
+            self.held -= weights[id(child)] + len(label) + NODE_BYTES
+
+    def _send(self, node: Node, first: int) -> None:
+        label, child = node.edges[first]
+        self.folder = self.folder or tempfile.mkdtemp(prefix="trie-")
+        self.spills += 1
+        stub = Stub(os.path.join(self.folder, f"{id(self)}-{self.spills}"))
+        # The edge keeps one byte of its label, since a leaf's label is most of what it holds.
+        head = label[1:]
+        for rest, t in _below(child):
+            if isinstance(t, Stub):
+                for tail, low, high, count in t.rows():
+                    stub.add(head + rest + tail, low, high, count)
+            else:
+                self.size -= 1
+                stub.add(head + rest, t.low, t.high, t.count)
+        stub.flush()
+        node.edges[first] = (label[:1], stub)
 
-    def __init__(self, budget: int, depth: int = 0):
-        self.budget, self.depth = budget, depth
-        self.tries: dict[tuple, PatriciaTrie] = {}
-        self.held = 0
-        self.file = None
-
-    def spilled(self, name: tuple) -> bool:
-        return self.file is not None and (hash((self.depth, name)) >> 3) & 1 == 1
-
-    def add(self, length: int, code: int, key: bytes, low: int, high: int, count: int) -> None:
-        name = (length, code, key[0] if key else -1)
-        if self.spilled(name):
-            pickle.dump((length, code, key, low, high, count), self.file)
-            return
-        trie = self.tries.get(name)
-        if trie is None:
-            trie = self.tries[name] = PatriciaTrie()
-            self.held += 400
-        before = trie.held
-        trie.find(key).add(low, high, count)
-        self.held += trie.held - before
-        if self.held > self.budget and self.file is None and len(self.tries) > 1 and self.depth < 24:
-            self.file = tempfile.TemporaryFile()
-            for name in [x for x in self.tries if self.spilled(x)]:
-                trie = self.tries.pop(name)
-                self.held -= trie.held + 400
-                for text, t in trie.items():
-                    pickle.dump((name[0], name[1], text, t.low, t.high, t.count), self.file)
-
-    def drain(self) -> Iterator[tuple[int, int, bytes, Terminal]]:
-        for (length, code, _), trie in self.tries.items():
-            for text, t in trie.items():
-                yield length, code, text, t
-        self.tries.clear()
-        if self.file is not None:
-            rest = TrieOwners(self.budget, self.depth + 1)
-            self.file.seek(0)
-            with self.file:
-                while True:
-                    try:
-                        rest.add(*pickle.load(self.file))
-                    except EOFError:
-                        break
-            self.file = None
-            yield from rest.drain()
-
-
-REPS = "length bigint, code bigint, text binary, low bigint, high bigint, n bigint"
-GROUPS = "length bigint, code bigint, sha binary, low bigint, high bigint, n bigint"
+    def items(self) -> Iterator[tuple[bytes, Terminal]]:
+        """All distinct strings, each once; spilled subtrees are worked off one at a time, by tries that may spill again."""
+        stubs = []
+        for key, t in _below(self.root):
+            if isinstance(t, Stub):
+                stubs.append((key, t))
+            else:
+                yield key, t
+        self.root, self.held, self.size = Node(), 0, 0
+        for head, stub in stubs:
+            below = PatriciaTrie(self.budget, self.folder)
+            for rest, low, high, count in stub.rows():
+                below.insert(rest, low, high, count)
+            for rest, t in below.items():
+                yield head + rest, t
+
+    def close(self) -> None:
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def _below(root: Node) -> Iterator[tuple[bytes, Terminal | Stub]]:
+    """(string, terminal) of a subtree, and (string, stub) of what was spilled from it."""
+    stack = [(b"", root)]
+    while stack:
+        head, node = stack.pop()
+        if isinstance(node, Stub):
+            yield head, node
+            continue
+        if node.terminal is not None:
+            yield head, node.terminal
+        stack.extend((head + label, child) for label, child in node.edges.values())
+
+
+REPS = "text binary, low bigint, low_row bigint, high bigint, high_row bigint, n bigint"
+GROUPS = "length bigint, sha binary, low bigint, low_row bigint, high bigint, high_row bigint, n bigint"
+_IDS = [(c, pa.int64()) for c in ("low", "low_row", "high", "high_row", "n")]
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -167,66 +240,71 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-_INTS = [("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())]
-_KEY = [("length", pa.int64()), ("code", pa.int64()), ("sha", pa.binary())]
-
-
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct text of a stretch of the scan."""
-
-    def rows():
-        owners = TrieOwners(1 << 62)
-        for batch in batches:
-            for ident, length, code, text in zip(*(c.to_pylist() for c in batch.columns)):
-                owners.add(length, code, text, ident, ident, 1)
-                if owners.held > LOCAL_BYTES:
-                    yield from ((a, b, x, t.low, t.high, t.count) for a, b, x, t in owners.drain())
-                    owners = TrieOwners(1 << 62)
-        yield from ((a, b, x, t.low, t.high, t.count) for a, b, x, t in owners.drain())
-
-    return _batches(rows(), pa.schema([*_KEY[:2], ("text", pa.binary()), *_INTS]))
+    """One row for each distinct text of a stretch of the scan: the trie is handed on whenever it is full."""
 
+    def handed(trie: PatriciaTrie):
+        for text, t in trie.items():
+            yield text, *t.low, *t.high, t.count
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        import hashlib
-
-        owners = TrieOwners(OWNER_BYTES)
+        trie = PatriciaTrie()
         for batch in batches:
-            for length, code, text, low, high, n in zip(*(c.to_pylist() for c in batch.columns)):
-                owners.add(length, code, text, low, high, n)
-        for a, b, text, t in owners.drain():
-            yield a, b, hashlib.sha256(text).digest(), t.low, t.high, t.count
-
-    return _batches(rows(), pa.schema([*_KEY, *_INTS]))
+            for ident_, row, text in zip(*(c.to_pylist() for c in batch.columns)):
+                trie.insert(text, (ident_, row), (ident_, row))
+                if trie.held > LOCAL_BYTES:
+                    yield from handed(trie)
+                    trie = PatriciaTrie()
+        yield from handed(trie)
+
+    return _batches(rows(), pa.schema([("text", pa.binary()), *_IDS]))
+
+
+def _own(budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            trie = PatriciaTrie(budget)
+            try:
+                for batch in batches:
+                    for text, low, low_row, high, high_row, n in zip(*(c.to_pylist() for c in batch.columns)):
+                        trie.insert(text, (low, low_row), (high, high_row), n)
+                for text, t in trie.items():
+                    yield len(text), hashlib.sha256(text).digest(), *t.low, *t.high, t.count
+            finally:
+                trie.close()
 
+        return _batches(rows(), pa.schema([("length", pa.int64()), ("sha", pa.binary()), *_IDS]))
 
-def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    t = texts(df, key, text)
-    return t.select(F.col(key).alias("ident"), F.octet_length("text").cast("bigint").alias("length"), F.xxhash64("text").alias("code"), F.unhex(F.sha2("text", 256)).alias("sha"), F.col("text").cast("binary").alias("text"))
+    return run
 
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """One row for each distinct text: length, code, sha (SHA-256), low and high (smallest and largest id), n (rows)."""
-    local = keyed(df, key, text).drop("sha").mapInArrow(_local, REPS)
-    return local.repartition(partitions or shuffle_width(df.sparkSession), "length", "code").mapInArrow(_own, GROUPS)
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None, row: str | None = None, budget: int = OWNER_BYTES) -> DataFrame:
+    """One row for each distinct text: length, sha (SHA-256), low and high (smallest and largest id) with the rows low_row and high_row that have them, n (rows). row: column of row numbers; without one they are 0."""
+    t = df.select(ident(key).alias("id"), (F.col(row) if row else F.lit(0).cast("bigint")).alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    dealt = t.mapInArrow(_local, REPS).repartition(partitions or width_of(df, PARTITION_BYTES), F.octet_length("text"), F.xxhash64("text"))
+    return dealt.mapInArrow(_own(budget), GROUPS)
 
 
 def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
     """Per row of df: key, keep_id (the id of its group that stays), group_size, kept, text_sha256.
 
-    keep: "smallest" or "largest" id. Of rows that share text and id only the first counts as that row's id, so
-    both are marked kept.
+    keep: "smallest" or "largest" id. Rows that share text and id are all marked kept, for they have the id that stays;
+    kept_rows() returns one of them.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep}")
     owner = groups(df, key, text).select("length", "sha", F.col("low" if keep == "smallest" else "high").alias("keep_id"), F.col("n").alias("group_size"))
-    rows = keyed(df, key, text).select("ident", "length", "sha")
-    out = rows.join(owner, ["length", "sha"]).select(F.col("ident").alias(key), "keep_id", "group_size", (F.col("ident") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    rows = texts(df, key, text).select(F.col(key).alias("id"), F.octet_length("text").cast("bigint").alias("length"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    out = rows.join(owner, ["length", "sha"]).select(F.col("id").alias(key), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     return restored(out, key, "keep_id")
 
 
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of df that stay, all columns as they were."""
-    owner = groups(df, key, text).select(F.col("low" if keep == "smallest" else "high").alias("_keep"))
-    return df.join(owner, ident(key) == F.col("_keep"), "left_semi")
+    """One row of df for each distinct text, all columns as they were."""
+    row = fresh(df, "_row")
+    rows = numbered(df, "exact-rows", row)
+    stays = "low_row" if keep == "smallest" else "high_row"
+    owner = groups(rows, key, text, row=row).select(F.col(stays).alias(row))
+    out = rows.join(owner, row, "left_semi").select(*df.columns)
+    out.spent = [rows]
+    return out
