@@ -1,24 +1,27 @@
 """Line dedup by a suffix array over line-ID sequences, built by distributed prefix doubling.
 
 A document is the sequence of its lines (split at "\\n"; empty lines count). A line's ID is its content hash;
-IDs get ranks by sorting the distinct ones. A doubling round ranks the pairs (rank of the run of h lines here,
-rank of the run h lines on), so that after it ranks order suffixes by their first 2h lines. Only suffixes whose
-rank is still shared go into a round (a rank that is unique is final, and no longer run there can repeat).
-
-Suffixes of equal rank at depth `min_lines` are neighbours in the array and form its intervals of longest
-common prefix >= min_lines; doubling stops there, since further order within an interval changes nothing. Of an
-interval the first occurrence by (document id, line) is the original, the others are later copies. The union of
-the later copies' lines is what all maximal repeated runs but their first occurrences cover; it is deleted.
-Given least_words, the intervals of every smaller depth count too where the run has so many words (runs of
-non-space characters), so that a long passage goes even as one or two lines, or as the whole of a short document.
-
-Only DataFrame functions are used. Sorting acts on distinct IDs or pairs (pre-aggregated, so copies weigh
-nothing); ranks come from range partitions and their offsets, never from one global window. Ranks go back to
-rows by joins, whose large keys adaptive execution splits.
-
-Defined results: null texts are empty ones, which are one empty line; of equal (id, line) positions, as repeated
-rows give them, all are treated alike; a document with fewer than min_lines lines stays whole (but for least_words); an empty table
-gives an empty result; extra columns are ignored.
+IDs get ranks by sorting the distinct ones. A doubling round ranks the pairs (rank of the run of h lines here, rank
+of the run h lines on), so that after it ranks order suffixes by their first 2h lines. Only suffixes whose rank is
+still shared, and which have 2h lines, go into a round: a rank that is unique is final, and so is that of a suffix
+that ends here, for no longer run begins there. Rounds go on until no rank is shared. The first rounds stop at
+min_lines on their way, so that runs of just so many lines have a depth of their own.
+
+Suffixes of equal rank at depth h are neighbours in the array and form its intervals of longest common prefix >= h.
+Of an interval the first occurrence by (document id, row, line) is the original, the others begin later copies of a
+run of h lines. An interval counts if h >= min_lines, or if its run has least_words words (runs of non-space
+characters), so that a long passage goes even as one or two lines. The deepest interval of a suffix gives its run;
+overlapping and adjoining runs are merged into maximal ones, which are deleted.
+
+Only DataFrame functions are used. Rows are named by numbers written with them, not by ids, which can be null or
+repeat. Sorting acts on distinct IDs or pairs (pre-aggregated, so copies weigh nothing); ranks come from range
+partitions and their offsets, never from one global window. Ranks go back to rows by spread_join(), which broadcasts
+the few hot ones. The first occurrence of each interval, one row of it, is taken away by position, so no join meets
+all members of an interval.
+
+Defined results: null texts are empty ones, which are one empty line; a null id comes before all others; repeated
+rows are rows of their own, the first one written being the original; a document with fewer than min_lines lines
+loses runs of least_words words only; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, restored, shuffle_width, texts, written
+from .shared import discard, ident, numbered, restored, shuffle_width, spread_join, written
 
-
-#: Words of a run's first line and of all its lines.
-COUNTS = ["own", "total"]
+WORD = r"[^\x20\x09-\x0D]+"
+PLACE = ["id", "row", "line"]
 
 
 def dense_order(distinct: DataFrame, order: list[str], out: str, spent: list[DataFrame]) -> DataFrame:
@@ -43,79 +45,100 @@ def dense_order(distinct: DataFrame, order: list[str], out: str, spent: list[Dat
     parts = written(distinct.repartitionByRange(shuffle_width(spark), *order).withColumn("_part", F.spark_partition_id()), "order")
     spent.append(parts)
     totals = parts.groupBy("_part").agg(F.sum("n").alias("_total"))
-    shift = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = parts.withColumn("_upto", F.sum("n").over(within))
     return ranked.join(F.broadcast(shift), "_part").select(*order, "n", (F.col("_shift") + F.col("_upto") - F.col("n") + 1).alias(out))
 
 
-def line_positions(docs: DataFrame, key: str = "doc_id", text: str = "text", counted: bool = False) -> DataFrame:
-    """(key, line, id): the 128-bit content hash of each line as two longs a and b; if counted, its words twice (as those of a line and of a run)."""
-    t = texts(docs, key, text).select(key, F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    return t.select(key, "line", F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.col("words"), F.octet_length("words")).alias("b"), *([F.regexp_count("words", F.lit(r"\S+")).alias(c) for c in COUNTS] if counted else []))
+def line_positions(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, row, line, a, b, words): the 128-bit content hash of each line as two longs, and its number of words."""
+    t = rows.select(ident(key).alias("id"), "row", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line", "t"))
+    second = F.xxhash64(F.lit(7), F.col("t"), F.octet_length("t"))
+    return t.select(*PLACE, F.xxhash64("t").alias("a"), second.alias("b"), F.regexp_count("t", F.lit(WORD)).alias("words"))
+
+
+def later_copies(state: DataFrame, depth: int, counts: Column) -> DataFrame:
+    """(row, line, reach) of the members of each interval of `state` but its first one, where `counts` holds; reach: the line after the run."""
+    firsts = state.groupBy("rank").agg(F.min(F.struct(*PLACE)).alias("first")).select("first.*")
+    return state.filter(counts).join(firsts, PLACE, "left_anti").select("row", "line", (F.col("line") + depth).alias("reach"))
 
 
-def _later(state: DataFrame, key: str) -> DataFrame:
-    intervals = state.groupBy("rank").agg(F.min(F.struct(key, "line")).alias("first"))
-    return state.join(intervals, "rank").filter(F.struct(key, "line") > F.col("first")).select(key, "line", F.col(f"first.{key}").alias("first_doc"), F.col("first.line").alias("first_line"))
+def next_depth(depth: int, min_lines: int, counted: bool) -> int:
+    """Lines that a round adds: below min_lines each depth counts if words do, else rounds double, past min_lines only from there."""
+    if depth >= min_lines:
+        return depth
+    return 1 if counted else min(depth, min_lines - depth)
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text", least_words: int | None = None) -> DataFrame:
-    """Starts of later copies: (key, line, first_doc, first_line) where the min_lines lines from `line` on also start at the earlier first_doc, first_line.
+def repeated_runs(rows: DataFrame, min_lines: int = 3, least_words: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Later copies (row, line, reach): the run of lines from `line` up to `reach` also begins at an earlier place.
 
-    least_words: also the starts of shorter runs that have so many words, and the column `length`, the lines of the run.
+    rows: with a column `row` of distinct numbers. A suffix comes once for every depth at which it is a later copy; the
+    largest reach is that of its deepest interval.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 at least")
-    counted = least_words is not None
-    counts, short = COUNTS if counted else [], []
-    lines = line_positions(docs, key, text, counted)
-    spent: list[DataFrame] = []
+    counted, spent = least_words is not None, []
+    lines = written(line_positions(rows, key, text), "lines")
     alphabet = dense_order(lines.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), ["a", "b"], "rank", spent)
-    state = written(lines.join(alphabet.select("a", "b", "rank"), ["a", "b"]).select(key, "line", "rank", *counts), "ranks")
-    discard(*spent)
-    depth = 1
-    while depth < min_lines:
-        if counted:
-            short.append(written(_later(state.filter(F.col("total") >= least_words), key).withColumn("length", F.lit(depth)), "short"))
-        # With shorter runs every depth counts.
-        step = 1 if counted else min(depth, min_lines - depth)
-        follow = state.select(F.col(key), (F.col("line") - step).alias("line"), F.col("rank").alias("next"), *([F.col("total").alias("_rest")] if counted else []))
-        pairs = state.join(follow, [key, "line"])
-        pairs = written(pairs.select(key, "line", "rank", "next", *([F.col("own"), (F.col("own") + F.col("_rest")).alias("total")] if counted else [])), "pairs")
-        order = dense_order(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1"), ["rank", "next"], "deeper", spent := [state, pairs])
-        state = written(pairs.join(order.select("rank", "next", "deeper"), ["rank", "next"]).select(key, "line", F.col("deeper").alias("rank"), *counts), "ranks")
+    # own: words of the first line, total: those of the run.
+    ranked = spread_join(lines, alphabet, ["a", "b"], "n", lines.count())
+    state = written(ranked.select(*PLACE, "rank", F.col("words").alias("own"), F.col("words").alias("total")), "ranks")
+    discard(lines, *spent)
+    depth, found = 1, []
+    while True:
+        if depth >= min_lines or counted:
+            found.append(written(later_copies(state, depth, F.lit(True) if depth >= min_lines else F.col("total") >= least_words), "later"))
+        step = next_depth(depth, min_lines, counted)
+        follow = state.select("row", (F.col("line") - step).alias("line"), F.col("rank").alias("next"), F.col("total").alias("_rest"))
+        pairs = state.join(follow, ["row", "line"]).select(*PLACE, "rank", "next", "own", (F.col("own") + F.col("_rest")).alias("total"))
+        pairs = written(pairs, "pairs")
+        n, spent = pairs.count(), [state, pairs]
+        if n:
+            order = dense_order(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1"), ["rank", "next"], "deeper", spent)
+            state = written(spread_join(pairs, order, ["rank", "next"], "n", n).select(*PLACE, F.col("deeper").alias("rank"), "own", "total"), "ranks")
         discard(*spent)
+        if not n:
+            break
         depth += step
-    out = _later(state, key)
-    if counted:
-        out = out.withColumn("length", F.lit(min_lines))
-        for runs in short:
-            out = out.union(runs)
+    out = found[0] if found else lines.sparkSession.createDataFrame([], "row bigint, line int, reach int")
+    for more in found[1:]:
+        out = out.union(more)
+    out.spent = found
     return out
 
 
-def _covered(starts: Column, min_lines: int) -> Column:
-    """Distinct line numbers within min_lines lines of any of the starts."""
-    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.lit(min_lines - 1)))))
+def maximal_runs(found: DataFrame) -> DataFrame:
+    """(row, start, stop) of the maximal runs of lines that later copies cover: overlapping and adjoining ones are merged."""
+    in_order = Window.partitionBy("row").orderBy("line")
+    before = F.max("reach").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = found.withColumn("_begins", (F.col("line") > F.coalesce(before, F.lit(-1))).cast("int"))
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return begins.withColumn("_run", F.sum("_begins").over(upto)).groupBy("row", "_run").agg(F.min("line").alias("start"), F.max("reach").alias("stop")).select("row", "start", "stop")
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 3, key: str = "doc_id", text: str = "text", least_words: int | None = None) -> DataFrame:
-    """Per row: key, kept text, n_lines, n_removed, n_runs (maximal runs of removed lines). least_words: shorter runs go too if they have so many words."""
-    found = repeated_runs(docs, min_lines, key, text, least_words)
-    if least_words is None:
-        starts = found.select(key, "line").distinct().groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("starts"))
-        covered = _covered(F.col("starts"), min_lines)
-    else:
-        starts = found.select(key, "line", "length").groupBy(key).agg(F.collect_set(F.struct("line", "length")).alias("starts"))
-        covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s.line, s.line + s.length - 1))))
+    """Per row: key, kept text, n_lines, n_removed, n_runs and longest_run (maximal runs of removed lines, the lines of the longest). least_words: runs of fewer than min_lines lines go too if they have so many words."""
+    rows = numbered(docs.select(ident(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text")), "line-rows")
+    found = repeated_runs(rows, min_lines, least_words, key)
+    runs = maximal_runs(found).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     # Lines are split after the join, so that texts travel once.
-    t = texts(docs, key, text).join(starts, key, "left").withColumn("lines", F.split("text", "\n", -1))
-    t = t.withColumn("gone", F.coalesce(covered, F.array().cast("array<int>")))
+    t = rows.join(runs, "row", "left").withColumn("lines", F.split("text", "\n", -1))
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r.start, r.stop - 1)))
+    t = t.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     # Set operations on line numbers, so that long documents cost no more than their length.
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    left = F.transform(stay, lambda i: F.element_at("lines", i + 1))
-    runs = F.size(F.array_except(F.col("gone"), F.transform("gone", lambda i: i + 1)))
-    untouched = F.size("gone") == 0
-    out = t.select(key, F.when(untouched, F.col("text")).otherwise(F.concat_ws("\n", left)).alias("text"), F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), F.when(untouched, F.lit(0)).otherwise(runs).cast("bigint").alias("n_runs"))
-    return restored(out, key)
+    left = F.concat_ws("\n", F.transform(stay, lambda i: F.element_at("lines", i + 1)))
+    untouched = F.col("runs").isNull()
+    longest = F.array_max(F.transform("runs", lambda r: r.stop - r.start))
+
+    def number(c: Column, name: str) -> Column:
+        return F.when(untouched, F.lit(0)).otherwise(c).cast("bigint").alias(name)
+
+    kept = F.when(untouched, F.col("text")).otherwise(left).alias("text")
+    out = t.select(key, kept, F.size("lines").cast("bigint").alias("n_lines"), number(F.size("gone"), "n_removed"), number(F.size("runs"), "n_runs"), number(longest, "longest_run"))
+    out = restored(out, key)
+    out.spent = [rows, *found.spent]
+    return out

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-LINES = """
+#: Runs of three lines, and of one or two that have 50 words, are judged by windows of so many lines; the union of all
+#: windows that also occur earlier is what the maximal runs cover.
+LINES = r"""
 WITH n AS (SELECT *, row_number() OVER () AS r FROM documents),
 l AS (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM n),
 p AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM l),
-w AS (SELECT r, doc_id, i, line,
-             CASE WHEN lead(i, 2) OVER (PARTITION BY r ORDER BY i) IS NOT NULL THEN sha256(line || chr(10) || lead(line, 1) OVER (PARTITION BY r ORDER BY i) || chr(10) || lead(line, 2) OVER (PARTITION BY r ORDER BY i)) END AS k FROM p),
-d AS (SELECT r, doc_id, i, line, CASE WHEN k IS NULL THEN 0 WHEN row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later FROM w),
-g AS (SELECT r, doc_id, i, line, max(later) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM d),
-h AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), 0) AS before FROM g)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_runs,
+q AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, lead(line, 1) OVER o AS line2, lead(line, 2) OVER o AS line3 FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT r, doc_id, i, line, CASE WHEN w >= 50 THEN sha256(line) END AS k1,
+             CASE WHEN line2 IS NOT NULL AND w + len(regexp_extract_all(line2, '[^\x20\x09-\x0D]+')) >= 50 THEN sha256(line || chr(10) || line2) END AS k2,
+             CASE WHEN line3 IS NOT NULL THEN sha256(line || chr(10) || line2 || chr(10) || line3) END AS k3 FROM q),
+d AS (SELECT r, doc_id, i, line, CASE WHEN k1 IS NOT NULL AND row_number() OVER (PARTITION BY k1 ORDER BY doc_id NULLS FIRST, r, i) > 1 THEN 1 ELSE 0 END AS d1,
+             CASE WHEN k2 IS NOT NULL AND row_number() OVER (PARTITION BY k2 ORDER BY doc_id NULLS FIRST, r, i) > 1 THEN 1 ELSE 0 END AS d2,
+             CASE WHEN k3 IS NOT NULL AND row_number() OVER (PARTITION BY k3 ORDER BY doc_id NULLS FIRST, r, i) > 1 THEN 1 ELSE 0 END AS d3 FROM k),
+g AS (SELECT r, doc_id, i, line, greatest(d1, max(d2) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), max(d3) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS gone FROM d),
+h AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS starts FROM g),
+u AS (SELECT *, sum(starts) OVER (PARTITION BY r ORDER BY i) AS run FROM h),
+z AS (SELECT r, max(n) AS longest FROM (SELECT r, run, count(*) AS n FROM u WHERE gone = 1 GROUP BY r, run) GROUP BY r)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(starts) AS BIGINT) AS n_runs, coalesce(any_value(longest), 0) AS longest_run,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
-FROM h GROUP BY r, doc_id
+FROM h LEFT JOIN z USING (r) GROUP BY r, doc_id
 """
 
 _KINDS = [("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]

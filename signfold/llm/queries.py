@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality, secret_scan, substring_dedup, warc
 
 MIN_LINES = 3
+#: Runs of fewer lines go if they have so many words.
+LEAST_WORDS = 50
 #: Shares of the expected tokens of each domain.
 TARGETS = {"high": 0.85, "low": 0.1, "toxic": 0.05}
 
@@ -24,8 +26,8 @@ def remainder(n: int) -> Column:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), MIN_LINES)
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents"), MIN_LINES, least_words=LEAST_WORDS)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@ import random
 
 import pytest
 
-from signfold.llm.line_dedup import line_dedup, repeated_runs
+from signfold.llm.line_dedup import line_dedup, maximal_runs, repeated_runs
 
-SCHEMA = "doc_id bigint, text string, line int, rank string, a bigint, n int"
+SCHEMA = "doc_id bigint, text string, line int, rank string, a bigint, n int, row int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, 1, "r", 2, 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, 1, "r", 2, 3, 7) for i, t in rows], SCHEMA)
 
 
 def brute(rows, m):
@@ -23,7 +23,8 @@ def brute(rows, m):
     out = []
     for i, ls in lines.items():
         runs = sum(1 for k in gone[i] if k - 1 not in gone[i])
-        out.append((i, "\n".join(x for k, x in enumerate(ls) if k not in gone[i]), len(ls), len(gone[i]), runs))
+        longest = max((next(n for n in range(1, 10**6) if k + n not in gone[i]) for k in gone[i]), default=0)
+        out.append((i, "\n".join(x for k, x in enumerate(ls) if k not in gone[i]), len(ls), len(gone[i]), runs, longest))
     return sorted(out)
 
 
@@ -36,10 +37,13 @@ def test_as_brute_force(spark, m):
     assert sorted(tuple(x) for x in got.collect()) == brute(rows, m)
 
 
-def test_first_occurrence(spark):
-    rows = [(5, "a\nb\nc\nd"), (2, "z\na\nb\nc"), (9, "b\nc\nd")]
-    got = {tuple(x) for x in repeated_runs(frame(spark, rows), 3).collect()}
-    assert got == {(5, 0, 2, 1), (9, 0, 5, 1)}
+def test_runs_at_every_depth(spark):
+    rows = [(5, "a\nb\nc\nd"), (2, "z\na\nb\nc"), (9, "b\nc\nd"), (11, "\n".join(f"l{k}" for k in range(14))), (12, "\n".join(f"l{k}" for k in range(14)))]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, row bigint")
+    got = {tuple(x) for x in repeated_runs(df, 3).collect()}
+    # Depths are 3, 6, 12: the deepest interval of a suffix has the largest of them that it repeats.
+    assert got == {(0, 0, 3), (2, 0, 3)} | {(4, k, k + h) for h in (3, 6, 12) for k in range(14 - h + 1)}
+    assert sorted(tuple(x) for x in maximal_runs(repeated_runs(df, 3)).collect()) == [(0, 0, 3), (2, 0, 3), (4, 0, 14)]
 
 
 def test_null_ids_repeated_rows_and_empty(spark):
@@ -51,6 +55,18 @@ def test_null_ids_repeated_rows_and_empty(spark):
         line_dedup(frame(spark, rows), 0)
 
 
+def test_rows_of_one_id_are_not_one_text(spark):
+    """Lines of two texts under one id, or of two without an id, make no run together."""
+    for i in (None, 1):
+        rows = [(i, "p\nb\nr"), (i, "a\nq\nc"), (4, "a\nb\nc"), (6, "a\nq\nc")]
+        assert sorted((str(x.doc_id), x.n_removed) for x in line_dedup(frame(spark, rows), 3).collect()) == sorted([(str(i), 0), (str(i), 0), ("4", 0), ("6", 3)])
+
+
+def test_a_very_common_line(spark):
+    rows = [(k, f"hot\nhot\nhot\nx{k}") for k in range(300)] + [(1000 + k, "hot") for k in range(300)]
+    assert sorted(tuple(x) for x in line_dedup(frame(spark, rows), 3).collect()) == brute(rows, 3)
+
+
 @pytest.mark.parametrize("m", [3, 4, 5])
 def test_short_runs_of_many_words(spark, m):
     r = random.Random(20 + m)
