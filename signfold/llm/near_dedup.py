@@ -6,20 +6,25 @@ of the bin that the first successful draw of a fixed random sequence points at (
 Bands of ROWS bins are bucket keys; two sets of similarity s share a band's key with probability about s**ROWS,
 so of pairs at 0.8 some 2e-9 share none of the 51 bands.
 
-Documents of equal sets are one class from the start, its smallest id standing for it. A bucket gives a star:
-an edge from its smallest class to each other one, so edges are linear in the bucket's size, and all edges are
-confirmed on full sets. A star can miss a link between two of its leaves. So where, after the confirmed links
-have been merged into components, a bucket of three or more classes still spans several components, the classes
-of the cluster that such buckets form are set against each other in bounded blocks, across components only, and
-confirmed on full sets as well. Nothing is capped.
+Documents of equal sets, by the SHA-256 of the whole sorted set, are one class from the start, named by the number of
+one of its rows. A bucket gives a star: an edge from its smallest class to each other one, so edges are linear in the
+bucket's size, and all edges are confirmed on full sets. A star can miss a link between two of its leaves. So where,
+after the confirmed links have been merged into components, a bucket of three or more classes still spans several
+components, the classes of the cluster that such buckets form are set against each other in blocks of bounded bytes,
+across components only, and confirmed on full sets as well. Nothing is capped.
+
+Buckets, hubs and classes that hold a large share of all rows are met by spread_join(), which broadcasts their few
+keys; the set of a centre of many edges goes to as many tasks as its edges fill.
 
 Defined results: null texts and texts without words have empty sets and are linked with nothing; a text of fewer
-words than a shingle is one shingle; repeated rows are copies of each other; an empty table gives an empty
-result; extra columns are ignored.
+words than a shingle is one shingle; repeated rows are copies of each other; rows are told apart by number, so texts
+that share an id, or have none, are linked only if they are alike; a component's id is its smallest one that is not
+null; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, ident, mixed, restored, shingles, shuffle_width, steps, texts, utf8, words, written
+from .shared import HOT_SHARE, NULL_ID, discard, fresh, ident, mixed, numbered, restored, shingles, shuffle_width, spread_join, steps, utf8, words, written
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -35,8 +40,9 @@ ROWS = 5
 BANDS = BINS // ROWS
 #: Draws for an empty bin; a bin that none serves takes the next occupied one. Matters for sets of up to three shingles only.
 DRAWS = 400
-#: Sets of a block; two blocks meet in one row.
-BLOCK = 256
+#: Bytes and number of the sets of a block, about; two blocks meet in one row.
+BLOCK_BYTES = 8 << 20
+BLOCK_SETS = 256
 
 
 def sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -73,10 +79,13 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key
 
 
-_SIGNATURE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNATURE = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNATURE = "row bigint, n bigint, digest binary, bands array<bigint>"
 
 
 def _signatures(width: int):
+    """Of (row, text): the size of the set, its SHA-256 (null if it is empty) and its band keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -84,15 +93,12 @@ def _signatures(width: int):
                 h, _, _, counts = words(data, offsets[a : b + 1])
                 flat, sizes = shingles(h, counts, width)
                 some = sizes > 0
-                ends = np.cumsum(sizes)
-                sums = []
-                for code in (mixed(flat), mixed(flat ^ np.uint64(0x5851F42D4C957F2D))):
-                    run_sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)))
-                    sums.append((run_sum[ends] - run_sum[ends - sizes]).view(np.int64))
+                ends = np.concatenate(([0], np.cumsum(sizes))).tolist()
+                digests = [hashlib.sha256(flat[x:y]).digest() if y > x else None for x, y in zip(ends, ends[1:])]
                 keys = band_keys(sketches(flat, sizes[some])).view(np.int64)
                 at = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], schema=_SIGNATURE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), lists], schema=_SIGNATURE)
 
     return run
 
@@ -133,9 +139,16 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets meet the threshold."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
+    """Of the pairs (a, b), those whose full sets meet the threshold. A leaf b is in few pairs; a centre a can be in very many: its set then goes to as many tasks as its pairs fill."""
+    total = pairs.count()
+    least = max(2, int(total * HOT_SHARE) + 1)
+    # Fewer than 1 / HOT_SHARE centres have so many pairs, and their parts are fewer than twice that.
+    hot = pairs.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("a", F.ceil(F.col("_n") / least).cast("bigint").alias("_parts"))
+    left = pairs.join(F.broadcast(hot), "a", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("b"), "_parts"), F.lit(0)))
+    left = left.drop("_parts").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")).join(F.broadcast(hot), "a", "left")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+    both = left.join(right, ["a", "_part"]).select("a", "b", "x", "y")
     return both.mapInArrow(_confirm(percent), "a bigint, b bigint")
 
 
@@ -143,24 +156,26 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id of its connected component.
 
     Alternating large-star and small-star rounds over edge tables in shared storage; minima meet as partial
-    aggregates, so a hub costs a row for each map task. Stops when a round changes no edge.
+    aggregates, and the edges of a hub stay where they are, its minimum being broadcast. Stops when a round changes no
+    edge.
     """
 
-    def minima(edges: DataFrame, at: str, of: str) -> DataFrame:
-        return edges.groupBy(F.col(at).alias("v")).agg(F.min(of).alias("m"))
+    def minima(edges: DataFrame) -> DataFrame:
+        return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = state(edges)
-    while True:
+    while last[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = minima(both, "u", "v").select(F.col("v").alias("u"), F.least("v", "m").alias("m"))
-        large = written(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
-        low = minima(large, "u", "v").select(F.col("v").alias("u"), "m")
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = minima(both).select("u", F.least("u", "m").alias("m"), "n")
+        larger = spread_join(both.filter("v > u"), low, ["u"], "n", 2 * last[0])
+        large = written(larger.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        # u is the larger end here and points at few minima, so that no end is a hub.
+        low = minima(large).select("u", "m")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         before, edges = edges, written(small.filter("u <> v").distinct(), "edges")
         discard(before, large)
         now = state(edges)
@@ -168,7 +183,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         last = now
     found = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return found.union(found.select(F.col("component").alias("id"), "component").distinct())
+    out = found.union(found.select(F.col("component").alias("id"), "component").distinct())
+    out.spent = [edges]
+    return out
 
 
 def block_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
@@ -215,25 +232,29 @@ def across(stars: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, spe
     """Confirmed links between leaves of stars that span several components.
 
     Classes that such stars connect make a cluster. Those outside the cluster's largest component are its queries, set
-    against all of the cluster in blocks of BLOCK sets; blocks whose sizes rule the threshold out are not set against
-    each other, nor is the largest component against itself. spent: gets the tables that the result reads.
+    against all of the cluster in blocks of about BLOCK_BYTES; blocks whose sizes rule the threshold out are not set
+    against each other, nor is the largest component against itself. spent: gets the tables that the result reads.
     """
     of_leaf, of_centre = comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), comp.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     s = stars.filter("members > 2").join(of_leaf, "b", "left").join(of_centre, "a", "left")
     open_keys = s.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("key").distinct()
-    open_stars = written(stars.join(open_keys, "key").select("a", "b").distinct(), "open")
+    # A key that is open has one row for each member, so weights are the members.
+    open_keys = open_keys.join(stars.groupBy("key").agg(F.count("*").alias("n")), "key")
+    open_stars = written(spread_join(stars.select("key", "a", "b"), open_keys, ["key"], "n", stars.count()).select("a", "b").distinct(), "open")
     if open_stars.isEmpty():
         return open_stars
-    clusters = components(open_stars).withColumnRenamed("component", "cluster")
-    members = written(clusters.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    clusters = components(open_stars)
+    members = written(clusters.withColumnRenamed("component", "cluster").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "members")
+    discard(*clusters.spent)
     largest = members.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
     # Sizes of one band or of neighbouring ones can meet the threshold, others can't.
     band = F.floor(F.log(F.octet_length("set") / 8) / F.lit(float(-np.log(percent / 100)) * (1 + 1e-9)) if percent < 100 else F.octet_length("set")).cast("int")
     laid = sets.join(members.join(largest, "cluster"), "id").select("id", "component", "set", "cluster", band.alias("band"), (F.col("component") != F.col("major")).alias("asks"))
     laid = written(laid, "laid")
-    counts = laid.groupBy("cluster", "band", "asks").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK).cast("bigint"))
-    blocks = laid.join(counts, ["cluster", "band", "asks"]).withColumn("part", part).groupBy("cluster", "band", "asks", "part").agg(F.collect_list(F.struct("id", "component", "set")).alias("block"))
+    counts = laid.groupBy("cluster", "band", "asks").agg(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.octet_length("set")) / BLOCK_BYTES).alias("fill"))
+    part = F.pmod(F.xxhash64("id"), F.ceil("fill").cast("bigint"))
+    dealt = laid.join(counts, ["cluster", "band", "asks"]).withColumn("part", part)
+    blocks = dealt.groupBy("cluster", "band", "asks", "part").agg(F.collect_list(F.struct("id", "component", "set")).alias("block"))
     blocks = written(blocks, "blocks")
     spent += [open_stars, members, laid, blocks]
     asking = blocks.filter("asks").withColumn("against", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -246,38 +267,62 @@ def across(stars: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, spe
     return dealt.select("block", "others").mapInArrow(_linked_blocks(percent), "a bigint, b bigint")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, component_id, kept (whether the row's id is that of its component)."""
-    t = texts(docs, key, text).withColumnRenamed(key, "id")
-    sig = written(t.mapInArrow(_signatures(width), "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "signatures")
-    whole = sig.filter("n > 0")
-    classes = written(whole.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = whole.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
-    bands = written(reps.select("id", "n", "bands"), "bands")
-    rows = bands.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("na"))).alias("c"), F.count("*").cast("int").alias("members")).filter("members > 1").select("key", "c.a", "c.na", "members")
-    stars = written(rows.join(buckets, "key").filter("id <> a").select("key", "a", "na", F.col("id").alias("b"), F.col("n").alias("nb"), "members"), "stars")
+def classified(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """rows: (row, id, text). Per row: row, id, n (size of its set), component_id, stays (one row of each component)."""
+    sig = written(rows.select("row", "text").mapInArrow(_signatures(width), SIGNATURE), "signatures")
+    ids = rows.select("row", "id")
+    # Ids that are null come last, then the smallest row that has the id.
+    named = sig.select("row", "n", "digest").join(ids, "row").withColumn("first", F.struct((F.col("id") == NULL_ID).alias("none"), "id", "row"))
+    named = written(named, "named")
+    classes = named.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("first").alias("first"), F.count("*").alias("members"))
+    classes = written(classes, "classes")
+    bands = written(sig.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "bands"), "bands")
+    discard(sig)
+    keyed = bands.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    centre = F.min(F.struct(F.col("id").alias("a"), F.col("n").alias("na"))).alias("c")
+    buckets = keyed.groupBy("key").agg(centre, F.count("*").cast("int").alias("members")).filter("members > 1").select("key", "c.a", "c.na", "members")
+    met = spread_join(keyed, buckets, ["key"], "members", BANDS * bands.count())
+    stars = written(met.filter("id <> a").select("key", "a", "na", F.col("id").alias("b"), F.col("n").alias("nb"), "members"), "stars")
     discard(bands)
-    ends = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(t.join(ends, "id", "left_semi").mapInArrow(_sets(width), "id bigint, set binary"), "sets")
-    pairs = stars.filter(F.least("na", "nb").cast("bigint") * 100 >= F.greatest("na", "nb").cast("bigint") * percent).select("a", "b").distinct()
+    ends = stars.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = written(rows.select("row", "text").join(ends, "row", "left_semi").mapInArrow(_sets(width), "id bigint, set binary"), "sets")
+    near = F.least("na", "nb").cast("bigint") * 100 >= F.greatest("na", "nb").cast("bigint") * percent
+    pairs = written(stars.filter(near).select("a", "b").distinct(), "pairs")
     links = written(confirmed(pairs, sets, percent), "links")
     comp = written(components(links), "components")
     spent: list[DataFrame] = []
     more = written(across(stars, comp, sets, percent, spent), "more")
-    discard(*spent)
+    discard(*spent, pairs)
     if not more.isEmpty():
-        spent, comp = [comp], written(components(links.union(more)), "components")
-        discard(*spent)
+        past, comp = comp, written(components(links.union(more)), "components")
+        discard(past)
     discard(stars, sets, links, more)
-    of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
-    component = F.coalesce("component", "id")
-    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
-    return restored(out, key, "component_id")
+    joined = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = joined.groupBy("component").agg(F.min("first").alias("leader"))
+    of_class = written(joined.join(firsts, "component").select("digest", "members", "leader"), "leaders")
+    discard(classes, comp)
+    some = spread_join(named.filter("n > 0"), of_class, ["digest"], "members", named.count())
+    out = some.select("row", "id", "n", F.col("leader.id").alias("component_id"), (F.col("leader.row") == F.col("row")).alias("stays"))
+    out = out.union(named.filter("n = 0").select("row", "id", "n", F.col("id").alias("component_id"), F.lit(True).alias("stays")))
+    out.spent = [named, of_class]
+    return out
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_shingles, component_id, kept (whether the row's id is that of its component)."""
+    rows = numbered(docs.select(ident(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "near-rows")
+    found = classified(rows, width, percent)
+    out = found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+    out = restored(out, key, "component_id")
+    out.spent = [rows, *found.spent]
+    return out
 
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, all columns as they were."""
-    keep = near_dedup(docs, width, percent, key, text).filter("kept").select(ident(key).alias("_keep"))
-    return docs.join(keep, ident(key) == F.col("_keep"), "left_semi")
+    """One row of each component, all columns as they were: the first that has the component's id."""
+    row = fresh(docs, "_row")
+    rows = numbered(docs, "near-rows", row)
+    found = classified(rows.select(F.col(row).alias("row"), ident(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), width, percent)
+    out = rows.join(found.filter("stays").select(F.col("row").alias(row)), row, "left_semi").select(*docs.columns)
+    out.spent = [rows, *found.spent]
+    return out

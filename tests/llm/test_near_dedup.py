@@ -89,6 +89,36 @@ def test_kept_rows_empty_and_null_ids(spark):
     assert near_dedup.near_dedup(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_rows_of_one_id_are_not_one_text(spark):
+    """Null and repeated ids: texts are linked by what they hold, not by the id they share."""
+    one, two = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    for i in (None, 7):
+        rows = [(1, one), (2, two), (i, one + " x"), (i, two + " x"), (i, "")]
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_dedup.near_dedup(frame(spark, rows), 2, 80).collect())
+        assert got == sorted([("1", 19, "1"), ("2", 19, "2"), (str(i), 20, "1"), (str(i), 20, "2"), (str(i), 0, str(i))])
+        assert sorted(r.text for r in kept_rows(frame(spark, rows), 2).collect()) == sorted([one, two, ""])
+    rows = [(0, two), (1, one), (1, two), (5, one), (5, one), (None, one)]
+    assert sorted((r.doc_id, r.text) for r in kept_rows(frame(spark, rows)).collect()) == [(0, two), (1, one)]
+
+
+def test_different_words_of_equal_polynomial_hash(spark):
+    """Thue-Morse words of 1,024 letters collide under any polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(10):
+        word += "".join("b" if c == "a" else "a" for c in word)
+    other = "".join("b" if c == "a" else "a" for c in word)
+    rows = [(1, f"{word} {word}"), (2, f"{other} {other}"), (3, word[:500]), (4, other[:500])]
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(frame(spark, rows), 2, 80).collect()) == brute(rows, 2, 80)
+
+
+def test_small_blocks_and_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(near_dedup, "HOT_SHARE", 0.3)
+    base = [f"t{k}" for k in range(60)]
+    rows = [(100 + k, " ".join(base + [f"u{k // 2}x{j}" for j in range(40)])) for k in range(60)] + [(k, " ".join(base)) for k in range(30)]
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(frame(spark, rows), 2, 80).collect()) == brute(rows, 2, 80)
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
