@@ -2,39 +2,53 @@
 
 A labelled table trains a naive Bayes classifier over words and text statistics; its posteriors say how much of a
 document belongs to each domain. Nonnegative rates of the documents are then fitted by distributed projected
-gradient steps, scaled by the curvature, to
+gradient steps to
 
     1/2 sum_k ((sum_d r_d t_d p_dk - w_k S) / S)^2 + ridge/2 sum_d (t_d / S) (r_d - 1)^2,    r >= 0,
 
 t the tokens of a document, p its posteriors, S all tokens, w the target weights: the expected tokens of each
-domain match the targets, and rates stay as close to 1 as that allows. A step needs as many sums as there are
-pairs of domains, whatever the number of documents, and no state for any document.
+domain match the targets, and rates stay as close to 1 as that allows. Every document has its rate as state. A step
+takes the expected shares of the domains, one aggregation of k sums, to the driver, moves every rate against its
+gradient and projects it to r >= 0. A diagonal scale, large where a document's domains are rare, evens out the
+curvature; the step length comes from the largest eigenvalue of the scaled k * k curvature. Steps begin some way
+on in the direction of the last one (Nesterov's momentum, dropped when movement grows). Steps since the last
+writing are part of the projection, and every WRITE_STEPS of them the rates are written down, so that neither the
+plan nor the work of a step grows with the steps before.
+
+The fit tells how far it got: the rows carry `target_gap`, the largest difference of an expected share from its
+target, and `converged`, whether the last step moved rates by no more than the tolerance. Targets that no rates
+reach (a domain without documents) leave a gap; they are no error.
 
 Only DataFrame functions are used. Words and statistics are counted on at most `most_rows` labelled rows (those
 of smallest hash); the LEXICON most telling words are part of the model. Everything else covers all rows.
 
 Defined results: null and empty texts have no tokens, the prior as posteriors and, as nothing depends on them,
 rate 1; labels that are null or not among the targets are left out, of several labels of one id the smallest
-counts; without labels posteriors are uniform; an empty table gives an empty result; extra columns are ignored.
+counts; labels of a null id teach nothing; without labels posteriors are uniform; repeated rows are documents of
+their own, with equal posteriors and rates; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, restored, texts, written
+from .shared import discard, ident, restored, texts, written
 
 MOST_ROWS = 20_000
 LEXICON = 64
-STEPS = 40
+STEPS = 80
+#: Steps that a projection holds before rates are written down.
+WRITE_STEPS = 8
 #: A word of smaller spread than this could owe it to chance among millions of words.
 TELLING = 15.0
 RIDGE = 1e-3
-TOLERANCE = 1e-7
+#: Average movement of the rates, weighted by tokens, below which steps end.
+TOLERANCE = 1e-5
 #: Upper ends of the cells of each statistic.
 CELLS = {
     "symbols": (0.0005, 0.002, 0.01, 0.03, 0.1),
@@ -58,7 +72,8 @@ def described(docs: DataFrame, key: str, text: str, lexicon: list[str] | None =
     distinct = F.array_distinct(w)
     size = F.greatest(F.length("text"), F.lit(1))
     words = distinct if lexicon is None else F.array_intersect(w, F.array(*[F.lit(x) for x in lexicon]).cast("array<string>"))
-    t = texts(docs, key, text).select(key, F.size(w).cast("bigint").alias("tokens"), F.size(distinct).alias("n_distinct"), words.alias("words"), (F.regexp_count("text", F.lit("[#$%&*|!]")) / size).alias("symbols"), (F.regexp_count("text", F.lit("[A-Z]")) / size).alias("capitals"), (F.regexp_count("text", F.lit("[0-9]")) / size).alias("digits"))
+    shares = [(F.regexp_count("text", F.lit(c)) / size).alias(n) for n, c in (("symbols", "[#$%&*|!]"), ("capitals", "[A-Z]"), ("digits", "[0-9]"))]
+    t = texts(docs, key, text).select(key, F.size(w).cast("bigint").alias("tokens"), F.size(distinct).alias("n_distinct"), words.alias("words"), *shares)
     t = t.withColumn("distinct", F.when(F.col("tokens") > 0, F.col("n_distinct") / F.col("tokens")).otherwise(F.lit(0.0))).withColumn("length", F.col("tokens").cast("double"))
 
     def cell(name: str) -> Column:
@@ -79,7 +94,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     picked = texts(docs, key, text).join(F.broadcast(chosen.select(key)), key, "left_semi")
     seen = written(described(picked, key, "text").join(F.broadcast(chosen), key), "labelled")
     number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
-    seen = seen.withColumn("k", number)
+    spent, seen = [seen], seen.withColumn("k", number)
     totals = {r.k: r.n for r in seen.groupBy("k").agg(F.count("*").alias("n")).collect()}
     n = [totals.get(i, 0) for i in range(k)]
     model = {"prior": [math.log((x + 1) / (sum(n) + k)) for x in n], "cells": {}, "words": {}}
@@ -96,11 +111,13 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     logs = [(F.col(f"n{i}") + 0.5) / (n[i] + 1) for i in range(k)]
     # How telling: the spread of the word's shares, weighted by its rows.
     spread = sum((F.col(f"n{i}") * F.log(logs[i] / (sum(F.col(f"n{j}") for j in range(k)) + 0.5) * (sum(n) + 1)) for i in range(k)), F.lit(0.0))
-    for r in per.withColumn("spread", spread).filter(F.col("spread") > TELLING).orderBy(F.desc("spread"), "word").limit(LEXICON).select("word", *[log_odds(i).alias(f"l{i}") for i in range(k)]).collect():
+    telling = per.withColumn("spread", spread).filter(F.col("spread") > TELLING).orderBy(F.desc("spread"), "word").limit(LEXICON)
+    for r in telling.select("word", *[log_odds(i).alias(f"l{i}") for i in range(k)]).collect():
         values = [r[f"l{i}"] for i in range(k)]
         # Only differences between domains matter.
         middle = sum(values) / k
         model["words"][r.word] = [v - middle for v in values]
+    discard(chosen, *spent)
     return model
 
 
@@ -126,57 +143,70 @@ def posteriors(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "t
     return d.withColumn("total", total).select(key, "tokens", F.transform("e", lambda x: x / F.col("total")).alias("p"))
 
 
-def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """members: tokens, p and any more columns. Returns them with `rate`, and the expected shares of all tokens that the rates give.
+class Fit(NamedTuple):
+    """Expected shares of all tokens, the largest difference from a target, steps taken, movement of the last one, whether that was small."""
 
-    A projected gradient step, scaled by the curvature of the documents whose rate is positive, leads to rates of the
-    form max(0, 1 - p . m): the gradient of the fit lies in the span of the posteriors. So m, a number for each domain,
-    is all of the state, and a step is one aggregation of k sums and k * k second moments. Where the residual would
-    grow, the step is halved.
-    """
-    k = len(weights)
-    total = float(members.agg(F.sum("tokens")).first()[0] or 0)
+    shares: list[float]
+    gap: float
+    steps: int
+    moved: float
+    converged: bool
+
+
+def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, Fit]:
+    """members: tokens, p and any more columns, none of them `rate`, `_before` or `_scale`. Returns them with `rate`, and how the fit went."""
+    k, w = len(weights), np.array(weights)
+    p, columns = [F.col("p")[i] for i in range(k)], members.columns
+    first = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * x) for x in p]).first()
+    total = float(first[0] or 0)
     if not total:
-        return members.withColumn("rate", F.lit(1.0)), [0.0] * k
-    w = np.array(weights)
-
-    def rate(m: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("p")[i] * F.lit(float(m[i])) for i in range(k)), F.lit(0.0)))
-
-    def state(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shares, residual of the optimality condition, curvature."""
-        d = members.select("tokens", "p", rate(m).alias("r"))
-        active = F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
-        first = [F.sum(F.col("r") * F.col("tokens") * F.col("p")[i]) for i in range(k)]
-        second = [F.sum(active * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(i, k)]
-        row = [float(x) / total for x in d.agg(*first, *second).first()]
-        curve = np.zeros((k, k))
-        upper = np.triu_indices(k)
-        curve[upper] = row[k:]
-        curve = curve + np.triu(curve, 1).T
-        shares = np.array(row[:k])
-        return shares, shares - w - ridge * m, curve
-
-    m = np.zeros(k)
-    shares, off, curve = state(m)
-    step, size = None, 1.0
-    for _ in range(steps):
-        if np.abs(off).max() <= tolerance or size < 1e-3:
-            break
-        if step is None:
-            step = np.linalg.solve(curve + ridge * np.eye(k), off)
-        tried = state(m + size * step)
-        if np.abs(tried[1]).max() < np.abs(off).max():
-            m, step, size = m + size * step, None, 1.0
-            shares, off, curve = tried
-        else:
-            size /= 2
-    out = members.withColumn("rate", F.when(F.col("tokens") > 0, rate(m)).otherwise(1.0))
-    return out, shares.tolist()
+        return members.withColumn("rate", F.lit(1.0)), Fit([0.0] * k, float(w.max()), 0, 0.0, True)
+    held = [float(x) / total for x in first[1:]]
+
+    def dot(values) -> Column:
+        return sum((x * F.lit(float(v)) for x, v in zip(p, values)), F.lit(0.0))
+
+    # A document's own curvature is the share of its domains; the ridge bounds the scale where that is next to nothing.
+    scale = F.lit(1.0) / (dot(held) + F.lit(ridge))
+    table = written(members.withColumns({"_scale": scale, "rate": F.lit(1.0), "_before": F.lit(1.0)}), "rates")
+    weight = F.col("tokens") * F.col("_scale")
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    row = table.agg(F.max("_scale"), *[F.sum(weight * p[i] * p[j]) for i, j in upper]).first()
+    curve = np.zeros((k, k))
+    for (i, j), x in zip(upper, row[1:]):
+        curve[i, j] = curve[j, i] = float(x) / total
+    length = 1 / (float(np.linalg.eigvalsh(curve)[-1]) + ridge * float(row[0]))
+
+    def stepped(df: DataFrame, ahead: float, error: np.ndarray) -> DataFrame:
+        """From y, the rates moved on by `ahead` of their last movement: y - length * scale * (p . error + ridge * (y - 1)), projected."""
+        y = F.col("rate") + (F.col("rate") - F.col("_before")) * F.lit(ahead)
+        pull = F.lit(length) * F.col("_scale")
+        moved = y * (F.lit(1.0) - pull * ridge) - pull * (dot(error) - F.lit(ridge))
+        return df.withColumns({"_before": F.col("rate"), "rate": F.greatest(F.lit(0.0), moved)})
+
+    state, pending, taken, moved, since = table, 0, 0, math.inf, 0
+    shares = before = np.array(held)
+    while taken < steps and moved > tolerance:
+        # Shares are linear in the rates, so those of y need no aggregation.
+        ahead = since / (since + 3)
+        state = stepped(state, ahead, shares + ahead * (shares - before) - w)
+        pending, taken, since = pending + 1, taken + 1, since + 1
+        if pending == WRITE_STEPS:
+            past, table, pending = table, written(state, "rates"), 0
+            state = table
+            discard(past)
+        sums = [F.sum(F.col("rate") * F.col("tokens") * x) for x in p]
+        row = state.agg(F.sum(F.col("tokens") * F.abs(F.col("rate") - F.col("_before"))), *sums).first()
+        last, moved = moved, float(row[0]) / total
+        before, shares = shares, np.array([float(x) / total for x in row[1:]])
+        since = 0 if moved > last else since
+    out = state.select(*columns, F.when(F.col("tokens") > 0, F.col("rate")).otherwise(1.0).alias("rate"))
+    out.spent = [table]
+    return out, Fit(shares.tolist(), float(np.abs(shares - w).max()), taken, moved, moved <= tolerance)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", **how) -> DataFrame:
-    """Per row: key, tokens, p_<domain> (posterior), rate.
+    """Per row: key, tokens, p_<domain> (posterior), rate, and of the whole fit target_gap and converged.
 
     labelled: (key, domain). targets: weight of each domain; they are normalised to sum to 1.
     """
@@ -186,5 +216,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: st
         raise ValueError("targets must be nonnegative weights with a positive sum")
     model = train(docs, labelled, domains, key, text, domain)
     members = written(posteriors(docs, model, key, text), "posteriors")
-    rates, _ = fit_rates(members, [targets[d] / whole for d in domains], **how)
-    return restored(rates.select(key, "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate"), key)
+    rates, fit = fit_rates(members, [targets[d] / whole for d in domains], **how)
+    spent = getattr(rates, "spent", [members])
+    if spent != [members]:
+        discard(members)
+    shares = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
+    out = restored(rates.select(key, "tokens", *shares, "rate", F.lit(fit.gap).alias("target_gap"), F.lit(fit.converged).alias("converged")), key)
+    out.spent = spent
+    return out
