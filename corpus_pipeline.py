@@ -7,11 +7,10 @@ the next stage's docs. All stages but the last return the columns they were give
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from signfold.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from signfold.llm.queries import domains
-from signfold.llm.shared import discard, ident, written
+from signfold.llm.shared import discard, written
 
 #: Documents below this score are rejected: those that the model takes for junk, not those it is unsure of.
 LEAST_QUALITY = 0.3
@@ -21,8 +20,7 @@ TARGETS = {"high": 0.95, "toxic": 0.05}
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    good = quality.score(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(ident("doc_id").alias("_keep"))
-    return docs.join(good.distinct(), ident("doc_id") == F.col("_keep"), "left_semi")
+    return quality.good_rows(docs, model, LEAST_QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +32,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.filter("contaminated").select(ident("doc_id").alias("_drop")).distinct(), ident("doc_id") == F.col("_drop"), "left_anti")
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

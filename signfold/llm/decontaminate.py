@@ -10,34 +10,33 @@ exact, so every item at or above the threshold is retrieved. A retrieved item co
 `overlap` of its distinct word shingles (five words), or of both its question's and its answer's. A question or
 answer of fewer words than a shingle must lie in the passage word by word.
 
-The index is of bounded size: items are dealt in groups of SHARD_ITEMS and the documents are read once for each
-group, so what is sent to the executors at once does not grow with the benchmark. Document frequencies, mean length
-and longest item are those of all items, so results do not depend on the groups; the driver holds 16 bytes for each
-distinct word of the benchmark. Results of the groups meet by id and text: rows equal in both have equal results and
-are counted, so that each is returned.
+The index is made of shards of SHARD_ITEMS items, each broadcast by itself, and the documents are read once: a task
+gathers texts of about GATHER_BYTES and takes them through one shard after the other, with one shard in memory at a
+time. Document frequencies, mean length and longest item are those of all items, so results do not depend on the
+shards; the driver holds one shard and 16 bytes for each distinct word of the benchmark.
 
 Words are runs of letters, digits and non-ASCII bytes, lower-cased; an item's first line is its question, further
 lines its answer, unless columns name them.
 
 Defined results: null texts are empty and have no passages; items without words match nothing; equal items each
-count; repeated rows are judged alike; empty tables give no matches; extra columns are ignored.
+count; repeated rows are judged alike, row by row, whatever their ids; empty tables give no matches; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
 import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ALNUM, restored, shingles, steps, texts, utf8, words
 
 SHARD_ITEMS = 4096
+GATHER_BYTES = 64 << 20
 BLOCK = 4
 BLOCKS = 64
 WIDTH = 5
@@ -252,19 +251,75 @@ def find(index: BlockMaxIndex, data: np.ndarray, offsets: np.ndarray, threshold:
     return number, hits, retrieved
 
 
-_MATCH = pa.schema([("id", pa.int64()), ("print", pa.string()), ("n_passages", pa.int64()), ("n_retrieved", pa.int64()), ("items", pa.list_(pa.int64())), ("best", pa.float64())])
-MATCH = "id bigint, print string, n_passages bigint, n_retrieved bigint, items array<bigint>, best double"
+MATCH = "id bigint, n_passages bigint, n_retrieved bigint, items array<bigint>, best double"
+_MATCH = pa.schema([("id", pa.int64()), ("n_passages", pa.int64()), ("n_retrieved", pa.int64()), ("items", pa.list_(pa.int64())), ("best", pa.float64())])
+
+
+class Shards:
+    """The shards of an index as broadcast variables; with more than one each is loaded for the texts at hand and dropped again."""
+
+    def __init__(self, parts: list, threshold: float, overlap: float):
+        self.parts, self.threshold, self.overlap = parts, threshold, overlap
+
+    def indexes(self) -> Iterator[BlockMaxIndex]:
+        for part in self.parts:
+            yield part.value
+            if len(self.parts) > 1:
+                part.__dict__.pop("_value", None)
+
+    def find(self, columns: list[pa.Array]) -> tuple[np.ndarray, list[dict[int, float]], np.ndarray]:
+        """For the texts of some columns: passages, overlapping items (id -> best score, ids in order of the shards) and the number retrieved, over all shards."""
+        spans = [(data, offsets[a : b + 1]) for data, offsets in map(utf8, columns) for a, b in steps(offsets)]
+        n = sum(len(o) - 1 for _, o in spans)
+        number, hits, retrieved = np.zeros(n, np.int64), [[] for _ in range(n)], np.zeros(n, np.int64)
+        for index in self.indexes():
+            at = 0
+            for data, offsets in spans:
+                some, found, got = find(index, data, offsets, self.threshold, self.overlap)
+                end = at + len(found)
+                number[at:end] = np.maximum(number[at:end], some)
+                retrieved[at:end] += got
+                for i, x in enumerate(found):
+                    hits[at + i] += [(index.ids[no], score) for no, score in x.items()]
+                at = end
+        return number, hits, retrieved
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], text: int, alone: bool) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about GATHER_BYTES of text; alone: one at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if alone or size >= GATHER_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _matcher(shards: Shards):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _gathered(batches, 1, len(shards.parts) < 2):
+            number, hits, retrieved = shards.find([b.column(1) for b in group])
+            ids = pa.concat_arrays([b.column(0) for b in group])
+            items, best = [sorted(i for i, _ in x) for x in hits], [max((s for _, s in x), default=0.0) for x in hits]
+            columns = [ids, pa.array(number), pa.array(retrieved), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_MATCH)
+
+    return run
+
 
+def _cleaner(shards: Shards, text: int):
+    """Batches as they are, without the rows that hold items; the text is column number `text`."""
 
-def _matcher(index: BlockMaxIndex, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in steps(offsets):
-                number, hits, retrieved = find(index, data, offsets[a : b + 1], threshold, overlap)
-                items = [sorted(index.ids[no] for no in x) for x in hits]
-                best = [max(x.values(), default=0.0) for x in hits]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(number.astype(np.int64)), pa.array(retrieved), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], schema=_MATCH)
+        for group in _gathered(batches, text, len(shards.parts) < 2):
+            _, hits, _ = shards.find([b.column(text).fill_null("") for b in group])
+            at = 0
+            for batch in group:
+                yield batch.filter(pa.array([not x for x in hits[at : at + batch.num_rows]], pa.bool_()))
+                at += batch.num_rows
 
     return run
 
@@ -273,9 +328,11 @@ def item_shards(items: DataFrame, item: str, text: str, question: str | None, an
     """Items as (id, question, answer), SHARD_ITEMS at a time, in the order of their ids."""
     cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n", 2) if not question else None
     q = F.coalesce(F.col(question), F.lit("")) if question else cut[0]
-    a = F.coalesce(F.col(answer), F.lit("")) if answer else (F.coalesce(F.try_element_at(cut, F.lit(2)), F.lit("")) if not question else F.lit(""))
-    rows, held = items.select(F.col(item).cast("bigint").alias("i"), q.alias("q"), a.alias("a")).filter("i is not null").orderBy("i", "q", "a").toLocalIterator(), []
-    for r in rows:
+    rest = F.coalesce(F.try_element_at(cut, F.lit(2)), F.lit("")) if not question else F.lit("")
+    a = F.coalesce(F.col(answer), F.lit("")) if answer else rest
+    rows = items.select(F.col(item).cast("bigint").alias("i"), q.alias("q"), a.alias("a")).filter("i is not null").orderBy("i", "q", "a")
+    held = []
+    for r in rows.toLocalIterator():
         held.append((r.i, r.q, r.a))
         if len(held) == SHARD_ITEMS:
             yield held
@@ -284,26 +341,22 @@ def item_shards(items: DataFrame, item: str, text: str, question: str | None, an
         yield held
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """Per row: key, n_passages, n_retrieved (passage-item pairs at or above the threshold), items (ids of overlapping items, ascending), best (their best score), contaminated."""
-    rows = texts(docs, key, text)
-
-    def shards() -> Iterator[list[tuple[int, str, str]]]:
-        return item_shards(items, item, item_text, question, answer)
-
-    def matched(index: BlockMaxIndex, fingerprint: Column) -> DataFrame:
-        return rows.withColumn("print", fingerprint).mapInArrow(_matcher(index, threshold, overlap), MATCH)
-
-    few = list(itertools.islice(shards(), 2))
-    if len(few) < 2:
-        out = matched(BlockMaxIndex(few[0] if few else []), F.lit("")).drop("print")
-    else:
-        totals = Totals()
-        for shard in shards():
-            totals.add(np.concatenate((hashed(q), hashed(a))) for _, q, a in shard)
-        parts = [matched(BlockMaxIndex(shard, totals=totals), F.sha2("text", 256)).withColumn("shard", F.lit(no)) for no, shard in enumerate(shards())]
-        # Equal rows have equal results, so one of them and their number stand for all.
-        found = functools.reduce(DataFrame.union, parts).groupBy("id", "print", "shard").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_passages", "n_retrieved", "items", "best")])
-        found = found.groupBy("id", "print").agg(F.max("copies").alias("copies"), F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"), F.max("best").alias("best"))
-        out = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("id", "n_passages", "n_retrieved", "items", "best")
+def index_of(items: DataFrame, item: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Shards:
+    """Two passes over the items: statistics of all of them, then the shards, which are broadcast one by one."""
+    totals = Totals()
+    for shard in item_shards(items, item, item_text, question, answer):
+        totals.add(np.concatenate((hashed(q), hashed(a))) for _, q, a in shard)
+    send = items.sparkSession.sparkContext.broadcast
+    parts = [send(BlockMaxIndex(shard, totals=totals)) for shard in item_shards(items, item, item_text, question, answer)]
+    return Shards(parts or [send(BlockMaxIndex([], totals=totals))], threshold, overlap)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **index) -> DataFrame:
+    """Per row: key, n_passages, n_retrieved (passage-item pairs at or above the threshold), items (ids of overlapping items, ascending), best (their best score), contaminated. index: arguments of index_of()."""
+    out = texts(docs, key, text).mapInArrow(_matcher(index_of(items, **index)), MATCH)
     return restored(out.withColumnRenamed("id", key), key).withColumn("contaminated", F.size("items") > 0)
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", **index) -> DataFrame:
+    """The rows of docs that hold no item, all columns as they were; rows stay in their tasks, so nothing is joined by id."""
+    return docs.mapInArrow(_cleaner(index_of(items, **index), docs.columns.index(text)), docs.schema)

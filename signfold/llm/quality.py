@@ -7,7 +7,8 @@ flattened into arrays; scoring walks all rows of a batch down a tree at once.
 
 Defined results: null and empty texts have all statistics 0 and get a score like any other; a null label is
 left out, of several labels of one id the largest counts; without labels every score is 0.5, with one class
-it is that class's smoothed share; an empty table gives an empty result; extra columns are ignored.
+it is that class's smoothed share; repeated rows get equal scores and each learns and counts as a row; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -234,3 +235,16 @@ def score(docs: DataFrame, model: BoostedTrees, key: str = "doc_id", text: str =
     """(key, score) of every row."""
     run = _mapped(lambda x: pa.array(model.score(x)), [(key, pa.int64()), ("score", pa.float64())])
     return restored(texts(docs, key, text).mapInArrow(run, f"{key} bigint, score double"), key)
+
+
+def good_rows(docs: DataFrame, model: BoostedTrees, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs with a score of `least` or more, all columns as they were; rows stay in their tasks, so nothing is joined by id."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(place).fill_null(""))
+            for a, b in steps(offsets):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(statistics(data, offsets[a : b + 1])) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
