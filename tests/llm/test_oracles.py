@@ -8,8 +8,8 @@ import pytest
 from signfold.llm import oracles, queries
 
 SF = "/root/testdata/sf0.001"
-AWKWARD = [(1, "a\nb\nc"), (2, "z\na\nb\nc\n"), (3, None), (4, ""), (5, "\n\n\n\n"), (6, "token=abcdefgh é AKIA" + "Z" * 20), (7, "token=abcdefgh é AKIA" + "Z" * 20), (8, "𝄞 " + "0af" * 9 + " passwd: 'longenough1'")]
-PAGES = [(1, "u", "x" * 100), (2, "u", "x" * 100), (3, None, None), (4, "u", ""), (5, "u", "é" * 50), (6, "u", "é" * 50), (7, "u", "é" * 49)]
+AWKWARD = [(1, "a\nb\nc"), (2, "z\na\nb\nc\n"), (3, None), (4, ""), (5, "\n\n\n\n"), (6, "token=abcdefgh é AKIA" + "Z" * 20), (7, "token=abcdefgh é AKIA" + "Z" * 20), (8, "𝄞 " + "0af" * 9 + " passwd: 'longenough1'"), (None, "p\nb\nr"), (None, "a\nq\nc"), (9, "a\nb\nc"), (9, "w " * 60), (10, "x\n" + "w " * 60), (10, "v " * 30 + "\n" + "v " * 25 + "\nend"), (11, "v " * 30 + "\n" + "v " * 25)]
+PAGES = [(1, "u", "x" * 100), (2, "u", "x" * 100), (3, None, None), (4, "u", ""), (5, "u", "é" * 50), (6, "u", "é" * 50), (7, "u", "é" * 49), (None, "u", "x" * 100), (None, "u", "n" * 200), (None, "u", "n" * 200), (8, "u", "x" * 100), (8, "u", "y" * 300), (9, "u", "y" * 300), (1, "u", "z" * 150), (10, "u", "z" * 150)]
 
 
 def compare(spark, path, name):

@@ -1,5 +1,8 @@
+import gzip
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
 from signfold.llm import warc
@@ -33,7 +36,7 @@ def brute(rows):
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_round_trip(spark, tmp_path, compression):
     plan = warc.planned(frame(spark, PAGES).repartition(3))
-    path = warc.write_warc(plan, str(tmp_path / "w"), compression=compression, records_per_file=4)
+    path = warc.write_warc(plan, str(tmp_path / "w"), compression=compression, file_bytes=2000)
     records = warc.read_warc(spark, path, payloads=True)
     assert sorted(tuple(r) for r in warc.page_digests(records).collect()) == brute(PAGES)
     rows = {r.id: r for r in records.collect()}
@@ -50,7 +53,7 @@ def test_candidates_inside_payloads_are_rejected(spark, tmp_path):
 
 def test_broken_chain_is_an_error(spark, tmp_path):
     path = warc.write_warc(warc.planned(frame(spark, PAGES)).coalesce(1), str(tmp_path / "w"), compression="none")
-    part = next((tmp_path / "w").glob("part-*"))
+    part = next((tmp_path / "w").rglob("part-*"))
     # Without its checksum file the change goes unnoticed by the file system.
     (part.parent / f".{part.name}.crc").unlink()
     part.write_bytes(part.read_bytes()[:-3])
@@ -74,3 +77,39 @@ def test_very_long_urls(spark, tmp_path):
     assert sorted(tuple(r) for r in warc.page_digests(records).collect()) == brute(pages)
     urls = {r.id: r.url for r in records.collect()}
     assert urls[20] == pages[-3][1] and urls[21] == pages[-2][1].replace(" ", "%20")
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path):
+    pages = [(k, "u", f"{k}" * 300) for k in range(100, 400)]
+    path = warc.write_warc(warc.planned(frame(spark, pages)).coalesce(1), str(tmp_path / "w"), compression="none", file_bytes=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
+    assert len(sizes) > 10 and max(sizes) < 22_000
+    assert sorted(tuple(r) for r in warc.page_digests(warc.read_warc(spark, path)).collect()) == brute(pages)
+
+
+def test_gzip_members_for_each_record(spark, tmp_path):
+    """A standard archive: every record is a gzip member of its own."""
+    path = warc.write_warc(warc.planned(frame(spark, PAGES)).coalesce(1), str(tmp_path / "w"), compression="none")
+    part = next((tmp_path / "w").rglob("part-*"))
+    content = part.read_bytes()
+    found = list(warc.candidate_rows("f", content, False))
+    on, ended = warc.chain(np.array([r[2] for r in found]), np.array([r[3] for r in found]), len(content))
+    assert ended
+    cuts = [r[2] for r, k in zip(found, on) if k] + [len(content)]
+    (part.parent / f".{part.name}.crc").unlink()
+    part.write_bytes(b"".join(gzip.compress(content[a:b]) for a, b in zip(cuts, cuts[1:])) + b"\0" * 7)
+    assert sorted(tuple(r) for r in warc.page_digests(warc.read_warc(spark, path)).collect()) == brute(PAGES)
+
+
+def test_chain_as_a_walk():
+    r = random.Random(3)
+    for _ in range(300):
+        size = r.randint(1, 60)
+        at = np.array(sorted(r.sample(range(size), r.randint(0, size))), dtype=np.int64)
+        following = np.array([min(x + r.randint(1, 6), size + (r.random() < 0.1)) for x in at], dtype=np.int64)
+        to, seen, here = dict(zip(at.tolist(), following.tolist())), set(), 0
+        while here in to:
+            seen.add(here)
+            here = to[here]
+        on, ended = warc.chain(at, following, size)
+        assert set(at[on].tolist()) == seen and ended == (here == size)
