@@ -6,7 +6,8 @@ whose pair is not in it, scans each such blob once, appends to the ledger, and j
 back to all paths that hold them. Only DataFrame functions are used.
 
 Rules (fixed values): see RULES. Matches are leftmost and non-overlapping for each kind, positions are code
-points, ends exclusive; a match that fails its minimum is dropped after it has consumed its text.
+points, ends exclusive; a match that fails its minimum is dropped after it has consumed its text. The rule version is
+a hash of RULES.
 
 Defined results: null texts are empty and have no findings; repeated rows each get the findings of their blob;
 empty tables give empty results; extra columns are ignored.
@@ -14,6 +15,8 @@ empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,13 @@ RULES = {
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
-RULE_VERSION = 1
+
+
+def rule_version() -> str:
+    """A hash of all that findings depend on: any change of RULES makes every blob unseen."""
+    return hashlib.sha256(repr(sorted(RULES.items())).encode()).hexdigest()[:32]
+
+
 SPAN = "array<struct<start:bigint,kind_no:int,kind:string,stop:bigint>>"
 
 
@@ -56,7 +65,7 @@ def blobs(versions: DataFrame, key: str, text: str) -> DataFrame:
 def scan_blobs(unseen: DataFrame) -> DataFrame:
     """(blob, text) to ledger rows."""
     every = F.flatten(F.array(*[spans_of(F.col("text"), kind) for kind in RULES]))
-    return unseen.select("blob", F.lit(RULE_VERSION).alias("rule_version"), F.sort_array(every).alias("spans"))
+    return unseen.select("blob", F.lit(rule_version()).alias("rule_version"), F.sort_array(every).alias("spans"))
 
 
 def secret_scan(versions: DataFrame, key: str = "doc_id", text: str = "text", ledger: str | None = None) -> DataFrame:
@@ -72,13 +81,13 @@ def secret_scan(versions: DataFrame, key: str = "doc_id", text: str = "text", le
     # One version stands for each blob: ids only are grouped, so copies meet as partial minima.
     owners = rows.groupBy("blob").agg(F.min(key).alias(key))
     if ledger and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        seen = spark.read.parquet(path).filter(F.col("rule_version") == RULE_VERSION).select("blob")
+        seen = spark.read.parquet(path).filter(F.col("rule_version") == rule_version()).select("blob")
         owners = owners.join(seen, "blob", "left_anti")
     unseen = rows.join(owners, [key, "blob"], "left_semi").select("blob", "text")
     if ledger:
         unseen = unseen.dropDuplicates(["blob"])
     scan_blobs(unseen).write.mode("append").parquet(path)
-    known = spark.read.parquet(path).filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+    known = spark.read.parquet(path).filter((F.col("rule_version") == rule_version()) & (F.size("spans") > 0)).select("blob", "spans")
     out = rows.select(key, "blob").join(known.dropDuplicates(["blob"]), "blob", "left").select(key, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return restored(out, key)
 
