@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ident, mixed, packed, packed_sorted, restored, steps, unpacked, unpacked_sorted, utf8, words, written
+from .shared import discard, ident, mixed, packed, packed_sorted, restored, steps, unpacked, unpacked_sorted, utf8, words, written
 
 CHUNK_TOKENS = 600_000
 OWNER_REQUESTS = 1_000_000
@@ -156,25 +156,39 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ANSWER.types)], schema=_ANSWER)
 
 
-class Counted:
-    """A chunk with the counts of its words and pairs."""
+COUNTED = CHUNK.removesuffix(", requests bigint") + ", word_counts binary, pair_counts binary"
+_COUNTED = pa.schema([*list(_CHUNK)[:-1], ("word_counts", pa.binary()), ("pair_counts", pa.binary())])
 
-    def __init__(self, chunk: Chunk, answers: list[dict], owners: int, documents: int):
-        self.chunk = chunk
-        code, self.at, self.own = chunk.pairs()
-        found = {}
-        for kind, keys in ((1, chunk.vocabulary), (2, chunk.pair_hashes(code))):
+
+def _joined(owners: int):
+    """A chunk and the answers to it as one row: the counts of its words and of its pairs in their own order."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, answers = left.to_pylist()[0], right.to_pylist()
+        chunk, found = Chunk.read(row), []
+        for kind, keys in ((1, chunk.vocabulary), (2, chunk.pair_hashes(chunk.pairs()[0]))):
             order, _ = _split(keys, owners)
             parts = [unpacked(a["counts"], np.int64) for a in sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["owner"])]
             counts = np.empty(len(keys), dtype=np.int64)
             counts[order] = np.concatenate(parts)
-            found[kind] = counts
+            found.append(packed(counts))
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip([*(row[f.name] for f in list(_COUNTED)[:-2]), *found], _COUNTED)], schema=_COUNTED)
+
+    return run
+
+
+class Counted:
+    """A chunk with the counts of its words and pairs."""
+
+    def __init__(self, row: dict, documents: int):
+        self.chunk = chunk = Chunk.read(row)
+        code, self.at, self.own = chunk.pairs()
         width = len(chunk.vocabulary) + 1
-        self.word_counts = found[1]
-        self.pair = found[2].astype(float)
+        self.word_counts = unpacked(row["word_counts"], np.int64)
+        self.pair = unpacked(row["pair_counts"], np.int64).astype(float)
         # A word is the context of as many tokens as it occurs: the end alone is followed by nothing, and every text has one begin.
-        self.context = np.append(found[1], documents)[code // width].astype(float)
-        self.word = found[1][code % width].astype(float)
+        self.context = np.append(self.word_counts, documents)[code // width].astype(float)
+        self.word = self.word_counts[code % width].astype(float)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -249,23 +263,30 @@ def lm_score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str =
     totals = answers.filter("kind = 1").agg(F.sum("total"), F.sum("known")).first()
     n, v = int(totals[0] or 0), int(totals[1] or 0)
     documents = rows.filter("train").count()
-    pair = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    # Texts of a chunk meet its answers once; weights and scores read the joined table where it lies.
+    joined = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_joined(owners), COUNTED)
+    joined = written(joined, "counted")
+    discard(chunks, answers)
 
-    def counted(left: pa.Table, right: pa.Table) -> Counted:
-        return Counted(Chunk.read(left.to_pylist()[0]), right.to_pylist(), owners, documents)
-
-    def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        code, counts = held_out_cells(counted(left, right), n)
-        return pa.table({"cell": code, "n": counts})
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                code, counts = held_out_cells(Counted(row, documents), n)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(counts)], names=["cell", "n"])
 
-    found = pair.applyInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = joined.mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(found.column("cell").to_numpy())
     weights = learn_weights(found.column("cell").to_numpy()[order], found.column("n").to_numpy()[order].astype(float), v)
 
-    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        c = counted(left, right)
-        sizes, known, base, model = score_texts(c, weights, n, v)
-        return pa.table({key: c.chunk.ids, "held_out": ~c.chunk.train, "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), n), "base_score": base, "score": model})
-
-    out = pair.applyInArrow(scores, f"{key} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return restored(out, key)
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Counted(row, documents)
+                sizes, known, base, model = score_texts(c, weights, n, v)
+                columns = [c.chunk.ids, ~c.chunk.train, sizes, known, np.full(len(sizes), n), base, model]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = f"{key} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    out = restored(joined.mapInArrow(scores, schema), key)
+    out.spent = [joined]
+    return out
