@@ -1,81 +1,63 @@
-"""External suffix sorting by induction.
+"""External suffix sorting by induction, with longest common prefixes.
 
 Suffixes are L-type (greater than the next suffix) or S-type. Sorted leftmost-S suffixes (LMS) induce the L-type
-ones in one ascending pass over the symbols and those the S-type ones in one descending pass. A pass is driven by
-a monotone priority queue that lives on disk: what a popped suffix induces has a symbol that is not yet passed,
-and arrives in sorted order within it, so the queue is a file of runs by symbol. LMS substrings are sorted by the
-same two passes, named, and if names repeat, the string of names is sorted recursively; an alphabet too large
-for a queue by symbol (each symbol would hold a few suffixes) is sorted by prefix doubling instead.
-
-All steps act on runs of suffixes as arrays. Suffix positions come out in sorted runs; longest common prefixes of
-neighbours, up to a limit, are added a block at a time.
+ones in one ascending pass over the symbols, and those the S-type ones in one descending pass. A pass is driven by a
+monotone priority queue of tuples (symbol, arrival, suffix, common prefix): what a popped suffix induces has a symbol
+that is not passed yet, and arrives in sorted order within it. The number of tuples of each symbol is known from the
+start, so the queue is a file with a stretch for every symbol, filled and read in ascending order; only queues within
+the budget stay in memory.
+
+The common prefix of a tuple is that with the tuple before it under the same symbol. It is carried, not compared:
+what two suffixes induce has one symbol more in common than they have, and they have the smallest of the common
+prefixes that were popped from the one to the other. Only where induced and given suffixes of a symbol meet are two
+suffixes compared, once a symbol. Common prefixes are exact up to a limit.
+
+LMS substrings are sorted by the same two passes and named; if names repeat, the string of names is sorted by
+recursion, whatever its alphabet. Its common prefixes, counted in names, come back as numbers of symbols, and what
+is left of the first names that differ is compared.
+
+Tuples are popped a batch at a time: the symbols of a batch are those that no suffix of the batch induces into, so
+its order is that of one tuple after the other. Text, types and names are arrays in memory.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 
-QUEUE_BYTES = 32 << 20
-#: Recursion by symbol queues pays when a symbol holds so many suffixes on average.
-PER_SYMBOL = 64
-
-
-class DiskQueue:
-    """Monotone priority queue of suffix positions by symbol, first in first out within a symbol; runs beyond the budget go to a file."""
-
-    def __init__(self, budget: int = QUEUE_BYTES):
-        self.budget, self.held = budget, 0
-        self.runs: dict[int, list] = defaultdict(list)
-        self.file = None
-
-    def push(self, symbols: np.ndarray, positions: np.ndarray) -> None:
-        """Positions in order; those of one symbol keep it."""
-        if not len(symbols):
-            return
-        order = np.argsort(symbols, kind="stable")
-        symbols, positions = symbols[order], positions[order]
-        cuts = np.concatenate(([0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1, [len(symbols)]))
-        for a, b in zip(cuts, cuts[1:]):
-            self.runs[int(symbols[a])].append(positions[a:b])
-        self.held += positions.nbytes
-        if self.held > self.budget:
-            self.spill()
-
-    def spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for runs in self.runs.values():
-            waiting = [i for i, x in enumerate(runs) if isinstance(x, np.ndarray)]
-            if waiting:
-                block = np.concatenate([runs[i] for i in waiting])
-                del runs[waiting[0] :]
-                runs.append((self.file.tell(), len(block), block.dtype))
-                self.file.write(block.tobytes())
-        self.held = 0
-
-    def pop(self, symbol: int) -> np.ndarray | None:
-        """All that waits under the symbol, in order, or None."""
-        runs = self.runs.pop(symbol, None)
-        if not runs:
-            return None
-        out = []
-        for x in runs:
-            if isinstance(x, np.ndarray):
-                self.held -= x.nbytes
-                out.append(x)
-            else:
-                self.file.seek(x[0])
-                out.append(np.frombuffer(self.file.read(x[1] * x[2].itemsize), dtype=x[2]))
-        return np.concatenate(out) if len(out) > 1 else out[0]
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
+QUEUE_BYTES = 4 << 20
+#: Most tuples of a batch.
+BATCH = 1 << 16
+#: Fewest tuples of a batch that a look ahead allows for.
+LOOK = 64
+#: Symbols that are compared at a time.
+STRIDE = 16
+
+
+class TupleQueue:
+    """Tuples by symbol, first in first out within a symbol. sizes: how many each symbol will get."""
+
+    def __init__(self, sizes: np.ndarray, kind: type, budget: int):
+        self.begin = np.concatenate(([0], np.cumsum(sizes)))
+        self.end = self.begin[:-1].copy()
+        n = int(self.begin[-1])
+        self.on_disk = n * (4 + np.dtype(kind).itemsize) > budget
+        self.suffix, self.common = (self._room(n, k) for k in (np.int32, kind))
+
+    def _room(self, n: int, kind: type) -> np.ndarray:
+        if not self.on_disk:
+            return np.empty(n, dtype=kind)
+        with tempfile.TemporaryFile() as f:
+            return np.memmap(f, dtype=kind, mode="w+", shape=(n,))
+
+    def push(self, symbols: np.ndarray, heads: np.ndarray, suffixes: np.ndarray, commons: np.ndarray) -> None:
+        """Tuples sorted by symbol; heads: where each symbol's begin."""
+        counts = np.diff(np.append(heads, len(symbols)))
+        slots = np.arange(len(symbols)) + np.repeat(self.end[symbols[heads]] - heads, counts)
+        self.suffix[slots], self.common[slots] = suffixes, commons
+        self.end[symbols[heads]] += counts
 
 
 def s_types(t: np.ndarray) -> np.ndarray:
@@ -93,112 +75,202 @@ def s_types(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def induce(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, budget: int = QUEUE_BYTES) -> Iterator[np.ndarray]:
-    """All suffixes in runs, in descending order overall (each run ascending is reversed too), from LMS suffixes in the order given by `seeds`."""
-    ordered = seeds[np.argsort(t[seeds], kind="stable")] if len(seeds) else seeds
-    lows, starts = np.unique(t[ordered], return_index=True) if len(ordered) else (np.zeros(0, t.dtype), np.zeros(0, int))
-    of_seed = {int(c): ordered[a:b] for c, a, b in zip(lows, starts, np.append(starts[1:], len(ordered)))}
-    symbols = np.unique(t)
-    queue, larger = DiskQueue(budget), DiskQueue(budget)
-    queue.push(t[-1:], np.array([len(t) - 1], dtype=np.int32))
-    for c in symbols.tolist():
-        while (batch := queue.pop(c)) is not None:
-            larger.push(np.full(len(batch), c), batch)
-            before = batch[batch > 0] - 1
-            before = before[~s[before]]
-            queue.push(t[before], before)
-        if (batch := of_seed.get(c)) is not None:
-            before = batch[batch > 0] - 1
-            queue.push(t[before], before)
-    queue.close()
-    queue = DiskQueue(budget)
-    for c in symbols[::-1].tolist():
-        while (batch := queue.pop(c)) is not None:
+def compared(t: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, limit: int) -> np.ndarray:
+    """Common prefixes of the suffixes a and b (pairwise different), of which `known` symbols are known, up to the limit."""
+    out, n = np.minimum(known, limit).astype(np.int64), len(t)
+    live = np.flatnonzero(out < limit)
+    step = np.arange(STRIDE)
+    while len(live):
+        x, y = (p[live].astype(np.int64) + out[live] for p in (a, b))
+        x, y = x[:, None] + step, y[:, None] + step
+        same = (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)]) & (x < n) & (y < n)
+        more = np.where(same.all(axis=1), STRIDE, same.argmin(axis=1))
+        out[live] = np.minimum(out[live] + more, limit)
+        live = live[(more == STRIDE) & (out[live] < limit)]
+    return out
+
+
+def range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Smallest of x[lo..hi], ends included."""
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+    out, table = np.empty(len(lo), dtype=x.dtype), x
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(table[lo[here]], table[hi[here] - (1 << k) + 1])
+    return out
+
+
+class Pass:
+    """One pass over the symbols of t in ascending order: under each symbol the suffixes that were induced, then the given ones."""
+
+    def __init__(self, t: np.ndarray, wants: np.ndarray, sizes: np.ndarray, given: np.ndarray, given_commons: np.ndarray, limit: int, carry: bool, budget: int):
+        """wants: suffixes whose predecessor is induced. given: in order, by symbol; their common prefixes are with the one before under the same symbol, 0 for the first."""
+        self.t, self.wants, self.given, self.given_commons, self.limit, self.carry = t, wants, given, given_commons, limit, carry
+        self.kind = np.uint8 if limit < 255 else np.uint32
+        self.top = np.iinfo(self.kind).max
+        self.queue = TupleQueue(sizes, self.kind, budget)
+        self.given_begin = np.concatenate(([0], np.cumsum(np.bincount(t[given], minlength=len(sizes))))) if len(given) else np.zeros(len(sizes) + 1, np.int64)
+        #: Smallest common prefix popped since the last push under each symbol.
+        self.since = np.full(len(sizes) if carry else 0, self.top, dtype=self.kind)
+        self.rows = np.diff(self.queue.begin) + np.diff(self.given_begin)
+
+    def begin(self, suffix: int) -> None:
+        self.queue.push(self.t[suffix : suffix + 1], np.zeros(1, np.int64), np.array([suffix], np.int32), np.zeros(1, self.kind))
+
+    def _seam(self, last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Common prefixes of the last induced and the first given suffix of a symbol."""
+        return compared(self.t, last, first, np.ones(len(last), np.int64), self.limit).astype(self.kind) if self.carry else np.zeros(len(last), self.kind)
+
+    def _induce(self, suffixes: np.ndarray, commons: np.ndarray) -> None:
+        at = np.flatnonzero(self.wants[suffixes])
+        if len(at):
+            symbols = self.t[suffixes[at] - 1]
+            order = np.argsort(symbols, kind="stable")
+            at, symbols = at[order], symbols[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = symbols[1:] != symbols[:-1]
+            heads = np.flatnonzero(new)
+            carried = np.zeros(len(at), dtype=self.kind)
+            if self.carry:
+                lo = np.empty(len(at), dtype=np.int64)
+                lo[1:] = at[:-1] + 1
+                lo[heads] = 0
+                carried = range_minima(commons, lo, at)
+                first = symbols[heads]
+                carried[heads] = np.minimum(carried[heads], self.since[first])
+                carried = np.minimum(carried, self.limit - 1) + self.kind(1)
+                carried[heads[self.queue.end[first] == self.queue.begin[first]]] = 0
+                rest = np.append(np.minimum.accumulate(commons[::-1])[::-1], self.kind(self.top))
+                np.minimum(self.since, rest[0], out=self.since)
+                self.since[first] = rest[at[np.append(heads[1:], len(at)) - 1] + 1]
+            self.queue.push(symbols, heads, suffixes[at] - 1, carried)
+        elif self.carry and len(commons):
+            np.minimum(self.since, commons.min(), out=self.since)
+
+    def _one(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of one symbol, what it induces under itself included."""
+        q, at, last = self.queue, int(self.queue.begin[c]), None
+        while at < q.end[c]:
+            to = min(int(q.end[c]), at + BATCH)
+            batch = np.array(q.suffix[at:to]), np.array(q.common[at:to])
+            last, at = batch[0][-1:], to
             yield batch
-            before = batch[batch > 0] - 1
-            before = before[s[before]]
-            queue.push(t[before], before)
-        if (batch := larger.pop(c)) is not None:
-            batch = batch[::-1]
+            self._induce(*batch)
+        for a in range(int(self.given_begin[c]), int(self.given_begin[c + 1]), BATCH):
+            to = min(a + BATCH, int(self.given_begin[c + 1]))
+            batch = np.array(self.given[a:to]), np.array(self.given_commons[a:to], dtype=self.kind)
+            if a == self.given_begin[c] and last is not None:
+                batch[1][:1] = self._seam(last, batch[0][:1])
             yield batch
-            before = batch[batch > 0] - 1
-            before = before[s[before]]
-            queue.push(t[before], before)
-    queue.close()
-    larger.close()
+            self._induce(*batch)
 
+    def _several(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of the symbols lo <= c < hi as many as no suffix of theirs induces into: their suffixes, common prefixes and the first symbol that is left."""
+        q, (a, b) = self.queue, (int(self.queue.begin[x]) for x in (lo, hi))
+        filled = np.arange(a, b) < np.repeat(q.end[lo:hi], np.diff(q.begin[lo : hi + 1]))
+        g = slice(int(self.given_begin[lo]), int(self.given_begin[hi]))
+        induced, given = q.suffix[a:b][filled], self.given[g]
+        suffixes = np.concatenate((induced, given))
+        commons = np.concatenate((q.common[a:b][filled], self.given_commons[g].astype(self.kind)))
+        symbols, kinds = self.t[suffixes].astype(np.int64), np.arange(len(suffixes)) >= len(induced)
+        order = np.argsort(symbols * 2 + kinds, kind="stable")
+        suffixes, commons, symbols, kinds = suffixes[order], commons[order], symbols[order], kinds[order]
+        into = np.full(len(suffixes), hi, dtype=np.int64)
+        some = self.wants[suffixes]
+        into[some] = np.minimum(self.t[suffixes[some] - 1], hi)
+        least = np.minimum.accumulate(into)
+        late = np.flatnonzero(symbols >= least)
+        stop = (least[-1] if len(least) else hi) if not len(late) else min(symbols[late[0]], least[late[0] - 1] if late[0] else hi)
+        n = int(np.searchsorted(symbols, stop))
+        suffixes, commons, symbols, kinds = suffixes[:n], commons[:n], symbols[:n], kinds[:n]
+        seam = np.flatnonzero(kinds[1:] & ~kinds[:-1] & (symbols[1:] == symbols[:-1])) + 1
+        commons[seam] = self._seam(suffixes[seam - 1], suffixes[seam])
+        return suffixes, commons, int(stop)
 
-def doubling(t: np.ndarray) -> np.ndarray:
-    """Suffixes of an integer string in order, by prefix doubling."""
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1
-    order, h = np.argsort(rank, kind="stable"), 1
-    while rank.max(initial=0) < n:
-        code = rank * (n + 2)
-        code[: n - h] += rank[h:]
-        order = np.argsort(code, kind="stable")
-        sorted_code = code[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], sorted_code[1:] != sorted_code[:-1])))
-        h *= 2
-    return order
-
-
-def suffix_runs(t: np.ndarray, budget: int = QUEUE_BYTES) -> Iterator[np.ndarray]:
-    """Suffixes of an integer string of less than 2**31 symbols in descending order, in runs."""
+    def run(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(suffixes, their common prefixes with the suffix before) in batches, in order."""
+        live = np.flatnonzero(self.rows)
+        ends, k, width = np.cumsum(self.rows[live]), 0, BATCH
+        while k < len(live):
+            past = int(ends[k - 1]) if k else 0
+            to = int(np.searchsorted(ends, past + width, side="right"))
+            if to > k + 1:
+                suffixes, commons, stop = self._several(int(live[k]), int(live[to - 1]) + 1)
+                # What one look finds is about what the next will: looks much wider than that are wasted.
+                width = min(BATCH, 4 * max(len(suffixes), LOOK))
+                if stop > live[k]:
+                    if len(suffixes):
+                        yield suffixes, commons
+                        self._induce(suffixes, commons)
+                    k = int(np.searchsorted(live, stop))
+                    continue
+            yield from self._one(int(live[k]))
+            k, width = k + 1, max(width, 4 * LOOK)
+
+
+def induced(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, commons: np.ndarray, limit: int, carry: bool, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes in descending order, in batches with the common prefix of each with the greater one before, from LMS suffixes in ascending order and theirs with the one before."""
+    top = int(t.max())
+    order = np.argsort(t[seeds], kind="stable")
+    before = np.append(False, s[:-1])
+    up = Pass(t, np.append(False, ~s[:-1]), np.bincount(t[~s], minlength=top + 1), seeds[order], commons[order], limit, carry, budget)
+    up.begin(len(t) - 1)
+    for _ in up.run():
+        pass
+    down = (top - t.astype(np.int64)).astype(t.dtype)
+    with_next = np.append(up.queue.common[1:], np.zeros(1, up.kind))[::-1] if len(up.queue.common) else up.queue.common
+    yield from Pass(down, before, np.bincount(down[s], minlength=top + 1), up.queue.suffix[::-1], with_next, limit, carry, budget).run()
+
+
+def lms_order(t: np.ndarray, s: np.ndarray, lms: np.ndarray, limit: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """LMS suffixes in ascending order, and the common prefix of each with the one before."""
     n = len(t)
-    if n == 0:
-        return
-    s = s_types(t)
-    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
-    if len(lms) < 2:
-        yield from induce(t, s, lms, budget)
-        return
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     # LMS substrings in order: the same passes, seeded by position.
-    found = np.concatenate([x[is_lms[x]] for x in induce(t, s, lms, budget)])[::-1]
+    found = np.concatenate([x[is_lms[x]] for x, _ in induced(t, s, lms, np.zeros(len(lms), np.uint8), limit, False, budget)])[::-1]
     length = np.diff(np.append(lms, n))
     number = np.full(n, -1, dtype=np.int32)
     number[lms] = np.arange(len(lms), dtype=np.int32)
     a, b = found[:-1], found[1:]
     la, lb = length[number[a]], length[number[b]]
     # An LMS substring reaches to the next one's first symbol, that included; the last ends with the string.
-    differs = (la != lb) | (a + la >= n) | (b + lb >= n)
-    same = np.flatnonzero(~differs)
-    for k in range(int(la[same].max(initial=0)) + 1):
-        live = same[la[same] >= k]
-        unequal = t[a[live] + k] != t[b[live] + k]
-        differs[live[unequal]] = True
-        same = same[~differs[same]]
-        if not len(same):
-            break
+    same = (la == lb) & (a + la < n) & (b + lb < n)
+    reach = int(la[same].max(initial=0)) + 1
+    same[same] = compared(t, a[same], b[same], np.zeros(int(same.sum()), np.int64), reach) > la[same]
     names = np.empty(len(lms), dtype=np.int32)
-    names[number[found]] = np.cumsum(np.concatenate(([0], differs)))
-    distinct = int(names.max()) + 1
-    if distinct == len(lms):
-        order = found
-    elif len(lms) >= PER_SYMBOL * distinct:
-        order = lms[np.concatenate(list(suffix_runs(names, budget)))[::-1]]
+    names[number[found]] = np.cumsum(np.append(0, ~same))
+    if int(names.max()) + 1 == len(lms):
+        order, shared = number[found], np.zeros(len(lms), np.int64)
     else:
-        order = lms[doubling(names)]
-    yield from induce(t, s, order, budget)
-
-
-def suffix_array(t: np.ndarray, budget: int = QUEUE_BYTES) -> np.ndarray:
-    runs = list(suffix_runs(np.asarray(t), budget))
-    return np.concatenate(runs)[::-1] if runs else np.zeros(0, np.int64)
-
-
-def common_prefixes(t: np.ndarray, order: np.ndarray, limit: int, block: int = 1 << 14) -> np.ndarray:
-    """For each suffix but the first in `order`: symbols it shares with the one before, at most `limit`."""
-    t = np.asarray(t)
-    n, padded = len(t), np.concatenate((t.astype(np.int32), np.full(limit, -1, np.int32)))
-    rows = np.lib.stride_tricks.sliding_window_view(padded, limit)
-    out = np.zeros(max(len(order) - 1, 0), dtype=np.int64)
-    for a in range(0, len(out), block):
-        x, y = order[a : a + block], order[a + 1 : a + 1 + block]
-        x = x[: len(y)]
-        same = (rows[x] == rows[y]) & (rows[x] >= 0)
-        out[a : a + len(y)] = np.where(same.all(axis=1), limit, same.argmin(axis=1))
-    return np.minimum(out, np.minimum(n - order[:-1], n - order[1:])) if len(out) else out
+        runs = list(suffix_runs(names, limit, budget))
+        order = np.concatenate([x for x, _ in runs])[::-1]
+        # Each one's common prefix is with the greater one before it; turned round, with the smaller one.
+        shared = np.append(0, np.concatenate([c for _, c in runs])[:0:-1].astype(np.int64))
+    ends, before = np.append(lms, n), np.append(order[:1], order[:-1])
+    known = ends[np.minimum(before + shared, len(lms))] - lms[before]
+    commons = compared(t, lms[before][1:], lms[order][1:], known[1:], limit)
+    # Under another symbol nothing is shared, so that a pass finds 0 for the first of each.
+    return lms[order], np.append(0, commons)
+
+
+def suffix_runs(t: np.ndarray, limit: int = 200, budget: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Suffixes of an integer string of less than 2**31 symbols in descending order, in batches; and the symbols, up to the limit, that each has in common with the suffix before it (0 for the first)."""
+    t, budget = np.asarray(t), QUEUE_BYTES if budget is None else budget
+    if not len(t):
+        return
+    s = s_types(t)
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
+    order, commons = (lms, np.zeros(len(lms), np.int64)) if len(lms) < 2 else lms_order(t, s, lms, limit, budget)
+    yield from induced(t, s, order, commons, limit, True, budget)
+
+
+def suffix_array(t: np.ndarray, limit: int = 200, budget: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in ascending order, and the common prefix of each but the first with the one before."""
+    runs = list(suffix_runs(np.asarray(t), limit, budget))
+    if not runs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order, commons = (np.concatenate(x) for x in zip(*runs))
+    return order[::-1], commons[:0:-1].astype(np.int64)

@@ -5,9 +5,11 @@ count. The whole corpus is never in one suffix array. Of the windows of `length`
 leftmost of its ANCHOR-byte strings with the smallest hash, so equal windows have equal anchors. Neighbouring
 windows with the same anchor form a piece. Anchors that occur once in the corpus are settled: their windows are
 unique. Pieces of the others go to shards by the anchor's hash, each distinct piece of a chunk once, and a shard
-decides: a piece that occurs twice repeats in all its windows; the pieces of anchors that keep several distinct
-contexts, unless the hashes of all their windows differ from all others, are suffix-sorted by external induction
-(induced_sort.py), and neighbours with a common prefix of `length` or more repeat. Shards are as many as their bytes need.
+decides: a piece that occurs twice repeats in all its windows. The pieces of anchors that keep several distinct
+contexts are suffix-sorted by external induction (induced_sort.py): a window repeats if the common prefix that the
+sort carries from it to another window is of `length` or more. Windows whose hash no other window of the shard has
+are left out of the sort at the ends of a piece, for no other window can equal them. Shards are as many as their bytes
+need, and a sort takes about SORT_BYTES of whole anchors, its queues lying on disk.
 
 Defined results: null texts are empty; texts shorter than `length` stay whole; repeated rows are repeats of each
 other; an empty table gives an empty result; extra columns are ignored. What is left of a text may cut a UTF-8
@@ -34,7 +36,7 @@ CHUNK_BYTES = 6 << 20
 SHARD_BYTES = 24 << 20
 SHARD_ANCHORS = 1_000_000
 #: Bytes that are suffix-sorted at once; a larger group of one anchor is sorted alone.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 8 << 20
 PLACE_BITS = 24
 
 CHUNK = "chunk bigint, ids binary, sizes binary, data binary, bytes bigint"
@@ -132,14 +134,24 @@ class Chunk:
         """Sorted distinct anchor hashes, each piece's index into them, and their numbers."""
         return np.unique(self.anchor, return_inverse=True, return_counts=True)
 
+    def _equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the pieces x and y are of one anchor and have equal bytes; hashes only spare the comparison."""
+        out = (self.anchor[x] == self.anchor[y]) & (self.content[x] == self.content[y]) & (self.windows[x] == self.windows[y])
+        same = np.flatnonzero(out)
+        if len(same):
+            size = self.end[x[same]] - self.begin[x[same]]
+            equal = self.data[spans_index(self.begin[x[same]], size)] == self.data[spans_index(self.begin[y[same]], size)]
+            out[same] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        return out
+
     def open_pieces(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """shared: for each distinct anchor, whether it occurs elsewhere too. Pieces to ask about, one of each content: their numbers, in order of (anchor, content), all open pieces, each one's index into them, multiplicities."""
         _, at, _ = self.anchors()
         live = np.flatnonzero(shared[at])
         order = np.lexsort((self.content[live], self.anchor[live]))
-        a, c = self.anchor[live][order], self.content[live][order]
+        ordered = live[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        new[1:] = ~self._equal(ordered[1:], ordered[:-1])
         index = np.empty(len(order), dtype=np.int64)
         index[order] = np.cumsum(new) - 1
         return live[order[new]], live, index, np.bincount(index, minlength=int(new.sum()))
@@ -198,8 +210,8 @@ def spans_index(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
 
 
-def may_repeat(contents: list[bytes], windows: list[int], length: int, block: int = 2000) -> list[bool]:
-    """Whether any window of a piece has a hash that another window of any of them has too."""
+def may_repeat(contents: list[bytes], windows: list[int], length: int, block: int = 2000) -> list[tuple[int, int] | None]:
+    """For each piece the first and last of its windows whose hash another window of any of them has too; None if there is none."""
     if not contents:
         return []
     parts = []
@@ -211,35 +223,42 @@ def may_repeat(contents: list[bytes], windows: list[int], length: int, block: in
         parts.append(mixed((sums[at + length] - sums[at]) * powers(len(sums))[1][at]))
     h = np.concatenate(parts)
     ordered = np.sort(h)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    twice = np.unique(twice)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     hit = np.zeros(len(h), dtype=bool)
     if len(twice):
         hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-    first = np.cumsum(windows) - np.array(windows)
-    return (np.add.reduceat(hit.astype(np.int64), first) > 0).tolist()
+    w = np.array(windows)
+    first = np.cumsum(w) - w
+    place = spans_index(np.zeros(len(w), np.int64), w)
+    low = np.minimum.reduceat(np.where(hit, place, len(h)), first).tolist()
+    high = np.maximum.reduceat(np.where(hit, place, -1), first).tolist()
+    return [(a, b) if b >= 0 else None for a, b in zip(low, high)]
 
 
 def repeated_windows(contents: list[bytes], windows: list[int], length: int) -> list[np.ndarray]:
-    """For distinct pieces: which of each one's windows also occurs in another place of any of them, by suffix sorting."""
+    """For distinct pieces: which of each one's windows also occurs in another place of any of them, by the common prefixes of sorted suffixes."""
     sizes = np.array([len(c) for c in contents])
     begin = np.cumsum(sizes) - sizes
     t = np.frombuffer(b"".join(contents), dtype=np.uint8)
     w = np.array(windows)
     first = np.cumsum(w) - w
-    is_window = np.full(len(t), -1, dtype=np.int64)
-    is_window[spans_index(begin, w)] = np.arange(int(w.sum()))
-    rows = np.lib.stride_tricks.sliding_window_view(t, length)
+    is_window = np.full(len(t), -1, dtype=np.int32)
+    is_window[spans_index(begin, w)] = np.arange(int(w.sum()), dtype=np.int32)
     hit = np.zeros(int(w.sum()), dtype=bool)
-    last = np.zeros(0, dtype=np.int64)
-    for run in suffix_runs(t):
-        run = np.concatenate((last, run[is_window[run] >= 0]))
-        for a in range(0, len(run) - 1, 1 << 14):
-            x, y = run[a : a + (1 << 14)], run[a + 1 : a + 1 + (1 << 14)]
-            same = (rows[x[: len(y)]] == rows[y]).all(axis=1)
-            hit[is_window[x[: len(y)][same]]] = True
-            hit[is_window[y[same]]] = True
-        last = run[-1:]
+    # Two windows are equal if no common prefix from the one to the other is shorter: none since the last window.
+    last, shorter = np.zeros(0, dtype=np.int32), 0
+    for run, common in suffix_runs(t, length):
+        short = np.cumsum(common < length) + shorter
+        here = np.flatnonzero(is_window[run] >= 0)
+        number = np.concatenate((last, is_window[run[here]]))
+        upto = np.concatenate(([0] if len(last) else [], short[here])).astype(np.int64)
+        same = upto[1:] == upto[:-1]
+        hit[number[:-1][same]] = True
+        hit[number[1:][same]] = True
+        if len(here):
+            last, shorter = number[-1:], int(short[-1] - short[here[-1]])
+        else:
+            shorter = int(short[-1]) if len(short) else shorter
     return [hit[a : a + n] for a, n in zip(first.tolist(), windows)]
 
 
@@ -263,18 +282,22 @@ def _shard(length: int):
                 mine.append(name)
             per_ask.append(mine)
 
-        def sort(names: list) -> None:
-            for name, hit in zip(names, repeated_windows([x for _, x in names], [known[x][1] for x in names], length)):
-                known[name][2] = hit
-
         open_groups = [names for names in groups.values() if len(names) > 1 and any(known[x][0] == 1 for x in names)]
         flat = [x for names in open_groups for x in names]
         maybe = dict(zip(flat, may_repeat([x for _, x in flat], [known[x][1] for x in flat], length)))
+
+        def sort(names: list) -> None:
+            spans = [maybe[x] for x in names]
+            cut = [x[1][a : b + length] for x, (a, b) in zip(names, spans)]
+            for name, (a, b), hit in zip(names, spans, repeated_windows(cut, [b - a + 1 for a, b in spans], length)):
+                known[name][2] = np.zeros(known[name][1], dtype=bool)
+                known[name][2][a : b + 1] = hit
+
         held, size = [], 0
         for names in open_groups:
             names = [x for x in names if maybe[x]]
             held += names
-            size += sum(len(x[1]) for x in names)
+            size += sum(maybe[x][1] - maybe[x][0] + length for x in names)
             if size >= SORT_BYTES:
                 sort(held)
                 held, size = [], 0

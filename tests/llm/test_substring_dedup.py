@@ -4,8 +4,9 @@ import random
 import numpy as np
 import pytest
 
-from signfold.llm.induced_sort import DiskQueue, common_prefixes, doubling, suffix_array
-from signfold.llm.substring_dedup import substring_dedup
+from signfold.llm import induced_sort
+from signfold.llm.induced_sort import Pass, TupleQueue, suffix_array, suffix_runs
+from signfold.llm.substring_dedup import repeated_windows, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, n_bytes int, chunk string"
 
@@ -68,30 +69,67 @@ def test_kept_bytes_nulls_and_empty(spark):
     assert substring_dedup(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("alphabet", [1, 2, 4, 200])
-def test_suffix_array(alphabet):
-    r = np.random.default_rng(alphabet)
-    for n in [0, 1, 2, 3, 10, 57, 400, 3000]:
-        t = r.integers(0, alphabet, n).astype(np.uint8)
-        if n > 300:
-            t[100:200] = t[:100]
-        b = t.tobytes()
-        want = sorted(range(n), key=lambda i: b[i:])
-        assert suffix_array(t).tolist() == want
-        assert suffix_array(t, budget=64).tolist() == want
-        assert doubling(t).tolist() == want if n else True
-        lcp = common_prefixes(t, suffix_array(t), 50)
-        for k in range(min(n - 1, 300)):
-            x, y = b[want[k] :], b[want[k + 1] :]
-            m = next((j for j, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-            assert lcp[k] == min(m, 50)
-
-
-def test_queue_spills_in_order():
-    q = DiskQueue(budget=100)
-    for k in range(50):
-        q.push(np.array([k % 3, 3]), np.array([k, 100 + k]))
-    assert q.file is not None
-    assert q.pop(3).tolist() == list(range(100, 150))
-    assert q.pop(1).tolist() == list(range(1, 50, 3))
-    assert q.pop(1) is None
+@pytest.mark.parametrize("batch", [1, 3, 16, 1 << 16])
+@pytest.mark.parametrize("limit", [3, 200, 400])
+def test_suffixes_and_common_prefixes(monkeypatch, batch, limit):
+    """Any batch, limit and budget give the order and the common prefixes that comparing gives."""
+    monkeypatch.setattr(induced_sort, "BATCH", batch)
+    r = random.Random(batch + limit)
+    for turn in range(120):
+        top = r.choice([0, 1, 2, 9, 250, 100_000])
+        t = [r.randint(0, top) for _ in range(r.randint(0, 80))]
+        t = t[: len(t) // 4 + 1] * 5 if turn % 3 == 0 else t
+        want = sorted(range(len(t)), key=lambda i: t[i:])
+        shared = []
+        for a, b in zip(want, want[1:]):
+            k = 0
+            while k < limit and max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+                k += 1
+            shared.append(k)
+        order, commons = suffix_array(np.array(t, dtype=np.uint8 if top < 256 else np.int32), limit, budget=r.choice([0, 1 << 20]))
+        assert order.tolist() == want and commons.tolist() == shared
+
+
+def test_recursion_and_disk(monkeypatch):
+    """Long texts of few distinct words: names repeat on several levels, and queues beyond the budget lie in files."""
+    levels, made = [], []
+    plain, room = induced_sort.lms_order, TupleQueue._room
+
+    def counted(t, *rest):
+        levels.append(len(t))
+        return plain(t, *rest)
+
+    def seen(self, n, kind):
+        out = room(self, n, kind)
+        made.append(isinstance(out, np.memmap))
+        return out
+
+    monkeypatch.setattr(induced_sort, "lms_order", counted)
+    monkeypatch.setattr(TupleQueue, "_room", seen)
+    r = random.Random(8)
+    words = ["river ", "stone ", "field ", "runs "]
+    text = "".join(r.choice(words) for _ in range(3000)) * 2
+    t = np.frombuffer(text.encode(), np.uint8)
+    order, commons = suffix_array(t, 200, budget=1000)
+    b = text.encode()
+    assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    assert all(b[x : x + 200] == b[y : y + 200] for x, y, c in zip(order, order[1:], commons) if c == 200)
+    assert len(levels) > 3 and all(x > y for x, y in zip(levels, levels[1:])) and sum(made) > len(made) // 2
+
+
+def test_windows_are_decided_by_carried_prefixes(monkeypatch):
+    """With common prefixes that are all too short nothing repeats: no other comparison decides."""
+    pieces = [b"x" + b"ab" * 40, b"y" + b"ab" * 40]
+    assert sum(map(sum, repeated_windows(pieces, [81 - 64 + 1] * 2, 64))) > 30
+    plain = suffix_runs
+    monkeypatch.setattr("signfold.llm.substring_dedup.suffix_runs", lambda t, limit: ((x, np.minimum(c, 5)) for x, c in plain(t, limit)))
+    assert sum(map(sum, repeated_windows(pieces, [81 - 64 + 1] * 2, 64))) == 0
+
+
+def test_pass_is_monotone():
+    t = np.array([2, 1, 3, 1, 2, 0], dtype=np.uint8)
+    s = induced_sort.s_types(t)
+    up = Pass(t, np.append(False, ~s[:-1]), np.bincount(t[~s], minlength=4), np.array([1, 3]), np.array([0, 1]), 200, True, 0)
+    up.begin(5)
+    popped = np.concatenate([x for x, _ in up.run()])
+    assert (np.diff(t[popped].astype(int)) >= 0).all()
