@@ -32,7 +32,7 @@ QUEUE_BYTES = 4 << 20
 BATCH = 1 << 16
 #: Fewest tuples of a batch that a look ahead allows for.
 LOOK = 64
-#: Symbols that are compared at a time.
+#: Symbols that are compared at a time, after a first look at fewer.
 STRIDE = 16
 
 
@@ -78,15 +78,17 @@ def s_types(t: np.ndarray) -> np.ndarray:
 def compared(t: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, limit: int) -> np.ndarray:
     """Common prefixes of the suffixes a and b (pairwise different), of which `known` symbols are known, up to the limit."""
     out, n = np.minimum(known, limit).astype(np.int64), len(t)
-    live = np.flatnonzero(out < limit)
-    step = np.arange(STRIDE)
+    live, width = np.flatnonzero(out < limit), 4
     while len(live):
+        step = np.arange(width)
         x, y = (p[live].astype(np.int64) + out[live] for p in (a, b))
-        x, y = x[:, None] + step, y[:, None] + step
-        same = (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)]) & (x < n) & (y < n)
-        more = np.where(same.all(axis=1), STRIDE, same.argmin(axis=1))
+        inside = n - np.maximum(x, y)
+        x, y = (np.minimum(p[:, None] + step, n - 1) for p in (x, y))
+        same = t[x] == t[y]
+        more = np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)), inside)
         out[live] = np.minimum(out[live] + more, limit)
-        live = live[(more == STRIDE) & (out[live] < limit)]
+        live = live[(more == width) & (out[live] < limit)]
+        width = STRIDE
     return out
 
 

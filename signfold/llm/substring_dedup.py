@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced_sort import suffix_runs
-from .shared import ident, mixed, packed, powers, prefix_hash, restored, steps, unpacked, utf8, written
+from .shared import discard, ident, mixed, packed, powers, prefix_hash, restored, steps, unpacked, utf8, written
 
 LENGTH = 200
 ANCHOR = 64
@@ -170,7 +170,10 @@ def _power(x: float) -> int:
 
 _COUNT = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _SEEN = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("shared", pa.binary())])
-_ASK = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("anchors", pa.binary()), ("windows", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
+ASK = "shard bigint, chunk bigint, anchors binary, windows binary, counts binary, data binary, begins binary, index binary, cuts binary"
+_ASK = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("anchors", "windows", "counts", "data", "begins", "index", "cuts")]])
+#: The shard of a row that tells a chunk itself what it has asked.
+OWN = -1
 _TOLD = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("bits", pa.binary())])
 
 
@@ -313,61 +316,60 @@ def _shard(length: int):
 
 
 def _asked(length: int, shards: int):
+    """A chunk's questions, a row for each shard, and one for itself: where its open pieces are and which question each is."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
             row = left.to_pylist()[0]
             c = Chunk(row, length)
-            ask, _, _, counts = c.open_pieces(_shared_of(right.to_pylist(), 0))
+            ask, live, index, counts = c.open_pieces(_shared_of(right.to_pylist(), 0))
             cuts = _ranges(c.anchor[ask], shards)
-            for o, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    part = ask[a:b]
-                    data = c.data[spans_index(c.begin[part], c.end[part] - c.begin[part])]
-                    rows.append((o, row["chunk"], c.anchor[part].tobytes(), packed(c.windows[part].astype(np.uint32)), packed(counts[a:b].astype(np.uint32)), packed(data)))
+            bounds = [(o, a, b) for o, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            for o, a, b in bounds:
+                part = ask[a:b]
+                data = c.data[spans_index(c.begin[part], c.end[part] - c.begin[part])]
+                rows.append((o, row["chunk"], c.anchor[part].tobytes(), packed(c.windows[part].astype(np.uint32)), packed(counts[a:b].astype(np.uint32)), packed(data), None, None, None))
+            if bounds:
+                own = [packed(x) for x in (c.windows[ask].astype(np.uint32), c.begin[live].astype(np.int64), index.astype(np.uint32), np.array([b for _, _, b in bounds], np.int64))]
+                rows.append((OWN, row["chunk"], None, own[0], None, None, *own[1:]))
         return pa.Table.from_batches([_batch(rows, _ASK)] if rows else [], schema=_ASK)
 
     return run
 
 
 def _result(length: int, key: str, keep: bool):
-    def run(left: pa.Table, seen: pa.Table) -> pa.Table:
-        c = Chunk(left.to_pylist()[0], length)
-        covered = np.zeros(len(c.data) + 1, dtype=np.int64)
-        rows = seen.to_pylist()
-        shared = [r for r in rows if r["bits"] is None]
-        if shared:
-            ask, live, index, _ = c.open_pieces(_shared_of(shared, 0))
-            told = sorted((r for r in rows if r["bits"] is not None), key=lambda r: r["shard"])
-            hits = []
-            bounds = np.concatenate(([0], np.cumsum(c.windows[ask])))
-            for r, (a, b) in zip(told, _nonempty(c.anchor[ask], told[0]["shards"] if told else 1)):
-                hits.append(np.unpackbits(unpacked(r["bits"], np.uint8), count=int(bounds[b] - bounds[a])).astype(bool))
-            hit = np.concatenate(hits) if hits else np.zeros(0, bool)
-            size = c.windows[live]
-            flags = hit[spans_index(bounds[:-1][index], size)]
-            starts = spans_index(c.begin[live], size)[flags]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, rows = left.to_pylist()[0], right.to_pylist()
+        ids, sizes, data = unpacked(row["ids"], np.int64), unpacked(row["sizes"], np.int64), unpacked(row["data"], np.uint8)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        covered = np.zeros(len(data) + 1, dtype=np.int64)
+        own = next((r for r in rows if r["shard"] == OWN), None)
+        if own:
+            windows, cuts = unpacked(own["windows"], np.uint32).astype(np.int64), unpacked(own["cuts"], np.int64).tolist()
+            bounds = np.concatenate(([0], np.cumsum(windows)))
+            told = sorted((r for r in rows if r["shard"] != OWN), key=lambda r: r["shard"])
+            hits = [np.unpackbits(unpacked(r["bits"], np.uint8), count=int(bounds[b] - bounds[a])).astype(bool) for r, a, b in zip(told, [0, *cuts[:-1]], cuts, strict=True)]
+            hit, index = np.concatenate(hits), unpacked(own["index"], np.uint32).astype(np.int64)
+            size = windows[index]
+            starts = spans_index(unpacked(own["begins"], np.int64), size)[hit[spans_index(bounds[:-1][index], size)]]
+            # Windows of several pieces are different ones, so every start is there once.
             covered[starts] += 1
             covered[starts + length] -= 1
         gone = np.cumsum(covered[:-1]) > 0
         first = gone.copy()
         first[1:] &= ~gone[:-1]
-        inner = c.offsets[:-1][c.offsets[:-1] < len(gone)]
+        inner = offsets[:-1][offsets[:-1] < len(gone)]
         first[inner] = gone[inner]
         sums = [np.concatenate(([0], np.cumsum(x))) for x in (gone, first)]
-        removed, spans = (s[c.offsets[1:]] - s[c.offsets[:-1]] for s in sums)
-        left_over = [c.data[a:b][~gone[a:b]].tobytes() for a, b in zip(c.offsets.tolist(), c.offsets[1:].tolist())]
-        out = {key: c.ids, "n_bytes": c.sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left_over]}
+        removed, spans = (s[offsets[1:]] - s[offsets[:-1]] for s in sums)
+        left_over = [(data[a:b][~gone[a:b]] if n else data[a:b]).tobytes() for a, b, n in zip(offsets.tolist(), offsets[1:].tolist(), removed.tolist())]
+        out = {key: ids, "n_bytes": sizes, "n_removed": removed, "n_spans": spans, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left_over]}
         return pa.table(out | ({"kept": left_over} if keep else {}))
 
     return run
 
 
-def _nonempty(keys: np.ndarray, shards: int) -> list[tuple[int, int]]:
-    cuts = _ranges(keys, shards)
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
-
-
 def substring_dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with keep also the bytes that stay."""
     if length < ANCHOR:
@@ -382,8 +384,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     seen = written(asked.groupBy("shard").applyInArrow(_count, "shard bigint, chunk bigint, shared binary"), "seen")
     # An open piece has some 250 bytes; were all open, this many shards would still hold them in bounds.
     wide = _power(anchors * 100 / SHARD_BYTES)
-    asks = chunks.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(_asked(length, wide), "shard bigint, chunk bigint, anchors binary, windows binary, counts binary, data binary")
-    told = written(asks.groupBy("shard").applyInArrow(_shard(length), "shard bigint, chunk bigint, bits binary"), "told")
-    both = seen.select("shard", "chunk", "shared", F.lit(None).cast("binary").alias("bits"), F.lit(wide).alias("shards")).union(told.select("shard", "chunk", F.lit(None).cast("binary"), "bits", F.lit(wide)))
+    asks = written(chunks.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(_asked(length, wide), ASK), "asks")
+    questions = asks.filter(F.col("shard") != OWN).select("shard", "chunk", "anchors", "windows", "counts", "data")
+    told = written(questions.groupBy("shard").applyInArrow(_shard(length), "shard bigint, chunk bigint, bits binary"), "told")
+    own = asks.filter(F.col("shard") == OWN).select("shard", "chunk", "windows", "begins", "index", "cuts", F.lit(None).cast("binary").alias("bits"))
+    none = F.lit(None).cast("binary")
+    both = own.union(told.select("shard", "chunk", none, none, none, none, "bits"))
     schema = f"{key} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep else "")
-    return restored(chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_result(length, key, keep), schema), key)
+    out = restored(chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_result(length, key, keep), schema), key)
+    discard(seen)
+    out.spent = [chunks, asks, told]
+    return out
