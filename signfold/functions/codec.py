@@ -164,6 +164,15 @@ def slot(x: Column | str, log2_slots: int) -> Column:
     return F.shiftleft(hi.bitwiseAND(F.lit((1 << (log2_slots - 32)) - 1)), 32).bitwiseOR(lo)
 
 
+def slot_of(x: Column | str, slots: int) -> Column:
+    """Hash-table slot of a key in a table of any size below 2**31: the unsigned hash modulo it."""
+    if not 0 < slots < 1 << 31:
+        raise ValueError("1 to 2**31 - 1 slots are supported")
+    hi, lo = fnv1(x)
+    # hi * 2**32 + lo modulo slots, in steps that stay within 63 bits.
+    return (F.pmod(F.pmod(hi, F.lit(slots)) * F.lit((1 << 32) % slots) + F.pmod(lo, F.lit(slots)), F.lit(slots))).cast("bigint")
+
+
 def saturated(logits: Column | str, threshold: float) -> Column:
     """Share of logits beyond the threshold in absolute value."""
     logits = _col(logits)

@@ -23,8 +23,9 @@ def sigmoid_slope(x: Column) -> Column:
 
 
 def log_add_exp(a: Column, b: Column) -> Column:
+    """Minus infinity counts as no probability; two of them give minus infinity."""
     top = F.greatest(a, b)
-    return top + F.log1p(F.exp(-F.abs(a - b)))
+    return F.when(top == float("-inf"), top).otherwise(top + F.log1p(F.exp(-F.abs(a - b))))
 
 
 def log_sum_exp(values: Column | str) -> Column:

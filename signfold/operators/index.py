@@ -63,6 +63,12 @@ def bucket_of_row(index: DataFrame) -> DataFrame:
     return index.join(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("repr_id")), "key").select("id", "n", "repr_id")
 
 
+def rows_of_bucket(index: DataFrame, id: int) -> DataFrame:
+    """Ids of the whole bucket that the row with this id is in, ascending; both filters reach the scan."""
+    key = index.filter(F.col("id") == F.lit(id)).select("key").distinct()
+    return index.join(F.broadcast(key), "key", "left_semi").select("id").orderBy("id")
+
+
 def bucket_size_histogram(index: DataFrame) -> DataFrame:
     """(bucket_size, n_buckets)."""
     return index.groupBy("key").agg(F.count("*").alias("bucket_size")).groupBy("bucket_size").agg(F.count("*").alias("n_buckets"))
@@ -111,3 +117,15 @@ def hamming_join(a: DataFrame, b: DataFrame, radius: int, bits: int = 64) -> Dat
     first = F.array_position(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), F.lit(True)) - 1
     distance = hamming("a_fp", "b_fp")
     return pairs.filter((distance <= radius) & (first == F.col("band"))).select("a_id", "b_id", distance.alias("distance"))
+
+
+def hamming_links(codes: DataFrame, radius: int, bits: int = 64) -> DataFrame:
+    """(id, repr_id, n_links) of (id, fp) rows: the smallest id with the same code, and the rows within the radius, itself included.
+
+    Equal codes are one class from the start, so pairs are made between distinct codes and copies cost a row each.
+    """
+    classes = codes.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    pairs = hamming_join(classes, classes, radius, bits).join(classes.select(F.col("id").alias("b_id"), "n"), "b_id")
+    links = pairs.groupBy(F.col("a_id").alias("repr_id")).agg(F.sum("n").alias("n_links"))
+    of_code = classes.select("fp", F.col("id").alias("repr_id")).join(links, "repr_id")
+    return codes.join(of_code, "fp").select("id", "repr_id", "n_links")

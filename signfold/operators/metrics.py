@@ -159,10 +159,10 @@ def summarise_log(log: DataFrame, step: str = "step", value: str = "value", quan
 
 
 def dot_histogram(pairs: DataFrame, dot: str, k: int) -> DataFrame:
-    """(bin, n) over 2k equal bins of [-k, k], the right edge in the last bin; values outside are left out."""
+    """(bin, n) over 2k equal bins of [-k, k]; the ends' bins take what lies at or beyond them, so every number counts (null and NaN nowhere)."""
     x = F.col(dot)
-    inside = pairs.filter((x >= -k) & (x <= k))
-    return dense_histogram(inside.select(F.least(F.floor(x + k), F.lit(2 * k - 1)).cast("int").alias("bin")), "bin", 2 * k - 1)
+    place = F.least(F.greatest(F.floor(x + k), F.lit(0)), F.lit(2 * k - 1)).cast("int")
+    return dense_histogram(pairs.filter(x.isNotNull() & ~F.isnan(x)).select(place.alias("bin")), "bin", 2 * k - 1)
 
 
 def merge_histograms(histograms: DataFrame, bin: str = "bin", n: str = "n") -> DataFrame:

@@ -3,7 +3,7 @@
 The first L sets use only the L - 1 least certain bits (a set whose largest place is j comes after the empty set
 and the j singletons before it), so for small L all subsets of these are laid out as an array and the first L
 taken, within one row and without a shuffle. For larger L a heap walks the sets lazily, Arrow batch by batch.
-Ties are ordered by (cost, mask).
+Both order ties by (cost, mask), add a set's costs up from its weakest bit on, and give the same probes.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ from ..functions.codec import pack
 ARRAY_PROBES = 10
 
 
-def smallest_subset_sums(values) -> Iterator[tuple[float, tuple[int, ...]]]:
-    """(sum, indices) of all subsets of nonnegative values by sum, lazily.
+def smallest_subset_sums(values, masks=None) -> Iterator[tuple[float, tuple[int, ...]]]:
+    """(sum, indices) of all subsets of nonnegative values by sum, then by the sum of their masks (2**index if none are given), lazily.
 
     A set of places in sorted order has two followers: with its last place moved on by one, and with the next place
-    added; every set has one predecessor, so none comes twice.
+    added; every set has one predecessor, so none comes twice. Places are in order of (value, mask), so a follower of
+    equal sum has a larger mask, and the heap gives ties in order too.
     """
     values = np.asarray(values, dtype=float)
     if len(values) and values.min() < 0:
@@ -34,16 +35,22 @@ def smallest_subset_sums(values) -> Iterator[tuple[float, tuple[int, ...]]]:
     yield 0.0, ()
     if not len(values):
         return
-    order = np.argsort(values, kind="stable")
-    v = values[order].tolist()
-    heap = [(v[0], (0,))]
+    masks = [1 << i for i in range(len(values))] if masks is None else list(masks)
+    order = sorted(range(len(values)), key=lambda i: (values[i], masks[i]))
+    v, m = [float(values[i]) for i in order], [masks[i] for i in order]
+
+    def entry(places: tuple[int, ...]) -> tuple[float, int, tuple[int, ...]]:
+        # Summed from the start, not from the predecessor's sum, so that equal sets of values have equal sums.
+        return sum((v[i] for i in places), 0.0), sum(m[i] for i in places), places
+
+    heap = [entry((0,))]
     while heap:
-        cost, places = heapq.heappop(heap)
-        yield cost, tuple(int(order[i]) for i in places)
+        cost, _, places = heapq.heappop(heap)
+        yield cost, tuple(order[i] for i in places)
         last = places[-1]
         if last + 1 < len(v):
-            heapq.heappush(heap, (cost - v[last] + v[last + 1], (*places[:-1], last + 1)))
-            heapq.heappush(heap, (cost + v[last + 1], (*places, last + 1)))
+            heapq.heappush(heap, entry((*places[:-1], last + 1)))
+            heapq.heappush(heap, entry((*places, last + 1)))
 
 
 def probes(queries: DataFrame, number: int, bits: int, query_id: str = "query_id", logits: str = "logits") -> DataFrame:
@@ -71,6 +78,8 @@ def probes(queries: DataFrame, number: int, bits: int, query_id: str = "query_id
 
 def _heap_probes(number: int, bits: int):
     schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("probe_fp", pa.int64())])
+    # As signed words, like the masks of the array form.
+    masks = [1 << (bits - 1 - i) if bits - 1 - i < 63 else -(1 << 63) for i in range(bits)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +88,7 @@ def _heap_probes(number: int, bits: int):
                 ids, codes = [], []
                 for ident, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     fp = sum(1 << (bits - 1 - i) for i, v in enumerate(x) if v > 0)
-                    for _, (_, flips) in zip(range(number), smallest_subset_sums(np.abs(x))):
+                    for _, (_, flips) in zip(range(number), smallest_subset_sums(np.abs(np.asarray(x, dtype=np.float64)), masks)):
                         code = fp
                         for i in flips:
                             code ^= 1 << (bits - 1 - i)

@@ -6,6 +6,10 @@ distribution only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +72,40 @@ def positive_pairs(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("a_id"), after.alias("b_id"), "label").filter("b_id IS NOT NULL")
 
 
+def mixed_sizes(total: int | None = None, positive: int | None = None, negative: int | None = None) -> tuple[int, int]:
+    """(positive, negative) of a batch of pairs, from any two of the three numbers; half and half of a total alone."""
+    if total is None:
+        if positive is None or negative is None:
+            raise ValueError("two of total, positive and negative are needed, or the total alone")
+        total = positive + negative
+    elif positive is None and negative is None:
+        positive = total // 2
+    positive = total - negative if positive is None else positive
+    negative = total - positive if negative is None else negative
+    if positive + negative != total or positive < 0 or negative < 0:
+        raise ValueError(f"{positive} positive and {negative} negative pairs do not make {total}")
+    return positive, negative
+
+
+def mixed_batch(items: DataFrame, negatives: DataFrame, seed: int = 0, **sizes) -> DataFrame:
+    """(a_id, b_id, similar): so many positive and negative pairs, those of smallest hash. sizes: of mixed_sizes()."""
+    n, m = mixed_sizes(**sizes)
+
+    def few(pairs: DataFrame, most: int) -> DataFrame:
+        return pairs.orderBy(F.xxhash64(F.lit(seed), "a_id", "b_id"), "a_id", "b_id").limit(most)
+
+    positive = few(positive_pairs(items).select("a_id", "b_id"), n).withColumn("similar", F.lit(True))
+    return positive.unionByName(few(negatives.select("a_id", "b_id"), m).withColumn("similar", F.lit(False)))
+
+
+def labelled_batch(spark: SparkSession, n: int, size: int, replace: bool = True, seed: int = 0) -> DataFrame:
+    """(id, label): a batch of n labels of [0, size), with or without replacement."""
+    if replace:
+        return uniform_labels(spark, n, size, seed)
+    one = unique_rows(spark, 1, n, 0, size, seed)
+    return one.select(F.posexplode("values").alias("id", "label")).select(F.col("id").cast("bigint").alias("id"), "label")
+
+
 def mixed_pairs(items: DataFrame, negatives: DataFrame) -> DataFrame:
     """(a_id, b_id, similar): positive pairs and the given (a_id, b_id) negative ones."""
     return positive_pairs(items).select("a_id", "b_id", F.lit(True).alias("similar")).unionByName(negatives.select("a_id", "b_id", F.lit(False).alias("similar")))
@@ -92,30 +130,81 @@ def gather(items: DataFrame, bank: DataFrame, labels: str = "labels", bank_id: s
     return ordered.select("id", F.transform("x", lambda s: s.payload).alias("payloads"))
 
 
-def unique_rows(spark: SparkSession, rows: int, k: int, low: int, high: int, seed: int = 0) -> DataFrame:
-    """(row_id, values): k distinct integers of [low, high) in each row.
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
 
-    A hashed affine walk over the residues modulo a prime above the range visits no value twice, so nothing is
-    rejected or shuffled and any range costs k steps a row (a few more where the walk leaves the range).
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (that of splitmix64)."""
+    x = x + _MIX[0]
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+class HashedDraws:
+    """Uniform integers below a bound for many rows at once, each row with a stream of its own that depends on (seed, row) only."""
+
+    def __init__(self, rows: np.ndarray, seed: int):
+        self.state = _mixed(rows.astype(np.uint64) ^ _mixed(np.full(len(rows), seed & ((1 << 64) - 1), dtype=np.uint64)))
+        self.taken = np.zeros(len(rows), dtype=np.uint64)
+
+    def below(self, bound: int, at: np.ndarray) -> np.ndarray:
+        """For the rows `at`. Numbers of the last, incomplete stretch of the 64-bit range are drawn again, so that none is favoured."""
+        whole = np.uint64((1 << 64) // bound * bound - 1)
+        out, left = np.empty(len(at), dtype=np.uint64), np.arange(len(at))
+        while len(left):
+            rows = at[left]
+            self.taken[rows] += np.uint64(1)
+            x = _mixed(self.state[rows] + self.taken[rows] * _MIX[1])
+            good = x <= whole
+            out[left[good]] = x[good] % np.uint64(bound)
+            left = left[~good]
+        return out.astype(np.int64)
+
+
+def distinct_rows(rows: np.ndarray, k: int, size: int, seed: int) -> np.ndarray:
+    """k distinct integers of [0, size) for each row number, every ordered choice equally likely.
+
+    Sparse choices draw again what a row has already; dense ones (more than half of the range) swap through it.
     """
+    draws, n = HashedDraws(rows, seed), len(rows)
+    every = np.arange(n)
+    if 2 * k > size:
+        deck = np.tile(np.arange(size), (n, 1))
+        for j in range(k):
+            at = j + draws.below(size - j, every)
+            deck[every, at], deck[every, j] = deck[every, j].copy(), deck[every, at].copy()
+        return deck[:, :k]
+    out = np.full((n, k), -1, dtype=np.int64)
+    for j in range(k):
+        left = every
+        while len(left):
+            drawn = draws.below(size, left)
+            good = ~(out[left, :j] == drawn[:, None]).any(axis=1)
+            out[left[good], j] = drawn[good]
+            left = left[~good]
+    return out
+
+
+def unique_rows(spark: SparkSession, rows: int, k: int, low: int, high: int, seed: int = 0) -> DataFrame:
+    """(row_id, values): k distinct integers of [low, high) in each row, for ranges of up to 2**63 integers; a row depends on the seed and its number only."""
     size = high - low
     if k > size:
         raise ValueError(f"{k} distinct values do not fit a range of {size}")
-    p = _prime_above(size)
-    # Of p residues p - size are skipped, so this many steps hold k values of the range.
-    steps = k + (p - size)
-    start = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(p))
-    stride = F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(p - 1)) + 1
-    walk = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint")), lambda i: F.pmod(F.col("start") + i * F.col("stride"), F.lit(p)))
-    kept = F.slice(F.filter(walk, lambda v: v < F.lit(size)), 1, k)
-    return spark.range(rows).select(F.col("id").alias("row_id"), start.alias("start"), stride.alias("stride")).select("row_id", F.transform(kept, lambda v: v + F.lit(low)).alias("values"))
-
-
-def _prime_above(n: int) -> int:
-    n = max(n, 2)
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+    if size > 1 << 63:
+        raise OverflowError("the range has more than 2**63 integers")
+    schema = pa.schema([("row_id", pa.int64()), ("values", pa.list_(pa.int64()))])
+    block = max(1, (1 << 20) // max(1, size if 2 * k > size else k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                part = batch.column(0).slice(a, block)
+                values = distinct_rows(part.to_numpy(), k, size, seed) + low
+                ends = pa.array(np.arange(len(values) + 1) * k, pa.int32())
+                yield pa.RecordBatch.from_arrays([part, pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], schema=schema)
+
+    return spark.range(rows).mapInArrow(run, "row_id bigint, values array<bigint>")
 
 
 def hashed_choice(values: Column, seed: int = 0, *keys: str) -> Column:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from decimal import Decimal
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, losses
 from ..operators import entropy, index, intervals, metrics, probing, querysets
-from ..sources import procedural, tables
+from ..sources import encoder, images, procedural, tables
 from ..streaming import incremental
 from . import fixtures as fx
 
@@ -155,10 +159,33 @@ def idx_distinct_codes(spark, sf_dir):
     return index.distinct_codes(fx.orders(spark, sf_dir))
 
 
-@query(f"WITH {fx.EMB} SELECT a.id AS a_id, b.id AS b_id, {fx.distance('a.embedding', 'b.embedding', 32)} AS distance FROM emb a JOIN emb b ON {fx.distance('a.embedding', 'b.embedding', 32)} <= 5 WHERE a.id < 500 AND b.id < 500")
+@query(f"WITH {fx.EMB}, l AS (SELECT a.id, count(*) AS n_links, min(CASE WHEN d = 0 THEN b_id END) AS repr_id FROM (SELECT a.id, b.id AS b_id, {fx.distance('a.embedding', 'b.embedding', 64)} AS d FROM emb a, emb b) a WHERE d <= 5 GROUP BY a.id) SELECT id, repr_id, n_links FROM l")
 def idx_hamming_join(spark, sf_dir):
-    codes = fx.vectors(spark, sf_dir).select("id", codec.pack("embedding", 32).alias("fp"))
-    return index.hamming_join(codes, codes, 5, 32)
+    """Per vector the representative of its code and the vectors within radius 5, itself included; pairs are made of distinct codes only."""
+    codes = fx.vectors(spark, sf_dir).select("id", codec.pack("embedding").alias("fp"))
+    return index.hamming_links(codes, 5)
+
+
+@query("SELECT o_orderkey AS id FROM orders, (SELECT xor(((o_custkey * 2654435761) >> 8) & 4095, CASE WHEN o_orderkey % 7 = 0 THEN (1::BIGINT) << (o_orderkey % 12) ELSE 0::BIGINT END) AS k FROM orders WHERE o_orderkey = 33) WHERE xor(((o_custkey * 2654435761) >> 8) & 4095, CASE WHEN o_orderkey % 7 = 0 THEN (1::BIGINT) << (o_orderkey % 12) ELSE 0::BIGINT END) = k")
+def idx_whole_bucket(spark, sf_dir):
+    return index.rows_of_bucket(fx.orders(spark, sf_dir).select("key", "id"), 33)
+
+
+@query(f"WITH {fx.ORD}, h AS (SELECT DISTINCT label, CAST({_FNV} % 3000::HUGEINT AS BIGINT) AS slot FROM ord) SELECT slot, count(*) AS n FROM h GROUP BY slot")
+def fpr_slot_any(spark, sf_dir):
+    """Slots of a table whose size is no power of two."""
+    return fx.orders(spark, sf_dir).select("label").distinct().select(codec.slot_of("label", 3000).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+
+
+@query("SELECT base, digits, CAST(pow(base::DOUBLE, digits) <= 9223372036854775808 AS BOOLEAN) AS fits FROM (VALUES (2, 63), (2, 64), (10, 18), (10, 19), (1000, 6), (100000, 4)) t(base, digits)")
+def cod_capacity(spark, sf_dir):
+    def fits(base: int, digits: int) -> bool:
+        try:
+            return codec.check_capacity(base, digits) > 0
+        except OverflowError:
+            return False
+
+    return spark.createDataFrame([(b, d, fits(b, d)) for b, d in ((2, 63), (2, 64), (10, 18), (10, 19), (1000, 6), (100_000, 4))], "base int, digits int, fits boolean")
 
 
 # --- query sets -----------------------------------------------------------------------------------------
@@ -190,11 +217,15 @@ def jon_negative(spark, sf_dir):
     return querysets.absent_labels(_candidates(spark, sf_dir), fx.mosaics(spark, sf_dir).withColumnRenamed("label_key", "label")).withColumnRenamed("label", "label_key")
 
 
-@query("SELECT 0::BIGINT AS n_bad_positive, 0::BIGINT AS n_bad_negative")
+_PLANTED = "SELECT label FROM c UNION SELECT label_key FROM mos WHERE label_key % 5 = 0"
+
+
+@query(f"WITH {fx.MOSAICS}, c AS ({_CANDIDATES}), b AS ({_PLANTED}) SELECT (SELECT count(*) FROM b WHERE label NOT IN (SELECT label_key FROM mos)) AS n_bad_positive, (SELECT count(*) FROM b WHERE label IN (SELECT label_key FROM mos)) AS n_bad_negative")
 def jon_verify(spark, sf_dir):
+    """One set of labels, partly present and partly absent, held against both rules: each side has its planted errors."""
     database = fx.mosaics(spark, sf_dir).withColumnRenamed("label_key", "label")
-    positive = querysets.positive_labels(database.withColumnRenamed("first_id", "id"))
-    return querysets.verify_query_sets(positive, querysets.absent_labels(_candidates(spark, sf_dir), database), database)
+    planted = _candidates(spark, sf_dir).union(database.filter("label % 5 = 0").select("label")).distinct()
+    return querysets.verify_query_sets(planted, planted, database)
 
 
 @query("WITH l AS (SELECT DISTINCT o_custkey AS label FROM orders) SELECT label AS a_key, (label + 1 + (label * 7919) % 99999) % 100000 AS b_key FROM l")
@@ -314,10 +345,34 @@ def agg_train_log(spark, sf_dir):
     return s.select("step", "n", *[r6(F.col(c)).alias(c) for c in s.columns[2:]])
 
 
-@query(f"WITH {fx.PAIRS}, dots AS (SELECT list_sum([a[i]::DOUBLE * b[i]::DOUBLE for i in range(1, 9)]) AS x FROM pairs), b AS (SELECT CAST(least(floor(x + 8), 15) AS INTEGER) AS bin FROM dots WHERE x BETWEEN -8 AND 8) SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM b WHERE b.bin = i) AS n FROM range(0, 16) t(i)")
+_TANH_DOT = "list_sum([tanh(a[i]::DOUBLE) * tanh(b[i]::DOUBLE) for i in range(1, 65)])"
+_BIN = "CAST(least(greatest(floor(x + 64), 0), 127) AS INTEGER)"
+
+
+@query(f"WITH {fx.PAIRS}, b AS (SELECT {_BIN} AS bin FROM (SELECT {_TANH_DOT} AS x FROM pairs)) SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM b WHERE b.bin = i) AS n FROM range(0, 128) t(i)")
 def agg_dot_hist(spark, sf_dir):
-    dots = fx.vector_pairs(spark, sf_dir).select(losses.total(F.zip_with(F.slice("a", 1, 8), F.slice("b", 1, 8), lambda x, y: x.cast("double") * y.cast("double"))).alias("x"))
-    return metrics.dot_histogram(dots, "x", 8)
+    dots = fx.vector_pairs(spark, sf_dir).select(losses.tanh_dot("a", "b").alias("x"))
+    return metrics.dot_histogram(dots, "x", 64)
+
+
+@query(f"WITH {fx.PAIRS}, b AS (SELECT {_BIN} AS bin FROM (SELECT {_TANH_DOT} AS x FROM pairs)) SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM b WHERE b.bin = i) AS n FROM range(0, 128) t(i)")
+def agg_merge_hist(spark, sf_dir):
+    """Histograms of two batches, merged bin by bin, are that of both."""
+    dots = fx.vector_pairs(spark, sf_dir).select("a_id", losses.tanh_dot("a", "b").alias("x"))
+    batches = [metrics.dot_histogram(dots.filter(F.col("a_id") % 2 == k), "x", 64) for k in (0, 1)]
+    return metrics.merge_histograms(batches[0].union(batches[1]))
+
+
+_QUICK = f"(SELECT count(*) AS n_pairs, CAST(floor(quantile_cont(dp, 0.5)) AS INTEGER) AS median_positive, CAST(floor(quantile_cont(dn, 0.5)) AS INTEGER) AS median_negative FROM {_D16}), (SELECT count(*) AS n_codes, count(DISTINCT fp) AS n_unique_codes FROM {_CODES})"
+
+
+@query(f"WITH {fx.TRIPLETS} SELECT step, n_pairs, median_positive, median_negative, n_codes, n_unique_codes FROM {_QUICK}, (VALUES (100::BIGINT), (200::BIGINT)) t(step)")
+def agg_quick_steps(spark, sf_dir):
+    """Quick results of two steps, appended to a table and read back."""
+    codes, path = fx.triplet_codes(spark, sf_dir, 16), f"{tables.workspace(spark, 'quick')}"
+    for step in (100, 200):
+        metrics.quick_results_at(codes, step).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("SELECT round(avg((abs(v) > 0.5)::INTEGER::DOUBLE), 6) AS clip_ratio, round(avg(least(greatest(v::DOUBLE, -0.5), 0.5)), 6) AS mean_clipped FROM (SELECT unnest(embedding) AS v FROM embeddings)")
@@ -357,10 +412,21 @@ def prb_search_ids(spark, sf_dir):
     return probing.multi_probe_search(v, v.select("id", codec.pack("embedding", 8).alias("key")), 3, 8, "id", "embedding")
 
 
-@query()
+@query(f"WITH {_probes(16, 12)} SELECT query_id, rank, probe_fp FROM probes")
 def prb_heap(spark, sf_dir):
-    """40 probes by the lazy heap."""
-    return probing.probes(fx.vectors(spark, sf_dir), 40, 64, "id", "embedding")
+    """12 probes by the lazy heap."""
+    return probing.probes(fx.vectors(spark, sf_dir), 12, 16, "id", "embedding")
+
+
+_TIED = ["(0, [1, 1, 1, 1, 1, 1])", "(1, [-1, -1, -1, -1, -1, -1])", "(2, [0.5, 0.25, -0.25, 0.5, 0.75, 0])"]
+
+
+@query(f"WITH embeddings AS (SELECT id AS vec_id, 0 AS label, v::DOUBLE[] AS embedding FROM (VALUES {', '.join(_TIED)}) t(id, v)), {_probes(6, 7)} SELECT query_id, rank, probe_fp FROM probes")
+def prb_ties(spark, sf_dir):
+    """Equal costs are probed in order of the masks, by the heap as by the array."""
+    rows = [(0, [1.0] * 6), (1, [-1.0] * 6), (2, [0.5, 0.25, -0.25, 0.5, 0.75, 0.0])]
+    v = spark.createDataFrame(rows, "query_id bigint, logits array<double>")
+    return probing.probes(v, 40, 6).filter("rank <= 7")
 
 
 @query(f"WITH {fx.SPLIT}{_RESULTS} SELECT query_id, n_truth, n_relevant, n_irrelevant, CASE WHEN complete THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS completeness, CASE WHEN sound THEN 'SOUND' ELSE 'UNSOUND' END AS soundness, CASE WHEN perfect THEN 'PERFECT' ELSE 'IMPERFECT' END AS verdict, n_truth - n_relevant AS n_missed FROM r")
@@ -398,7 +464,7 @@ _THREE = "(VALUES " + ", ".join(f"({a}, {b}, {c})" for a, b, c in _TUPLES3) + ")
 
 @query(f"WITH {fx.EMB} SELECT i, j, k, CASE WHEN embedding[i + 1] > 0 THEN 4 ELSE 0 END + CASE WHEN embedding[j + 1] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[k + 1] > 0 THEN 1 ELSE 0 END AS pattern, count(*) AS n FROM emb, {_THREE} GROUP BY ALL")
 def ent_pattern_counts(spark, sf_dir):
-    return entropy.with_tuple(entropy.pattern_counts_arrow(_codes(spark, sf_dir), "fp", _TUPLES3, _BITS), _TUPLES3, ["i", "j", "k"])
+    return entropy.with_tuple(entropy.pattern_counts(_codes(spark, sf_dir), "fp", _TUPLES3, _BITS), _TUPLES3, ["i", "j", "k"])
 
 
 _LS = "(least({0}, 0) - ln(1 + exp(-abs({0}))))"
@@ -445,6 +511,56 @@ def ent_gradient(spark, sf_dir):
     return g.select(F.col("id").alias("vec_id"), "bit", r6(F.col("grad")).alias("grad"))
 
 
+@query(f"WITH {fx.EMB}, {_COND}, g AS (SELECT id, i, sum(p * logit) AS g FROM jl JOIN cl USING (i, j, v) GROUP BY id, i) SELECT id AS vec_id, CAST(i AS INTEGER) AS bit, round(0.5 * g * exp({_ls('embedding[i + 1]', 1)} + {_ls('embedding[i + 1]', -1)}) / (SELECT count(*) FROM emb), 6) AS grad FROM g JOIN emb USING (id)")
+def ent_shuffled_gradient(spark, sf_dir):
+    """The gradient of all pairs under another order of the bits, weighted: the same pairs, so half the same gradient."""
+    g = entropy.entropy_gradient(fx.vectors(spark, sf_dir), "id", "embedding", _TUPLES, weight=0.5, shuffle=[3, 1, 7, 0, 2, 6, 5, 4])
+    return g.select(F.col("id").alias("vec_id"), "bit", r6(F.col("grad")).alias("grad"))
+
+
+@query(f"WITH {fx.EMB}, s AS (SELECT i, j, {_soft('embedding[i + 1]', 'embedding[j + 1]')} FROM emb, {_VALUES}), m AS (SELECT i, j, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2, avg(p3) AS p3 FROM s GROUP BY i, j) SELECT i, j, CAST(k AS INTEGER) AS pattern, round(ln([p0, p1, p2, p3][k + 1]), 6) AS log_p FROM m, range(0, 4) t(k)")
+def ent_log_average(spark, sf_dir):
+    e = entropy.with_tuple(entropy.log_average_distribution(fx.vectors(spark, sf_dir), "embedding", _TUPLES), _TUPLES, ["i", "j"])
+    return e.select("i", "j", "pattern", r6(F.col("log_p")).alias("log_p"))
+
+
+# Logits beyond what exponentials hold: log P(1) is 0 up to rounding, log P(0) is minus the logit.
+@query("SELECT CAST(b AS INTEGER) AS bit, CAST(o AS INTEGER) AS other_bit, CAST(v AS INTEGER) AS pattern, CASE WHEN b = 0 THEN 800.0::DOUBLE ELSE 900.0::DOUBLE END AS logit FROM (VALUES (0, 1), (1, 0)) t(b, o), range(0, 2) u(v)")
+def ent_saturated_logits(spark, sf_dir):
+    """Conditional logits of rows that all have logits 800 and 900."""
+    v = fx.vectors(spark, sf_dir).select(F.array(F.lit(800.0), F.lit(900.0)).alias("x"))
+    subs, _ = entropy.sub_tuples([(0, 1)])
+    other = F.element_at(F.array(*[F.lit(t[0]) for t in subs]), F.col("sub") + 1)
+    return entropy.conditional_logits(v, "x", [(0, 1)]).select("bit", other.alias("other_bit"), "pattern", r6(F.col("logit")).alias("logit"))
+
+
+_ONE = "one AS (SELECT i, CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END AS pattern, count(*) AS n FROM emb, range(0, 8) t(i) GROUP BY ALL)"
+
+
+@query(f"WITH {fx.EMB}, {_ONE}{_HARD}, two AS (SELECT i, j, pattern, count(*) AS n FROM c GROUP BY ALL), e AS (SELECT 1 AS size, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM one GROUP BY i UNION ALL SELECT 2, log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM two GROUP BY i, j) SELECT CAST(size AS INTEGER) AS size, round(greatest(min(entropy), 0), 6) AS worst FROM e GROUP BY size")
+def agg_worst_entropies(spark, sf_dir):
+    """The smallest entropy among tuples of each size, as quick results report it."""
+    codes = _codes(spark, sf_dir)
+    sizes = [entropy.tuple_entropy(codes, "fp", list(itertools.combinations(range(_BITS), k)), _BITS).select(F.lit(k).alias("size"), "entropy") for k in (1, 2)]
+    worst = metrics.worst_entropies(sizes[0].union(sizes[1]))
+    return worst.select(F.explode("worst_entropies").alias("size", "worst")).select("size", r6(F.col("worst")).alias("worst"))
+
+
+@query("SELECT CAST(a.x AS INTEGER) AS i, CAST(b.x AS INTEGER) AS j, true AS covered FROM range(0, 8) a(x), range(0, 8) b(x) WHERE a.x < b.x")
+def ent_covering(spark, sf_dir):
+    """Of covering 4-subsets of 8 places, padded by 5 more: whether every pair lies in one."""
+    chosen = entropy.covering_combinations(8, 4, 2, seed=1)
+    chosen = entropy.padded_combinations(chosen, 8, len(chosen) + 5, seed=2)
+    pairs = [(i, j, any({i, j} <= set(t) for t in chosen)) for i, j in _TUPLES]
+    return spark.createDataFrame(pairs, "i int, j int, covered boolean")
+
+
+@query("SELECT CAST(a.x AS INTEGER) AS bit, CAST(b.x AS INTEGER) AS other_bit FROM range(0, 8) a(x), range(0, 8) b(x) WHERE a.x <> b.x")
+def ent_sub_tuples(spark, sf_dir):
+    subs, of_bit = entropy.sub_tuples(_TUPLES)
+    return spark.createDataFrame([(i, subs[s][0]) for i, x in of_bit.items() for s in x], "bit int, other_bit int")
+
+
 # --- losses and schedules -------------------------------------------------------------------------------
 
 
@@ -482,6 +598,29 @@ def los_hamming(spark, sf_dir):
     return p.agg(r6(F.avg(losses.hamming_loss("a", "b", 0.1))).alias("loss"))
 
 
+_SIDED = "round(greatest({x}, 0) + ln(1 + exp(-abs({x}))){y}, 6)"
+
+
+@query(f"WITH {fx.PAIRS}, t AS (SELECT a_id, b_id, 0.5::DOUBLE * list_sum([tanh(a[i]::DOUBLE) * tanh(b[i]::DOUBLE) for i in range(1, 65)]) AS x FROM pairs) SELECT a_id, b_id, {_SIDED.format(x='x', y=' - x')} AS positive_loss, {_SIDED.format(x='x', y='')} AS negative_loss FROM t")
+def los_one_sided(spark, sf_dir):
+    """The pair loss of pairs that are all similar, and of pairs that all differ."""
+    p = fx.vector_pairs(spark, sf_dir).withColumn("dot", losses.tanh_dot("a", "b"))
+    return p.select("a_id", "b_id", r6(losses.pair_loss("dot", F.lit(1), 0.5)).alias("positive_loss"), r6(losses.pair_loss("dot", F.lit(0), 0.5)).alias("negative_loss"))
+
+
+@query("SELECT vec_id, list_sum([sign(v)::BIGINT for v in embedding])::BIGINT AS signs, list_sum([CASE WHEN v >= 0 THEN 1 ELSE 0 END for v in embedding])::BIGINT AS steps FROM embeddings")
+def los_sign(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    signs, steps = (F.aggregate(F.transform("embedding", f), F.lit(0.0), lambda acc, x: acc + x.cast("double")) for f in (losses.straight_sign, losses.heaviside))
+    return v.select(F.col("id").alias("vec_id"), i64(signs).alias("signs"), i64(steps).alias("steps"))
+
+
+@query("SELECT vec_id, round(list_sum([CASE WHEN abs(v) < 1 THEN 2.0::DOUBLE * v::DOUBLE ELSE 2.0::DOUBLE * sign(v)::DOUBLE END for v in embedding]), 6) AS slope FROM embeddings")
+def los_huber_slope(spark, sf_dir):
+    slopes = F.transform("embedding", lambda x: losses.huber_slope(x.cast("double"), 2.0, 1.0))
+    return fx.vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), r6(losses.total(slopes)).alias("slope"))
+
+
 @query("SELECT CAST(i AS BIGINT) AS step, round(pow(1 + 0.005 * ((i // 200) * 200), 0.5), 6) AS value FROM range(0, 1000, 50) t(i)")
 def sch_polynomial(spark, sf_dir):
     s = spark.range(0, 1000, 50).withColumnRenamed("id", "step")
@@ -509,20 +648,74 @@ def smp_triplets(spark, sf_dir):
     return querysets.triplets(fx.orders(spark, sf_dir))
 
 
-@query()
+def _shape(rows: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """One row: rows, rows of k distinct values, rows within [low, high), distinct rows beyond 99 % of all."""
+    good = (F.size("values") == k) & ~codec.has_repeats("values")
+    inside = F.forall("values", lambda v: (v >= low) & (v < high))
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(good).alias("n_distinct"), F.count_if(inside).alias("n_inside"), (F.count_distinct("values") > 0.99 * F.count("*")).alias("varied"))
+
+
+@query("SELECT 10000::BIGINT AS n_rows, 10000::BIGINT AS n_distinct, 10000::BIGINT AS n_inside, true AS varied")
 def smp_unique_rows(spark, sf_dir):
-    return querysets.unique_rows(spark, 10_000, 5, 10, 1000, seed=3).withColumn("repeated", codec.has_repeats("values"))
+    return _shape(querysets.unique_rows(spark, 10_000, 5, 10, 1000, seed=3), 5, 10, 1000)
+
+
+@query("SELECT 10000::BIGINT AS n_rows, 10000::BIGINT AS n_distinct, 10000::BIGINT AS n_inside, true AS varied")
+def smp_unique_wide(spark, sf_dir):
+    """Of a range of 2**62 integers."""
+    return _shape(querysets.unique_rows(spark, 10_000, 5, 0, 1 << 62, seed=9), 5, 0, 1 << 62)
+
+
+# All 60 ordered choices of 3 of 5, each near the 1,000 times that it is expected.
+@query("SELECT a.x * 100 + b.x * 10 + c.x AS choice, true AS near FROM range(0, 5) a(x), range(0, 5) b(x), range(0, 5) c(x) WHERE a.x <> b.x AND a.x <> c.x AND b.x <> c.x")
+def smp_unique_support(spark, sf_dir):
+    v = querysets.unique_rows(spark, 60_000, 3, 0, 5, seed=6).select((F.col("values")[0] * 100 + F.col("values")[1] * 10 + F.col("values")[2]).alias("choice"))
+    return v.groupBy("choice").agg(F.count("*").between(850, 1150).alias("near"))
 
 
-@query()
+@query("SELECT 2000::BIGINT AS n_rows, 2000::BIGINT AS n_distinct, 2000::BIGINT AS n_inside, true AS varied")
 def smp_unique_mosaics(spark, sf_dir):
-    rows = querysets.unique_rows(spark, 2000, 3, 0, codec.check_capacity(50, 4), seed=4)
-    return rows.select("row_id", F.transform("values", lambda v: F.array_join(codec.key_to_digits(v, 50, 4).cast("array<string>"), "-")).alias("mosaics"))
+    """Distinct mosaics in each row, taken apart into cells and put together again."""
+    size = codec.check_capacity(50, 4)
+    rows = querysets.unique_rows(spark, 2000, 3, 0, size, seed=4)
+    back = F.transform("values", lambda v: codec.digits_to_key(codec.key_to_digits(v, 50, 4), 50))
+    return _shape(rows.select(back.alias("values")), 3, 0, size)
 
 
-@query()
+@query("SELECT 1000::BIGINT AS n, 1000::BIGINT AS n_first_rows, true AS n_labels_varied")
 def smp_positive_queries(spark, sf_dir):
-    return querysets.sample_positive(fx.orders(spark, sf_dir), 1000, seed=5)
+    """Drawn labels come with the first row that has them."""
+    o = fx.orders(spark, sf_dir)
+    drawn = querysets.sample_positive(o, 1000, seed=5)
+    firsts = o.groupBy("label").agg(F.min("id").alias("first"))
+    return drawn.join(firsts, "label").agg(F.count("*").alias("n"), F.count_if(F.col("first_id") == F.col("first")).alias("n_first_rows"), (F.count_distinct("label") > 50).alias("n_labels_varied"))
+
+
+@query('SELECT "similar", n FROM (VALUES (true, 30::BIGINT), (false, 70::BIGINT)) t("similar", n)')
+def smp_mixed_batch(spark, sf_dir):
+    o = fx.orders(spark, sf_dir)
+    return querysets.mixed_batch(o, querysets.shifted_negatives(o, 1), total=100, positive=30).groupBy("similar").agg(F.count("*").alias("n"))
+
+
+@query("SELECT x AS total, x // 2 AS positive, x - x // 2 AS negative FROM range(0, 20) t(x)")
+def smp_mixed_sizes(spark, sf_dir):
+    return spark.createDataFrame([(n, *querysets.mixed_sizes(total=n)) for n in range(20)], "total bigint, positive bigint, negative bigint")
+
+
+@query("SELECT x AS label FROM range(0, 500) t(x)")
+def smp_labelled_batch(spark, sf_dir):
+    """A batch without replacement as large as the label space has every label once."""
+    return querysets.labelled_batch(spark, 500, 500, replace=False, seed=8).select("label")
+
+
+@query("SELECT n, n AS n_inside FROM (VALUES (1000::BIGINT)) t(n)")
+def smp_uniform_labels(spark, sf_dir):
+    return querysets.labelled_batch(spark, 1000, 37).agg(F.count("*").alias("n"), F.count_if(F.col("label").between(0, 36)).alias("n_inside"))
+
+
+@query("SELECT lo, least(lo + 300, 1000) AS hi FROM (SELECT x * 300 AS lo FROM range(0, 4) t(x))")
+def smp_slices(spark, sf_dir):
+    return spark.createDataFrame(list(querysets.slices(1000, 300)), "lo bigint, hi bigint")
 
 
 # --- sources --------------------------------------------------------------------------------------------
@@ -540,14 +733,112 @@ def src_merge(spark, sf_dir):
     return tables.merge_shards([querysets.id_range(o, 0, 5000), querysets.id_range(o, 5000, 1 << 62)])
 
 
-@query()
+@query("SELECT 10000::BIGINT AS n, 0::BIGINT AS lo, 9999::BIGINT AS hi, 10000::BIGINT AS n_inside, 50::BIGINT AS n_same")
 def src_procedural(spark, sf_dir):
-    return procedural.ProceduralTable(7, 10_000, 256, lambda rng, n: rng.integers(0, 1000, n)).frame(spark)
+    """Values of [0, 1000) by chunks; rows that are asked for one by one are those of the scan."""
+    table = procedural.ProceduralTable(7, 10_000, 256, lambda rng, n: rng.integers(0, 1000, n))
+    every = table.frame(spark)
+    asked = table.rows(spark.range(50).select((F.col("id") * 199).alias("id")))
+    same = every.join(asked.withColumnRenamed("value", "again"), "id").agg(F.count_if(F.col("value") == F.col("again")).alias("n_same"))
+    return every.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if((F.col("value") >= 0) & (F.col("value") < 1000)).alias("n_inside")).crossJoin(same)
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS n_inside, true AS varied FROM orders")
 def src_procedural_labels(spark, sf_dir):
-    return procedural.labels_table(fx.orders(spark, sf_dir), "valid", 11)
+    v = procedural.labels_table(fx.orders(spark, sf_dir), "valid", 11).withColumn("noise", F.col("value") - F.col("label"))
+    return v.agg(F.count("*").alias("n"), F.count_if(F.col("noise").between(0, 1)).alias("n_inside"), (F.count_distinct("noise") > 0.9 * F.count("*")).alias("varied"))
+
+
+@query("SELECT count(*) AS n_saved, true AS refused, 2 * count(*) AS n_appended, count(*) AS n_forced FROM orders")
+def src_guard(spark, sf_dir):
+    """A table that exists is not written over unless that is forced; appending adds to it."""
+    o, path = fx.orders(spark, sf_dir).select("key", "id"), tables.workspace(spark, "guard")
+    tables.save(o, path)
+    saved = tables.eager(tables.read(spark, path)).count()
+    try:
+        tables.save(o, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    o.write.mode("append").parquet(path)
+    appended = spark.read.parquet(path).count()
+    tables.save(o, path, force=True)
+    return spark.createDataFrame([(saved, refused, appended, spark.read.parquet(path).count())], "n_saved bigint, refused boolean, n_appended bigint, n_forced bigint")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey // 1000 AS chunk FROM orders")
+def src_resume(spark, sf_dir):
+    """A table written in two goes: what the first one finished is not written again."""
+    o = fx.orders(spark, sf_dir).select("id")
+    sink = tables.ResumableSink(spark, tables.workspace(spark, "resume"), 1000)
+    sink.write(sink.pending(o).filter("chunk % 2 = 0"))
+    sink.write(sink.pending(o))
+    return spark.read.parquet(sink.path).select("id", i64(F.col("chunk")).alias("chunk"))
+
+
+@query("SELECT which, lo, hi FROM (VALUES ('train', 0, 60000), ('valid', 60000, 65000), ('test', 65000, 70000)) t(which, lo, hi)")
+def src_splits(spark, sf_dir):
+    splits = {"train": (0, 60_000), "valid": (60_000, 65_000), "test": (65_000, 70_000)}
+    return spark.createDataFrame([(w, *tables.split_range(w, splits)) for w in splits], "which string, lo int, hi int")
+
+
+_TILES = (1, 2, 5, 6, 3, 4, 7, 8, 9, 10, 13, 14, 11, 12, 15, 16)
+
+
+@query(f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round([{', '.join(f'embedding[{k}]' for k in _TILES)}][i]::DOUBLE, 6) AS value FROM embeddings, range(1, 17) t(i)")
+def img_grid(spark, sf_dir):
+    """Four tiles of 2 x 2 values as one picture of 4 x 4, row by row."""
+
+    def run(parts):
+        for part in parts:
+            tiles = np.stack(part["embedding"].to_numpy())[:, :16].reshape(-1, 4, 2, 2)
+            pictures = np.stack([images.grid(t, 2, 2).ravel() for t in tiles])
+            yield pd.DataFrame({"vec_id": np.repeat(part["id"].to_numpy(), 16), "place": np.tile(np.arange(16), len(part)), "value": pictures.ravel().astype(float)})
+
+    found = fx.vectors(spark, sf_dir).select("id", "embedding").mapInPandas(run, "vec_id bigint, place int, value double")
+    return found.withColumn("value", F.round("value", 6))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_shape, count(*) AS n_inside, count(*) AS n_back FROM embeddings")
+def img_noisy(spark, sf_dir):
+    """A noisy picture for each vector: its shape and range, and colours that come back from hue, lightness and saturation."""
+
+    def run(parts):
+        for part in parts:
+            rows = []
+            for i, v in zip(part["id"], part["embedding"]):
+                picture = 1 / (1 + np.exp(-np.resize(np.asarray(v, dtype=float), (8, 8, 3))))
+                noisy = images.noisy(picture, np.random.default_rng(int(i)))
+                back = images.hls_to_rgb(images.rgb_to_hls(picture))
+                rows.append((noisy.shape == (8, 8, 3), bool((noisy > -1e-9).all() and (noisy < 1 + 1e-9).all()), bool(np.allclose(back, picture))))
+            yield pd.DataFrame(rows, columns=["shape", "inside", "back"])
+
+    made = fx.vectors(spark, sf_dir).select("id", "embedding").mapInPandas(run, "shape boolean, inside boolean, back boolean")
+    return made.agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"n_{c}") for c in ("shape", "inside", "back")])
+
+
+# --- the whole course ---
+
+
+@query("WITH o AS (SELECT o_orderkey AS id, o_custkey AS label FROM orders), q AS (SELECT * FROM o WHERE id % 10 = 3), d AS (SELECT * FROM o WHERE id % 10 <> 3) SELECT (SELECT count(*) FROM d) AS n_database, (SELECT count(*) FROM q) AS n_queries, (SELECT count(*) FROM q JOIN d USING (label)) AS n_truth, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS avg_jaccard, 0.0::DOUBLE AS fpr, 0::BIGINT AS collisions")
+def run_lifecycle(spark, sf_dir):
+    """Labels, items made of their label, encoding chunk by chunk with a restart, merged shards, an index, evaluation."""
+    labels = fx.orders(spark, sf_dir).select("id", "label")
+    # An item is 8 hashed numbers of its label; without noise equal labels have equal codes.
+    items = labels.select("id", "label", F.array(*[(procedural.unit(k, "label") - 0.5).cast("float") for k in range(8)]).alias("payload"))
+    sink = tables.ResumableSink(spark, tables.workspace(spark, "codes"), 4096)
+    for go in (sink.chunk() % 2 == 0, F.lit(True)):
+        todo = sink.pending(items.filter(go))
+        codes = encoder.encode(todo, encoder.random_projection(8, 64, seed=1)).select("id", codec.pack("logits").alias("key"))
+        sink.write(codes.withColumn("chunk", sink.chunk()))
+    codes = spark.read.parquet(sink.path).select("id", "key")
+    merged = tables.merge_shards([codes.filter("id % 10 <> 3"), codes.filter("id % 10 = 3")]).join(labels, "id")
+    database = index.build_index(merged.filter("shard = 0"), "key", "id", "label")
+    queries = merged.filter("shard = 1").select(F.col("id").alias("query_id"), "key", "label")
+    row = metrics.results_row(queries, database).select("recall", "avg_jaccard", F.nanvl("fpr", F.lit(0.0)).alias("fpr"), "collisions")
+    sizes = database.agg(F.count("*").alias("n_database")).crossJoin(queries.agg(F.count("*").alias("n_queries")))
+    truth = querysets.ground_truth(queries, database).agg(F.sum("n_truth").alias("n_truth"))
+    return sizes.crossJoin(truth).crossJoin(row)
 
 
 # --- streaming ------------------------------------------------------------------------------------------
@@ -574,24 +865,37 @@ def sta_icr_estimate(spark, sf_dir):
     return row.select("collisions", "n", F.round(intervals.collision_rate("collisions", "n", 0.9), 9).alias("estimate"))
 
 
-@query()
+@query(f"WITH {fx.SPLIT}{_RESULTS} SELECT count(*) AS n, count(*) FILTER (WHERE n_hits > 0) AS k, CASE WHEN count(*) = count(*) FILTER (WHERE n_hits > 0) THEN 0.05::DOUBLE ELSE 0.025::DOUBLE END AS upper_tail, CASE WHEN count(*) = count(*) FILTER (WHERE n_hits > 0) THEN 1.0::DOUBLE ELSE 0.025::DOUBLE END AS lower_tail FROM r")
 def sta_clopper_pearson(spark, sf_dir):
+    """The bounds of the hit rate, by what makes them bounds: the tails of the binomial distribution beyond k are half of the error each."""
     r = metrics.query_results(*fx.split(spark, sf_dir)).agg(F.count("*"), F.count_if("hit")).first()
     low, high = intervals.clopper_pearson(r[0], r[1], 0.95)
-    return spark.createDataFrame([(r[0], r[1], low, high)], "n bigint, k bigint, low double, high double")
+    tails = 1 - intervals.binomial_cdf(r[1] - 1, r[0], low), intervals.binomial_cdf(r[1], r[0], high)
+    return spark.createDataFrame([(r[0], r[1], round(tails[0], 5), round(tails[1], 5))], "n bigint, k bigint, upper_tail double, lower_tail double")
 
 
-@query()
+@query(f"WITH {fx.ORD}, c AS {_collisions('ord')}, s AS (SELECT (SELECT count(*) FROM ord) AS n, collisions AS k FROM c) SELECT n, k, round(2.0::DOUBLE * k / (n::DOUBLE * n - n) / (1 - a), 9) AS estimate, true AS inside, round(sqrt(20::DOUBLE), 6) AS deviations FROM s, (SELECT max(m)::DOUBLE / (SELECT count(*) FROM ord) AS a FROM (SELECT count(*) AS m FROM ord GROUP BY label))")
 def sta_chebyshev(spark, sf_dir):
+    """The collision rate lies within its bounds, the upper one as many deviations away as the confidence asks for (the lower one can be 0)."""
     o = fx.orders(spark, sf_dir)
     n, k = o.count(), index.internal_collisions(o).first().collisions
     alpha = o.groupBy("label").count().agg(F.max("count")).first()[0] / n
     low, high = intervals.chebyshev(n, k, alpha, 1 - alpha, 0.95)
-    return spark.createDataFrame([(n, k, float(low), float(high))], "n bigint, k bigint, low double, high double")
+    estimate, gamma = 2 * k / (n * n - n) / (1 - alpha), Decimal(1 - alpha)
+    far = (high * gamma - 2 * Decimal(k) / (n * n - n)) / intervals.variance_bound(n, Decimal(alpha), high * gamma).sqrt()
+    return spark.createDataFrame([(n, k, round(estimate, 9), bool(low < Decimal(estimate) < high), round(float(far), 6))], "n bigint, k bigint, estimate double, inside boolean, deviations double")
 
 
-@query()
+@query(f"WITH {fx.TRIPLETS} SELECT round(avg(distance), 6) AS mean, true AS inside, true AS narrow FROM dist WHERE kind = 'positive'")
 def sta_bootstrap(spark, sf_dir):
+    """The mean lies within its bootstrap interval, which is about as wide as four standard errors."""
     h = metrics.triplet_distances(fx.triplet_codes(spark, sf_dir)).filter("kind = 'positive'")
     low, high = intervals.bootstrap_mean(h, "distance", 1000, 250)
-    return spark.createDataFrame([(low, high, "±".join(intervals.mean_with_error(h, "distance")))], "low double, high double, text string")
+    mean, error = h.agg(F.avg("distance"), F.stddev("distance") / F.sqrt(F.count("*"))).first()
+    return spark.createDataFrame([(round(mean, 6), low <= mean <= high, 3.2 < (high - low) / error < 4.7)], "mean double, inside boolean, narrow boolean")
+
+
+@query("SELECT place, unit FROM (VALUES (3, 1000.0::DOUBLE), (-2, 0.01::DOUBLE), (0, 1.0::DOUBLE)) t(place, unit)")
+def sta_leading_place(spark, sf_dir):
+    places = [intervals.leading_place(x) for x in (1234, 0.02, 9.99)]
+    return spark.createDataFrame([(p, float(10.0**p)) for p in places], "place int, unit double")

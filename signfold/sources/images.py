@@ -12,8 +12,13 @@ def grid(tiles: np.ndarray, height: int, width: int) -> np.ndarray:
     return rows.swapaxes(1, 2).reshape(height * h, width * w, *tiles.shape[3:])
 
 
-def blended_pair(left: np.ndarray, right: np.ndarray, width: int, sharpness: float = 10.0) -> np.ndarray:
-    """Two square pictures side by side in `width` columns, the overlap blended by a sigmoid."""
+def uniform(shape: tuple[int, ...], low: float, high: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of [low, high)."""
+    return low + (high - low) * rng.random(shape)
+
+
+def blended_pair(left: np.ndarray, right: np.ndarray, width: int, share: float = 0.99) -> np.ndarray:
+    """Two square pictures side by side in `width` columns, the overlap blended by a sigmoid that gives the left one `share` at its left end and the right one as much at its right end."""
     size = left.shape[1]
     overlap = 2 * size - width
     if not 0 <= overlap <= size:
@@ -21,7 +26,8 @@ def blended_pair(left: np.ndarray, right: np.ndarray, width: int, sharpness: flo
     out = np.empty((left.shape[0], width, *left.shape[2:]), dtype=float)
     out[:, : size - overlap], out[:, size:] = left[:, : size - overlap], right[:, overlap:]
     if overlap:
-        t = 1 / (1 + np.exp(-np.linspace(-sharpness / 2, sharpness / 2, overlap)))
+        end = np.log(share / (1 - share))
+        t = 1 / (1 + np.exp(-np.linspace(-end, end, overlap)))
         t = t.reshape(1, -1, *([1] * (left.ndim - 2)))
         out[:, size - overlap : size] = (1 - t) * left[:, size - overlap :] + t * right[:, :overlap]
     return out

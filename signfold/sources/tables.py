@@ -15,8 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset, as in local tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="signfold-")
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). Where that is unset a local master gets a temporary folder, a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    root = root or tempfile.mkdtemp(prefix="signfold-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

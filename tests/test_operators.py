@@ -120,7 +120,7 @@ def test_histograms(spark):
     p = {x.r: x.precision for x in metrics.precision_at(h, (0, 3)).collect()}
     assert p == {0: 1.0, 3: 0.75}
     dots = spark.createDataFrame([(-2.0,), (1.999,), (2.0,), (0.0,), (9.0,)], "x double")
-    assert [x.n for x in metrics.dot_histogram(dots, "x", 2).orderBy("bin").collect()] == [1, 0, 1, 2]
+    assert [x.n for x in metrics.dot_histogram(dots, "x", 2).orderBy("bin").collect()] == [1, 0, 1, 3]
     merged = metrics.merge_histograms(spark.createDataFrame([(0, 1), (0, 2), (1, 5)], "bin int, n bigint"))
     assert {x.bin: x.n for x in merged.collect()} == {0: 3, 1: 5}
 
@@ -140,8 +140,12 @@ def test_entropy(spark):
     r = random.Random(1)
     codes_ = spark.createDataFrame([(i, r.getrandbits(64) - (1 << 63)) for i in range(50)], "id bigint, fp bigint")
     tuples = [(0, 5, 63), (1, 2, 3), (7, 30, 31)]
-    key = lambda df: sorted(tuple(x) for x in df.select("t", "pattern", "n").collect())
-    assert key(entropy.pattern_counts(codes_, "fp", tuples, 64)) == key(entropy.pattern_counts_arrow(codes_.repartition(3), "fp", tuples, 64))
+    want = {}
+    for x in codes_.collect():
+        for no, t in enumerate(tuples):
+            pattern = int("".join(str(x.fp >> (63 - i) & 1) for i in t), 2)
+            want[no, pattern] = want.get((no, pattern), 0) + 1
+    assert {(x.t, x.pattern): x.n for x in entropy.pattern_counts(codes_.repartition(3), "fp", tuples, 64).collect()} == want
     with pytest.raises(ValueError):
         entropy.check_tuples([(1, 2), (1,)])
 
@@ -175,9 +179,53 @@ def test_gradient_is_that_of_the_entropy(spark):
         entropy.conditional_logits(df, "x", [(0,)])
 
 
-def test_log_mean_survives_underflow(spark):
-    df = spark.createDataFrame([(1, -2000.0), (1, -2000.0 + math.log(3))], "k int, v double")
-    assert entropy.max_shift_log_mean(df, ["k"], "v").first().log_mean == pytest.approx(-2000 + math.log(2))
+def soft_brute(x, tuples):
+    """Logarithms of the summed pattern probabilities, by exact enough arithmetic on logarithms."""
+    down, up = -np.logaddexp(0, x), -np.logaddexp(0, -x)
+    out = {}
+    for no, t in enumerate(tuples):
+        for p in range(1 << len(t)):
+            logs = sum((up if p >> (len(t) - 1 - j) & 1 else down)[:, i] for j, i in enumerate(t))
+            out[no, p] = np.logaddexp.reduce(logs)
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 300.0, 2000.0])
+def test_soft_sums_of_saturated_logits(spark, scale):
+    r = np.random.default_rng(7)
+    x = np.round(r.normal(size=(40, 5)), 3) * scale
+    tuples = list(itertools.combinations(range(5), 3))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, x array<double>").repartition(5)
+    want = soft_brute(x, tuples)
+    got = {(g.t, g.pattern): g.log_sum for g in entropy.soft_log_sums(df, "x", tuples).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    subs, of_bit = entropy.sub_tuples(tuples)
+    logits = {(g.bit, g["sub"], g.pattern): g.logit for g in entropy.conditional_logits(df, "x", tuples).collect()}
+    assert len(logits) == sum(map(len, of_bit.values())) * 4
+    for (i, s, p), v in logits.items():
+        t = (i, *subs[s])
+        both = soft_brute(x, [t])
+        assert v == pytest.approx(both[0, 4 + p] - both[0, p], rel=1e-6, abs=1e-9)
+    grads = entropy.entropy_gradient(df, "id", "x", tuples).collect()
+    assert len(grads) == 200 and all(math.isfinite(g.grad) for g in grads)
+
+
+def test_entropy_of_empty_tables(spark):
+    df = spark.createDataFrame([], "id bigint, x array<double>, fp bigint")
+    tuples = [(0, 1), (1, 2)]
+    assert entropy.soft_entropy(df, "x", tuples).collect() == [] and entropy.tuple_entropy(df, "fp", tuples, 3).collect() == []
+    assert entropy.average_distribution(df, "fp", tuples, 3).collect() == []
+    for kind in ("normal", "pseudo-smooth"):
+        assert entropy.entropy_gradient(df, "id", "x", tuples, kind, "fp", 3).collect() == []
+
+
+def test_outer_sums_share_prefixes():
+    x = np.arange(12.0).reshape(2, 6)
+    places = np.array([(0, 1, 2), (0, 1, 5), (3, 4, 5)])
+    for at, got in entropy.outer_sums((x, 10 * x), places, np.multiply):
+        for k, t in zip(range(len(at)), places[at]):
+            want = [[np.prod([(10 if p >> (2 - j) & 1 else 1) * x[r, i] for j, i in enumerate(t)]) for p in range(8)] for r in range(2)]
+            assert np.allclose(got[:, k], want)
 
 
 def test_combinations():
@@ -196,9 +244,11 @@ def test_intervals(spark):
     assert intervals.clopper_pearson(10, 10, 0.95) == (pytest.approx(0.05 ** (1 / 10), abs=1e-6), 1.0)
     low, high = intervals.clopper_pearson(100, 30, 0.95)
     assert (low, high) == pytest.approx((0.2124, 0.3998), abs=1e-3)
-    c = intervals.CollisionRate(1000, 50, 0.01, 0.99, 0.95)
-    a, b = c.interval()
-    assert float(a) <= c.estimate <= float(b)
+    a, b = intervals.chebyshev(1000, 50, 0.01, 0.99, 0.95)
+    assert float(a) <= 2 * 50 / (1000 * 999) / 0.99 <= float(b)
+    assert intervals.binomial_cdf(2, 5, 0.3) == pytest.approx(sum(math.comb(5, i) * 0.3**i * 0.7 ** (5 - i) for i in range(3)))
+    low, high = intervals.clopper_pearson(10**9, 300_000_000, 0.95)
+    assert (low, high) == pytest.approx((0.3 - 1.96 * math.sqrt(0.21e-9), 0.3 + 1.96 * math.sqrt(0.21e-9)), abs=2e-8)
     assert intervals.invert(lambda v: v * v, 2, 0, 2) == pytest.approx(math.sqrt(2))
     df = spark.createDataFrame([(v,) for v in [1, 2, 2, 3, 5] * 20], "v int")
     low, high = intervals.bootstrap_mean(df, "v", 500, 100)
@@ -224,7 +274,7 @@ def test_query_sets(spark):
     assert all(x.a_key != x.b_key and 0 <= x.b_key < 50 for x in pairs)
 
 
-@pytest.mark.parametrize("k,low,high", [(5, 0, 5), (3, 10, 1000), (1, 0, 1), (4, -2, 9), (10, 0, 10**9)])
+@pytest.mark.parametrize("k,low,high", [(5, 0, 5), (3, 10, 1000), (1, 0, 1), (4, -2, 9), (10, 0, 10**9), (6, -5, 1 << 62)])
 def test_unique_rows(spark, k, low, high):
     a = querysets.unique_rows(spark, 200, k, low, high, seed=2)
     rows = a.collect()
@@ -234,6 +284,24 @@ def test_unique_rows(spark, k, low, high):
         querysets.unique_rows(spark, 1, high - low + 1, low, high)
 
 
+def test_probes_of_any_number_agree(spark):
+    r = random.Random(4)
+    rows = [(0, [1.0] * 6), (1, [0.0] * 6), (2, [-2.0, 0.0, 2.0, -1.0, 1.0, 0.0])] + [(3 + k, [r.choice([-0.3, 0.1, 0.2, 0.3]) for _ in range(6)]) for k in range(20)]
+    q = spark.createDataFrame(rows, "query_id bigint, logits array<double>")
+    get = lambda n: sorted(tuple(x) for x in probing.probes(q, n, 6).filter("rank <= 10").collect())
+    assert get(10) == get(11) == get(64)
+    wide = spark.createDataFrame([(0, [1.0] * 64), (1, [0.5] * 63 + [0.0])], "query_id bigint, logits array<double>")
+    get = lambda n: sorted(tuple(x) for x in probing.probes(wide, n, 64).filter("rank <= 10").collect())
+    assert get(10) == get(30)
+
+
+def test_mixed_sizes():
+    assert querysets.mixed_sizes(total=7) == (3, 4) and querysets.mixed_sizes(positive=2, negative=5) == (2, 5) and querysets.mixed_sizes(total=7, negative=7) == (0, 7)
+    for bad in ({}, {"positive": 3}, {"total": 3, "positive": 4}, {"total": 9, "positive": 4, "negative": 4}):
+        with pytest.raises(ValueError):
+            querysets.mixed_sizes(**bad)
+
+
 def test_slices_and_gather(spark):
     assert list(querysets.slices(10, 4)) == [(0, 4), (4, 8), (8, 10)]
     bank = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "bank_id bigint, payload string")
