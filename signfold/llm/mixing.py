@@ -4,16 +4,17 @@ A labelled table trains a naive Bayes classifier over words and text statistics;
 document belongs to each domain. Nonnegative rates of the documents are then fitted by distributed projected
 gradient steps to
 
-    1/2 sum_k ((sum_d r_d t_d p_dk - w_k S) / S)^2 + ridge/2 sum_d (t_d / S) (r_d - 1)^2,    r >= 0,
-
-t the tokens of a document, p its posteriors, S all tokens, w the target weights: the expected tokens of each
-domain match the targets, and rates stay as close to 1 as that allows. Every document has its rate as state. A step
-takes the expected shares of the domains, one aggregation of k sums, to the driver, moves every rate against its
-gradient and projects it to r >= 0. A diagonal scale, large where a document's domains are rare, evens out the
-curvature; the step length comes from the largest eigenvalue of the scaled k * k curvature. Steps begin some way
-on in the direction of the last one (Nesterov's momentum, dropped when movement grows). Steps since the last
-writing are part of the projection, and every WRITE_STEPS of them the rates are written down, so that neither the
-plan nor the work of a step grows with the steps before.
+    1/2 sum_k ((sum_d r_d t_d p_dk - w_k S) / S)^2 + ridge/2 sum_d (t_d / S) (r_d - 1)^2 / c_d,    r >= 0,
+
+t the tokens of a document, p its posteriors, S all tokens, w the target weights, c_d = 1 / (p_d . q + ridge) with q
+the domains' shares as they are: the expected tokens of each domain match the targets, and rates stay as close to 1
+as that allows, those of documents of rare domains being freer to move. Every document has its rate as state. A step
+takes the expected shares of the domains, an aggregation of k sums, to the driver, which gives every document its
+gradient; scales the gradient of the free documents (rate above 0, or at 0 and drawn upwards) by their curvature,
+k * k more sums; moves every rate against it and projects it to r >= 0. A step that does not lower the objective is
+halved, and at last replaced by a plain gradient step of a length that does. Steps since the last writing are part
+of the projection, and every WRITE_STEPS of them the rates are written down, so that neither the plan nor the work
+of a step grows with the steps before.
 
 The fit tells how far it got: the rows carry `target_gap`, the largest difference of an expected share from its
 target, and `converged`, whether the last step moved rates by no more than the tolerance. Targets that no rates
@@ -41,12 +42,16 @@ from .shared import discard, ident, restored, texts, written
 
 MOST_ROWS = 20_000
 LEXICON = 64
-STEPS = 80
+STEPS = 40
+#: Times that a step is halved.
+HALVINGS = 5
+#: Least relative fall of the objective that a step must bring.
+ENOUGH = 1e-9
 #: Steps that a projection holds before rates are written down.
 WRITE_STEPS = 8
 #: A word of smaller spread than this could owe it to chance among millions of words.
 TELLING = 15.0
-RIDGE = 1e-3
+RIDGE = 1e-4
 #: Average movement of the rates, weighted by tokens, below which steps end.
 TOLERANCE = 1e-5
 #: Upper ends of the cells of each statistic.
@@ -154,7 +159,7 @@ class Fit(NamedTuple):
 
 
 def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, Fit]:
-    """members: tokens, p and any more columns, none of them `rate`, `_before` or `_scale`. Returns them with `rate`, and how the fit went."""
+    """members: tokens, p and any more columns, none of them `rate` or `_scale`. Returns them with `rate`, and how the fit went."""
     k, w = len(weights), np.array(weights)
     p, columns = [F.col("p")[i] for i in range(k)], members.columns
     first = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * x) for x in p]).first()
@@ -168,38 +173,62 @@ def fit_rates(members: DataFrame, weights: list[float], ridge: float = RIDGE, st
 
     # A document's own curvature is the share of its domains; the ridge bounds the scale where that is next to nothing.
     scale = F.lit(1.0) / (dot(held) + F.lit(ridge))
-    table = written(members.withColumns({"_scale": scale, "rate": F.lit(1.0), "_before": F.lit(1.0)}), "rates")
+    table = written(members.withColumns({"_scale": scale, "rate": F.lit(1.0)}), "rates")
     weight = F.col("tokens") * F.col("_scale")
     upper = [(i, j) for i in range(k) for j in range(i, k)]
-    row = table.agg(F.max("_scale"), *[F.sum(weight * p[i] * p[j]) for i, j in upper]).first()
-    curve = np.zeros((k, k))
-    for (i, j), x in zip(upper, row[1:]):
-        curve[i, j] = curve[j, i] = float(x) / total
-    length = 1 / (float(np.linalg.eigvalsh(curve)[-1]) + ridge * float(row[0]))
-
-    def stepped(df: DataFrame, ahead: float, error: np.ndarray) -> DataFrame:
-        """From y, the rates moved on by `ahead` of their last movement: y - length * scale * (p . error + ridge * (y - 1)), projected."""
-        y = F.col("rate") + (F.col("rate") - F.col("_before")) * F.lit(ahead)
-        pull = F.lit(length) * F.col("_scale")
-        moved = y * (F.lit(1.0) - pull * ridge) - pull * (dot(error) - F.lit(ridge))
-        return df.withColumns({"_before": F.col("rate"), "rate": F.greatest(F.lit(0.0), moved)})
-
-    state, pending, taken, moved, since = table, 0, 0, math.inf, 0
-    shares = before = np.array(held)
+
+    def curvature(df: DataFrame, free: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Of the free documents: sums of scale * p * p and of p."""
+        row = df.filter(free).agg(*[F.sum(weight * p[i] * p[j]) for i, j in upper], *[F.sum(F.col("tokens") * x) for x in p]).first()
+        values = [float(x or 0) / total for x in row]
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(upper, values):
+            curve[i, j] = curve[j, i] = x
+        return curve, np.array(values[len(upper) :])
+
+    def moved_to(size: float, pull: np.ndarray) -> Column:
+        """rate - size * (scale * p . pull + rate - 1), projected."""
+        moved = F.col("rate") * F.lit(1 - size) - F.lit(size) * (F.col("_scale") * dot(pull) - F.lit(1.0))
+        return F.greatest(F.lit(0.0), moved)
+
+    def measured(df: DataFrame, choices: list[Column]) -> list[tuple[np.ndarray, float, float]]:
+        """Of each choice of rates the expected shares, the objective and the average movement; all in one aggregation."""
+        named = [F.col(f"_c{n}") for n in range(len(choices))]
+        df = df.withColumns({f"_c{n}": c for n, c in enumerate(choices)})
+        sums = []
+        for c in named:
+            far = F.sum(F.col("tokens") * (c - 1) * (c - 1) / F.col("_scale"))
+            sums += [F.sum(F.col("tokens") * F.abs(c - F.col("rate"))), far, *[F.sum(c * F.col("tokens") * x) for x in p]]
+        values, out = [float(x) / total for x in df.agg(*sums).first()], []
+        for n in range(len(choices)):
+            step, far, *found = values[n * (k + 2) : (n + 1) * (k + 2)]
+            found = np.array(found)
+            out.append((found, float(((found - w) ** 2).sum() + ridge * far) / 2, step))
+        return out
+
+    largest = float(np.linalg.eigvalsh(curvature(table, F.lit(True))[0])[-1])
+    state, pending, taken, moved = table, 0, 0, math.inf
+    shares, value, _ = measured(state, [F.col("rate")])[0]
     while taken < steps and moved > tolerance:
-        # Shares are linear in the rates, so those of y need no aggregation.
-        ahead = since / (since + 3)
-        state = stepped(state, ahead, shares + ahead * (shares - before) - w)
-        pending, taken, since = pending + 1, taken + 1, since + 1
+        error = shares - w
+        free = (F.col("rate") > 0) | (F.col("_scale") * dot(error) + F.lit(ridge) * (F.col("rate") - 1) < 0)
+        curve, held = curvature(state, free)
+        # The curvature is ridge plus a matrix of rank k, so scaling by its inverse takes a k * k system.
+        answer = np.linalg.solve(curve + ridge * np.eye(k), curve @ error + ridge * (shares - held))
+        # A plain gradient step is the last resort: shorter than the largest curvature allows, it lowers the objective.
+        tries = [*((0.5**n, (error - answer) / ridge) for n in range(HALVINGS)), (ridge / (largest + ridge), error / ridge)]
+        found = measured(state, [moved_to(*x) for x in tries])
+        best = next((n for n, x in enumerate(found) if x[1] < value * (1 - ENOUGH)), None)
+        if best is None:
+            # Nothing is lowered beyond rounding: this is the minimum.
+            moved = 0.0
+            break
+        state, pending, taken = state.withColumn("rate", moved_to(*tries[best])), pending + 1, taken + 1
+        shares, value, moved = found[best]
         if pending == WRITE_STEPS:
             past, table, pending = table, written(state, "rates"), 0
             state = table
             discard(past)
-        sums = [F.sum(F.col("rate") * F.col("tokens") * x) for x in p]
-        row = state.agg(F.sum(F.col("tokens") * F.abs(F.col("rate") - F.col("_before"))), *sums).first()
-        last, moved = moved, float(row[0]) / total
-        before, shares = shares, np.array([float(x) / total for x in row[1:]])
-        since = 0 if moved > last else since
     out = state.select(*columns, F.when(F.col("tokens") > 0, F.col("rate")).otherwise(1.0).alias("rate"))
     out.spent = [table]
     return out, Fit(shares.tolist(), float(np.abs(shares - w).max()), taken, moved, moved <= tolerance)
