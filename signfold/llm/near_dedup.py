@@ -298,8 +298,8 @@ def classified(rows: DataFrame, width: int, percent: int) -> DataFrame:
         discard(past)
     discard(stars, sets, links, more)
     joined = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = joined.groupBy("component").agg(F.min("first").alias("leader"))
-    of_class = written(joined.join(firsts, "component").select("digest", "members", "leader"), "leaders")
+    firsts = joined.groupBy("component").agg(F.min("first").alias("leader"), F.count("*").alias("n"))
+    of_class = written(spread_join(joined, firsts, ["component"], "n", classes.count()).select("digest", "members", "leader"), "leaders")
     discard(classes, comp)
     some = spread_join(named.filter("n > 0"), of_class, ["digest"], "members", named.count())
     out = some.select("row", "id", "n", F.col("leader.id").alias("component_id"), (F.col("leader.row") == F.col("row")).alias("stays"))
