@@ -251,9 +251,12 @@ def across(stars: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, spe
     band = F.floor(F.log(F.octet_length("set") / 8) / F.lit(float(-np.log(percent / 100)) * (1 + 1e-9)) if percent < 100 else F.octet_length("set")).cast("int")
     laid = sets.join(members.join(largest, "cluster"), "id").select("id", "component", "set", "cluster", band.alias("band"), (F.col("component") != F.col("major")).alias("asks"))
     laid = written(laid, "laid")
-    counts = laid.groupBy("cluster", "band", "asks").agg(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.octet_length("set")) / BLOCK_BYTES).alias("fill"))
+    group = ["cluster", "band", "asks"]
+    fill = F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.octet_length("set")) / BLOCK_BYTES)
+    counts = laid.groupBy(*group).agg(fill.alias("fill"), F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("id"), F.ceil("fill").cast("bigint"))
-    dealt = laid.join(counts, ["cluster", "band", "asks"]).withColumn("part", part)
+    # Joined by broadcast, sets of a large cluster are dealt by their parts and not by the cluster alone.
+    dealt = spread_join(laid, counts, group, "n", laid.count()).withColumn("part", part)
     blocks = dealt.groupBy("cluster", "band", "asks", "part").agg(F.collect_list(F.struct("id", "component", "set")).alias("block"))
     blocks = written(blocks, "blocks")
     spent += [open_stars, members, laid, blocks]
