@@ -6,7 +6,8 @@ largest identifier seen. When the trie holds more than its budget, its heaviest
 as often as that happens: a spilled edge stays in the trie as a stub, and what reaches the stub later is appended to
 its file. Files are worked off one after the other, by the same kind of trie, once the input has ended. Before the
 shuffle each scan task runs such a trie over its own rows, so a group of copies reaches its owner as one row for each
-flush of a scan task, however large the group is. Files are the task's own: a task that is lost is run again.
+flush of a scan task, however large the group is. Its rows then meet that owner by broadcast, if they are a large share
+of all. Files are the task's own: a task that is lost is run again.
 
 Defined results: null texts equal empty ones; a null id counts as smaller than all others; rows that repeat, ids
 included, count as rows of one group, and of those that have the group's id one alone is a row of kept_rows(); an
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, ident, numbered, restored, texts, width_of
+from .shared import HOT_SHARE, fresh, ident, numbered, restored, texts, width_of, written
 
 LOCAL_BYTES = 48 << 20
 OWNER_BYTES = 96 << 20
@@ -293,10 +294,23 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", keep: st
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep}")
-    owner = groups(df, key, text).select("length", "sha", F.col("low" if keep == "smallest" else "high").alias("keep_id"), F.col("n").alias("group_size"))
+    found = groups(df, key, text).select("length", "sha", F.col("low" if keep == "smallest" else "high").alias("keep_id"), F.col("n").alias("group_size"))
+    owner = written(found, "owners")
+    total = owner.agg(F.sum("group_size")).first()[0] or 0
+    least = max(2, int(total * HOT_SHARE) + 1)
+    # Fewer than 1 / HOT_SHARE groups are as large. Their rows meet their owner by broadcast and go on under a number of
+    # their own, which is no SHA-256, so that no task gets all rows of a group; the texts are read once for both ways.
+    hot = owner.filter(F.col("group_size") >= least).select("length", "sha", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    cold = owner.filter(F.col("group_size") < least).select("length", F.col("sha").alias("at"), "keep_id", "group_size")
     rows = texts(df, key, text).select(F.col(key).alias("id"), F.octet_length("text").cast("bigint").alias("length"), F.unhex(F.sha2("text", 256)).alias("sha"))
-    out = rows.join(owner, ["length", "sha"]).select(F.col("id").alias(key), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    return restored(out, key, "keep_id")
+    rows = rows.withColumn("number", F.monotonically_increasing_id()).join(F.broadcast(hot), ["length", "sha"], "left")
+    at = F.when(F.col("hot_size").isNull(), F.col("sha")).otherwise(F.col("number").cast("string").cast("binary"))
+    met = rows.withColumn("at", at).join(cold.hint("merge"), ["length", "at"], "left")
+    best, size = F.coalesce("hot_id", "keep_id"), F.coalesce("hot_size", "group_size")
+    out = met.select(F.col("id").alias(key), best.alias("keep_id"), size.alias("group_size"), (F.col("id") == best).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = restored(out, key, "keep_id")
+    out.spent = [owner]
+    return out
 
 
 def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:

@@ -43,6 +43,15 @@ def test_large_group_and_flushes(spark, monkeypatch):
     assert found == {(hashlib.sha256(t.encode()).digest(), min(x), max(x), len(x)) for t, x in want.items()}
 
 
+def test_rows_of_hot_groups_are_spread(spark):
+    rows = [(i, f"text {i // 2}") for i in range(1400)] + [(i, "hot text") for i in range(1400, 2100)] + [(i, None) for i in range(2100, 2110)] + [(7, "hot text")] * 5
+    got = exact_dedup.exact_dedup(frame(spark, rows).repartition(3), keep="largest")
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, "largest")
+    # Rows of hot groups meet their owner by broadcast, others by merge.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically_increasing_id" in plan and "strategy=broadcast" in plan and "strategy=merge" in plan
+
+
 def test_null_ids_and_empty(spark):
     got = exact_dedup.exact_dedup(frame(spark, [(None, "a"), (3, "a"), (None, "b")])).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == [("3", "None", 2), ("None", "None", 1), ("None", "None", 2)]
