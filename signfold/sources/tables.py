@@ -23,6 +23,30 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more; others are left alone."""
+    for t in frames:
+        path = getattr(t, "scratch_path", None)
+        if path:
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(result: DataFrame) -> None:
+    """Delete the intermediate tables that a result reads (its attribute `spent`), once the result has been used."""
+    discard(*getattr(result, "spent", ()))
+    result.spent = []
+
+
 def save(df: DataFrame, path: str, force: bool = False) -> None:
     """Write; an existing target is an error unless forced."""
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
