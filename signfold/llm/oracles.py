@@ -57,6 +57,30 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to FROM f
 """
 
+_TOKENS = r"""list_distinct(list_concat(list_concat([concat('h:', x) for x in string_split(host, '.') if x <> ''], [concat('p:', x) for x in string_split(path, '/') if x <> '']),
+  [concat('q:', split_part(x, '=', 1)) for x in string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&') if split_part(x, '=', 1) <> '']))"""
+
+#: All sets of frequent tokens of a labelled URL are laid out; SQL for small tables.
+URLS = rf"""
+WITH n AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT r, page_id, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM n),
+l AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule, {_TOKENS} AS tokens FROM hp),
+j AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS listed FROM l),
+tr AS (SELECT * FROM j WHERE listed IS NOT NULL),
+m AS (SELECT 0.01::DOUBLE * count(*) AS least FROM tr),
+fr AS (SELECT t FROM (SELECT unnest(tokens) AS t FROM tr) GROUP BY t HAVING count(*) >= (SELECT least FROM m)),
+k AS (SELECT r, listed, list(t ORDER BY t) AS ts FROM (SELECT r, listed, unnest(tokens) AS t FROM tr) JOIN fr USING (t) GROUP BY r, listed),
+e AS (SELECT listed, unnest([[ts[i + 1] for i in range(len(ts)) if (b >> i) & 1 = 1] for b in range(1, 1 << len(ts))]) AS body FROM k),
+c AS (SELECT body, count(*) AS n FROM e GROUP BY body),
+h AS (SELECT body, listed, count(*) AS hits FROM e GROUP BY body, listed HAVING count(*) >= (SELECT least FROM m)),
+w AS (SELECT list_filter(body, lambda x: x <> item) AS body, listed, max(hits) AS most FROM (SELECT *, unnest(body) AS item FROM h) GROUP BY 1, 2),
+s AS (SELECT body, listed AS verdict, hits, hits / n AS confidence FROM h JOIN c USING (body) LEFT JOIN w USING (body, listed) WHERE hits >= 0.9::DOUBLE * n AND (most IS NULL OR most < hits)),
+b AS (SELECT r, verdict, confidence, array_to_string(body, ' ') AS mined_by, row_number() OVER (PARTITION BY r ORDER BY confidence DESC, hits DESC, len(body), body, verdict) AS place
+      FROM j JOIN s ON len(list_filter(body, lambda x: NOT list_contains(tokens, x))) = 0 WHERE listed IS NULL)
+SELECT page_id, host, path, rule, coalesce(listed, verdict, 'allow') AS verdict, mined_by, confidence FROM j LEFT JOIN (SELECT * FROM b WHERE place = 1) USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES, "op3_secret_scan": _secrets(), "op4_exact_dedup": EXACT, "op9_warc": WARC}
+    return {"op1_line_dedup": LINES, "op3_secret_scan": _secrets(), "op4_exact_dedup": EXACT, "op9_warc": WARC, "op12_url_filter": URLS}
