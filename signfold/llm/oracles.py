@@ -82,5 +82,45 @@ SELECT page_id, host, path, rule, coalesce(listed, verdict, 'allow') AS verdict,
 """
 
 
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [{byte} for i in range(0, strlen({text}))]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+IMPORTANCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT unnest(w) AS f, 0 AS s, 1 AS t FROM (SELECT {_WORDS} AS w FROM benchmark)),
+a AS (SELECT f, CAST(sum(s) AS BIGINT) AS s, CAST(sum(t) AS BIGINT) AS t FROM (SELECT unnest(w) AS f, 1 AS s, 0 AS t FROM d UNION ALL SELECT * FROM b) GROUP BY f),
+k AS (SELECT *, {_crc32("f")} % 10000 AS bucket FROM a),
+g AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM k GROUP BY bucket),
+z AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM g),
+v AS (SELECT f, CAST(floor(1000 * ln((g.t + 1) * (all_s + 10000) / ((g.s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM k JOIN g USING (bucket), z),
+e AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM (SELECT r, unnest(w) AS f FROM d) JOIN v USING (f) GROUP BY r),
+h AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN e USING (r)),
+o AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, r) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM p
+"""
+
+
+PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase FROM w, range(1, 4) r(k)),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+q AS (SELECT lang, phrase, k, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 10),
+x AS (SELECT q.lang, q.phrase, q.k, a, cut, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score FROM q
+      JOIN c l ON l.lang = q.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN c r ON r.lang = q.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a AS f FROM q WHERE k = 3 AND cut = 1),
+d AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = s.lang AND o.phrase = s.phrase AND 100 * o.f >= 50 * s.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM d JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES, "op3_secret_scan": _secrets(), "op4_exact_dedup": EXACT, "op9_warc": WARC, "op12_url_filter": URLS}
+    return {"op1_line_dedup": LINES, "op3_secret_scan": _secrets(), "op4_exact_dedup": EXACT, "op9_warc": WARC, "op11_collocations": PHRASES, "op12_url_filter": URLS, "op13_importance": IMPORTANCE}

@@ -114,6 +114,22 @@ def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], weight: str,
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how))
 
 
+#: Parts of a hot key's rows.
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, least: int, by: str) -> DataFrame:
+    """rows join small, which has each of the keys once. Rows of a key whose `weight` in small is `least` or more are dealt to SALTS parts by a hash of the column `by`, and the key's row of small goes to all of them.
+
+    Both sides are read once by the join; the hot keys (fewer than the sum of weights / least) are broadcast to the rows.
+    """
+    salt, hot = fresh(rows, "salt"), fresh(rows, "hot")
+    named = F.broadcast(small.filter(F.col(weight) >= least).select(*keys, F.lit(True).alias(hot)))
+    dealt = rows.join(named, keys, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(F.col(by)), F.lit(SALTS)).cast("int")).otherwise(0)).drop(hot)
+    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(weight) >= least, SALTS - 1).otherwise(0))))
+    return dealt.join(copied.hint("merge"), [*keys, salt]).drop(salt)
+
+
 # --- UTF-8 bytes of an Arrow column ----------------------------------------------------------------
 
 
