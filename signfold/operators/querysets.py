@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+from . import draws, ranking
+
 
 def ground_truth(queries: DataFrame, database: DataFrame, with_ids: bool = False) -> DataFrame:
     """(query_id, n_truth[, truth]) for queries (query_id, label) against (id, label)."""
@@ -31,16 +34,83 @@ def positive_labels(database: DataFrame) -> DataFrame:
 def sample_positive(database: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(query_id, label, first_id): n draws with replacement, uniform over distinct labels.
 
-    Labels are numbered by hash order within ranges; a draw picks a number, and a join fetches its label.
+    Labels are numbered by their order in ranges; a draw picks a number, and a join fetches its label.
+    """
+    ranked = ranking.positions(positive_labels(database), "label")
+    spark = database.sparkSession
+    drawn = spark.range(n).withColumnRenamed("id", "query_id").crossJoin(_total(ranked)).filter("total > 0").withColumn("position", draws.draw(F.col("total"), seed, F.col("query_id")))
+    out = drawn.join(ranked, "position").select("query_id", "label", "first_id")
+    out.spent = ranked.spent
+    return out
+
+
+def _total(df: DataFrame) -> DataFrame:
+    """One row (total)."""
+    return F.broadcast(df.agg(F.count("*").alias("total")))
+
+
+def distinct_tuples(database: DataFrame, n: int, k: int = 2, seed: int = 0) -> DataFrame:
+    """(row_id, labels): n rows of k distinct labels of the database, every ordered choice of them equally likely, rows independent.
+
+    Distinct labels are numbered once by ranges and offsets; rows draw numbers, and a join gathers the labels, each of
+    which is drawn about as often as any other, however many rows it has.
     """
-    labels = positive_labels(database).withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "label"), F.lit(1024)))
-    sizes = labels.groupBy("part").agg(F.count("*").alias("size"))
-    shift = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("shift"))
-    numbered = labels.join(F.broadcast(shift), "part").withColumn("number", F.col("shift") + F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1)
-    total = database.sparkSession.range(1).crossJoin(labels.agg(F.count("*").alias("total"))).select("total")
-    draws = database.sparkSession.range(n).withColumnRenamed("id", "query_id").crossJoin(F.broadcast(total)).filter("total > 0")
-    draws = draws.select("query_id", F.pmod(F.xxhash64(F.lit(seed + 1), "query_id"), "total").alias("number"))
-    return draws.join(numbered, "number").select("query_id", "label", "first_id")
+    ranked = ranking.positions(database.select("label").distinct(), "label")
+    total = ranked.agg(F.count("*").alias("n")).first().n
+    if total < k:
+        raise ValueError(f"{k} distinct labels are asked for and there are {total}")
+    rows = database.sparkSession.range(n).withColumnRenamed("id", "row_id")
+    places = F.array(*draws.distinct_places(k, draws.bigint(total), seed, F.col("row_id")))
+    cells = rows.select("row_id", F.posexplode(places).alias("place", "position"))
+    gathered = cells.join(ranked, "position").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("cells"))
+    out = gathered.select("row_id", F.transform("cells", lambda c: c.label).alias("labels"))
+    out.spent = ranked.spent
+    return out
+
+
+def negative_tuple_pairs(database: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(a_key, b_key): n pairs of two distinct labels of the database."""
+    pairs = distinct_tuples(database, n, 2, seed)
+    out = pairs.select("row_id", F.col("labels")[0].alias("a_key"), F.col("labels")[1].alias("b_key"))
+    out.spent = pairs.spent
+    return out
+
+
+#: Candidates of a round beyond what the share of accepted ones so far asks for.
+MARGIN = 1.2
+
+
+def sample_absent(database: DataFrame, n: int, size: int, seed: int = 0, least: int = 10_000) -> DataFrame:
+    """(query_id, label): exactly n distinct labels of [0, size) that the database does not have, uniform over all of these.
+
+    Candidates are the numbers 0, 1, 2, ... under a permutation of the label space, so none comes twice. A round
+    takes the next of them, as many as the share accepted so far asks for and `least` at least, and drops those outside the space or in the
+    database; rounds go on until n are there. The first n in order of candidates are the answer, which does not
+    depend on the rounds. If all numbers are used up, there are fewer than n absent labels, an error.
+    """
+    spark, half = database.sparkSession, draws.half_bits(size)
+    space = 1 << 2 * half
+    known = tables.written(database.select("label").distinct(), "labels")
+    rounds, found, tried = [], 0, 0
+    ask = int(n * MARGIN * space / size)
+    while not rounds or found < n:
+        if tried >= space:
+            tables.discard(known, *rounds)
+            raise ValueError(f"only {found} labels of {size} are absent, {n} are asked for")
+        upto = min(space, tried + max(ask, least))
+        candidates = spark.range(tried, upto).select(F.col("id").alias("number"), draws.permuted(F.col("id"), half, seed).alias("label")).filter(F.col("label") < size)
+        rounds.append(tables.written(candidates.join(known, "label", "left_anti"), "absent"))
+        found, tried = found + rounds[-1].count(), upto
+        # Nothing accepted yet: twice as many as were tried.
+        ask = int((n - found) * MARGIN * tried / found) + 1 if found else 2 * tried
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    placed = ranking.positions(every, "number")
+    out = placed.filter(F.col("position") < n).select(F.col("position").alias("query_id"), "label")
+    tables.discard(known, *rounds)
+    out.spent = placed.spent
+    return out
 
 
 def uniform_labels(spark: SparkSession, n: int, size: int, seed: int = 0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, losses
-from ..operators import entropy, index, intervals, metrics, probing, querysets
+from ..operators import bootstrap, draws, entropy, index, intervals, metrics, probing, quantiles, querysets, saved, segments
 from ..sources import encoder, images, procedural, tables
 from ..streaming import incremental
 from . import fixtures as fx
@@ -133,6 +133,38 @@ def idx_lookup_ids(spark, sf_dir):
     return index.lookup_ids(q, d).select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+SEGMENT = 128
+
+
+@query(f"WITH {fx.POSTINGS}, s AS (SELECT key, id, (row_number() OVER (PARTITION BY key ORDER BY id) - 1) // {SEGMENT} AS segment FROM post) SELECT key AS fp, segment, min(id) AS first_id, max(id) AS last_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS sum_ids FROM s GROUP BY key, segment")
+def idx_segments(spark, sf_dir):
+    """Every segment of every bucket; one bucket holds a tenth of all rows."""
+    s = segments.segments(fx.postings(spark, sf_dir), SEGMENT)
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return s.select(F.col("key").alias("fp"), "segment", "first_id", F.element_at("ids", -1).alias("last_id"), "n", total.alias("sum_ids"))
+
+
+@query(f"WITH {fx.POSTINGS}, s AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY id) - 1 AS place FROM post) SELECT s_suppkey AS query_id, place, id FROM supplier JOIN s ON key = s_suppkey % 50 WHERE place BETWEEN 200 AND 329")
+def idx_segment_page(spark, sf_dir):
+    """Hits 200 to 329 of each supplier's bucket, from the segments that have them; a bucket may be asked for often."""
+    held = segments.segments(fx.postings(spark, sf_dir), SEGMENT)
+    asked = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 50).alias("key"))
+    return segments.page(asked, held, 200, 330, SEGMENT)
+
+
+@query(f"WITH {fx.SPLIT}, k AS (SELECT key, count(*) AS n, min(id) AS lo, max(id) AS hi FROM d GROUP BY key) SELECT query_id, coalesce(n, 0) AS n_hits, lo AS min_id, hi AS max_id FROM q LEFT JOIN k USING (key)")
+def idx_saved_lookup(spark, sf_dir):
+    """A base, two deltas, a compaction and one more delta; then queries against what was saved."""
+    q, d = fx.split(spark, sf_dir)
+    path = tables.workspace(spark, "idx")
+    writer = saved.SavedIndex(spark, "idx_" + path.rsplit("-", 1)[-1], "w", buckets=16, path=path)
+    for batch in ("id % 10 < 5", "id % 10 = 5", "id % 10 IN (6, 7)"):
+        writer.append(d.filter(batch).select("key", "id"))
+    writer.compact()
+    writer.append(d.filter("id % 10 > 7").select("key", "id"))
+    return saved.SavedIndex(spark, writer.name).lookup_counts(q)
+
+
 @query(f"WITH {fx.ORD} SELECT id FROM ord WHERE key = 77")
 def idx_point(spark, sf_dir):
     return index.point_lookup(index.build_index(fx.orders(spark, sf_dir), "key", "id"), 77)
@@ -217,6 +249,57 @@ def jon_negative(spark, sf_dir):
     return querysets.absent_labels(_candidates(spark, sf_dir), fx.mosaics(spark, sf_dir).withColumnRenamed("label_key", "label")).withColumnRenamed("label", "label_key")
 
 
+_DENSE = "SELECT (max(l_partkey) + 1) * 101 // 100 AS size, ((max(l_partkey) + 1) * 101 // 100 - count(DISTINCT l_partkey)) * 9 // 10 AS n FROM lineitem"
+
+
+@query(
+    f"WITH z AS ({_DENSE}), h AS (SELECT *, {fx.half_bits('size')} AS half FROM z), c AS (SELECT size, n, half, unnest(range(0, 1::BIGINT << (2 * half))) AS number FROM h), {fx.permutation('c', 'half', 11)}, "
+    "a AS (SELECT n, label, row_number() OVER (ORDER BY number) - 1 AS query_id FROM perm WHERE label < size AND label NOT IN (SELECT l_partkey FROM lineitem)) SELECT query_id, label FROM a WHERE query_id < n"
+)
+def jon_absent_dense(spark, sf_dir):
+    """Nine tenths of all absent labels of a space of which 99 % are taken."""
+    li = fx.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("label"))
+    top = li.agg(F.max("label").alias("top"), F.count_distinct("label").alias("taken")).first()
+    size = (top.top + 1) * 101 // 100
+    return querysets.sample_absent(li, (size - top.taken) * 9 // 10, size, seed=11)
+
+
+@query(
+    f"WITH {fx.MOSAICS}, z AS (SELECT count(*) AS n, {draws.half_bits(fx.BASE**2)}::BIGINT AS half FROM mos), c AS (SELECT n, half, unnest(range(0, 16 * n)) AS number FROM z), {fx.permutation('c', 'half', 12)}, "
+    f"a AS (SELECT n, label, row_number() OVER (ORDER BY number) - 1 AS query_id FROM perm WHERE label < {fx.BASE**2} AND label NOT IN (SELECT label_key FROM mos)) SELECT query_id, label FROM a WHERE query_id < n"
+)
+def jon_absent_sparse(spark, sf_dir):
+    """As many absent two-cell labels as there are present ones."""
+    present = fx.mosaics(spark, sf_dir).select(F.col("label_key").alias("label"))
+    return querysets.sample_absent(present, present.count(), fx.BASE**2, seed=12)
+
+
+_PLACES = f"""l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT o_custkey AS label FROM orders)),
+o AS (SELECT row_number() OVER () - 1 AS row_id, (SELECT any_value(total) FROM l) AS total FROM orders),
+d AS (SELECT row_id, {fx.drawn('total', 13, 'row_id', '0')} AS d0, {fx.drawn('total - 1', 13, 'row_id', '1')} AS d1, {fx.drawn('total - 2', 13, 'row_id', '2')} AS d2 FROM o),
+e AS (SELECT row_id, d0, d1 + CASE WHEN d0 <= d1 THEN 1 ELSE 0 END AS d1, d2 FROM d),
+f AS (SELECT row_id, d0, d1, list_reduce(list_prepend(d2, list_sort([d0, d1])), lambda x, t: x + CASE WHEN t <= x THEN 1 ELSE 0 END) AS d2 FROM e)"""
+
+
+@query(f"WITH {_PLACES} SELECT row_id, a.label AS a_label, b.label AS b_label, c.label AS c_label FROM f JOIN l a ON a.place = d0 JOIN l b ON b.place = d1 JOIN l c ON c.place = d2")
+def smp_distinct_tuples(spark, sf_dir):
+    """For each order a tuple of three distinct customers among those that have orders."""
+    o = fx.orders(spark, sf_dir)
+    t = querysets.distinct_tuples(o, o.count(), 3, seed=13)
+    return t.select("row_id", *[F.col("labels")[i].alias(f"{x}_label") for i, x in enumerate("abc")])
+
+
+@query("WITH l AS (SELECT count(DISTINCT o_custkey) AS n FROM orders) SELECT n AS n_labels, n AS n_reached, 20 * n AS n_pairs, true AS distinct_pairs, true AS even FROM l")
+def jon_negative_tuples(spark, sf_dir):
+    """Twenty pairs for each label: all labels are reached, no pair has a label twice, and no label is drawn far off its 40 times."""
+    o = fx.orders(spark, sf_dir)
+    n = o.agg(F.count_distinct("label").alias("n")).first().n
+    pairs = querysets.negative_tuple_pairs(o, 20 * n, seed=14)
+    seen = pairs.select(F.explode(F.array("a_key", "b_key")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    known = o.select("label").distinct().join(seen, "label", "left")
+    return known.agg(F.count("*").alias("n_labels"), F.count("n").alias("n_reached"), (F.min("n") >= 10).alias("low"), (F.max("n") <= 90).alias("high")).crossJoin(pairs.agg(F.count("*").alias("n_pairs"), F.min(F.col("a_key") != F.col("b_key")).alias("distinct_pairs"))).select("n_labels", "n_reached", "n_pairs", "distinct_pairs", (F.col("low") & F.col("high")).alias("even"))
+
+
 _PLANTED = "SELECT label FROM c UNION SELECT label_key FROM mos WHERE label_key % 5 = 0"
 
 
@@ -345,6 +428,50 @@ def agg_train_log(spark, sf_dir):
     return s.select("step", "n", *[r6(F.col(c)).alias(c) for c in s.columns[2:]])
 
 
+_STEP = "CASE WHEN event_id % 10 < 7 THEN 0 ELSE user_id + 1 END"
+
+
+@query(f"SELECT step, count(value) AS n, {_Q} FROM (SELECT {_STEP} AS step, CASE WHEN event_id % 11 = 3 THEN -value WHEN event_id % 11 <> 5 THEN value END AS value FROM events) GROUP BY step")
+def agg_log_quantiles(spark, sf_dir):
+    """Exact quantiles by step; one step has seven tenths of all rows, some values are negative and some missing."""
+    e = fx.table(spark, sf_dir, "events")
+    value = F.when(F.col("event_id") % 11 == 3, -F.col("value")).when(F.col("event_id") % 11 != 5, F.col("value"))
+    q = quantiles.grouped_quantiles(e.select(F.when(F.col("event_id") % 10 < 7, F.lit(0).cast("bigint")).otherwise(F.col("user_id") + 1).alias("step"), value.alias("value")), "step", "value")
+    return q.select("step", "n", *[r6(F.col(c)).alias(c) for c in q.columns[2:]])
+
+
+REPLICATES = 200
+_NUMBER = "(l_orderkey * 8 + l_linenumber)"
+
+
+def _weights_sql() -> str:
+    x = f"((xor({_NUMBER} >> 31, {_NUMBER}) & {draws.LOW31}) * {draws.FIRST}::BIGINT + k * {draws.SECOND}::BIGINT + {draws.round_keys(16)[0]})"
+    steps = [f"SELECT *, {x} AS x0 FROM lineitem, range(0, {REPLICATES}) r(k)"]
+    for i, factor in enumerate((draws.SECOND, draws.FIRST)):
+        steps.append(f"SELECT *, (xor(x{i} >> 29, x{i}) & {draws.LOW31}) * {factor}::BIGINT AS x{i + 1} FROM s{i}")
+    steps.append(f"SELECT *, xor(x2 >> 30, x2) & {draws.LOW31} AS u FROM s2")
+    cases = " ".join(f"WHEN u < {t} THEN {w}" for w, t in enumerate(bootstrap.thresholds()))
+    steps.append(f"SELECT k, CASE {cases} ELSE {len(bootstrap.thresholds())} END AS w, CAST(l_quantity AS BIGINT) AS v FROM s3")
+    return ", ".join(f"s{i} AS ({q})" for i, q in enumerate(steps))
+
+
+@query(f"WITH {_weights_sql()} SELECT k AS replicate, CAST(sum(w) AS BIGINT) AS n, CAST(sum(w * v) AS BIGINT) AS total FROM s4 GROUP BY k")
+def sta_replicates(spark, sf_dir):
+    """The Poisson replicates of the mean quantity, each with its copies and their sum."""
+    li = fx.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("bigint").alias("v"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("number"))
+    return bootstrap.replicates(li, "v", "number", REPLICATES, seed=16)
+
+
+@query("SELECT round(avg(l_quantity), 6) AS mean, true AS inside, true AS as_wide_as_normal FROM lineitem")
+def sta_poisson_interval(spark, sf_dir):
+    """The interval holds the mean, and is as wide as normal theory has it (to a quarter)."""
+    li = fx.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("bigint").alias("v"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("number"))
+    known = li.agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("error"))
+    width = (F.col("high") - F.col("low")) / (2 * 1.959964 * F.col("error"))
+    both = known.crossJoin(bootstrap.bootstrap_interval(li, "v", "number", REPLICATES, seed=16))
+    return both.select(r6(F.col("mean")).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"), width.between(0.75, 1.25).alias("as_wide_as_normal"))
+
+
 _TANH_DOT = "list_sum([tanh(a[i]::DOUBLE) * tanh(b[i]::DOUBLE) for i in range(1, 65)])"
 _BIN = "CAST(least(greatest(floor(x + 64), 0), 127) AS INTEGER)"
 
@@ -691,6 +818,15 @@ def smp_positive_queries(spark, sf_dir):
     return drawn.join(firsts, "label").agg(F.count("*").alias("n"), F.count_if(F.col("first_id") == F.col("first")).alias("n_first_rows"), (F.count_distinct("label") > 50).alias("n_labels_varied"))
 
 
+@query(
+    "WITH l AS (SELECT o_custkey AS label, min(o_orderkey) AS first_id, row_number() OVER (ORDER BY o_custkey) - 1 AS place, count(*) OVER () AS total FROM orders GROUP BY o_custkey), "
+    f"q AS (SELECT row_number() OVER () - 1 AS query_id, (SELECT any_value(total) FROM l) AS total FROM customer) SELECT query_id, label, first_id FROM (SELECT query_id, {fx.drawn('total', 15, 'query_id')} AS place FROM q) JOIN l USING (place)"
+)
+def smp_positive_draws(spark, sf_dir):
+    """As many draws as there are customers, uniform over those that have orders."""
+    return querysets.sample_positive(fx.orders(spark, sf_dir), fx.table(spark, sf_dir, "customer").count(), seed=15)
+
+
 @query('SELECT "similar", n FROM (VALUES (true, 30::BIGINT), (false, 70::BIGINT)) t("similar", n)')
 def smp_mixed_batch(spark, sf_dir):
     o = fx.orders(spark, sf_dir)

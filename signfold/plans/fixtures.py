@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import pack
+from ..operators import draws
 from ..operators.querysets import triplets
 
 #: Base of the two-cell label keys; above every supplier key up to scale 1000.
@@ -39,6 +40,12 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy("label_key").agg(F.min("l_orderkey").alias("first_id"), F.count("*").alias("n"))
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, key) of line items: suppliers as keys, and one bucket of a tenth of all rows (quantities of 5 or less)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_quantity") <= 5, F.lit(0).cast("bigint")).otherwise(F.col("l_suppkey").cast("bigint")).alias("key"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
 
@@ -65,6 +72,7 @@ ORD = """ord AS (SELECT o_orderkey AS id, o_custkey AS label,
 SPLIT = ORD + ", q AS (SELECT id AS query_id, label, key FROM ord WHERE id % 10 = 3), d AS (SELECT * FROM ord WHERE id % 10 <> 3)"
 NEGATIVES = ORD + ", q AS (SELECT id AS query_id, label, key FROM ord WHERE id % 10 = 3), d AS (SELECT * FROM ord WHERE id % 10 <> 3 AND label % 10 <> 9)"
 MOSAICS = f"mos AS (SELECT l_partkey * {BASE}::BIGINT + l_suppkey AS label_key, min(l_orderkey) AS first_id, count(*) AS n FROM lineitem GROUP BY 1)"
+POSTINGS = "post AS (SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_quantity <= 5 THEN 0::BIGINT ELSE l_suppkey::BIGINT END AS key FROM lineitem)"
 EMB = "emb AS (SELECT vec_id AS id, label, embedding FROM embeddings)"
 PAIRS = EMB + ", pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.embedding AS a, b.embedding AS b, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS sim FROM emb a JOIN emb b ON b.id = a.id + 1)"
 
@@ -84,3 +92,23 @@ TRIPLETS = (
     + ", tri AS (SELECT a.embedding AS a, p.embedding AS p, n.embedding AS n FROM pos JOIN emb a ON a.id = a_id JOIN emb p ON p.id = p_id JOIN emb n ON n.id = a_id + 1 AND n.label <> pos.label)"
     + f", dist AS (SELECT 'positive' AS kind, {distance('a', 'p')} AS distance FROM tri UNION ALL SELECT 'negative', {distance('a', 'n')} FROM tri)"
 )
+
+
+def permutation(source: str, half: str, seed: int) -> str:
+    """SQL tables p0, p1, ... of the permutation of draws.permuted for the numbers of `source` (number, and the columns of half); the last has (number, label)."""
+    mask = f"((1::BIGINT << ({half})) - 1)"
+    out = [f"p0 AS (SELECT *, number >> ({half}) AS l, number & {mask} AS r FROM {source})"]
+    for i, key in enumerate(draws.round_keys(seed)):
+        x = f"(r * {draws.FIRST}::BIGINT + {key}::BIGINT)"
+        out.append(f"p{i + 1} AS (SELECT * EXCLUDE (l, r), r AS l, xor(l, (((xor({x} >> 13, {x}) & {draws.LOW31}) * {draws.SECOND}::BIGINT) >> 14) & {mask}) AS r FROM p{i})")
+    out.append(f"perm AS (SELECT * EXCLUDE (l, r), (l << ({half})) | r AS label FROM p{len(out) - 1})")
+    return ", ".join(out)
+
+
+def drawn(bound: str, seed: int, *numbers: str) -> str:
+    """SQL of draws.draw."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(numbers)})), 1, 15) AS BIGINT) % ({bound}))"
+
+
+def half_bits(size: str) -> str:
+    return f"greatest(1, CAST(ceil(log2({size}) / 2) AS BIGINT))"

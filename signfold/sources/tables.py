@@ -32,13 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more; others are left alone."""
     for t in frames:
         path = getattr(t, "scratch_path", None)
         if path:
-            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            discard_path(t.sparkSession, path)
 
 
 def release(result: DataFrame) -> None:
