@@ -6,13 +6,15 @@ thousandfold logarithm of the ratio of its smoothed shares, a document's weight
 Gumbel noise from a hash of the seed and the id is added, and the highest scores of the eligible documents are drawn:
 a sample without replacement with odds in proportion to the ratios.
 
-1. Features of each document are counted in its own row (Arrow batches; a text is never cut) and written as one row.
+1. Features of each document are counted where its row is (Arrow batches; a text is never cut) and written feature by
+   feature: a row for each distinct feature of about TEXT_STEP bytes of texts, with the places of the documents that
+   have it and its count in each. So a string is written once for many documents.
 2. The dictionary: counts of each distinct string over all documents and the target, summed map-side first. A string
    is hashed once, here.
 3. Buckets: their counts and gains are sums over the dictionary, one row a bucket; `buckets` bounds what is broadcast.
-4. Gains go from the dictionary back to the documents' features by a join on the string and are summed by document.
-   Strings that fill more than HOT_SHARE of all (document, string) rows are split by a hash of the document, and
-   there are fewer of those than 1 / HOT_SHARE.
+4. Gains go from the dictionary back to the documents' feature counts by a join on the string and are summed by
+   document. Strings that fill more than HOT_SHARE of all (document, string) counts are split by a hash of the step,
+   and there are fewer of those than 1 / HOT_SHARE.
 5. Places in the order of scores come from a range shuffle and the sums of its partitions, not from one sorted task.
 
 Words: A-Z lower-cased, `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`, that is digits, letters and all beyond ASCII.
@@ -34,61 +36,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking
-from .shared import HOT_SHARE, ident, restored, salted_join, steps, texts, utf8, written
+from .shared import HOT_SHARE, gathered, restored, salted_join, texts, written
 
-#: Bytes of text that one Arrow step splits into words; a longer text is a step of its own.
-TEXT_STEP = 4 << 20
+#: Bytes of texts whose features are counted together; a longer text is a step of its own.
+TEXT_STEP = 16 << 20
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-COUNTED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("features", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+#: Rows of kind 0 are documents (step + places[0] is the row), rows of kind 1 features of a step.
+COUNTED = pa.schema([("kind", pa.int32()), ("step", pa.int64()), ("feature", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("n_words", pa.int64())])
+COUNTED_DDL = "kind int, step bigint, feature string, n bigint, docs bigint, places array<int>, counts array<int>, doc_id bigint, n_words bigint"
+
+
+def grams(words: pa.Array, owner: np.ndarray, max_n: int) -> tuple[pa.Array, np.ndarray]:
+    """Runs of 1 to max_n of the words and the text of each; owner: the text of each word."""
+    found, owners, runs = [words], [owner], words
+    for k in range(1, max_n):
+        last = len(words) - k
+        if last <= 0:
+            break
+        # Each run with the next word; those that go over the end of a text are left out.
+        runs = pc.binary_join_element_wise(runs.slice(0, last), words.slice(k), " ")
+        same = owner[:last] == owner[k:]
+        found.append(runs.filter(pa.array(same)))
+        owners.append(owner[:last][same])
+    return pa.concat_arrays([g.cast(pa.large_string()) for g in found]), np.concatenate(owners)
+
+
+def lists(places: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
 
 
 def counted(max_n: int):
-    """(row, doc_id, text) batches to COUNTED: the distinct features of each row and how often each occurs."""
+    """(row, doc_id, text) batches, rows numbered one after the other, to COUNTED."""
 
-    def of(part: pa.RecordBatch) -> pa.RecordBatch:
-        n = part.num_rows
-        lists = pc.split_pattern_regex(pc.ascii_lower(part.column(2)), WORD_BREAK)
-        lists = lists.cast(pa.large_list(pa.string()))
-        words, owner = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    def of(rows: np.ndarray, ids: pa.Array, column: pa.Array) -> Iterator[pa.RecordBatch]:
+        n = len(rows)
+        split = pc.split_pattern_regex(pc.ascii_lower(column), WORD_BREAK).cast(pa.large_list(pa.string()))
+        words, owner = pc.list_flatten(split), pc.list_parent_indices(split)
         some = pc.not_equal(words, "")
         words, owner = words.filter(some), owner.filter(some).to_numpy().astype(np.int64)
-        grams, owners, runs = [words], [owner], words
-        for k in range(1, max_n):
-            last = len(words) - k
-            if last <= 0:
-                break
-            # Each run with the next word; those that go over the end of a text are left out.
-            runs = pc.binary_join_element_wise(runs.slice(0, last), words.slice(k), " ")
-            same = owner[:last] == owner[k:]
-            grams.append(runs.filter(pa.array(same)))
-            owners.append(owner[:last][same])
-        flat, owner_of = pa.concat_arrays([g.cast(pa.large_string()) for g in grams]), np.concatenate(owners)
-        if len(flat):
-            coded = flat.dictionary_encode()
-            size = len(coded.dictionary)
-            keys, counts = np.unique(owner_of * size + coded.indices.to_numpy().astype(np.int64), return_counts=True)
-            rows, features = keys // size, coded.dictionary.take(pa.array(keys % size)).cast(pa.string())
-        else:
-            rows, counts, features = np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
-        ends = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
-        columns = [part.column(0), part.column(1), np.bincount(owner, minlength=n).astype(np.int64), np.bincount(owner_of, minlength=n).astype(np.int64)]
-        return pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], pa.ListArray.from_arrays(ends, features), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))], schema=COUNTED)
+        flat, of_row = grams(words, owner, max_n)
+        step, one = pa.array(np.full(n, rows[0])), np.ones(n, np.int64)
+        n_features = np.bincount(of_row, minlength=n).astype(np.int64)
+        at = lists((rows - rows[0]).astype(np.int32), np.arange(n + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), step, pa.nulls(n, pa.string()), pa.array(n_features), pa.array(one), at, pa.nulls(n, pa.list_(pa.int32())), ids, pa.array(np.bincount(owner, minlength=n).astype(np.int64))], schema=COUNTED)
+        if not len(flat):
+            return
+        coded = flat.dictionary_encode()
+        keys, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * n + of_row, return_counts=True)
+        size = len(coded.dictionary)
+        ends = np.searchsorted(keys, np.arange(size + 1) * n)
+        sums = np.add.reduceat(counts, ends[:-1])
+        m = np.full(size, rows[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.array(m), coded.dictionary.cast(pa.string()), pa.array(sums.astype(np.int64)), pa.array(np.diff(ends).astype(np.int64)), lists((rows[keys % n] - rows[0]).astype(np.int32), ends), lists(counts.astype(np.int32), ends), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], schema=COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in steps(utf8(batch.column(2))[1], TEXT_STEP):
-                yield of(batch.slice(lo, hi - lo))
+        for held in gathered(batches, 2, TEXT_STEP):
+            yield from of(held.column(0).to_numpy(), held.column(1), held.column(2))
 
     return run
 
 
 def features(docs: DataFrame, max_n: int, key: str, text: str, name: str) -> DataFrame:
     rows = texts(docs, key, text).select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), "text")
-    return written(rows.mapInArrow(counted(max_n), "row bigint, doc_id bigint, n_words bigint, n_features bigint, features array<string>, counts array<bigint>"), name)
-
-
-def exploded(held: DataFrame) -> DataFrame:
-    return held.select("row", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("row", F.col("x.features").alias("feature"), F.col("x.counts").alias("n"))
+    return written(rows.mapInArrow(counted(max_n), COUNTED_DDL), name)
 
 
 def gains(dictionary: DataFrame, buckets: int) -> DataFrame:
@@ -111,14 +121,18 @@ def resample(docs: DataFrame, target: DataFrame, max_n: int = 1, buckets: int =
     """Per document: key, n_features, weight, score, and rank (1, 2, ...; null if it is not drawn)."""
     held = features(docs, max_n, key, text, "features")
     aim = features(target.select(F.lit(0).cast("bigint").alias("item"), F.col(target_text).alias("text")), max_n, "item", "text", "target")
-    both = exploded(held).select("feature", F.col("n").alias("s"), F.lit(0).cast("bigint").alias("t"), F.lit(1).cast("bigint").alias("docs")).unionByName(exploded(aim).select("feature", F.lit(0).cast("bigint").alias("s"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("docs")))
-    summed = both.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("s", "t", "docs")])
+    none = F.lit(0).cast("bigint")
+    ours = held.filter("kind = 1").select("feature", F.col("n").alias("s"), none.alias("t"), "docs")
+    theirs = aim.filter("kind = 1").select("feature", none.alias("s"), F.col("n").alias("t"), none.alias("docs"))
+    summed = ours.unionByName(theirs).groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("s", "t", "docs")])
     dictionary = written(summed.select("feature", "s", "t", "docs", F.pmod(F.crc32("feature"), F.lit(buckets)).alias("bucket")), "dictionary")
     priced = dictionary.filter("docs > 0").join(F.broadcast(gains(dictionary, buckets).select("bucket", "gain")), "bucket").select("feature", "docs", "gain")
-    total = held.agg(F.coalesce(F.sum(F.size("features")), F.lit(0)).alias("n")).first().n
-    shares = salted_join(exploded(held), priced, ["feature"], "docs", max(2, int(total * HOT_SHARE) + 1), "row").select("row", (F.col("n") * F.col("gain")).alias("weight"))
+    total = dictionary.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first().n
+    counts = held.filter("kind = 1").select("step", "feature", "places", "counts")
+    met = salted_join(counts, priced, ["feature"], "docs", max(2, int(total * HOT_SHARE) + 1), "step")
+    shares = met.select("step", "counts", "gain", F.posexplode("places").alias("i", "place")).select((F.col("step") + F.col("place")).alias("row"), (F.get("counts", F.col("i")) * F.col("gain")).alias("weight"))
     # Documents come along as rows of weight 0, those without features too.
-    parts = shares.select("row", "weight", *[F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "n_words", "n_features")]).unionByName(held.select("row", F.lit(0).cast("bigint").alias("weight"), "doc_id", "n_words", "n_features"))
+    parts = shares.select("row", "weight", *[F.lit(None).cast("bigint").alias(c) for c in ("doc_id", "n_words", "n_features")]).unionByName(held.filter("kind = 0").select((F.col("step") + F.col("places")[0]).alias("row"), F.lit(0).cast("bigint").alias("weight"), "doc_id", "n_words", F.col("n").alias("n_features")))
     summed = parts.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.max(c).alias(c) for c in ("doc_id", "n_words", "n_features")])
     scored = written(summed.withColumn("score", F.col("weight") + gumbel(seed, "doc_id")), "scores")
     eligible = scored.filter(F.col("n_words") >= least_words)

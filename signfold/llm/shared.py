@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,24 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         lo = min(hi, n)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in batches of about `most` bytes of the text column; a longer text is one of its own."""
+    held, size = [], 0
+    for batch in batches:
+        at, offsets = 0, utf8(batch.column(column))[1]
+        while at < batch.num_rows:
+            upto = max(at + (not held), int(np.searchsorted(offsets, offsets[at] + most - size, side="right")) - 1)
+            if upto > at:
+                held.append(batch.slice(at, upto - at))
+                size += int(offsets[upto] - offsets[at])
+                at = upto
+            if at < batch.num_rows or size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def ragged(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     """A list column from flat values and the number in each row."""
     ends = np.concatenate(([0], np.cumsum(counts)))

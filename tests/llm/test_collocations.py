@@ -55,10 +55,10 @@ def test_as_counted_one_by_one(spark, max_n, share, top):
     assert want and held(m.collocations(frame(spark, rows).repartition(3), max_n, share=share, top=top)) == want
 
 
-def test_blocks_and_hot_words(spark, monkeypatch):
+def test_small_steps_and_hot_words(spark, monkeypatch):
     rows = texts(9, 30) + [("the a the b " * 300, "en")]
     want = brute(rows)
-    monkeypatch.setattr(m, "BLOCK", 4)
+    monkeypatch.setattr(m, "STEP", 100)
     monkeypatch.setattr(m, "HOT_SHARE", 1e-6)
     monkeypatch.setattr(m, "ROUNDS", (3, 1))
     assert held(m.collocations(frame(spark, rows))) == want
