@@ -88,6 +88,33 @@ def search_report(results: DataFrame) -> DataFrame:
     return r.select("query_id", "n_truth", "n_relevant", "n_irrelevant", "completeness", "soundness", F.when(F.col("perfect"), "PERFECT").otherwise("IMPERFECT").alias("verdict"), "n_missed")
 
 
+def _first_by(database: DataFrame, by: str, apart: str, k: int) -> DataFrame:
+    """(by, some): of each `by` the (id, apart) of smallest id, k at most of each `apart` and 2 k in all.
+
+    Whatever one `apart` is left out, the first k ids of the others are among these. Both windows keep the first
+    rows of a group only, which Spark does in each task before the shuffle too, so no large group is ever moved.
+    """
+    each = database.select(by, apart, "id").withColumn("n", F.row_number().over(Window.partitionBy(by, apart).orderBy("id"))).filter(F.col("n") <= k)
+    few = each.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("id"))).filter(F.col("n") <= 2 * k)
+    return few.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("id"), F.col(apart).alias("apart")))).alias("some"))
+
+
+def first_failures(queries: DataFrame, database: DataFrame, k: int) -> DataFrame:
+    """(query_id, irrelevant, missed): the first k ids of hits of another label, and of rows of the label that are no hits; for queries (query_id, key, label) against (key, id, label).
+
+    A display of rows * columns results that leaves one row for relevant ones asks for k = (rows - 1) * columns.
+    """
+    if k < 1:
+        raise ValueError("one id at least must be asked for")
+
+    def rest(of: str) -> Column:
+        found = F.filter("some", lambda x: ~x.apart.eqNullSafe(F.col(of)))
+        return F.coalesce(F.slice(F.transform(found, lambda x: x.id), 1, k), F.array().cast("array<bigint>"))
+
+    hits = queries.select("query_id", "key", "label").join(_first_by(database, "key", "label", k), "key", "left").select("query_id", "key", "label", rest("label").alias("irrelevant"))
+    return hits.join(_first_by(database, "label", "key", k), "label", "left").select("query_id", "irrelevant", rest("key").alias("missed"))
+
+
 # --- Hamming histograms -------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import pack
@@ -22,7 +22,7 @@ from ..functions.codec import pack
 ARRAY_PROBES = 10
 
 
-def smallest_subset_sums(values, masks=None) -> Iterator[tuple[float, tuple[int, ...]]]:
+def sets_by_sum(values, masks=None) -> Iterator[tuple[float, tuple[int, ...]]]:
     """(sum, indices) of all subsets of nonnegative values by sum, then by the sum of their masks (2**index if none are given), lazily.
 
     A set of places in sorted order has two followers: with its last place moved on by one, and with the next place
@@ -53,6 +53,24 @@ def smallest_subset_sums(values, masks=None) -> Iterator[tuple[float, tuple[int,
             heapq.heappush(heap, entry((*places, last + 1)))
 
 
+def weak_bits(x: Column, bits: int, number: int) -> Column:
+    """(cost, mask) of the number - 1 least certain of the bits, in order."""
+    each = F.transform(x, lambda v, i: F.struct(F.abs(v).cast("double").alias("cost"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(bits - 1) - i).alias("mask")))
+    return F.slice(F.array_sort(each), 1, min(number - 1, bits))
+
+
+def first_sets(weak: str, bits: int, number: int) -> Column:
+    """(cost, mask) of the first `number` sets of bits, from the column of weak_bits()."""
+    t = min(number - 1, bits)
+    sets = []
+    for s in range(1 << t):
+        cost, mask = F.lit(0.0), F.lit(0).cast("bigint")
+        for i in (i + 1 for i in range(t) if s >> i & 1):
+            cost, mask = cost + F.element_at(weak, i).cost, mask.bitwiseOR(F.element_at(weak, i).mask)
+        sets.append(F.struct(cost.alias("cost"), mask.alias("mask")))
+    return F.slice(F.array_sort(F.array(*sets)), 1, number)
+
+
 def probes(queries: DataFrame, number: int, bits: int, query_id: str = "query_id", logits: str = "logits") -> DataFrame:
     """(query_id, rank, probe_fp): the first `number` probes of each query, rank from 1 on."""
     if not 0 < bits <= 64:
@@ -62,16 +80,8 @@ def probes(queries: DataFrame, number: int, bits: int, query_id: str = "query_id
     q = queries.select(F.col(query_id).alias("query_id"), F.slice(F.col(logits), 1, bits).alias("x"))
     if number > ARRAY_PROBES:
         return q.mapInArrow(_heap_probes(number, bits), "query_id bigint, rank int, probe_fp bigint")
-    t = min(number - 1, bits)
-    weak = F.slice(F.array_sort(F.transform("x", lambda v, i: F.struct(F.abs(v).cast("double").alias("cost"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(bits - 1) - i).alias("mask")))), 1, t)
-    sets = []
-    for s in range(1 << t):
-        chosen = [i + 1 for i in range(t) if s >> i & 1]
-        cost, mask = F.lit(0.0), F.lit(0).cast("bigint")
-        for i in chosen:
-            cost, mask = cost + F.element_at("weak", i).cost, mask.bitwiseOR(F.element_at("weak", i).mask)
-        sets.append(F.struct(cost.alias("cost"), mask.alias("mask")))
-    first = F.slice(F.array_sort(F.array(*sets)), 1, number)
+    weak = weak_bits(F.col("x"), bits, number)
+    first = first_sets("weak", bits, number)
     laid = q.select("query_id", pack("x", bits).alias("fp"), weak.alias("weak")).select("query_id", "fp", F.posexplode(first).alias("rank", "s"))
     return laid.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("fp").bitwiseXOR(F.col("s.mask")).alias("probe_fp"))
 
@@ -88,7 +98,7 @@ def _heap_probes(number: int, bits: int):
                 ids, codes = [], []
                 for ident, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     fp = sum(1 << (bits - 1 - i) for i, v in enumerate(x) if v > 0)
-                    for _, (_, flips) in zip(range(number), smallest_subset_sums(np.abs(np.asarray(x, dtype=np.float64)), masks)):
+                    for _, (_, flips) in zip(range(number), sets_by_sum(np.abs(np.asarray(x, dtype=np.float64)), masks)):
                         code = fp
                         for i in flips:
                             code ^= 1 << (bits - 1 - i)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, losses
-from ..operators import bootstrap, draws, entropy, index, intervals, metrics, probing, quantiles, querysets, saved, segments
+from ..operators import bootstrap, draws, entropy, index, intervals, metrics, probing, quantiles, querysets, saved, segments, sweep, wide
 from ..sources import encoder, images, procedural, tables
 from ..streaming import incremental
 from . import fixtures as fx
@@ -545,6 +545,69 @@ def prb_heap(spark, sf_dir):
     return probing.probes(fx.vectors(spark, sf_dir), 12, 16, "id", "embedding")
 
 
+GRID = [(4, 1), (4, 4), (6, 1), (6, 3), (8, 1), (8, 2), (8, 5), (12, 5)]
+
+
+def _sweep_sql() -> str:
+    most = {b: max(n for c, n in GRID if c == b) for b, _ in GRID}
+    parts = []
+    for b, n in most.items():
+        parts.append(
+            f"h{b} AS (WITH {_probes(b, n)}, d AS (SELECT label, {fx.packed(b)} AS key, count(*) AS n FROM emb WHERE id % 10 <> 3 GROUP BY ALL), k AS (SELECT key, sum(n) AS n FROM d GROUP BY key) "
+            f"SELECT {b} AS bits, query_id, rank, e.label, coalesce(k.n, 0) AS n_hits, coalesce(d.n, 0) AS n_relevant FROM probes JOIN emb e ON e.id = query_id LEFT JOIN k ON k.key = probe_fp LEFT JOIN d ON d.key = probe_fp AND d.label = e.label WHERE query_id % 10 = 3)"
+        )
+    rows = ", ".join(f"({b}, {n})" for b, n in GRID)
+    return f"""WITH {fx.EMB}, {", ".join(parts)}, h AS ({" UNION ALL ".join(f"SELECT * FROM h{b}" for b in most)}), g AS (SELECT * FROM (VALUES {rows}) t(bits, probes)),
+t AS (SELECT label, count(*) AS n_truth FROM emb WHERE id % 10 <> 3 GROUP BY label),
+r AS (SELECT bits, probes, query_id, label, sum(n_hits) AS n_hits, sum(n_relevant) AS n_relevant FROM h JOIN g USING (bits) WHERE rank <= probes GROUP BY ALL),
+j AS (SELECT r.*, coalesce(n_truth, 0) AS n_truth FROM r LEFT JOIN t USING (label))
+SELECT CAST(bits AS INTEGER) AS bits, CAST(probes AS INTEGER) AS probes, count(*) AS n_queries, round(sum(n_relevant) FILTER (WHERE n_truth > 0) / sum(n_truth), 6) AS recall,
+       round(avg(n_relevant / (n_truth + n_hits - n_relevant)) FILTER (WHERE n_truth > 0), 6) AS avg_jaccard,
+       round(avg(CASE WHEN n_hits > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE n_truth > 0), 6) AS tpr FROM j GROUP BY bits, probes"""
+
+
+@query(_sweep_sql())
+def agg_sweep(spark, sf_dir):
+    """A grid of code lengths and numbers of probes: every tenth vector asks the others, all variants at once."""
+    v = fx.vectors(spark, sf_dir).withColumnRenamed("embedding", "logits")
+    found = sweep.sweep(v.filter("id % 10 = 3").withColumnRenamed("id", "query_id"), v.filter("id % 10 <> 3"), GRID)
+    return found.select("bits", "probes", "n_queries", *[r6(F.col(c)).alias(c) for c in ("recall", "avg_jaccard", "tpr")])
+
+
+_WIDE = f"""{fx.PAIRS}, x AS (SELECT a_id AS id, list_concat(a, b) AS v FROM pairs),
+y AS (SELECT id, v, i, abs(v[i])::DOUBLE AS c, row_number() OVER (PARTITION BY id ORDER BY abs(v[i])::DOUBLE, 128 - i) AS w FROM x, range(1, 129) t(i)),
+weak AS (SELECT * FROM y WHERE w <= 3),
+sets AS (SELECT id, any_value(v) AS v, s, coalesce(sum(c) FILTER (WHERE (s >> (w - 1)) & 1 = 1), 0) AS cost, coalesce(list(i ORDER BY i) FILTER (WHERE (s >> (w - 1)) & 1 = 1), []) AS flips FROM weak, range(0, 8) u(s) GROUP BY id, s),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, list_transform(flips, lambda f: 128 - f)) AS rank FROM sets),
+asked AS (SELECT id AS query_id, rank, array_to_string([CASE WHEN (v[i] > 0) <> list_contains(flips, i) THEN '1' ELSE '0' END for i in range(1, 129)], '') AS code FROM ranked WHERE rank <= 4),
+d AS (SELECT code, count(*) AS n, min(query_id) AS min_id FROM asked WHERE rank = query_id % 4 + 1 GROUP BY code)"""
+
+
+@query(f"WITH {_WIDE} SELECT query_id, CAST(rank AS INTEGER) AS rank, coalesce(n, 0) AS n_hits, min_id FROM asked LEFT JOIN d USING (code)")
+def prb_wide(spark, sf_dir):
+    """Codes of 128 bits, of two neighbouring vectors each; the database holds one of the first four probes of every code."""
+    p = fx.vector_pairs(spark, sf_dir).select(F.col("a_id").alias("id"), F.concat("a", "b").alias("logits"))
+    asked = wide.probes(p, 4, 128, "id", "logits")
+    held = asked.filter(F.col("rank") == F.col("query_id") % 4 + 1).select(F.col("query_id").alias("id"), "words")
+    return wide.probe_counts(asked, held, 128)
+
+
+_ASKED = "q AS (SELECT s_suppkey AS query_id, s_suppkey % 50 AS key, s_suppkey % 8 AS label FROM supplier), d AS (SELECT post.*, id % 8 AS label FROM post)"
+
+
+def _first_sql(name: str, match: str, other: str) -> str:
+    return f"{name} AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS {name} FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM q JOIN d ON q.{match} = d.{match} AND q.{other} <> d.{other}) WHERE n <= 5 GROUP BY query_id)"
+
+
+@query(f"WITH {fx.POSTINGS}, {_ASKED}, {_first_sql('irrelevant', 'key', 'label')}, {_first_sql('missed', 'label', 'key')} SELECT query_id, coalesce(irrelevant, '') AS irrelevant, coalesce(missed, '') AS missed FROM q LEFT JOIN irrelevant USING (query_id) LEFT JOIN missed USING (query_id)")
+def prb_report_ids(spark, sf_dir):
+    """The first five irrelevant and missed ids of each query; one bucket has a tenth of all rows, and each label an eighth."""
+    d = fx.postings(spark, sf_dir).withColumn("label", F.col("id") % 8)
+    q = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 50).alias("key"), (F.col("s_suppkey") % 8).alias("label"))
+    found = metrics.first_failures(q, d, 5)
+    return found.select("query_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("irrelevant", "missed")])
+
+
 _TIED = ["(0, [1, 1, 1, 1, 1, 1])", "(1, [-1, -1, -1, -1, -1, -1])", "(2, [0.5, 0.25, -0.25, 0.5, 0.75, 0])"]
 
 

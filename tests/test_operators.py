@@ -78,8 +78,8 @@ def test_probes(spark):
             if rank <= 9:
                 assert small[(i, rank)] == code
     with pytest.raises(ValueError):
-        list(probing.smallest_subset_sums([1.0, -1.0]))
-    assert sorted(s for _, s in probing.smallest_subset_sums([1.0, 1.0])) == [(), (0,), (0, 1), (1,)]
+        list(probing.sets_by_sum([1.0, -1.0]))
+    assert sorted(s for _, s in probing.sets_by_sum([1.0, 1.0])) == [(), (0,), (0, 1), (1,)]
     wide = spark.createDataFrame([(1, [1.0] * 64)], "query_id bigint, logits array<double>")
     assert probing.probes(wide, 20, 64).filter("rank = 1").first().probe_fp == -1
 
