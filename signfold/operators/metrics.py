@@ -156,16 +156,17 @@ def precision_at(histograms: DataFrame, radii: tuple[int, ...] = (0, 1, 2)) -> D
     return c.filter(F.col("distance").isin(*radii)).select(F.col("distance").alias("r"), or_nan(F.col("all") > 0, F.col("tp") / F.col("all")).alias("recall"), F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
-def quick_result(triplets: DataFrame) -> DataFrame:
-    """One row: n_pairs, median distances (truncated), n_codes and n_unique_codes over anchors and negatives."""
+def quick_result(triplets: DataFrame, entropies: DataFrame | None = None) -> DataFrame:
+    """One row: n_pairs, median distances (truncated), n_codes and n_unique_codes over anchors and negatives; with (size, entropy) rows of tuples of bits also worst_entropies, a map by size."""
     d = triplet_distances(triplets).agg(F.count_if(F.col("kind") == "positive").alias("n_pairs"), F.percentile(F.when(F.col("kind") == "positive", F.col("distance")), 0.5).cast("int").alias("median_positive"), F.percentile(F.when(F.col("kind") == "negative", F.col("distance")), 0.5).cast("int").alias("median_negative"))
     codes = triplets.select(F.explode(F.array("anchor_fp", "negative_fp")).alias("fp")).agg(F.count("*").alias("n_codes"), F.count_distinct("fp").alias("n_unique_codes"))
-    return d.crossJoin(codes)
+    row = d.crossJoin(codes)
+    return row if entropies is None else row.crossJoin(worst_entropies(entropies))
 
 
-def quick_results_at(triplets: DataFrame, step: int) -> DataFrame:
+def quick_results_at(triplets: DataFrame, step: int, entropies: DataFrame | None = None) -> DataFrame:
     """A quick result as a fact row of its step; results of all steps make a table that is appended to and read back."""
-    return quick_result(triplets).select(F.lit(step).cast("bigint").alias("step"), "*")
+    return quick_result(triplets, entropies).select(F.lit(step).cast("bigint").alias("step"), "*")
 
 
 def worst_entropies(entropies: DataFrame, by: str = "size") -> DataFrame:

@@ -142,6 +142,15 @@ def positive_pairs(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("a_id"), after.alias("b_id"), "label").filter("b_id IS NOT NULL")
 
 
+def positive_neighbours(items: DataFrame) -> DataFrame:
+    """As positive_pairs, for labels of any number of rows: rows get places in the order of (label, id), and a row meets the one after it by its place."""
+    placed = ranking.positions(items.select("label", "id"), "label", "id")
+    after = placed.select((F.col("position") - 1).alias("position"), F.col("id").alias("b_id"), F.col("label").alias("b_label"))
+    out = placed.join(after, "position").filter(F.col("label").eqNullSafe(F.col("b_label"))).select(F.col("id").alias("a_id"), "b_id", "label")
+    out.spent = placed.spent
+    return out
+
+
 def mixed_sizes(total: int | None = None, positive: int | None = None, negative: int | None = None) -> tuple[int, int]:
     """(positive, negative) of a batch of pairs, from any two of the three numbers; half and half of a total alone."""
     if total is None:

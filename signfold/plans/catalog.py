@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, losses
 from ..operators import bootstrap, draws, entropy, index, intervals, metrics, probing, quantiles, querysets, saved, segments, sweep, wide
-from ..sources import encoder, images, procedural, tables
-from ..streaming import incremental
+from ..sources import encoder, generated, images, procedural, tables
+from ..streaming import incremental, logstore
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -714,6 +714,56 @@ def ent_log_average(spark, sf_dir):
     return e.select("i", "j", "pattern", r6(F.col("log_p")).alias("log_p"))
 
 
+_CHAIN = [(0, 1), (2, 3), (4, 5)]
+_SHUFFLE = [3, 1, 7, 0, 2, 6, 5, 4]
+
+
+def _gradient_sql(pairs: list[tuple[int, int]]) -> str:
+    """SQL of the gradient of the entropies of these pairs."""
+    both = ", ".join(f"({i}, {j}), ({j}, {i})" for i, j in pairs)
+    cond = _COND.replace(_ORDERED, f"(VALUES {both}) t(i, j)")
+    return f"WITH {fx.EMB}, {cond}, g AS (SELECT id, i, sum(p * logit) AS g FROM jl JOIN cl USING (i, j, v) GROUP BY id, i) SELECT id AS vec_id, CAST(i AS INTEGER) AS bit, round(g * exp({_ls('embedding[i + 1]', 1)} + {_ls('embedding[i + 1]', -1)}) * 1000 / (SELECT count(*) FROM emb), 6) AS grad FROM g JOIN emb USING (id)"
+
+
+@query(_gradient_sql([(_SHUFFLE[i], _SHUFFLE[j]) for i, j in _CHAIN]))
+def ent_shuffled_pairs(spark, sf_dir):
+    """The gradient of three pairs of places, which another order of the bits makes three other pairs."""
+    g = entropy.entropy_gradient(fx.vectors(spark, sf_dir), "id", "embedding", _CHAIN, shuffle=_SHUFFLE)
+    return g.select(F.col("id").alias("vec_id"), "bit", r6(F.col("grad") * 1000).alias("grad")).filter(F.col("bit").isin([_SHUFFLE[i] for t in _CHAIN for i in t]))
+
+
+_ALL = list(itertools.combinations(range(64), 2))
+
+
+@query(f"WITH {fx.EMB}, s AS (SELECT i, j, {_soft('embedding[i + 1]', 'embedding[j + 1]')} FROM emb, (SELECT a.x AS i, b.x AS j FROM range(0, 64) a(x), range(0, 64) b(x) WHERE a.x < b.x) t), m AS (SELECT i, j, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2, avg(p3) AS p3 FROM s GROUP BY i, j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(-(p0 * log2(p0) + p1 * log2(p1) + p2 * log2(p2) + p3 * log2(p3)), 6) AS entropy FROM m")
+def ent_soft_whole(spark, sf_dir):
+    """Soft entropies of all pairs of all 64 dimensions."""
+    e = entropy.with_tuple(entropy.soft_entropy(fx.vectors(spark, sf_dir), "embedding", _ALL), _ALL, ["i", "j"])
+    return e.select("i", "j", r6(F.col("entropy")).alias("entropy"))
+
+
+@query(_gradient_sql(_ALL))
+def ent_gradient_whole(spark, sf_dir):
+    """The gradient of the entropies of all pairs of all 64 dimensions."""
+    g = entropy.entropy_gradient(fx.vectors(spark, sf_dir), "id", "embedding", _ALL)
+    return g.select(F.col("id").alias("vec_id"), "bit", r6(F.col("grad") * 1000).alias("grad"))
+
+
+_TWO = f"bits AS (SELECT id, i, CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END AS b FROM emb, range(0, 64) t(i)), one AS (SELECT i, b, count(*) AS n FROM bits GROUP BY ALL), two AS (SELECT x.i, y.i AS j, x.b AS b, y.b AS c, count(*) AS n FROM bits x JOIN bits y ON x.id = y.id AND x.i < y.i GROUP BY ALL)"
+_LEAST = "round(greatest(min(e), 0), 6) FROM (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM"
+
+
+@query(f"WITH {fx.TRIPLETS}, {_TWO} SELECT 100::BIGINT AS step, n_pairs, median_positive, median_negative, n_codes, n_unique_codes, (SELECT {_LEAST} one GROUP BY i)) AS worst_1, (SELECT {_LEAST} two GROUP BY i, j)) AS worst_2 FROM {_QUICK}")
+def agg_quick_whole(spark, sf_dir):
+    """A quick result with its worst entropies, of all bits and all pairs of bits, appended to the store and read back by step."""
+    codes = fx.vectors(spark, sf_dir).select("id", codec.pack("embedding").alias("fp"))
+    sizes = [entropy.tuple_entropy(codes, "fp", list(itertools.combinations(range(64), k)), 64).select(F.lit(k).alias("size"), "entropy") for k in (1, 2)]
+    path = tables.workspace(spark, "quick")
+    metrics.quick_results_at(fx.triplet_codes(spark, sf_dir, 16), 100, sizes[0].union(sizes[1])).write.mode("append").parquet(path)
+    row = spark.read.parquet(path)
+    return row.select(*row.columns[:-1], *[r6(F.element_at("worst_entropies", k)).alias(f"worst_{k}") for k in (1, 2)])
+
+
 # Logits beyond what exponentials hold: log P(1) is 0 up to rounding, log P(0) is minus the logit.
 @query("SELECT CAST(b AS INTEGER) AS bit, CAST(o AS INTEGER) AS other_bit, CAST(v AS INTEGER) AS pattern, CASE WHEN b = 0 THEN 800.0::DOUBLE ELSE 900.0::DOUBLE END AS logit FROM (VALUES (0, 1), (1, 0)) t(b, o), range(0, 2) u(v)")
 def ent_saturated_logits(spark, sf_dir):
@@ -827,6 +877,12 @@ def smp_pairs(spark, sf_dir):
     return querysets.positive_pairs(fx.orders(spark, sf_dir))
 
 
+@query(f"WITH {fx.POSTINGS}, n AS (SELECT id AS a_id, lead(id) OVER (PARTITION BY key ORDER BY id) AS b_id, key AS label FROM post) SELECT * FROM n WHERE b_id IS NOT NULL")
+def smp_pairs_hot(spark, sf_dir):
+    """Neighbours by id within a label; one label has a tenth of all rows."""
+    return querysets.positive_neighbours(fx.postings(spark, sf_dir).withColumnRenamed("key", "label"))
+
+
 @query(f"{_PP} SELECT a_id, b_id, true AS similar FROM pp WHERE b_id IS NOT NULL UNION ALL SELECT a_id, b_id, false FROM ng")
 def smp_mixed(spark, sf_dir):
     o = fx.orders(spark, sf_dir)
@@ -932,6 +988,22 @@ def src_merge(spark, sf_dir):
     return tables.merge_shards([querysets.id_range(o, 0, 5000), querysets.id_range(o, 5000, 1 << 62)])
 
 
+@query("SELECT CAST(o_orderkey // 1000 AS INTEGER) AS shard, count(*) AS n, true AS refused FROM orders GROUP BY 1")
+def src_merge_whole(spark, sf_dir):
+    """Shards of 1,000 ids with the rows that each should have; with one of them short by a row they are refused."""
+    o = fx.orders(spark, sf_dir).select("id")
+    top = o.agg(F.max("id").alias("top")).first().top
+    ranges = list(querysets.slices(top + 1, 1000))
+    sizes = dict(o.groupBy(F.call_function("div", F.col("id"), F.lit(1000).cast("bigint")).alias("k")).count().collect())
+    shards, expected = [querysets.id_range(o, a, b) for a, b in ranges], [sizes.get(i, 0) for i in range(len(ranges))]
+    try:
+        tables.merge_shards([*shards[:-1], shards[-1].filter(F.col("id") != top)], expected)
+        refused = False
+    except ValueError:
+        refused = True
+    return tables.merge_shards(shards, expected).groupBy("shard").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
 @query("SELECT 10000::BIGINT AS n, 0::BIGINT AS lo, 9999::BIGINT AS hi, 10000::BIGINT AS n_inside, 50::BIGINT AS n_same")
 def src_procedural(spark, sf_dir):
     """Values of [0, 1000) by chunks; rows that are asked for one by one are those of the scan."""
@@ -948,6 +1020,20 @@ def src_procedural_labels(spark, sf_dir):
     return v.agg(F.count("*").alias("n"), F.count_if(F.col("noise").between(0, 1)).alias("n_inside"), (F.count_distinct("noise") > 0.9 * F.count("*")).alias("varied"))
 
 
+@query("SELECT count(*) AS n, 3 * count(*) AS n_inside, (SELECT count(*) FROM orders WHERE o_orderkey BETWEEN 1200 AND 1399) AS n_asked, (SELECT count(*) FROM orders WHERE o_orderkey BETWEEN 1200 AND 1399) AS n_same, 1 AS chunks, true AS varied FROM orders")
+def src_generated(spark, sf_dir):
+    """Items of all orders, made by the data source; a range of ids makes one chunk and gives the same items."""
+    o = fx.orders(spark, sf_dir).select("id", "label")
+    size = o.agg(F.max("id").alias("top")).first().top + 1
+    items = generated.labelled(spark, o, size, "valid", 11, 3)
+    inside = F.size(F.filter("values", lambda x: (x >= F.col("label")) & (x < F.col("label") + 1)))
+    whole = items.agg(F.count("*").alias("n"), F.sum(inside).alias("n_inside"), (F.count_distinct(F.col("values")[0] - F.col("label")) > 0.9 * F.count("*")).alias("varied"))
+    noise = generated.load(spark, 3 * 11 + generated.SPLITS["valid"], size, generated.LABELS_CHUNK, 3).filter("id BETWEEN 1200 AND 1399")
+    asked = o.join(noise, "id").select("id", F.transform("values", lambda x: x + F.col("label")).alias("again"))
+    same = asked.join(items, "id").agg(F.count("*").alias("n_asked"), F.count_if(F.col("values") == F.col("again")).alias("n_same"))
+    return whole.crossJoin(same).withColumn("chunks", F.lit(noise.rdd.getNumPartitions()))
+
+
 @query("SELECT count(*) AS n_saved, true AS refused, 2 * count(*) AS n_appended, count(*) AS n_forced FROM orders")
 def src_guard(spark, sf_dir):
     """A table that exists is not written over unless that is forced; appending adds to it."""
@@ -1054,6 +1140,18 @@ def str_lookup(spark, sf_dir):
     return spark.read.schema(hits.schema).parquet(f"{out}/table")
 
 
+@query("SELECT user_id AS step, event_type AS metric, count(*) AS n, round(max(value), 6) AS max_value, round(avg(value), 6) AS mean_value, round(arg_max(value, event_id), 6) AS last_value, max(event_id) AS last_seq FROM events GROUP BY ALL")
+def str_log_store(spark, sf_dir):
+    """Events as log records of a stream that is stopped and started again, with more records in between."""
+    records = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("step"), F.col("event_type").alias("metric"), "value")
+    at = tables.workspace(spark, "log")
+    for part in ("seq % 3 = 0", "seq % 3 > 0"):
+        records.filter(part).write.mode("append").parquet(f"{at}/records")
+        logstore.upsert(spark.readStream.schema(records.schema).parquet(f"{at}/records"), f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    out = logstore.read(spark, f"{at}/store")
+    return out.select("step", "metric", "n", *[r6(F.col(c)).alias(c) for c in ("max_value", "mean_value", "last_value")], "last_seq")
+
+
 # --- statistics -----------------------------------------------------------------------------------------
 
 
