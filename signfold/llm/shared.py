@@ -240,21 +240,32 @@ def long_hash(word: bytes) -> int:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]: its bytes, eight at a time, mixed into a state that begins with its length.
+    """A 64-bit hash of each data[start:end]: its bytes, eight at a time, mixed into two states that begin with its length.
 
-    Words beyond LONG_WORD bytes take BLAKE2b, so that the number of rounds stays small.
+    A block could be chosen to undo the difference of earlier ones in one state, but not in both at once: one takes it
+    by exclusive or, the other by addition, and each goes through its own mixing. Words of up to eight bytes and equal
+    length never collide. Words beyond LONG_WORD bytes take BLAKE2b, so that the number of rounds stays small.
     """
     size = ends - starts
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
     h = mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F))
-    live, at = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
-    while len(live):
+
+    def block(live: np.ndarray, at: int) -> np.ndarray:
         left = np.minimum(size[live] - at, 8).astype(np.uint64)
-        block = eights[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
-        h[live] = mixed((h[live] ^ block) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x589965CC75374CC3))
+        return eights[starts[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+
+    live = np.flatnonzero((size > 0) & (size <= 8))
+    h[live] = mixed((h[live] ^ block(live, 0)) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x589965CC75374CC3))
+    longer = live = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    g, at = mixed(h + np.uint64(0xE7037ED1A0B428DB)) if len(live) else h, 0
+    while len(live):
+        x = block(live, at)
+        h[live] = mixed((h[live] ^ x) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x589965CC75374CC3))
+        g[live] = mixed((g[live] + x) * np.uint64(0x8EBC6AF09C88C6E3) ^ np.uint64(0x1D8E4E27C47D124F))
         at += 8
         live = live[size[live] > at]
+    h[longer] = mixed(h[longer] + g[longer] * np.uint64(0xEB44ACCAB455D165))
     for i in np.flatnonzero(size > LONG_WORD).tolist():
         h[i] = long_hash(data[starts[i] : ends[i]].tobytes())
     return h
@@ -296,10 +307,14 @@ def shingles(h: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray,
     at = np.arange(total) - np.repeat(ends - size, size) + (last - counts)[owner]
     stop = last[owner]
     out = np.zeros(total, dtype=np.uint64)
+    twin = np.full(total, np.uint64(0xE7037ED1A0B428DB))
     for k in range(width):
         here = at + k
         word = np.where(here < stop, h[np.minimum(here, len(h) - 1)] if len(h) else np.uint64(0), np.uint64(0))
         out = mixed(out * np.uint64(0x9FB21C651E98DF25) + word + np.uint64(k + 1))
+        # A second state, so that no word can undo the difference of the words before it.
+        twin = mixed((twin ^ word) * np.uint64(0x8EBC6AF09C88C6E3) + np.uint64(k + 1))
+    out = mixed(out + twin * np.uint64(0xEB44ACCAB455D165))
     for a, b in zip((ends - size).tolist(), ends.tolist()):
         out[a:b].sort()
     keep = np.ones(total, dtype=bool)
