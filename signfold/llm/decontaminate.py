@@ -18,8 +18,8 @@ shards; the driver holds one shard and 16 bytes for each distinct word of the be
 Words are runs of letters, digits and non-ASCII bytes, lower-cased; an item's first line is its question, further
 lines its answer, unless columns name them.
 
-Defined results: null texts are empty and have no passages; items without words match nothing; equal items each
-count; repeated rows are judged alike, row by row, whatever their ids; empty tables give no matches; extra columns are
+Defined results: null texts are empty and have no passages; items without words match nothing; an item whose
+id is null or no integer counts like any other and is listed as null, before the others; equal items each count; null document ids stay null; repeated rows are judged alike, row by row, whatever their ids; empty tables give no matches; extra columns are
 ignored.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, restored, shingles, steps, texts, utf8, words
+from .shared import ALNUM, NULL_ID, restored, shingles, steps, texts, utf8, words
 
 SHARD_ITEMS = 4096
 GATHER_BYTES = 64 << 20
@@ -330,7 +330,8 @@ def item_shards(items: DataFrame, item: str, text: str, question: str | None, an
     q = F.coalesce(F.col(question), F.lit("")) if question else cut[0]
     rest = F.coalesce(F.try_element_at(cut, F.lit(2)), F.lit("")) if not question else F.lit("")
     a = F.coalesce(F.col(answer), F.lit("")) if answer else rest
-    rows = items.select(F.col(item).cast("bigint").alias("i"), q.alias("q"), a.alias("a")).filter("i is not null").orderBy("i", "q", "a")
+    number = F.coalesce(F.col(item).try_cast("bigint"), F.lit(NULL_ID))
+    rows = items.select(number.alias("i"), q.alias("q"), a.alias("a")).orderBy("i", "q", "a")
     held = []
     for r in rows.toLocalIterator():
         held.append((r.i, r.q, r.a))
@@ -354,7 +355,8 @@ def index_of(items: DataFrame, item: str = "item_id", item_text: str = "text", q
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **index) -> DataFrame:
     """Per row: key, n_passages, n_retrieved (passage-item pairs at or above the threshold), items (ids of overlapping items, ascending), best (their best score), contaminated. index: arguments of index_of()."""
     out = texts(docs, key, text).mapInArrow(_matcher(index_of(items, **index)), MATCH)
-    return restored(out.withColumnRenamed("id", key), key).withColumn("contaminated", F.size("items") > 0)
+    out = restored(out.withColumnRenamed("id", key), key).withColumn("contaminated", F.size("items") > 0)
+    return out.withColumn("items", F.transform("items", lambda i: F.nullif(i, F.lit(NULL_ID))))
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", **index) -> DataFrame:

@@ -115,3 +115,13 @@ def test_results_do_not_depend_on_shards(spark, monkeypatch):
         found[shard] = sorted(str((r.doc_id, r.n_passages, r.n_retrieved, r["items"], round(r.best, 9), r.contaminated)) for r in got)
     assert len(found[4096]) == len(docs) and found[16] == found[4096] == found[71]
     assert sum("True" in x for x in found[16]) > 10
+
+
+@pytest.mark.parametrize("kind,ids", [("bigint", [None, 5, None]), ("string", ["a-1", "5", None])])
+def test_items_without_integer_ids(spark, kind, ids):
+    texts = [" ".join(f"{w}{k}" for k in range(12)) for w in ("one", "two", "three")]
+    items = spark.createDataFrame(list(zip(ids, texts)), f"item_id {kind}, text string")
+    docs = frame(spark, [(i, "before " + t + " after") for i, t in enumerate(texts)] + [(9, "nothing of it")])
+    got = {r.doc_id: (r.contaminated, r["items"]) for r in m.decontaminate(docs, items).collect()}
+    assert got == {0: (True, [None]), 1: (True, [5]), 2: (True, [None]), 9: (False, [])}
+    assert [r.doc_id for r in m.clean_rows(docs, items).collect()] == [9]
