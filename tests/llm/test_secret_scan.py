@@ -1,6 +1,8 @@
 import re
+import time
 
 from signfold.llm import secret_scan as m
+from signfold.llm.shared import release
 
 SCHEMA = "doc_id bigint, text string, blob string, spans string, rule_version string"
 PATTERNS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda x: len(x[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda x: len(x[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda x: len(x[0]) >= 24)]
@@ -48,3 +50,31 @@ def test_ledger_scans_each_pair_once(spark, tmp_path, monkeypatch):
 
 def test_empty(spark):
     assert m.secret_scan(frame(spark, []).limit(0)).collect() == []
+
+
+def test_many_matches_in_one_text(spark):
+    n = 200_000
+    rows = [(1, "token=abcdefgh " * n), (2, "x token=abcdefgh"), (2, "x token=abcdefgh")]
+    began = time.time()
+    got = {r.doc_id: r.spans for r in m.secret_scan(frame(spark, rows)).collect()}
+    assert time.time() - began < 90
+    assert [(s.start, s.stop) for s in got[1]] == [(15 * i, 15 * i + 14) for i in range(n)]
+    assert [(s.start, s.stop) for s in got[2]] == [(2, 16)]
+
+
+def test_two_scans_of_one_ledger(spark, tmp_path):
+    rows = list(enumerate(TEXTS))
+    path = str(tmp_path / "ledger")
+    m.extend(frame(spark, rows[::2]), path)
+    half = spark.read.parquet(path).count()
+    assert spans(m.secret_scan(frame(spark, rows), ledger=path)) == sorted((str(i), brute(t)) for i, t in rows)
+    assert half < spark.read.parquet(path).count() == len({t or "" for t in TEXTS})
+
+
+def test_new_ledgers_are_released(spark):
+    got = m.secret_scan(frame(spark, [(1, "token=abcdefgh")]))
+    assert spans(got) == [("1", "assign:0:14")]
+    path = got.spent[0].scratch_path
+    assert m.ledger_rows(spark, path) is not None
+    release(got)
+    assert m.ledger_rows(spark, path) is None
