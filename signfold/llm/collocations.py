@@ -51,7 +51,7 @@ _LOWER[65:91] += 32
 _IS_END, _IS_WORD = np.zeros(256, dtype=bool), np.ones(256, dtype=bool)
 _IS_END[np.frombuffer(ENDS, np.uint8)] = True
 _IS_WORD[np.frombuffer(ENDS + SPACES, np.uint8)] = False
-ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+ROWS = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -73,41 +73,47 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
 
 
 def counted(langs: pa.Array, column: pa.Array, max_n: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n) of all runs of 1 to max_n words, one batch for each length."""
+    """(key, n) of all runs of 1 to max_n words, one batch for each length."""
     found, text, first = words(*utf8(column))
     if not len(found):
         return
-    coded, named = found.dictionary_encode(), langs.fill_null("und").dictionary_encode()
+    coded, named = found.dictionary_encode(), langs.fill_null("und").cast(pa.large_string()).dictionary_encode()
     code, n_words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-    lang_of = named.indices.to_numpy().astype(np.int64)[text]
     # The piece of each word; a run of k words is one if its first and last word are of the same piece.
-    piece = np.cumsum(first)
-    at, key = np.arange(len(code)), lang_of * n_words + code
+    piece, at = np.cumsum(first, dtype=np.int32), np.arange(len(code), dtype=np.int32)
+    key, lang, parts = named.indices.to_numpy().astype(np.int64)[text] * n_words + code, np.arange(len(named.dictionary)), []
     for k in range(1, max_n + 1):
         if k > 1:
-            # Runs by the number of the run of one word less that they begin with, and their last word.
+            # A run is the run of one word less that it begins with, by its number, and its last word.
             whole = at + k - 1 < len(code)
             at, key = at[whole], key[whole]
             whole = piece[at + k - 1] == piece[at]
-            at, key = at[whole], key[whole] * n_words + code[at[whole] + k - 1]
-        _, one, number, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        if not len(one):
-            return
-        parts = [coded.dictionary.take(pa.array(code[at[one] + i])) for i in range(k)]
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0]
-        yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(lang_of[at[one]])).cast(pa.string()), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))], schema=ROWS)
-        key = number.astype(np.int64)
+            at, key = at[whole], key[whole]
+            key = key * n_words + code[at + k - 1]
+            if not len(at):
+                return
+        if k < max_n:
+            run, number, counts = np.unique(key, return_inverse=True, return_counts=True)
+            key = number.reshape(-1)
+        else:
+            run, counts = np.unique(key, return_counts=True)
+        begun, last = np.divmod(run, n_words)
+        lang, parts = lang[begun], [*[p[begun] for p in parts], last]
+        strings = [coded.dictionary.take(pa.array(p)) for p in parts]
+        phrase = pc.binary_join_element_wise(*strings, pa.scalar(" ", pa.large_string())) if k > 1 else strings[0]
+        joined = pc.binary_join_element_wise(phrase, named.dictionary.take(pa.array(lang)), pa.scalar("\n", pa.large_string()))
+        yield pa.RecordBatch.from_arrays([joined.cast(pa.string()), pa.array(counts.astype(np.int64))], schema=ROWS)
 
 
 def phrases(docs: DataFrame, max_n: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, phrase, n): a row for each phrase of a step, n its occurrences there."""
+    """(key, n): a row for each phrase of a step, n its occurrences there. Phrase and language are one string: no word has a line feed, so the first one ends the phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in gathered(batches, 1, STEP):
             yield from counted(held.column(0), held.column(1), max_n)
 
     asked = docs.select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return asked.mapInArrow(run, "lang string, phrase string, n bigint")
+    return asked.mapInArrow(run, "key string, n bigint")
 
 
 def words_in(phrase: str) -> Column:
@@ -132,8 +138,7 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, share: int =
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to max_n words of each language."""
     if max_n < 2 or least < 1:
         raise ValueError("phrases of two words or more and counts of one or more are needed")
-    # Phrase and language travel as one string: no word has a line feed, so the first one ends the phrase.
-    counts = phrases(docs, max_n, text, lang).groupBy(F.concat("phrase", F.lit("\n"), "lang").alias("key")).agg(F.sum("n").alias("f"))
+    counts = phrases(docs, max_n, text, lang).groupBy("key").agg(F.sum("n").alias("f"))
     at = F.instr("key", "\n")
     counts = counts.select(F.substring(F.col("key"), at + 1, F.length("key")).alias("lang"), F.substring(F.col("key"), F.lit(1), at - 1).alias("phrase"), "f")
     # Rare phrases go into one row of each language, which holds how many of the occurrences are of rare words.
