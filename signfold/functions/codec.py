@@ -24,6 +24,11 @@ def _zero() -> Column:
 # --- label keys ------------------------------------------------------------------------------------
 
 
+def fits_key(base: Column, digits: Column) -> Column:
+    """Whether numbers of so many digits of a base are all below 2**63, as check_capacity() has it."""
+    return F.pow(base.cast("double"), digits) <= F.lit(float(1 << 63))
+
+
 def check_capacity(base: int, digits: int) -> int:
     """Number of keys of so many base-`base` digits; an error unless all are nonnegative BIGINTs."""
     if base < 1 or digits < 0:

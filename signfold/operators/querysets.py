@@ -181,8 +181,8 @@ def labelled_batch(spark: SparkSession, n: int, size: int, replace: bool = True,
     """(id, label): a batch of n labels of [0, size), with or without replacement."""
     if replace:
         return uniform_labels(spark, n, size, seed)
-    one = unique_rows(spark, 1, n, 0, size, seed)
-    return one.select(F.posexplode("values").alias("id", "label")).select(F.col("id").cast("bigint").alias("id"), "label")
+    nothing = spark.createDataFrame([], "label bigint")
+    return sample_absent(nothing, n, size, seed).withColumnRenamed("query_id", "id")
 
 
 def mixed_pairs(items: DataFrame, negatives: DataFrame) -> DataFrame:

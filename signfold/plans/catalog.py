@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable
 from decimal import Decimal
@@ -209,15 +210,11 @@ def fpr_slot_any(spark, sf_dir):
     return fx.orders(spark, sf_dir).select("label").distinct().select(codec.slot_of("label", 3000).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
 
 
-@query("SELECT base, digits, CAST(pow(base::DOUBLE, digits) <= 9223372036854775808 AS BOOLEAN) AS fits FROM (VALUES (2, 63), (2, 64), (10, 18), (10, 19), (1000, 6), (100000, 4)) t(base, digits)")
+@query("SELECT o_orderkey AS id, CAST(pow((o_custkey % 1000 + 2)::DOUBLE, o_orderkey % 70 + 1) <= 9223372036854775808 AS BOOLEAN) AS fits FROM orders")
 def cod_capacity(spark, sf_dir):
-    def fits(base: int, digits: int) -> bool:
-        try:
-            return codec.check_capacity(base, digits) > 0
-        except OverflowError:
-            return False
-
-    return spark.createDataFrame([(b, d, fits(b, d)) for b, d in ((2, 63), (2, 64), (10, 18), (10, 19), (1000, 6), (100_000, 4))], "base int, digits int, fits boolean")
+    """Whether so many digits of such a base fit a key, for a base and a number of digits of each order."""
+    o = fx.orders(spark, sf_dir)
+    return o.select("id", codec.fits_key(F.col("label") % 1000 + 2, F.col("id") % 70 + 1).alias("fits"))
 
 
 # --- query sets -----------------------------------------------------------------------------------------
@@ -608,15 +605,14 @@ def prb_report_ids(spark, sf_dir):
     return found.select("query_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("irrelevant", "missed")])
 
 
-_TIED = ["(0, [1, 1, 1, 1, 1, 1])", "(1, [-1, -1, -1, -1, -1, -1])", "(2, [0.5, 0.25, -0.25, 0.5, 0.75, 0])"]
+_QUARTERS = "emb AS (SELECT vec_id AS id, label, [floor(v * 4) / 4 for v in embedding] AS embedding FROM embeddings)"
 
 
-@query(f"WITH embeddings AS (SELECT id AS vec_id, 0 AS label, v::DOUBLE[] AS embedding FROM (VALUES {', '.join(_TIED)}) t(id, v)), {_probes(6, 7)} SELECT query_id, rank, probe_fp FROM probes")
+@query(f"WITH {_probes(6, 7).replace(fx.EMB, _QUARTERS)} SELECT query_id, rank, probe_fp FROM probes")
 def prb_ties(spark, sf_dir):
-    """Equal costs are probed in order of the masks, by the heap as by the array."""
-    rows = [(0, [1.0] * 6), (1, [-1.0] * 6), (2, [0.5, 0.25, -0.25, 0.5, 0.75, 0.0])]
-    v = spark.createDataFrame(rows, "query_id bigint, logits array<double>")
-    return probing.probes(v, 40, 6).filter("rank <= 7")
+    """Logits of whole quarters, so that many costs are equal: these are probed in order of the masks, by the heap as by the array."""
+    v = fx.vectors(spark, sf_dir).select("id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 4) / 4).alias("logits"))
+    return probing.probes(v, 40, 6, "id").filter("rank <= 7")
 
 
 @query(f"WITH {fx.SPLIT}{_RESULTS} SELECT query_id, n_truth, n_relevant, n_irrelevant, CASE WHEN complete THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS completeness, CASE WHEN sound THEN 'SOUND' ELSE 'UNSOUND' END AS soundness, CASE WHEN perfect THEN 'PERFECT' ELSE 'IMPERFECT' END AS verdict, n_truth - n_relevant AS n_missed FROM r")
@@ -764,11 +760,15 @@ def agg_quick_whole(spark, sf_dir):
     return row.select(*row.columns[:-1], *[r6(F.element_at("worst_entropies", k)).alias(f"worst_{k}") for k in (1, 2)])
 
 
-# Logits beyond what exponentials hold: log P(1) is 0 up to rounding, log P(0) is minus the logit.
-@query("SELECT CAST(b AS INTEGER) AS bit, CAST(o AS INTEGER) AS other_bit, CAST(v AS INTEGER) AS pattern, CASE WHEN b = 0 THEN 800.0::DOUBLE ELSE 900.0::DOUBLE END AS logit FROM (VALUES (0, 1), (1, 0)) t(b, o), range(0, 2) u(v)")
+# Logits x and y beyond what exponentials hold: log P(1) is 0 up to rounding, log P(0) is minus the logit.
+@query(
+    "WITH v AS (SELECT abs(embedding[1]::DOUBLE) AS x, abs(embedding[2]::DOUBLE) AS y FROM embeddings), s AS (SELECT ln(count(*)) AS n, ln(sum(exp(-x))) AS x, ln(sum(exp(-y))) AS y, ln(sum(exp(-x - y))) AS xy FROM v) "
+    "SELECT 0 AS bit, 1 AS other_bit, CAST(p AS INTEGER) AS pattern, round(800 + CASE p WHEN 1 THEN n - x ELSE y - xy END, 6) AS logit FROM s, range(0, 2) t(p) UNION ALL SELECT 1, 0, CAST(p AS INTEGER), round(900 + CASE p WHEN 1 THEN n - y ELSE x - xy END, 6) FROM s, range(0, 2) t(p)"
+)
 def ent_saturated_logits(spark, sf_dir):
-    """Conditional logits of rows that all have logits 800 and 900."""
-    v = fx.vectors(spark, sf_dir).select(F.array(F.lit(800.0), F.lit(900.0)).alias("x"))
+    """Conditional logits of rows whose logits lie at 800 and 900 and above."""
+    x, y = (F.abs(F.col("embedding")[i].cast("double")) for i in (0, 1))
+    v = fx.vectors(spark, sf_dir).select(F.array(x + 800.0, y + 900.0).alias("x"))
     subs, _ = entropy.sub_tuples([(0, 1)])
     other = F.element_at(F.array(*[F.lit(t[0]) for t in subs]), F.col("sub") + 1)
     return entropy.conditional_logits(v, "x", [(0, 1)]).select("bit", other.alias("other_bit"), "pattern", r6(F.col("logit")).alias("logit"))
@@ -786,19 +786,23 @@ def agg_worst_entropies(spark, sf_dir):
     return worst.select(F.explode("worst_entropies").alias("size", "worst")).select("size", r6(F.col("worst")).alias("worst"))
 
 
-@query("SELECT CAST(a.x AS INTEGER) AS i, CAST(b.x AS INTEGER) AS j, true AS covered FROM range(0, 8) a(x), range(0, 8) b(x) WHERE a.x < b.x")
+@query(f"WITH {fx.EMB}{_HARD}, n AS (SELECT i, j, pattern, count(*) AS n FROM c GROUP BY ALL) SELECT i, j, round(greatest(log2(sum(n)) - sum(n * log2(n)) / sum(n), 0), 6) AS entropy FROM n GROUP BY i, j")
 def ent_covering(spark, sf_dir):
-    """Of covering 4-subsets of 8 places, padded by 5 more: whether every pair lies in one."""
+    """Entropies of the pairs that lie in a covering 4-subset of 8 places, padded by 5 more: these are all pairs."""
     chosen = entropy.covering_combinations(8, 4, 2, seed=1)
     chosen = entropy.padded_combinations(chosen, 8, len(chosen) + 5, seed=2)
-    pairs = [(i, j, any({i, j} <= set(t) for t in chosen)) for i, j in _TUPLES]
-    return spark.createDataFrame(pairs, "i int, j int, covered boolean")
+    pairs = [(i, j) for i, j in _TUPLES if any({i, j} <= set(t) for t in chosen)]
+    e = entropy.with_tuple(entropy.tuple_entropy(_codes(spark, sf_dir), "fp", pairs, _BITS), pairs, ["i", "j"])
+    return e.select("i", "j", r6(F.col("entropy")).alias("entropy"))
 
 
-@query("SELECT CAST(a.x AS INTEGER) AS bit, CAST(b.x AS INTEGER) AS other_bit FROM range(0, 8) a(x), range(0, 8) b(x) WHERE a.x <> b.x")
+@query(f"WITH {fx.EMB} SELECT CAST(a.x AS INTEGER) AS bit, CAST(b.x AS INTEGER) AS other_bit, count(*) AS n FROM range(0, 8) a(x), range(0, 8) b(x), emb WHERE a.x <> b.x AND embedding[a.x + 1] > 0 AND embedding[b.x + 1] > 0 GROUP BY ALL")
 def ent_sub_tuples(spark, sf_dir):
+    """For each bit and each other bit of its tuples, the codes that have both."""
     subs, of_bit = entropy.sub_tuples(_TUPLES)
-    return spark.createDataFrame([(i, subs[s][0]) for i, x in of_bit.items() for s in x], "bit int, other_bit int")
+    pairs = [(i, subs[s][0]) for i, x in of_bit.items() for s in x]
+    counts = entropy.with_tuple(entropy.pattern_counts(_codes(spark, sf_dir), "fp", pairs, _BITS), pairs, ["bit", "other_bit"])
+    return counts.filter("pattern = 3").select("bit", "other_bit", "n")
 
 
 # --- losses and schedules -------------------------------------------------------------------------------
@@ -861,9 +865,9 @@ def los_huber_slope(spark, sf_dir):
     return fx.vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), r6(losses.total(slopes)).alias("slope"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS step, round(pow(1 + 0.005 * ((i // 200) * 200), 0.5), 6) AS value FROM range(0, 1000, 50) t(i)")
+@query("SELECT o_orderkey AS step, round(pow(1 + 0.005 * ((o_orderkey // 200) * 200), 0.5), 6) AS value FROM orders")
 def sch_polynomial(spark, sf_dir):
-    s = spark.range(0, 1000, 50).withColumnRenamed("id", "step")
+    s = fx.orders(spark, sf_dir).select(F.col("id").alias("step"))
     return s.select("step", r6(losses.polynomial_schedule("step", 1.0, 0.005, 0.5, 200)).alias("value"))
 
 
@@ -901,29 +905,31 @@ def _shape(rows: DataFrame, k: int, low: int, high: int) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.count_if(good).alias("n_distinct"), F.count_if(inside).alias("n_inside"), (F.count_distinct("values") > 0.99 * F.count("*")).alias("varied"))
 
 
-@query("SELECT 10000::BIGINT AS n_rows, 10000::BIGINT AS n_distinct, 10000::BIGINT AS n_inside, true AS varied")
+@query("SELECT count(*) AS n_rows, count(*) AS n_distinct, count(*) AS n_inside, true AS varied FROM orders")
 def smp_unique_rows(spark, sf_dir):
-    return _shape(querysets.unique_rows(spark, 10_000, 5, 10, 1000, seed=3), 5, 10, 1000)
+    """Five distinct integers for each order."""
+    return _shape(querysets.unique_rows(spark, fx.orders(spark, sf_dir).count(), 5, 10, 1000, seed=3), 5, 10, 1000)
 
 
-@query("SELECT 10000::BIGINT AS n_rows, 10000::BIGINT AS n_distinct, 10000::BIGINT AS n_inside, true AS varied")
+@query("SELECT count(*) AS n_rows, count(*) AS n_distinct, count(*) AS n_inside, true AS varied FROM orders")
 def smp_unique_wide(spark, sf_dir):
-    """Of a range of 2**62 integers."""
-    return _shape(querysets.unique_rows(spark, 10_000, 5, 0, 1 << 62, seed=9), 5, 0, 1 << 62)
+    """Of a range of 2**62 integers, for each order."""
+    return _shape(querysets.unique_rows(spark, fx.orders(spark, sf_dir).count(), 5, 0, 1 << 62, seed=9), 5, 0, 1 << 62)
 
 
-# All 60 ordered choices of 3 of 5, each near the 1,000 times that it is expected.
-@query("SELECT a.x * 100 + b.x * 10 + c.x AS choice, true AS near FROM range(0, 5) a(x), range(0, 5) b(x), range(0, 5) c(x) WHERE a.x <> b.x AND a.x <> c.x AND b.x <> c.x")
+# All 60 ordered choices of 3 of 5, each near the times that it is expected.
+@query("SELECT a.x * 100 + b.x * 10 + c.x AS choice, true AS near FROM range(0, 5) a(x), range(0, 5) b(x), range(0, 5) c(x) WHERE a.x <> b.x AND a.x <> c.x AND b.x <> c.x AND EXISTS (SELECT 1 FROM orders)")
 def smp_unique_support(spark, sf_dir):
-    v = querysets.unique_rows(spark, 60_000, 3, 0, 5, seed=6).select((F.col("values")[0] * 100 + F.col("values")[1] * 10 + F.col("values")[2]).alias("choice"))
-    return v.groupBy("choice").agg(F.count("*").between(850, 1150).alias("near"))
+    n = 40 * fx.orders(spark, sf_dir).count()
+    v = querysets.unique_rows(spark, n, 3, 0, 5, seed=6).select((F.col("values")[0] * 100 + F.col("values")[1] * 10 + F.col("values")[2]).alias("choice"))
+    return v.groupBy("choice").agg(F.count("*").between(n * 0.85 / 60, n * 1.15 / 60).alias("near"))
 
 
-@query("SELECT 2000::BIGINT AS n_rows, 2000::BIGINT AS n_distinct, 2000::BIGINT AS n_inside, true AS varied")
+@query("SELECT count(*) AS n_rows, count(*) AS n_distinct, count(*) AS n_inside, true AS varied FROM orders")
 def smp_unique_mosaics(spark, sf_dir):
-    """Distinct mosaics in each row, taken apart into cells and put together again."""
+    """Distinct mosaics for each order, taken apart into cells and put together again."""
     size = codec.check_capacity(50, 4)
-    rows = querysets.unique_rows(spark, 2000, 3, 0, size, seed=4)
+    rows = querysets.unique_rows(spark, fx.orders(spark, sf_dir).count(), 3, 0, size, seed=4)
     back = F.transform("values", lambda v: codec.digits_to_key(codec.key_to_digits(v, 50, 4), 50))
     return _shape(rows.select(back.alias("values")), 3, 0, size)
 
@@ -952,25 +958,32 @@ def smp_mixed_batch(spark, sf_dir):
     return querysets.mixed_batch(o, querysets.shifted_negatives(o, 1), total=100, positive=30).groupBy("similar").agg(F.count("*").alias("n"))
 
 
-@query("SELECT x AS total, x // 2 AS positive, x - x // 2 AS negative FROM range(0, 20) t(x)")
+@query("SELECT DISTINCT n AS total, n // 2 AS positive, n - n // 2 AS negative FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def smp_mixed_sizes(spark, sf_dir):
-    return spark.createDataFrame([(n, *querysets.mixed_sizes(total=n)) for n in range(20)], "total bigint, positive bigint, negative bigint")
+    """Batches of as many pairs as customers have orders; of N orders there are at most sqrt(2 N) such numbers."""
+    totals = [r.n for r in fx.orders(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).select("n").distinct().collect()]
+    return spark.createDataFrame([(n, *querysets.mixed_sizes(total=n)) for n in totals], "total bigint, positive bigint, negative bigint")
 
 
-@query("SELECT x AS label FROM range(0, 500) t(x)")
+@query("SELECT row_number() OVER () - 1 AS label FROM orders")
 def smp_labelled_batch(spark, sf_dir):
-    """A batch without replacement as large as the label space has every label once."""
-    return querysets.labelled_batch(spark, 500, 500, replace=False, seed=8).select("label")
+    """A batch without replacement as large as the label space, one label for each order, has every label once."""
+    n = fx.orders(spark, sf_dir).count()
+    return querysets.labelled_batch(spark, n, n, replace=False, seed=8).select("label")
 
 
-@query("SELECT n, n AS n_inside FROM (VALUES (1000::BIGINT)) t(n)")
+@query("SELECT count(*) AS n, count(*) AS n_inside FROM orders")
 def smp_uniform_labels(spark, sf_dir):
-    return querysets.labelled_batch(spark, 1000, 37).agg(F.count("*").alias("n"), F.count_if(F.col("label").between(0, 36)).alias("n_inside"))
+    return querysets.labelled_batch(spark, fx.orders(spark, sf_dir).count(), 37).agg(F.count("*").alias("n"), F.count_if(F.col("label").between(0, 36)).alias("n_inside"))
 
 
-@query("SELECT lo, least(lo + 300, 1000) AS hi FROM (SELECT x * 300 AS lo FROM range(0, 4) t(x))")
+@query("WITH s AS (SELECT (max(o_orderkey) + 16) // 16 AS size, max(o_orderkey) + 1 AS stop FROM orders) SELECT x * size AS lo, least((x + 1) * size, stop) AS hi, (SELECT count(*) FROM orders WHERE o_orderkey >= x * size AND o_orderkey < (x + 1) * size) AS n FROM s, range(0, 16) t(x) WHERE x * size < stop")
 def smp_slices(spark, sf_dir):
-    return spark.createDataFrame(list(querysets.slices(1000, 300)), "lo bigint, hi bigint")
+    """The orders' ids in sixteen slices, each read by its range."""
+    o = fx.orders(spark, sf_dir).select("id")
+    stop = o.agg(F.max("id").alias("top")).first().top + 1
+    parts = [querysets.id_range(o, a, b).agg(F.lit(a).cast("bigint").alias("lo"), F.lit(b).cast("bigint").alias("hi"), F.count("*").alias("n")) for a, b in querysets.slices(stop, -(-stop // 16))]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # --- sources --------------------------------------------------------------------------------------------
@@ -1004,12 +1017,13 @@ def src_merge_whole(spark, sf_dir):
     return tables.merge_shards(shards, expected).groupBy("shard").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
 
 
-@query("SELECT 10000::BIGINT AS n, 0::BIGINT AS lo, 9999::BIGINT AS hi, 10000::BIGINT AS n_inside, 50::BIGINT AS n_same")
+@query("SELECT max(o_orderkey) + 1 AS n, 0::BIGINT AS lo, max(o_orderkey) AS hi, max(o_orderkey) + 1 AS n_inside, count(*) FILTER (WHERE o_orderkey % 19 = 0) AS n_same FROM orders")
 def src_procedural(spark, sf_dir):
-    """Values of [0, 1000) by chunks; rows that are asked for one by one are those of the scan."""
-    table = procedural.ProceduralTable(7, 10_000, 256, lambda rng, n: rng.integers(0, 1000, n))
+    """Values of [0, 1000) by chunks, one for each id up to the last order's; those that some orders ask for are those of the scan."""
+    o = fx.orders(spark, sf_dir).select("id")
+    table = procedural.ProceduralTable(7, o.agg(F.max("id").alias("top")).first().top + 1, 256, lambda rng, n: rng.integers(0, 1000, n))
     every = table.frame(spark)
-    asked = table.rows(spark.range(50).select((F.col("id") * 199).alias("id")))
+    asked = table.rows(o.filter("id % 19 = 0"))
     same = every.join(asked.withColumnRenamed("value", "again"), "id").agg(F.count_if(F.col("value") == F.col("again")).alias("n_same"))
     return every.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if((F.col("value") >= 0) & (F.col("value") < 1000)).alias("n_inside")).crossJoin(same)
 
@@ -1061,10 +1075,14 @@ def src_resume(spark, sf_dir):
     return spark.read.parquet(sink.path).select("id", i64(F.col("chunk")).alias("chunk"))
 
 
-@query("SELECT which, lo, hi FROM (VALUES ('train', 0, 60000), ('valid', 60000, 65000), ('test', 65000, 70000)) t(which, lo, hi)")
+@query("WITH t AS (SELECT max(o_orderkey) + 1 AS top FROM orders), s AS (SELECT 'train' AS which, 0 AS lo, top * 8 // 10 AS hi FROM t UNION ALL SELECT 'valid', top * 8 // 10, top * 9 // 10 FROM t UNION ALL SELECT 'test', top * 9 // 10, top FROM t) SELECT which, count(*) AS n, min(o_orderkey) AS first_id FROM s JOIN orders ON o_orderkey >= lo AND o_orderkey < hi GROUP BY which")
 def src_splits(spark, sf_dir):
-    splits = {"train": (0, 60_000), "valid": (60_000, 65_000), "test": (65_000, 70_000)}
-    return spark.createDataFrame([(w, *tables.split_range(w, splits)) for w in splits], "which string, lo int, hi int")
+    """Orders of each split, read by its range of ids."""
+    o = fx.orders(spark, sf_dir).select("id")
+    top = o.agg(F.max("id").alias("top")).first().top + 1
+    splits = {"train": (0, top * 8 // 10), "valid": (top * 8 // 10, top * 9 // 10), "test": (top * 9 // 10, top)}
+    parts = [querysets.id_range(o, *tables.split_range(w, splits)).agg(F.lit(w).alias("which"), F.count("*").alias("n"), F.min("id").alias("first_id")) for w in splits]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 _TILES = (1, 2, 5, 6, 3, 4, 7, 8, 9, 10, 13, 14, 11, 12, 15, 16)
@@ -1192,7 +1210,9 @@ def sta_bootstrap(spark, sf_dir):
     return spark.createDataFrame([(round(mean, 6), low <= mean <= high, 3.2 < (high - low) / error < 4.7)], "mean double, inside boolean, narrow boolean")
 
 
-@query("SELECT place, unit FROM (VALUES (3, 1000.0::DOUBLE), (-2, 0.01::DOUBLE), (0, 1.0::DOUBLE)) t(place, unit)")
+@query("SELECT o_orderstatus AS status, CAST(floor(log10(sum(o_totalprice))) AS INTEGER) AS place, pow(10, floor(log10(sum(o_totalprice)))) AS unit FROM orders GROUP BY 1")
 def sta_leading_place(spark, sf_dir):
-    places = [intervals.leading_place(x) for x in (1234, 0.02, 9.99)]
-    return spark.createDataFrame([(p, float(10.0**p)) for p in places], "place int, unit double")
+    """The leading place of each status's turnover."""
+    sums = fx.table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.sum("o_totalprice").alias("x")).collect()
+    places = [(r[0], intervals.leading_place(r.x)) for r in sums]
+    return spark.createDataFrame([(k, p, float(10.0**p)) for k, p in places], "status string, place int, unit double")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 SEEDS = 0xFFFF
 SPLITS = {"train": 0, "valid": 1, "test": 2}
-LABELS_CHUNK = 500
 
 
 def chunk_seed(seed: int, chunk: int) -> int:
@@ -51,8 +50,9 @@ class ProceduralTable:
         return spark.range(first, last).mapInPandas(run, "id bigint, value double")
 
     def rows(self, ids: DataFrame, id: str = "id") -> DataFrame:
-        """(id, value) of the requested ids, repetitions kept; a chunk is made once for all ids of it that meet in a task."""
-        wanted = ids.select(F.col(id).cast("bigint").alias("id")).filter((F.col("id") >= 0) & (F.col("id") < self.size))
+        """(id, value) of the requested ids, repetitions kept, nulls left out, ids out of range an error; a chunk is made once for all ids of it that meet in a task."""
+        inside = (F.col(id) >= 0) & (F.col(id) < self.size)
+        wanted = ids.select(F.when(inside | F.col(id).isNull(), F.col(id)).otherwise(F.raise_error(F.concat(F.col(id).cast("string"), F.lit(" is out of range")))).cast("bigint").alias("id")).filter("id IS NOT NULL")
         chunk = F.call_function("div", F.col("id"), F.lit(self.chunk_size).cast("bigint"))
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
