@@ -14,8 +14,11 @@ def test_procedural_table(spark):
     assert sorted(whole) == list(range(1000))
     part = {r.id: r.value for r in t.frame(spark, 100, 300).collect()}
     assert part == {i: whole[i] for i in range(100, 300)}
-    ids = spark.createDataFrame([(5,), (999,), (5,), (64,), (2000,), (-1,)], "id bigint")
+    ids = spark.createDataFrame([(5,), (999,), (5,), (64,), (None,)], "id bigint")
     assert sorted((r.id, r.value) for r in t.rows(ids).collect()) == sorted((i, whole[i]) for i in (5, 999, 5, 64))
+    for outside in (1000, -1):
+        with pytest.raises(Exception, match="out of range"):
+            t.rows(spark.createDataFrame([(5,), (outside,)], "id bigint")).collect()
     assert t[3] == whole[3] and t[-1] == whole[999]
     assert t[[1, 500, 1]].tolist() == [whole[1], whole[500], whole[1]] and t[10:200:3].tolist() == [whole[i] for i in range(10, 200, 3)]
     for bad, error in [(1000, IndexError), (-1001, IndexError), (slice(5, 5), RuntimeError), (slice(None, None, 0), ValueError), (slice(9, 1, -1), NotImplementedError)]:
