@@ -40,7 +40,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
 SCALE = 1_000_000
 #: Bytes of texts whose phrases are counted together before they become rows.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Exact up to counts of 16 digits: SCALE * a * a has 38 at most.
 COUNT = "decimal(16,0)"
 #: Groups of a language in each round of the choice of the best.
