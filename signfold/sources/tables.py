@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -96,6 +96,20 @@ def merge_shards(shards: list[DataFrame], expected: list[int] | None = None) ->
     return out
 
 
+def merge_table(rows: DataFrame, shard: Column, expected: DataFrame) -> DataFrame:
+    """Any number of shards that lie in one table: its rows with the `shard` that each is of; row counts other than those of `expected` (shard, n) are an error.
+
+    Counts are compared where they are, so a plan of one scan does for all shards and only the first few wrong ones reach the driver.
+    """
+    out = rows.withColumn("shard", shard)
+    found = out.groupBy("shard").agg((-F.count("*")).alias("n"))
+    wrong = expected.select("shard", "n").unionByName(found).groupBy("shard").agg(F.sum("n").alias("n")).filter("n <> 0")
+    few = [r.shard for r in wrong.orderBy("shard").limit(10).collect()]
+    if few:
+        raise ValueError(f"shards {few} are incomplete")
+    return out
+
+
 class ResumableSink:
     """A table written chunk by chunk: chunks that are complete are not written again after a restart.
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signfold.plans import catalog
 from signfold.sources import config, encoder, images, procedural, tables
 from signfold.streaming import incremental
 
@@ -39,6 +40,21 @@ def test_labels_table(spark):
         procedural.labels_seed(0xFFFF // 3, "train")
 
 
+def test_many_shards_are_one_plan(spark, tmp_path):
+    """20,000 shards; a plan with a scan for each of them would not end."""
+    df = spark.range(40_000).withColumn("shard_of", F.expr("CAST(id DIV 2 AS INT)"))
+    expected = df.groupBy(F.col("shard_of").alias("shard")).agg(F.count("*").alias("n"))
+    merged = tables.merge_table(df, F.col("shard_of"), expected)
+    assert merged.groupBy("shard").count().filter("count = 2").count() == 20_000
+    for wrong in (df.filter("id <> 39999"), df.filter("id < 39998"), df.union(df.limit(1)), df.withColumn("shard_of", F.expr("CASE WHEN id > 0 THEN shard_of END"))):
+        with pytest.raises(ValueError, match="incomplete"):
+            tables.merge_table(wrong, F.col("shard_of"), expected)
+    spark.range(0, 3_000_000, 1000).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.src_merge_whole(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") < 3
+    assert got.filter("n = 1 AND refused").count() == 3000
+
+
 def test_guards_ranges_and_shards(spark, tmp_path):
     df, path = spark.range(100), str(tmp_path / "t")
     tables.save(df, path)
