@@ -33,7 +33,10 @@ class ProceduralTable:
         return self.make(np.random.default_rng(chunk_seed(self.seed, number)), n)
 
     def frame(self, spark: SparkSession, start: int = 0, stop: int | None = None) -> DataFrame:
-        """(id, value) of a range: whole chunks are dealt to tasks, others are never made."""
+        """(id, value) of a range: whole chunks are dealt to tasks, others are never made.
+
+        A row of the plan's range is a chunk, so Spark takes the table for chunk_size times smaller than it is. The hint keeps joins from broadcasting it.
+        """
         stop = self.size if stop is None else min(stop, self.size)
         first, last = start // self.chunk_size, -(-stop // self.chunk_size)
         if stop <= start:
@@ -47,7 +50,7 @@ class ProceduralTable:
                     keep = (ids >= start) & (ids < stop)
                     yield pd.DataFrame({"id": ids[keep], "value": np.asarray(values, dtype=float)[keep]})
 
-        return spark.range(first, last).mapInPandas(run, "id bigint, value double")
+        return spark.range(first, last).mapInPandas(run, "id bigint, value double").hint("merge")
 
     def rows(self, ids: DataFrame, id: str = "id") -> DataFrame:
         """(id, value) of the requested ids, repetitions kept, nulls left out, ids out of range an error; a chunk is made once for all ids of it that meet in a task."""

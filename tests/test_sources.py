@@ -40,6 +40,13 @@ def test_labels_table(spark):
         procedural.labels_seed(0xFFFF // 3, "train")
 
 
+def test_procedural_table_is_not_broadcast(spark):
+    every = procedural.ProceduralTable(7, 100_000, 1000, lambda rng, n: rng.integers(0, 10, n)).frame(spark)
+    joined = every.filter("value >= 0").join(spark.range(10_000_000), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100_000
+
+
 def test_many_shards_are_one_plan(spark, tmp_path):
     """20,000 shards; a plan with a scan for each of them would not end."""
     df = spark.range(40_000).withColumn("shard_of", F.expr("CAST(id DIV 2 AS INT)"))
