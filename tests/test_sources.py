@@ -96,6 +96,15 @@ def test_resumable_sink(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == list(range(35))
 
 
+def test_lifecycle_of_many_labels(spark, tmp_path):
+    """20,000 labels, about two orders each: none shares a code with another."""
+    spark.range(40_000).selectExpr("id AS o_orderkey", "id % 20000 + IF(id % 10 = 3 AND id > 20000, 1, 0) AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.run_lifecycle(spark, str(tmp_path)).first()
+    assert (got.n_database, got.n_queries, got.n_truth, got.recall, got.avg_jaccard, got.collisions) == (36_000, 4000, 4000, 1.0, 1.0, 0)
+    with pytest.raises(ValueError):
+        encoder.random_projection(4, 8, orthogonal=True)
+
+
 def test_config(spark, tmp_path):
     task, model, grid = tmp_path / "task.json", tmp_path / "model.json", tmp_path / "grid.json"
     task.write_text(json.dumps({"seed": 1, "net": {"k": 64, "deep": {"a": 1}}}))
