@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +31,22 @@ def point_lookup(index: DataFrame, key: int) -> DataFrame:
     return index.filter(F.col("key") == F.lit(key)).select("id").orderBy("id")
 
 
-def _sized(queries: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Queries with a broadcast hint if, counted up to the bound, they are few."""
-    return F.broadcast(queries) if broadcast_rows and queries.limit(broadcast_rows + 1).count() <= broadcast_rows else queries
-
-
-def lookup_ids(queries: DataFrame, index: DataFrame, query_id: str = "query_id", key: str = "key", broadcast_rows: int = 0) -> DataFrame:
+def lookup_ids(queries: DataFrame, index: DataFrame, query_id: str = "query_id", key: str = "key", broadcast_rows: int = 0, form: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
     """(query_id, ids): ids ascending, [] for a miss. For result lists; counts come cheaper from lookup_counts.
 
-    broadcast_rows: up to so many queries (BROADCAST_ROWS is a sound bound) are sent to the index, which then is not
-    shuffled; 0 leaves the choice to the optimizer.
+    A bucket's list is made once and meets its queries in the join that makes the result, so that each id is shuffled
+    once, however often its bucket is asked for; the result itself has a list for each query.
+
+    broadcast_rows: of up to so many queries (BROADCAST_ROWS is a sound bound) the keys are sent to the index, of which
+    only the buckets asked for are shuffled then.
+    form: what the lists are given out as, also made once for each bucket.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(key).alias("key"))
-    hits = _sized(q, broadcast_rows).join(index.select("key", "id"), "key").groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return q.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    held = index.select("key", "id")
+    if broadcast_rows and q.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        held = held.join(F.broadcast(q.select("key").distinct()), "key", "left_semi")
+    lists = held.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("key", form(F.col("ids")).alias("ids"))
+    return q.join(lists, "key", "left").select("query_id", F.coalesce("ids", form(F.array().cast("array<bigint>"))).alias("ids"))
 
 
 def lookup_counts(queries: DataFrame, index: DataFrame, query_id: str = "query_id", key: str = "key") -> DataFrame:

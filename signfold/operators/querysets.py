@@ -20,7 +20,8 @@ from . import draws, ranking
 def ground_truth(queries: DataFrame, database: DataFrame, with_ids: bool = False) -> DataFrame:
     """(query_id, n_truth[, truth]) for queries (query_id, label) against (id, label)."""
     if with_ids:
-        joined = queries.join(database.select("id", "label"), "label", "left").groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("truth"))
+        lists = database.groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("truth"))
+        joined = queries.join(lists, "label", "left").select("query_id", F.coalesce("truth", F.array().cast("array<bigint>")).alias("truth"))
         return joined.select("query_id", F.size("truth").cast("bigint").alias("n_truth"), "truth")
     per_label = database.groupBy("label").agg(F.count("*").alias("n"))
     return queries.join(per_label, "label", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_truth"))

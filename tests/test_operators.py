@@ -36,6 +36,19 @@ def test_index_against_dictionaries(spark):
     assert index.internal_collisions(codes(spark, [(0, 1, 1), (1, 1, 1), (2, 1, 2), (3, 9, 2)])).first().collisions == 2
 
 
+def test_lists_are_shuffled_once(spark):
+    """No exchange is above the join that deals a bucket's list to its queries, so lists are not moved for each query."""
+    df = codes(spark, [(i, i % 3, i % 4) for i in range(60)])
+    queries = spark.createDataFrame([(q, q % 4 if q < 90 else None, q % 5) for q in range(100)], "query_id bigint, key bigint, label bigint")
+    for got in (index.lookup_ids(queries, df), querysets.ground_truth(queries, df, with_ids=True)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 1 and "Exchange" not in plan[: plan.index("Join")]
+    held = {k: ",".join(str(i) for i in range(60) if i % 3 == k) for k in range(3)}
+    text = index.lookup_ids(queries, df, form=lambda ids: F.array_join(F.transform(ids, lambda x: x.cast("string")), ","))
+    assert {x.query_id: x.ids for x in text.collect()} == {q: held.get(q % 4, "") if q < 90 else "" for q in range(100)}
+    assert {x.query_id: x.truth for x in querysets.ground_truth(queries, df, with_ids=True).collect()} == {q: [i for i in range(60) if i % 4 == q % 5] for q in range(100)}
+
+
 def test_index_table_needs_no_shuffle(spark):
     df = codes(spark, [(i, i % 9, 0) for i in range(50)])
     index.save_index(index.build_index(df, "key"), "saved_index", buckets=4, mode="overwrite")
