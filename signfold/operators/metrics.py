@@ -45,6 +45,24 @@ def _judged(d: DataFrame) -> DataFrame:
     })
 
 
+def list_results(queries: DataFrame, database: DataFrame) -> DataFrame:
+    """(query_id, relevant, missed) with every predicate of with_list_predicates, for queries (query_id, key, label) against (key, id, label); ids ascending.
+
+    An id of the database is in one list, that of its key and label, and is shuffled in it. A query finds its relevant
+    ids in the list of its own key among those of its label, the missed ones in the others. Irrelevant hits are counted
+    only: they are the rest of a bucket, which lookup_ids gives.
+    """
+    cells = database.groupBy("key", "label").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    by_key = cells.groupBy("key").agg(F.sum(F.size("ids")).cast("bigint").alias("n_hits"))
+    by_label = cells.groupBy("label").agg(F.collect_list(F.struct(F.col("key").alias("of"), "ids")).alias("cells"))
+    own = lambda x: F.coalesce(x.of == F.col("key"), F.lit(False))
+    some = lambda c: F.coalesce(F.flatten(F.transform(c, lambda x: x.ids)), F.array().cast("array<bigint>"))
+    d = queries.select("query_id", "key", "label").join(by_key, "key", "left").join(by_label, "label", "left")
+    d = d.select("query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"), some(F.filter("cells", own)).alias("relevant"), F.sort_array(some(F.filter("cells", lambda x: ~own(x)))).alias("missed"))
+    d = d.withColumns({"n_relevant": F.size("relevant").cast("bigint"), "n_truth": (F.size("relevant") + F.size("missed")).cast("bigint"), "n_irrelevant": F.col("n_hits") - F.size("relevant")})
+    return _judged(d).withColumn("perfect", F.col("complete") & F.col("sound"))
+
+
 # --- per query, by counting --------------------------------------------------------------------------
 
 

@@ -111,6 +111,23 @@ def test_list_and_count_metrics_agree(spark):
     assert report <= {"PERFECT", "IMPERFECT"}
 
 
+def test_lists_of_cells_agree_with_whole_lists(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([None, *range(8)]), r.choice([None, *range(6)])) for i in range(300)]
+    df = codes(spark, rows)
+    queries, database = df.filter("id % 5 = 0").withColumnRenamed("id", "query_id"), df.filter("id % 5 > 0 AND coalesce(label, 0) < 5 AND coalesce(key, 0) < 7")
+    found = metrics.list_results(queries, database)
+    got = {x.query_id: x for x in found.collect()}
+    base = [x for x in rows if x[0] % 5 and (x[2] or 0) < 5 and (x[1] or 0) < 7]
+    for i, k, v in rows[::5]:
+        hits, truth = ([x[0] for x in base if c is not None and x[at] == c] for at, c in ((1, k), (2, v)))
+        x = got.pop(i)
+        assert (x.relevant, x.missed, x.n_hits, x.n_irrelevant) == ([j for j in truth if j in hits], [j for j in truth if j not in hits], len(hits), len(set(hits) - set(truth)))
+    assert not got
+    columns = ["query_id", "n_truth", "n_hits", "n_relevant", "n_irrelevant", "complete", "sound", "perfect", "jaccard", "false_positive"]
+    assert found.select(columns).orderBy("query_id").collect() == metrics.query_results(queries, database).select(columns).orderBy("query_id").collect()
+
+
 def test_list_predicates_keep_repetitions(spark):
     df = spark.createDataFrame([(1, [1, 2], [2, 3]), (2, [], []), (3, [1], [1, 1]), (4, [5], [])], "query_id bigint, truth array<bigint>, retrieved array<bigint>")
     got = {x.query_id: x for x in metrics.with_list_predicates(df).collect()}
