@@ -1,4 +1,4 @@
-"""Draws that depend on a seed and a number only, as integer arithmetic of Columns: any engine can repeat them.
+"""Draws that depend on a seed and a number only, as integer arithmetic: any engine can repeat them.
 
 Nothing here overflows 64 signed bits, so that it holds under ANSI mode and in other engines' BIGINT.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +34,30 @@ def round_keys(seed: int) -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"{seed}:{r}".encode()).digest()[:4], "big") >> 2 for r in range(ROUNDS)]
 
 
+def permute(number: np.ndarray, half: int, seed: int) -> np.ndarray:
+    """permuted() of an array."""
+    mask = (1 << half) - 1
+    left, right = number >> half, number & mask
+    for key in round_keys(seed):
+        x = right * FIRST + key
+        x = (((x >> 13) ^ x) & LOW31) * SECOND
+        left, right = right, left ^ ((x >> 14) & mask)
+    return (left << half) | right
+
+
 def permuted(number: Column, half: int, seed: int) -> Column:
     """A permutation of [0, 2 ** (2 * half)): a Feistel network whose rounds hash one half into the other.
 
-    Its values below a size are a permutation of [0, size), so distinct numbers never give the same one.
+    Its values below a size are a permutation of [0, size), so distinct numbers never give the same one. A round uses
+    its half three times, so as one expression the rounds would be repeated hundreds of times; they run on Arrow
+    batches instead. Spark takes the result for indeterminate, lest a filter on it computes it again.
     """
-    mask = bigint((1 << half) - 1)
-    left, right = F.shiftright(number, half), number.bitwiseAND(mask)
-    for key in round_keys(seed):
-        x = right * bigint(FIRST) + bigint(key)
-        x = F.shiftright(x, 13).bitwiseXOR(x).bitwiseAND(bigint(LOW31)) * bigint(SECOND)
-        left, right = right, left.bitwiseXOR(F.shiftright(x, 14).bitwiseAND(mask))
-    return F.shiftleft(left, half).bitwiseOR(right)
+
+    @F.pandas_udf("bigint")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(permute(x.to_numpy(dtype=np.int64), half, seed))
+
+    return run.asNondeterministic()(number)
 
 
 def draw(bound: Column | int, seed: int, *numbers: Column) -> Column:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,13 @@ def test_permutation(spark, half):
     assert sorted(got) == list(range(n)) and (half < 3 or got != list(range(n)))
 
 
+def test_permutation_is_made_once(spark):
+    kept = spark.range(1000).select("id", draws.permuted(F.col("id"), 24, 5).alias("p")).filter("p < 100000000000000")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 1000 and plan.count("run(") == 1
+    assert {(r.id, r.p) for r in kept.collect()} == {(i, p) for i, p in enumerate(draws.permute(np.arange(1000), 24, 5).tolist()) if p < 10**14}
+
+
 def test_permutation_of_large_spaces(spark):
     got = spark.range(1000).select(draws.permuted(F.col("id") + F.lit((1 << 62) - 1000), 31, 5).alias("p")).agg(F.count_distinct("p").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
     assert got.n == 1000 and got.lo >= 0 and got.hi < 1 << 62 and got.hi - got.lo > 1 << 61
