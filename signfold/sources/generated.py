@@ -1,4 +1,4 @@
-"""A procedural table as a Python data source: one partition for each chunk, made where it is read.
+"""A procedural table as a Python data source: chunks are made where they are read, up to MOST_VALUES numbers in a partition's chunks.
 
     spark.read.format("procedural").options(seed=7, size=10_000, chunk_size=500, width=4).load()
 
@@ -9,7 +9,7 @@ that are asked for one by one and lie outside the table are an error.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +23,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SEEDS = 0xFFFF
 #: Chunks of labels-driven tables, and what a split adds to three times their seed.
 LABELS_CHUNK = 500
+#: Tables of up to so many chunks have a partition for each; of larger ones, partitions take several chunks each, as many as make so many numbers at most.
+FEW_CHUNKS, MOST_VALUES = 64, 1 << 20
 SPLITS = {"train": 0, "valid": 1, "test": 2}
 
 
 @dataclass
-class Chunk(InputPartition):
-    number: int
+class Chunks(InputPartition):
+    numbers: Sequence[int]
 
 
 class Reader(DataSourceReader):
@@ -55,18 +57,19 @@ class Reader(DataSourceReader):
                     self.high = min(self.high, f.value + isinstance(f, LessThanOrEqual))
             yield f
 
-    def partitions(self) -> list[Chunk]:
+    def partitions(self) -> list[Chunks]:
         if self.ids is not None:
             numbers = sorted({i // self.chunk_size for i in self.ids if i is not None and self.low <= i < self.high})
         else:
             numbers = range(self.low // self.chunk_size, -(-self.high // self.chunk_size)) if self.low < self.high else ()
-        return [Chunk(n) for n in numbers] or [Chunk(-1)]
-
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
-        first = partition.number * self.chunk_size
-        n = min(self.chunk_size, self.size - first) if partition.number >= 0 else 0
-        if n > 0:
-            values = np.random.default_rng(SEEDS * partition.number + self.seed).random((n, self.width))
+        each = 1 if len(numbers) <= FEW_CHUNKS else max(1, min(MOST_VALUES // (self.chunk_size * self.width), len(numbers) // FEW_CHUNKS))
+        return [Chunks(numbers[i : i + each]) for i in range(0, len(numbers), each)] or [Chunks(())]
+
+    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        for number in partition.numbers:
+            first = number * self.chunk_size
+            n = min(self.chunk_size, self.size - first)
+            values = np.random.default_rng(SEEDS * number + self.seed).random((n, self.width))
             ends = pa.array(np.arange(n + 1) * self.width, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["id", "values"])
 

@@ -21,6 +21,20 @@ def test_asked_ids_make_their_chunks_only(spark, condition, chunks):
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
 
 
+@pytest.mark.parametrize("condition", ["true", "id >= 250 AND id < 150050", "id IN ({})".format(",".join(str(i * 1000) for i in range(150)))])
+def test_many_chunks_share_partitions(spark, condition):
+    """Partitions do not grow with the chunks; a chunk makes what it makes alone."""
+    t = generated.load(spark, 7, 200_000, 10, 2).filter(condition)
+    assert generated.FEW_CHUNKS <= t.rdd.getNumPartitions() <= 2 * generated.FEW_CHUNKS
+    got = {r.id: r["values"] for r in t.collect()}
+    assert set(got) == {r.id for r in spark.range(200_000).filter(condition).collect()}
+    alone = generated.Reader(7, 200_000, 10, 2)
+    for number in (25, 7000, 10_000):
+        for batch in alone.read(generated.Chunks([number])):
+            for i, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                assert i not in got or got[i] == values
+
+
 def test_out_of_range(spark):
     t = generated.load(spark, 7, 1000, 100)
     with pytest.raises(Exception, match="out of range"):
