@@ -17,12 +17,14 @@ recursion, whatever its alphabet. Its common prefixes, counted in names, come ba
 is left of the first names that differ is compared.
 
 Tuples are popped a batch at a time: the symbols of a batch are those that no suffix of the batch induces into, so
-its order is that of one tuple after the other. Text, types and names are arrays in memory.
+its order is that of one tuple after the other. Where batches would be of few tuples, as among names that induce into
+their neighbours, tuples are popped one by one for a stretch. Text, types and names are arrays in memory.
 """
 
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,10 @@ QUEUE_BYTES = 4 << 20
 BATCH = 1 << 16
 #: Fewest tuples of a batch that a look ahead allows for.
 LOOK = 64
+#: A batch of fewer tuples takes longer than popping them one by one.
+FEW = 128
+#: Tuples that are popped one by one after a look ahead that found few, at first and at most.
+STRETCH = (256, 4096)
 #: Symbols that are compared at a time, after a first look at fewer.
 STRIDE = 16
 
@@ -114,8 +120,11 @@ class Pass:
         self.top = np.iinfo(self.kind).max
         self.queue = TupleQueue(sizes, self.kind, budget)
         self.given_begin = np.concatenate(([0], np.cumsum(np.bincount(t[given], minlength=len(sizes))))) if len(given) else np.zeros(len(sizes) + 1, np.int64)
-        #: Smallest common prefix popped since the last push under each symbol.
-        self.since = np.full(len(sizes) if carry else 0, self.top, dtype=self.kind)
+        #: Tuples popped so far, and when the one was popped that pushed last under each symbol.
+        self.popped, self.pushed = 0, np.full(len(sizes) if carry else 0, -1, dtype=np.int32)
+        #: Popped common prefixes that no later one is as small as, ascending, and when they were popped.
+        self.lows: list[int] = []
+        self.low_times: list[int] = []
         self.rows = np.diff(self.queue.begin) + np.diff(self.given_begin)
 
     def begin(self, suffix: int) -> None:
@@ -125,6 +134,15 @@ class Pass:
         """Common prefixes of the last induced and the first given suffix of a symbol."""
         return compared(self.t, last, first, np.ones(len(last), np.int64), self.limit).astype(self.kind) if self.carry else np.zeros(len(last), self.kind)
 
+    def _note(self, commons: np.ndarray) -> None:
+        """Commons have been popped."""
+        if self.carry and len(commons):
+            rest = np.append(np.minimum.accumulate(commons[::-1])[::-1], self.kind(self.top))
+            keep = bisect_left(self.lows, int(rest[0]))
+            at = np.flatnonzero(rest[:-1] < rest[1:])
+            self.lows[keep:], self.low_times[keep:] = rest[at].tolist(), (at + self.popped).tolist()
+        self.popped += len(commons)
+
     def _induce(self, suffixes: np.ndarray, commons: np.ndarray) -> None:
         at = np.flatnonzero(self.wants[suffixes])
         if len(at):
@@ -141,15 +159,67 @@ class Pass:
                 lo[heads] = 0
                 carried = range_minima(commons, lo, at)
                 first = symbols[heads]
-                carried[heads] = np.minimum(carried[heads], self.since[first])
+                # The smallest common prefix popped since the last push under a symbol.
+                since = np.array([*self.lows, self.top], dtype=self.kind)[np.searchsorted(np.array(self.low_times, dtype=np.int64), self.pushed[first], side="right")]
+                carried[heads] = np.minimum(carried[heads], since)
                 carried = np.minimum(carried, self.limit - 1) + self.kind(1)
                 carried[heads[self.queue.end[first] == self.queue.begin[first]]] = 0
-                rest = np.append(np.minimum.accumulate(commons[::-1])[::-1], self.kind(self.top))
-                np.minimum(self.since, rest[0], out=self.since)
-                self.since[first] = rest[at[np.append(heads[1:], len(at)) - 1] + 1]
+                self.pushed[first] = at[np.append(heads[1:], len(at)) - 1] + self.popped
             self.queue.push(symbols, heads, suffixes[at] - 1, carried)
-        elif self.carry and len(commons):
-            np.minimum(self.since, commons.min(), out=self.since)
+        self._note(commons)
+
+    def _singly(self, live: np.ndarray, k: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The symbols from live[k] on, tuple by tuple, for about `most` tuples or up to a symbol of more than FEW: their suffixes, common prefixes and the place of the first symbol that is left."""
+        t, n, limit, carry, wants = memoryview(self.t), len(self.t), self.limit, self.carry, memoryview(self.wants)
+        queued, shared, begin, end = (memoryview(x) for x in (self.queue.suffix, self.queue.common, self.queue.begin, self.queue.end))
+        pushed, lows, times, now = memoryview(self.pushed), self.lows, self.low_times, self.popped
+        suffixes: list[int] = []
+        commons: list[int] = []
+
+        def pop(x: int, common: int) -> None:
+            nonlocal now
+            suffixes.append(x)
+            commons.append(common)
+            if carry:
+                while lows and lows[-1] >= common:
+                    lows.pop()
+                    times.pop()
+                lows.append(common)
+                times.append(now)
+            if wants[x]:
+                c, carried = t[x - 1], 0
+                slot = end[c]
+                if carry:
+                    if slot > begin[c]:
+                        carried = min(lows[bisect_right(times, pushed[c])], limit - 1) + 1
+                    pushed[c] = now
+                queued[slot], shared[slot] = x - 1, carried
+                end[c] = slot + 1
+            now += 1
+
+        upto = min(len(live), k + most)
+        symbols, rows = live[k:upto].tolist(), self.rows[live[k:upto]].tolist()
+        for c, size in zip(symbols, rows):
+            if size > FEW or len(suffixes) >= most:
+                break
+            at = begin[c]
+            while at < end[c]:
+                pop(queued[at], shared[at])
+                at += 1
+            g, stop = int(self.given_begin[c]), int(self.given_begin[c + 1])
+            if g < stop:
+                given, given_commons = self.given[g:stop].tolist(), self.given_commons[g:stop].tolist()
+                if at > begin[c] and carry:
+                    a, b, same = suffixes[-1], given[0], 1
+                    room = min(limit, n - max(a, b))
+                    while same < room and t[a + same] == t[b + same]:
+                        same += 1
+                    given_commons[0] = min(same, limit)
+                for x, common in zip(given, given_commons):
+                    pop(x, common)
+            k += 1
+        self.popped = now
+        return np.array(suffixes, dtype=np.int32), np.array(commons, dtype=self.kind), k
 
     def _one(self, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All of one symbol, what it induces under itself included."""
@@ -194,22 +264,30 @@ class Pass:
     def run(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(suffixes, their common prefixes with the suffix before) in batches, in order."""
         live = np.flatnonzero(self.rows)
-        ends, k, width = np.cumsum(self.rows[live]), 0, BATCH
+        ends, k, width, stretch = np.cumsum(self.rows[live]), 0, BATCH, STRETCH[0]
         while k < len(live):
-            past = int(ends[k - 1]) if k else 0
+            past, at = int(ends[k - 1]) if k else 0, k
             to = int(np.searchsorted(ends, past + width, side="right"))
+            found = 0
             if to > k + 1:
                 suffixes, commons, stop = self._several(int(live[k]), int(live[to - 1]) + 1)
+                found = len(suffixes)
                 # What one look finds is about what the next will: looks much wider than that are wasted.
-                width = min(BATCH, 4 * max(len(suffixes), LOOK))
+                width = min(BATCH, 4 * max(found, LOOK))
                 if stop > live[k]:
-                    if len(suffixes):
+                    if found:
                         yield suffixes, commons
                         self._induce(suffixes, commons)
                     k = int(np.searchsorted(live, stop))
-                    continue
-            yield from self._one(int(live[k]))
-            k, width = k + 1, max(width, 4 * LOOK)
+            if found >= max(FEW, 1):
+                stretch = STRETCH[0]
+            elif k < len(live) and self.rows[live[k]] <= FEW:
+                suffixes, commons, k = self._singly(live, k, stretch)
+                yield suffixes, commons
+                stretch = min(2 * stretch, STRETCH[1])
+            elif k == at:
+                yield from self._one(int(live[k]))
+                k, width = k + 1, max(width, 4 * LOOK)
 
 
 def induced(t: np.ndarray, s: np.ndarray, seeds: np.ndarray, commons: np.ndarray, limit: int, carry: bool, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

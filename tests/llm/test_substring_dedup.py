@@ -133,3 +133,32 @@ def test_pass_is_monotone():
     up.begin(5)
     popped = np.concatenate([x for x, _ in up.run()])
     assert (np.diff(t[popped].astype(int)) >= 0).all()
+
+
+def test_neighbouring_symbols_make_few_batches(monkeypatch):
+    """Symbols that induce into the next one, as names do, are not popped in a batch for each."""
+    batches, plain = [], Pass._induce
+    monkeypatch.setattr(Pass, "_induce", lambda self, *r: (batches.append(len(r[0])), plain(self, *r))[1])
+    t = np.array([*range(4000, 0, -1)] * 3, dtype=np.int32)
+    order, commons = suffix_array(t, 50)
+    assert order.tolist() == sorted(range(len(t)), key=lambda i: (t[i], -i))
+    assert commons.tolist() == [0 if t[a] != t[b] else min(50, len(t) - a) for a, b in zip(order, order[1:])]
+    assert len(batches) < 100
+
+
+@pytest.mark.parametrize("few", [0, 2, 1000])
+@pytest.mark.parametrize("stretch", [1, 7])
+@pytest.mark.parametrize("limit", [3, 300])
+def test_batches_and_single_tuples_mix(monkeypatch, few, stretch, limit):
+    """However batches and stretches of single tuples follow each other, order and common prefixes are the same."""
+    monkeypatch.setattr(induced_sort, "FEW", few)
+    monkeypatch.setattr(induced_sort, "STRETCH", (stretch, 2 * stretch))
+    r = random.Random(few + stretch + limit)
+    for turn in range(30):
+        top = r.choice([1, 3, 30, 100_000])
+        t = [r.randint(0, top) for _ in range(r.randint(0, 150))]
+        t = t[: len(t) // 3 + 1] * 4 if turn % 2 else t
+        want = sorted(range(len(t)), key=lambda i: t[i:])
+        shared = [next((k for k in range(limit) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), limit) for a, b in zip(want, want[1:])]
+        order, commons = suffix_array(np.array(t, dtype=np.int32), limit, budget=r.choice([0, 1 << 20]))
+        assert order.tolist() == want and commons.tolist() == shared
